@@ -14,7 +14,7 @@ ESCALATE_HIGH, ESCALATE_MUST = 3, 10
 DATE_DASHES = ["—", "–", "--", "-", ":"]
 
 ID_PATTERN = r"\b([A-Z][A-Z0-9]*)-([0-9]+[a-z]?)\b"
-_ID_SHAPE = r"^([A-Za-z][A-Za-z0-9]*)-0*([0-9]+)([A-Za-z]?)$"
+ID_SHAPE = r"^([A-Za-z][A-Za-z0-9]*)-0*([0-9]+)([A-Za-z]?)$"
 
 
 def col(c) -> Column:
@@ -57,8 +57,8 @@ def id_sort_key(ident) -> Column:
 def log_id_key(ident) -> Column:
     """Prefix upper-cased, zero padding dropped, letter suffix lower-cased."""
     ident = F.trim(col(ident))
-    part = lambda i: F.regexp_extract(ident, _ID_SHAPE, i)
-    return F.when(ident.rlike(_ID_SHAPE),
+    part = lambda i: F.regexp_extract(ident, ID_SHAPE, i)
+    return F.when(ident.rlike(ID_SHAPE),
                   F.concat(F.upper(part(1)), F.lit("-"), part(2), F.lower(part(3)))).otherwise(F.upper(ident))
 
 
@@ -70,9 +70,9 @@ def quote_regex(text) -> Column:
 def log_id_regex(ident) -> Column:
     """A pattern that finds an id however its number is padded."""
     ident = F.trim(col(ident))
-    part = lambda i: F.regexp_extract(ident, _ID_SHAPE, i)
+    part = lambda i: F.regexp_extract(ident, ID_SHAPE, i)
     shaped = F.concat(F.lit(r"(?i)\b"), part(1), F.lit("-0*"), part(2), part(3), F.lit(r"\b"))
-    return F.when(ident.rlike(_ID_SHAPE), shaped).otherwise(
+    return F.when(ident.rlike(ID_SHAPE), shaped).otherwise(
         F.concat(F.lit(r"\b"), quote_regex(ident), F.lit(r"\b")))
 
 

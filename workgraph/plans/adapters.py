@@ -110,6 +110,7 @@ SELECT log_id, CAST(row_number() OVER (PARTITION BY log_id ORDER BY turn, part,
     UNION ALL SELECT conv_id, turn, 2, 0, '' FROM conversations
     UNION ALL SELECT conv_id, turn, 3, p, CASE WHEN p = 0 AND turn % 4 = 1 THEN concat('**Amended:** ', t) ELSE t END
       FROM conversations LATERAL VIEW posexplode(split(text, '\\n')) x AS p, t
+    UNION ALL SELECT conv_id, turn, 3, 9999, 'This was amended after review.' FROM conversations WHERE turn % 8 = 4
     UNION ALL SELECT conv_id, turn, 4, 0, '---' FROM conversations WHERE turn % 3 = 0) a) b""",
     """
 SELECT log_id, CAST(row_number() OVER (PARTITION BY log_id ORDER BY turn, part, sub) AS INT) AS line, text FROM (
@@ -120,6 +121,7 @@ SELECT log_id, CAST(row_number() OVER (PARTITION BY log_id ORDER BY turn, part,
     UNION ALL SELECT conv_id, turn, 2, 0, '' FROM conversations
     UNION ALL SELECT conv_id, turn, 3, p, CASE WHEN p = 0 AND turn % 4 = 1 THEN concat('**Amended:** ', t) ELSE t END
       FROM (SELECT conv_id, turn, unnest(range(len(string_split(text, chr(10))))) AS p, unnest(string_split(text, chr(10))) AS t FROM conversations) x
+    UNION ALL SELECT conv_id, turn, 3, 9999, 'This was amended after review.' FROM conversations WHERE turn % 8 = 4
     UNION ALL SELECT conv_id, turn, 4, 0, '---' FROM conversations WHERE turn % 3 = 0) a""")
 
 # --- patches and texts ---------------------------------------------------
