@@ -13,7 +13,10 @@ ESCALATE_HIGH, ESCALATE_MUST = 3, 10
 # Separators allowed between a heading's date and title, longest first.
 DATE_DASHES = ["—", "–", "--", "-", ":"]
 
-ID_PATTERN = r"\b([A-Z][A-Z0-9]*)-([0-9]+[a-z]?)\b"
+# A word boundary over ASCII letters only, whatever the engine's default is.
+START, END = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
+EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+ID_PATTERN = START + r"([A-Z][A-Z0-9]*)-([0-9]+[a-z]?)" + END
 ID_SHAPE = r"^([A-Za-z][A-Za-z0-9]*)-0*([0-9]+)([A-Za-z]?)$"
 
 
@@ -71,9 +74,9 @@ def log_id_regex(ident) -> Column:
     """A pattern that finds an id however its number is padded."""
     ident = F.trim(col(ident))
     part = lambda i: F.regexp_extract(ident, ID_SHAPE, i)
-    shaped = F.concat(F.lit(r"(?i)\b"), part(1), F.lit("-0*"), part(2), part(3), F.lit(r"\b"))
+    shaped = F.concat(F.lit("(?i)" + START), part(1), F.lit("-0*"), part(2), part(3), F.lit(END))
     return F.when(ident.rlike(ID_SHAPE), shaped).otherwise(
-        F.concat(F.lit(r"\b"), quote_regex(ident), F.lit(r"\b")))
+        F.concat(F.lit(EDGE), quote_regex(ident), F.lit(EDGE)))
 
 
 def effective_priority(priority) -> Column:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from workgraph.functions.ids import col, quote_regex
+from workgraph.functions.ids import START, col, quote_regex
 from workgraph.functions.paths import basename
 
-_ENCLOSING = r"\b(?:func|function|def|class|interface|type)\s+\*?(?:\([^)]*\)\s*)?([A-Za-z_][A-Za-z0-9_]*)"
+_ENCLOSING = START + r"(?:func|function|def|class|interface|type)\s+\*?(?:\([^)]*\)\s*)?([A-Za-z_][A-Za-z0-9_]*)"
 SYMBOL_TOKEN = r"[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)*(?:\(\)?)?"
 WORD_TOKEN = r"[_\p{L}\p{Nd}]+|[ \t]+|(?s)."
 # Step keywords, and what each parameter of a step expression matches.

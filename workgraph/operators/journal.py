@@ -18,7 +18,7 @@ from workgraph.session import cut
 L = "log_id"
 _RULE = r"^(-{3,}|\*{3,}|_{3,})$"
 _AMEND_LINE = r"(?i)^\s*(?:\*\*|__)?amend(?:ed|ment)?s?:(?:\*\*|__)?"
-_AMEND_PROSE = r"(?i)\bamend(?:ed|ing|ment|ments|s)?\b"
+_AMEND_PROSE = "(?i)" + X.START + "amend(?:ed|ing|ment|ments|s)?" + X.END
 
 
 def entry_lines(log_lines: DataFrame) -> DataFrame:

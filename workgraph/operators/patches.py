@@ -16,7 +16,7 @@ from pyspark.sql import types as ST
 
 from workgraph.functions import paths as P
 from workgraph.functions import text as T
-from workgraph.functions.ids import col
+from workgraph.functions.ids import END, START, col
 from workgraph.operators.scan import running_total, top_per_key
 
 FILE = ["review_id", "file_no"]
@@ -230,7 +230,7 @@ def candidate_symbols(enclosing: DataFrame, lines: DataFrame, n: int = 12) -> Da
     """
     texts = enclosing.select(*HUNK, F.substring_index("text", "\n", 1).alias("text")) \
         .unionByName(lines.filter("kind != 'context'").select(*HUNK, "text"))
-    found = F.regexp_extract_all("text", F.lit(r"\b[A-Za-z_][A-Za-z0-9_]{2,}\b"), 0)
+    found = F.regexp_extract_all("text", F.lit(START + "[A-Za-z_][A-Za-z0-9_]{2,}" + END), 0)
     tokens = texts.select(*HUNK, F.explode(found).alias("symbol")) \
         .filter(~F.lower("symbol").isin(COMMON_WORDS)).distinct()
     return top_per_key(tokens, HUNK, [F.col("symbol")], n, "place")
