@@ -254,3 +254,26 @@ def layered_passes(nodes: DataFrame, edges: DataFrame, *, tenant: str, node: str
     stuck = waiting.join(emitted.select(tenant, "node"), [tenant, "node"], "left_anti") \
         .withColumn("pass", F.lit(None).cast("int"))
     return emitted.unionByName(stuck)
+
+
+def spread(seeds: DataFrame, edges: DataFrame, *, group: str, keys: Sequence[str]) -> DataFrame:
+    """Nodes each group of seeds reaches: (group, *keys, node, depth), seeds at depth 0.
+
+    ``seeds`` is (group, *keys, node), ``edges`` (*keys, src, dst). A group
+    walks as one set, so no pairs of its seeds and nodes are formed.
+    """
+    cols = [group, *keys, "node"]
+    frontier = cut(seeds.select(*cols).distinct().withColumn("depth", F.lit(0)))
+    rounds, depth = [frontier], 0
+    step = edges.select(*keys, F.col("src").alias("node"), F.col("dst").alias("_to"))
+    while not frontier.isEmpty():
+        depth += 1
+        found = frontier.join(step, [*keys, "node"]).select(group, *keys, F.col("_to").alias("node")).distinct()
+        for known in rounds:
+            found = found.join(known.select(*cols), cols, "left_anti")
+        frontier = cut(found.withColumn("depth", F.lit(depth)))
+        rounds.append(frontier)
+    result = rounds[0]
+    for extra in rounds[1:]:
+        result = result.unionByName(extra)
+    return result
