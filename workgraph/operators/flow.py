@@ -77,7 +77,7 @@ def _why(nodes: DataFrame, edges: DataFrame, info: DataFrame) -> DataFrame:
     """The chain of callers above each changed node, always along the smallest caller id."""
     up = edges.groupBy(V, F.col("callee").alias("node")).agg(F.min("caller").alias("up"))
     label = X.hop_label("is_entry", "entry_kind", "receiver", "name", "changed")
-    labels = cut(nodes.join(info.withColumnRenamed("id", "node"), "node", "left").join(up, [V, "node"], "left")
+    labels = cut(nodes.drop("path").join(info.withColumnRenamed("id", "node"), "node", "left").join(up, [V, "node"], "left")
                  .select(V, "node", label.alias("label"), "is_entry", "up"))
     walk = labels.filter("up IS NOT NULL").select(V, "node", F.col("up").alias("_at"), F.lit("called from ").alias("why")) \
         .join(nodes.filter("changed").select(V, "node"), [V, "node"], "left_semi")
@@ -135,7 +135,7 @@ def flow_order(files: DataFrame, changed: DataFrame, call_edges: DataFrame, info
 def unclassified(files: DataFrame, placed: DataFrame, nodes: DataFrame, info: DataFrame,
                  hotspots: DataFrame | None = None) -> DataFrame:
     """Changed files no group claimed, by shallowest symbol, then hotspot, then path: adds place and hotspot."""
-    depth = nodes.join(info.select(F.col("id").alias("node"), "path"), "node").groupBy(V, "path").agg(F.min("depth").alias("_d"))
+    depth = nodes.select(V, "node", "depth").join(info.select(F.col("id").alias("node"), "path"), "node").groupBy(V, "path").agg(F.min("depth").alias("_d"))
     rows = files.join(placed, [V, "path"], "left_anti").join(depth, [V, "path"], "left") \
         .withColumn("_d", F.coalesce("_d", F.lit(1 << 30)))
     rows = rows.withColumn("hotspot", F.lit(0.0)) if hotspots is None else \

@@ -18,40 +18,40 @@ BLOCK = 4096
 
 
 def _blocked(df: DataFrame, pos: str, block: int) -> DataFrame:
-    return df.withColumn("_block", F.floor(F.col(pos) / block))
+    return df.withColumn("_scan_block", F.floor(F.col(pos) / block))
 
 
 def _with_block_state(blocked: DataFrame, keys: list[str], summary: Column, scan, out: str) -> DataFrame:
     """Attach to every row the state its block starts with."""
-    per_block = blocked.groupBy(*keys, "_block").agg(summary.alias("_summary"))
-    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = per_block.select(*keys, "_block", scan(F.col("_summary")).over(before).alias(out))
-    return blocked.join(starts, [*keys, "_block"], "left")
+    per_block = blocked.groupBy(*keys, "_scan_block").agg(summary.alias("_scan_summary"))
+    before = Window.partitionBy(*keys).orderBy("_scan_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = per_block.select(*keys, "_scan_block", scan(F.col("_scan_summary")).over(before).alias(out))
+    return blocked.join(starts, [*keys, "_scan_block"], "left")
 
 
 def running_total(df: DataFrame, keys: Sequence[str], pos: str, value: Column, out: str, *,
                   inclusive: bool = True, block: int = BLOCK) -> DataFrame:
     """Sum of ``value`` over the rows up to (and including) this one by ``pos``."""
     keys = list(keys)
-    rows = _blocked(df.withColumn("_value", value), pos, block)
-    rows = _with_block_state(rows, keys, F.sum("_value"), F.sum, "_before")
-    frame = Window.partitionBy(*keys, "_block").orderBy(pos).rowsBetween(
+    rows = _blocked(df.withColumn("_scan_value", value), pos, block)
+    rows = _with_block_state(rows, keys, F.sum("_scan_value"), F.sum, "_scan_before")
+    frame = Window.partitionBy(*keys, "_scan_block").orderBy(pos).rowsBetween(
         Window.unboundedPreceding, 0 if inclusive else -1)
-    total = F.coalesce("_before", F.lit(0)) + F.coalesce(F.sum("_value").over(frame), F.lit(0))
-    return rows.withColumn(out, total).drop("_value", "_before", "_block")
+    total = F.coalesce("_scan_before", F.lit(0)) + F.coalesce(F.sum("_scan_value").over(frame), F.lit(0))
+    return rows.withColumn(out, total).drop("_scan_value", "_scan_before", "_scan_block")
 
 
 def carry_forward(df: DataFrame, keys: Sequence[str], pos: str, value: Column, out: str, *,
                   inclusive: bool = True, block: int = BLOCK) -> DataFrame:
     """The last non-null ``value`` at or before (or strictly before) each row."""
     keys = list(keys)
-    rows = _blocked(df.withColumn("_value", value), pos, block)
-    last_seen = F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col(pos)))
-    rows = _with_block_state(rows, keys, last_seen, lambda c: F.last(c, ignorenulls=True), "_before")
-    frame = Window.partitionBy(*keys, "_block").orderBy(pos).rowsBetween(
+    rows = _blocked(df.withColumn("_scan_value", value), pos, block)
+    last_seen = F.max_by("_scan_value", F.when(F.col("_scan_value").isNotNull(), F.col(pos)))
+    rows = _with_block_state(rows, keys, last_seen, lambda c: F.last(c, ignorenulls=True), "_scan_before")
+    frame = Window.partitionBy(*keys, "_scan_block").orderBy(pos).rowsBetween(
         Window.unboundedPreceding, 0 if inclusive else -1)
-    carried = F.coalesce(F.last("_value", ignorenulls=True).over(frame), F.col("_before"))
-    return rows.withColumn(out, carried).drop("_value", "_before", "_block")
+    carried = F.coalesce(F.last("_scan_value", ignorenulls=True).over(frame), F.col("_scan_before"))
+    return rows.withColumn(out, carried).drop("_scan_value", "_scan_before", "_scan_block")
 
 
 def neighbour(df: DataFrame, keys: Sequence[str], pos: str, step: int, columns: dict[str, str]) -> DataFrame:
@@ -74,16 +74,16 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str
     names = [f"_o{i}" for i in range(len(order))]
     plain = df.select("*", *[c.alias(n) for c, n in zip(order, names)])
     laid_out = cut(plain.repartitionByRange(*[F.col(k) for k in keys], *[F.col(n) for n in names])
-                   .withColumn("_part", F.spark_partition_id()))
-    counts = laid_out.groupBy(*keys, "_part").count()
-    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, "_part", F.sum("count").over(earlier).alias("_offset")) \
-        .filter("_offset IS NOT NULL")
-    inside = Window.partitionBy(*keys, "_part").orderBy(*names)
-    numbered = laid_out.withColumn("_rn", F.row_number().over(inside))
-    return (numbered.join(F.broadcast(offsets), [*keys, "_part"], "left")
-            .withColumn(out, (F.col("_rn") + F.coalesce("_offset", F.lit(0))).cast("long"))
-            .drop("_rn", "_offset", "_part", *names))
+                   .withColumn("_scan_part", F.spark_partition_id()))
+    counts = laid_out.groupBy(*keys, "_scan_part").count()
+    earlier = Window.partitionBy(*keys).orderBy("_scan_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*keys, "_scan_part", F.sum("count").over(earlier).alias("_scan_offset")) \
+        .filter("_scan_offset IS NOT NULL")
+    inside = Window.partitionBy(*keys, "_scan_part").orderBy(*names)
+    numbered = laid_out.withColumn("_scan_rn", F.row_number().over(inside))
+    return (numbered.join(F.broadcast(offsets), [*keys, "_scan_part"], "left")
+            .withColumn(out, (F.col("_scan_rn") + F.coalesce("_scan_offset", F.lit(0))).cast("long"))
+            .drop("_scan_rn", "_scan_offset", "_scan_part", *names))
 
 
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, out: str) -> DataFrame:

@@ -145,8 +145,23 @@ SELECT CAST(user_id % 7 AS INT) AS repo_id, event_id AS step_id,
        'Given user "u' || CAST(user_id AS VARCHAR(12)) || '" does ' || event_type || ' ' || CAST(event_id % 9 AS VARCHAR(2)) AS text
 FROM events"""
 
-_NAME = re.compile(r"\b(" + "|".join(BASE) + r"|[a-z_]+)\b")
+VIEWS["feature_lines"] = """
+SELECT 0 AS repo_id, 'd' || CAST(doc_id AS VARCHAR(12)) || '.feature' AS path, line,
+  CASE WHEN line = 1 THEN 'Feature: ' || text WHEN line % 23 = 0 THEN 'Rule: ' || text WHEN line % 13 = 0 THEN 'Background:'
+    WHEN line % 7 = 0 THEN '  Scenario: ' || text WHEN line % 11 = 2 THEN 'Scenario Outline: ' || text
+    WHEN line % 11 = 3 THEN '    Given a <who> does <n>' WHEN line % 11 = 4 THEN 'Examples:' WHEN line % 11 = 5 THEN '| who | n |'
+    WHEN line % 11 = 6 THEN '| u' || CAST(doc_id AS VARCHAR(12)) || ' | 3 |' WHEN line % 11 = 10 THEN 'Then <missing> ends'
+    WHEN line % 3 = 0 THEN 'When ' || text WHEN line % 3 = 1 THEN 'And ' || text ELSE '# ' || text END AS text
+FROM doc_lines"""
 
+# --- evaluation ----------------------------------------------------------
+VIEWS["eval_outputs"] = """
+SELECT doc_id AS output_id, doc_id % (SELECT count(*) FROM benchmark) AS case_id, source AS model, lang AS variant,
+  doc_id % 11 <> 0 AS json_valid,
+  CASE doc_id % 5 WHEN 0 THEN 'behavior' WHEN 1 THEN 'refactor' WHEN 2 THEN 'rename' WHEN 3 THEN 'test' ELSE 'config' END AS kind,
+  text || ' load_doc() and Ab.cd calls' || CASE doc_id % 3 WHEN 0 THEN ' +3/-1' WHEN 1 THEN ' +4 / −1' ELSE '' END AS what,
+  n_chars AS latency_ms, CAST(floor(n_chars / 4) AS BIGINT) AS completion_tokens
+FROM documents"""
 
 def _needs(sql: str, engine: int) -> list[str]:
     """Views named by ``sql``, in the order they must be defined."""
