@@ -46,7 +46,8 @@ def reach(edges: DataFrame, starts: DataFrame | None = None, *, tenant: str, src
     ``path`` holds the keys along the visiting path. Edges are first widened to
     paths of up to ``stride`` hops so a walk of depth d needs d/stride rounds;
     only nodes exactly at a round's last depth are extended, which keeps the
-    work of a plain frontier.
+    work of a plain frontier. Widening pays when most nodes are starts or
+    edges are few per node; with few starts in a dense graph leave it at 1.
     """
     ordered = order is not None
     if stride is None:
@@ -202,14 +203,13 @@ def topo_layers(nodes: DataFrame, edges: DataFrame, *, tenant: str, src: str, ds
         marked = left.join(entered, [tenant, "node"], "left")
         free = F.count(F.when(F.col("_in").isNull(), 1))
         state = marked.groupBy(*keys).agg(free.alias("_free"), F.min("node").alias("_least"))
-        out = cut(marked.join(state, keys)
-                  .filter(F.col("_in").isNull() | ((F.col("_free") == 0) & (F.col("node") == F.col("_least"))))
-                  .select(*keys, "node", F.lit(layer).alias("layer")))
-        layers.append(out)
-        gone = out.select(tenant, "node")
-        left = cut(left.join(gone, [tenant, "node"], "left_anti").select(*keys, "node"))
-        live = cut(live.join(gone.withColumnRenamed("node", "src"), [tenant, "src"], "left_anti")
-                   .join(gone.withColumnRenamed("node", "dst"), [tenant, "dst"], "left_anti"))
+        goes = F.col("_in").isNull() | ((F.col("_free") == 0) & (F.col("node") == F.col("_least")))
+        judged = cut(marked.join(state, keys).select(*keys, "node", goes.alias("_goes")))
+        layers.append(judged.filter("_goes").select(*keys, "node", F.lit(layer).alias("layer")))
+        left = judged.filter("NOT _goes").drop("_goes")
+        stays = left.select(tenant, "node")
+        live = cut(live.join(stays.withColumnRenamed("node", "src"), [tenant, "src"], "left_semi")
+                   .join(stays.withColumnRenamed("node", "dst"), [tenant, "dst"], "left_semi"))
         layer += 1
     if not layers:
         return nodes.select(*keys, "node", F.lit(0).alias("layer")).limit(0)
@@ -247,7 +247,7 @@ def layered_passes(nodes: DataFrame, edges: DataFrame, *, tenant: str, node: str
             .filter("_left = 0").drop("_left")
         fresh = cut(settled)
         rounds.append(fresh)
-        open_edges = cut(open_edges.join(fresh.select(tenant, "node"), [tenant, "node"], "left_anti"))
+        open_edges = open_edges.join(fresh.select(tenant, "node"), [tenant, "node"], "left_anti")
     emitted = rounds[0]
     for extra in rounds[1:]:
         emitted = emitted.unionByName(extra.select(*emitted.columns))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from workgraph.plans.adapters import check_sql, table
+from workgraph.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -25,7 +26,7 @@ class Tables:
 def query(name: str, check: str | None = None):
     """Register a query over :class:`Tables`, with the SQL that must give the same rows."""
     def add(fn):
-        QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: fn(Tables(tune(spark), sf_dir))
         if check:
             CHECKS[name] = check_sql(check)
         return fn

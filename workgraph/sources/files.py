@@ -67,9 +67,9 @@ def read_remote_comments(spark: SparkSession, review_path: str, general_path: st
     return remote_comments(read(review_path), read(general_path))
 
 
-def read_reviews(spark: SparkSession, path: str) -> DataFrame:
-    """Submitted reviews: (id, author, body, state, commit_id, submitted_at, url)."""
-    rows = spark.read.schema(REVIEW).json(path, multiLine=True)
+def read_reviews(spark: SparkSession, path: str, pages: bool = False) -> DataFrame:
+    """Submitted reviews: (id, author, body, state, commit_id, submitted_at, url); ``pages`` reads files that hold one JSON array."""
+    rows = spark.read.schema(REVIEW).json(path, multiLine=pages)
     return rows.select("id", F.col("user.login").alias("author"), "body", "state", "commit_id", "submitted_at", F.col("html_url").alias("url"))
 
 
