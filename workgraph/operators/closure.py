@@ -10,6 +10,7 @@ aggregation reproduce the visiting order without a queue.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,11 @@ from pyspark.sql import functions as F
 from workgraph.session import cut
 
 
+def _union(rounds: Sequence[DataFrame]) -> DataFrame:
+    """What all rounds of a loop wrote."""
+    return reduce(DataFrame.unionByName, rounds)
+
+
 def _nearest(paths: DataFrame, keys: Sequence[str], ordered: bool) -> DataFrame:
     """One row per key: the smallest depth and, if ordered, the smallest path of that depth."""
     if not ordered:
@@ -78,16 +84,12 @@ def reach(edges: DataFrame, starts: DataFrame | None = None, *, tenant: str, src
         candidates = _nearest(_join_paths(frontier, hops, tenant, "start", ordered), keys, ordered)
         if max_depth is not None:
             candidates = candidates.filter(F.col("depth") <= max_depth)
-        seen = rounds[0]
-        for earlier in rounds[1:]:
-            seen = seen.unionByName(earlier)
+        seen = _union(rounds)
         found = cut(candidates.join(seen.select(*keys), keys, "left_anti"))
         rounds.append(found)
         depth += width
         frontier = found.filter(F.col("depth") == depth)
-    result = rounds[0]
-    for extra in rounds[1:]:
-        result = result.unionByName(extra)
+    result = _union(rounds)
     return result
 
 
@@ -160,15 +162,11 @@ def loops(edges: DataFrame, *, tenant: str, src: str, dst: str) -> DataFrame:
             back = inside.join(frontier.select(tenant, F.col("node").alias("dst"), "colour"),
                                [tenant, "dst", "colour"]) \
                 .select(tenant, F.col("src").alias("node"), "colour").distinct()
-            for known in rounds:
-                back = back.join(known, [tenant, "node", "colour"], "left_anti")
-            frontier = cut(back)
+            frontier = cut(back.join(_union(rounds), [tenant, "node", "colour"], "left_anti"))
             if frontier.isEmpty():
                 break
             rounds.append(frontier)
-        members = rounds[0]
-        for extra in rounds[1:]:
-            members = members.unionByName(extra)
+        members = _union(rounds)
         members = cut(members.select(tenant, "node", F.col("colour").alias("loop")))
         # A lone member holds a loop only through an edge to itself.
         sizes = members.groupBy(tenant, "loop").count()
@@ -213,9 +211,7 @@ def topo_layers(nodes: DataFrame, edges: DataFrame, *, tenant: str, src: str, ds
         layer += 1
     if not layers:
         return nodes.select(*keys, "node", F.lit(0).alias("layer")).limit(0)
-    result = layers[0]
-    for extra in layers[1:]:
-        result = result.unionByName(extra)
+    result = _union(layers)
     return result
 
 
@@ -248,9 +244,7 @@ def layered_passes(nodes: DataFrame, edges: DataFrame, *, tenant: str, node: str
         fresh = cut(settled)
         rounds.append(fresh)
         open_edges = open_edges.join(fresh.select(tenant, "node"), [tenant, "node"], "left_anti")
-    emitted = rounds[0]
-    for extra in rounds[1:]:
-        emitted = emitted.unionByName(extra.select(*emitted.columns))
+    emitted = _union(rounds)
     stuck = waiting.join(emitted.select(tenant, "node"), [tenant, "node"], "left_anti") \
         .withColumn("pass", F.lit(None).cast("int"))
     return emitted.unionByName(stuck)
@@ -269,11 +263,7 @@ def spread(seeds: DataFrame, edges: DataFrame, *, group: str, keys: Sequence[str
     while not frontier.isEmpty():
         depth += 1
         found = frontier.join(step, [*keys, "node"]).select(group, *keys, F.col("_to").alias("node")).distinct()
-        for known in rounds:
-            found = found.join(known.select(*cols), cols, "left_anti")
-        frontier = cut(found.withColumn("depth", F.lit(depth)))
+        frontier = cut(found.join(_union(rounds).select(*cols), cols, "left_anti").withColumn("depth", F.lit(depth)))
         rounds.append(frontier)
-    result = rounds[0]
-    for extra in rounds[1:]:
-        result = result.unionByName(extra)
+    result = _union(rounds)
     return result

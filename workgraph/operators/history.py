@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from workgraph.operators.scan import first_per_key, top_per_key
+from workgraph.session import cut
 
 # Defaults of the mining window and of companion search.
 SINCE_DAYS, MAX_COMMITS, MAX_FILES = 365, 5000, 50
@@ -28,11 +29,13 @@ def commit_window(commit_files: DataFrame, since: Column | None = None, max_comm
     """
     rows = commit_files if since is None else commit_files.filter(F.col("ts") >= since)
     commits = rows.groupBy(R, "sha").agg(F.max("ts").alias("ts"), F.count(F.lit(1)).alias("files"))
-    totals = commits.groupBy(R).agg(F.count(F.lit(1)).alias("_n"))
+    commits = cut(commits)
+    over = commits.groupBy(R).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_commits).select(R)
     age = -F.unix_micros(F.col("ts").cast("timestamp"))
-    kept = top_per_key(commits, [R], [age, F.col("sha")], max_commits, "_place").drop("_place")
-    return kept.join(totals, R).withColumn("degraded", F.col("_n") > max_commits).drop("_n") \
-        .withColumn("mechanical", F.col("files") > max_files)
+    # Only repositories past the cap are put in order.
+    newest = top_per_key(commits.join(over, R, "left_semi"), [R], [age, F.col("sha")], max_commits, "_place").drop("_place")
+    whole = commits.join(over, R, "left_anti").withColumn("degraded", F.lit(False))
+    return whole.unionByName(newest.withColumn("degraded", F.lit(True))).withColumn("mechanical", F.col("files") > max_files)
 
 
 def window_files(commit_files: DataFrame, window: DataFrame) -> DataFrame:
@@ -45,6 +48,13 @@ def file_stats(files: DataFrame) -> DataFrame:
                                         F.sum("deleted").alias("deleted"))
 
 
+def mine(commit_files: DataFrame, since: Column | None = None, max_commits: int = MAX_COMMITS,
+         max_files: int = MAX_FILES) -> tuple[DataFrame, DataFrame]:
+    """(file_stats, co_change_pairs) of a window, written once: companions and hotspots read only these."""
+    files = cut(window_files(commit_files, commit_window(commit_files, since, max_commits, max_files)))
+    return cut(file_stats(files)), cut(co_change_pairs(files))
+
+
 def co_change_pairs(files: DataFrame) -> DataFrame:
     """Support of unordered path pairs.
 

@@ -73,9 +73,8 @@ def hotspots(t):
 
 
 def _companions(t):
-    files = _files(t)
-    stats = H.file_stats(files)
-    return stats, H.companions(stats, H.co_change_pairs(files), t.diff_paths, min_confidence=MIN_CONFIDENCE)
+    stats, pairs = H.mine(t.commit_files, max_files=MAX_FILES)
+    return stats, H.companions(stats, pairs, t.diff_paths, min_confidence=MIN_CONFIDENCE)
 
 
 @query("companions", "WITH " + _PAIRS + ", " + _COMP +

@@ -10,9 +10,10 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from workgraph.functions import paths as P
 from workgraph.functions.ids import col
@@ -32,7 +33,6 @@ RECORD = """review_id string, rec string, file_no int, hunk_no int, line_no int,
  no_newline boolean, old_start int, old_lines int, new_start int, new_lines int, section string, header array<string>,
  status string, old_path string, new_path string, old_mode string, new_mode string, similarity int, binary boolean,
  error string"""
-_FIELDS = [f.split()[0] for f in RECORD.split(",")]
 
 
 class PatchError(ValueError):
@@ -171,22 +171,32 @@ def _file_record(file_no, head, tokens, names, seen, binary) -> dict:
             "binary": binary}
 
 
-def _records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for review, text in zip(batch["review_id"], batch["text"]):
-            try:
-                rows = list(parse_patch(text or ""))
-            except PatchError as problem:
-                rows = [{"rec": "error", "error": str(problem)}]
+def _records(schema: pa.Schema):
+    """A task function: patch texts in, record batches of bounded size out."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[dict] = []
+            for review, text in zip(batch.column("review_id").to_pylist(), batch.column("text").to_pylist()):
+                try:
+                    found = list(parse_patch(text or ""))
+                except PatchError as problem:
+                    found = [{"rec": "error", "error": str(problem)}]
+                for row in found:
+                    row["review_id"] = review
+                rows += found
+                if len(rows) >= 20_000:
+                    yield pa.RecordBatch.from_pylist(rows, schema)
+                    rows = []
             if rows:
-                out = pd.DataFrame(rows).reindex(columns=_FIELDS).astype(object)
-                out["review_id"] = review
-                yield out.where(out.notna(), None)
+                yield pa.RecordBatch.from_pylist(rows, schema)
+
+    return run
 
 
 def parse_patches(patches: DataFrame) -> DataFrame:
     """Records of ``patches(review_id string, text)``; a malformed patch gives one error record."""
-    return patches.select(F.col("review_id").cast("string"), "text").mapInPandas(_records, RECORD)
+    schema = to_arrow_schema(patches.sparkSession.createDataFrame([], RECORD).schema)
+    return patches.select(F.col("review_id").cast("string"), "text").mapInArrow(_records(schema), RECORD)
 
 
 def patch_tables(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
