@@ -23,6 +23,13 @@ def _union(rounds: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, rounds)
 
 
+def _remember(rounds: list[DataFrame], found: DataFrame) -> None:
+    """Add a round; every few rounds are rewritten as one table, so plans and file lists stay short."""
+    rounds.append(found)
+    if len(rounds) >= 6:
+        rounds[:] = [cut(_union(rounds))]
+
+
 def _nearest(paths: DataFrame, keys: Sequence[str], ordered: bool) -> DataFrame:
     """One row per key: the smallest depth and, if ordered, the smallest path of that depth."""
     if not ordered:
@@ -85,8 +92,9 @@ def reach(edges: DataFrame, starts: DataFrame | None = None, *, tenant: str, src
         if max_depth is not None:
             candidates = candidates.filter(F.col("depth") <= max_depth)
         seen = _union(rounds)
-        found = cut(candidates.join(seen.select(*keys), keys, "left_anti"))
-        rounds.append(found)
+        # What has been seen grows without bound, so it is merged with, never broadcast.
+        found = cut(candidates.join(seen.select(*keys).hint("merge"), keys, "left_anti"))
+        _remember(rounds, found)
         depth += width
         frontier = found.filter(F.col("depth") == depth)
     result = _union(rounds)
@@ -259,11 +267,11 @@ def spread(seeds: DataFrame, edges: DataFrame, *, group: str, keys: Sequence[str
     cols = [group, *keys, "node"]
     frontier = cut(seeds.select(*cols).distinct().withColumn("depth", F.lit(0)))
     rounds, depth = [frontier], 0
-    step = edges.select(*keys, F.col("src").alias("node"), F.col("dst").alias("_to"))
+    step = cut(edges.select(*keys, F.col("src").alias("node"), F.col("dst").alias("_to")).distinct())
     while not frontier.isEmpty():
         depth += 1
         found = frontier.join(step, [*keys, "node"]).select(group, *keys, F.col("_to").alias("node")).distinct()
-        frontier = cut(found.join(_union(rounds).select(*cols), cols, "left_anti").withColumn("depth", F.lit(depth)))
-        rounds.append(frontier)
+        frontier = cut(found.join(_union(rounds).select(*cols).hint("merge"), cols, "left_anti").withColumn("depth", F.lit(depth)))
+        _remember(rounds, frontier)
     result = _union(rounds)
     return result

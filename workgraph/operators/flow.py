@@ -30,8 +30,8 @@ def flow_subgraph(changed: DataFrame, call_edges: DataFrame, entry_ids: DataFram
     more is recorded for it. ``nodes`` is (review_id, node, depth, path,
     changed, is_entry); ``edges`` is (review_id, caller, callee).
     """
-    calls = call_edges.select(F.col("to_id").alias("node"), F.col("from_id").alias("caller")).distinct()
-    entries = entry_ids.select(F.col("id").alias("node")).distinct().withColumn("is_entry", F.lit(True))
+    calls = cut(call_edges.select(F.col("to_id").alias("node"), F.col("from_id").alias("caller")).distinct())
+    entries = cut(entry_ids.select(F.col("id").alias("node")).distinct()).withColumn("is_entry", F.lit(True))
     mark = lambda rows: rows.join(entries, "node", "left").withColumn("is_entry", F.coalesce("is_entry", F.lit(False)))
     seeds = changed.groupBy(V, F.col("id").alias("node")).agg(F.min("ord").alias("_o")) \
         .select(V, "node", F.lit(0).alias("depth"), F.array(F.lpad(F.col("_o").cast("string"), 12, "0")).alias("path"),

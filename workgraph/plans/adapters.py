@@ -83,6 +83,13 @@ SELECT review_id, path, new_start, new_lines,
        row_number() OVER (PARTITION BY review_id, path ORDER BY new_start, new_lines) AS hunk_no
 FROM (SELECT DISTINCT l_suppkey AS review_id, 'f' || CAST(l_partkey % 20 AS VARCHAR(9)) AS path,
              CAST(l_quantity AS BIGINT) * 14 AS new_start, l_linenumber AS new_lines FROM lineitem) h"""
+VIEWS["imports"] = """
+SELECT DISTINCT 0 AS repo_id, 'p' || CAST(a AS VARCHAR(12)) AS pkg, 'p' || CAST(b AS VARCHAR(12)) AS imported FROM (
+  SELECT s_suppkey AS a, CAST(floor(s_suppkey / 2) AS BIGINT) AS b FROM supplier WHERE s_suppkey > 0 UNION ALL
+  SELECT s_suppkey, (s_suppkey * 3 + 1) % (SELECT count(*) FROM supplier) FROM supplier WHERE s_nationkey < 5) x"""
+VIEWS["changed_paths"] = """
+SELECT c_custkey AS review_id, 0 AS repo_id,
+       'src/d' || CAST(c_custkey % (SELECT count(*) FROM supplier) AS VARCHAR(12)) || '/x.go' AS path FROM customer"""
 VIEWS["methods"] = """
 SELECT DISTINCT l_suppkey AS type_id, l_partkey % 48 AS method FROM lineitem WHERE l_partkey % 5 = 0"""
 VIEWS["interfaces"] = """

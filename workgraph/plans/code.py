@@ -263,23 +263,13 @@ def test_commands(t):
     return O.test_commands(top, tests).drop("chunk")
 
 
-@query("import_scope", """WITH im AS (SELECT s_suppkey AS a, CAST(floor(s_suppkey / 2) AS BIGINT) AS b FROM supplier WHERE s_suppkey > 0
-    UNION SELECT s_suppkey, (s_suppkey * 3 + 1) % (SELECT count(*) FROM supplier) FROM supplier WHERE s_nationkey < 5),
-sc AS (SELECT c_custkey AS review_id, c_custkey % (SELECT count(*) FROM supplier) AS n FROM customer
-    UNION SELECT sc.review_id, im.a FROM sc JOIN im ON im.b = sc.n)
-SELECT review_id, 'p' || n AS node FROM sc""")
+@query("import_scope", """WITH sc AS (SELECT c.review_id, 'p' || substr(split_part(c.path, '/', 2), 2) AS node FROM changed_paths c
+    UNION SELECT sc.review_id, i.pkg FROM sc JOIN imports i ON i.imported = sc.node)
+SELECT review_id, node FROM sc""")
 def import_scope(t):
-    name = lambda c: F.concat(F.lit("p"), c.cast("string"))
-    n = t.supplier.agg(F.count(F.lit(1)).alias("n"))
-    packages = t.supplier.select(F.expr(ZERO).alias("repo_id"), name(F.col("s_suppkey")).alias("pkg"),
+    packages = t.supplier.select(F.expr(ZERO).alias("repo_id"), F.concat(F.lit("p"), F.col("s_suppkey").cast("string")).alias("pkg"),
                                  F.concat(F.lit("src/d"), F.col("s_suppkey").cast("string")).alias("dir"))
-    tree = t.supplier.filter("s_suppkey > 0").select(name(F.col("s_suppkey")).alias("pkg"), name(F.floor(F.col("s_suppkey") / 2)).alias("imported"))
-    more = t.supplier.filter("s_nationkey < 5").join(F.broadcast(n)).select(
-        name(F.col("s_suppkey")).alias("pkg"), name((F.col("s_suppkey") * 3 + 1) % F.col("n")).alias("imported"))
-    changed = t.customer.join(F.broadcast(n)).select(
-        F.col("c_custkey").alias(V), F.expr(ZERO).alias("repo_id"),
-        F.concat(F.lit("src/d"), (F.col("c_custkey") % F.col("n")).cast("string"), F.lit("/x.go")).alias("path"))
-    return O.import_scope(packages, _one_repo(tree.unionByName(more)), changed).select(V, "node")
+    return O.import_scope(packages, t.imports, t.changed_paths).select(V, "node")
 
 
 def _entry_symbols(t):
