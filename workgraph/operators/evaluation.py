@@ -165,7 +165,7 @@ def blind_judging_set(cases: DataFrame, outputs: DataFrame, seed: int = 42) -> D
     """Outputs of each case in a repeatable shuffled order, the label set aside in its own column."""
     label = F.concat_ws(" @ ", "model", "variant")
     labelled = outputs.withColumn("label", label)
-    shuffled = labelled.withColumn("_h", F.xxhash64(F.lit(seed), "case_id", "label", "output_id"))
+    shuffled = labelled.withColumn("_h", F.sha1(F.concat_ws("|", F.lit(str(seed)), F.col("case_id").cast("string"), "label", F.col("output_id").cast("string"))))
     placed = ranked(shuffled, ["case_id"], [F.col("_h"), F.col("output_id")], "slot").drop("_h")
     parts = F.concat_ws("\n", F.when(F.col("what") != "", F.col("what")),
                         F.when(F.col("inferred_why") != "", F.concat(F.lit("Why: "), "inferred_why")),

@@ -140,7 +140,8 @@ def run_counts(t):
     return O.run_counts(_findings(t), 20)
 
 
-@query("blind_judging_set")
+@query("blind_judging_set", """SELECT o.case_id, row_number() OVER (PARTITION BY o.case_id ORDER BY sha1('42|' || o.case_id || '|' || o.model || ' @ ' || o.variant || '|' || o.output_id), o.output_id) AS slot,
+    o.what AS text, o.kind, o.model || ' @ ' || o.variant AS label, b.text AS facts FROM eval_outputs o JOIN benchmark b ON b.item_id = o.case_id""")
 def blind_judging_set(t):
     return O.blind_judging_set(_cases(t).select("case_id", "path", "facts"), _outputs(t)).select("case_id", "slot", "text", "kind", "label", "facts")
 

@@ -139,7 +139,11 @@ def cucumber_to_regex(t):
     return t.part.select("p_partkey", pattern.alias("pattern"), F.rlike(F.concat(F.lit("the "), said, tail), pattern).alias("hit"))
 
 
-@query("extract_step_defs")
+@query("extract_step_defs", r"""SELECT 0 AS repo_id, 'stepdef:src/' || p_partkey || ':' || (p_size + 1) AS def_id, 'src/' || p_partkey AS path, p_size + 1 AS line,
+    CASE p_partkey % 3 WHEN 0 THEN 'go' WHEN 1 THEN 'java' ELSE 'javascript' END AS language, CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'Given' ELSE 'When' END AS keyword,
+    CASE p_partkey % 3 WHEN 0 THEN '^' || p_name || '$' WHEN 1 THEN p_name || ' {int}' ELSE p_name || ' {word}' END AS raw,
+    CASE p_partkey % 3 WHEN 0 THEN '^' || p_name || '$' WHEN 1 THEN '^' || p_name || ' (-?\d+)$' ELSE '^' || p_name || ' (\S+)$' END AS pattern,
+    'src/' || p_partkey || '#f' AS handler_id FROM part""")
 def extract_step_defs(t):
     """Sources with one registration per language form, each after as many lines as its part's size."""
     form = F.expr("""CASE p_partkey % 3 WHEN 0 THEN concat('\\tctx.Step(`^', p_name, '$`, do', p_partkey, ')')

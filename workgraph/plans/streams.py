@@ -132,7 +132,13 @@ def radius_report(t):
     return R.radius_report(mine.select("review_id", F.col("id").alias("symbol"), "kind", "signature_changed"), cut(radius))
 
 
-@query("reach_report")
+@query("reach_report", "WITH " + code_plans._TOP + """,
+rc AS (SELECT w.review_id, w.id, count(tp.test) > 0 AS reached, string_agg(tp.test, ', ' ORDER BY tp.place) AS tests FROM w LEFT JOIN tp ON tp.review_id = w.review_id AND tp.id = w.id GROUP BY 1, 2),
+u AS (SELECT DISTINCT tp.review_id, ts.path AS dir, ts.name FROM tp JOIN ts ON ts.id = tp.test)
+SELECT review_id, 0 AS part_no, '' AS id, 0 AS n, 'Test reach: ' || count(CASE WHEN reached THEN 1 END) || '/' || count(*) || ' changed functions reached by a test' AS text FROM rc GROUP BY 1
+UNION ALL SELECT review_id, 1, id, 0, '  [' || CASE WHEN reached THEN 'x' ELSE ' ' END || '] ' || id FROM rc UNION ALL SELECT review_id, 1, id, 1, '        by ' || tests FROM rc WHERE reached
+UNION ALL SELECT DISTINCT review_id, 2, '', 0, 'Suggested:' FROM u
+UNION ALL SELECT review_id, 3, dir || '#0', 0, '  go test ./' || dir || ' -run ''^(' || string_agg(name, '|' ORDER BY name) || ')$''' FROM u GROUP BY review_id, dir""")
 def reach_report(t):
     hits = cut(O.reach_from_tests(code_plans._graph(t), code_plans._tests(t)))
     asked = code_plans._asked(t)
@@ -176,7 +182,8 @@ def git_log(t):
     return commits.filter("author = 'Ann'").select("repo_id", "sha").join(per, ["repo_id", "sha"])
 
 
-@query("manifest_hash")
+@query("manifest_hash", """SELECT source AS module, CAST(sum(('0x' || substr(sha256(source || '/' || doc_id || ':' || n_chars || ':' || (doc_id * 1000000)), 1, 12))::BIGINT) AS VARCHAR) AS key,
+    count(*) AS files FROM documents GROUP BY 1""")
 def manifest_hash(t):
     return S.manifest_hash(t.documents.select(F.col("source").alias("module"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"),
                                               F.col("n_chars").alias("size"), F.timestamp_seconds(F.col("doc_id")).alias("modified")))
