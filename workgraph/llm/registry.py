@@ -32,5 +32,5 @@ def query(name: str, check: str | None = None):
     return add
 
 
-for _module in ["quality_rules", "secret_scan", "decontamination"]:
+for _module in ["quality_rules", "secret_scan", "decontamination", "mixing"]:
     importlib.import_module(f"workgraph.llm.{_module}")
