@@ -32,5 +32,5 @@ def query(name: str, check: str | None = None):
     return add
 
 
-for _module in ["quality_rules", "secret_scan", "decontamination", "mixing", "html_text", "quality_gam", "toxicity"]:
+for _module in ["quality_rules", "secret_scan", "decontamination", "mixing", "html_text", "quality_gam", "toxicity", "jaccard_join"]:
     importlib.import_module(f"workgraph.llm.{_module}")
