@@ -119,7 +119,8 @@ def judge(df: DataFrame, text: str = "text", rules=None) -> DataFrame:
 def keep_good(df: DataFrame, text: str = "text", rules=None) -> DataFrame:
     """Rows of ``df`` that pass, with the columns of ``df`` (whatever their names are)."""
     row = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), whole(f"`{text}`").alias("_text"))
-    return judge(row, "_text", rules).filter("kept").select("_row.*")
+    # A filter would be pushed down through the measures and repeat them in its condition; an array of no or one row is not.
+    return judge(row, "_text", rules).select(F.inline(F.when(F.col("kept"), F.array("_row")).otherwise(F.slice(F.array("_row"), 1, 0))))
 
 
 COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
