@@ -32,6 +32,6 @@ def query(name: str, check: str | None = None):
     return add
 
 
-for _module in ["quality_rules", "secret_scan", "decontamination", "mixing", "html_text", "quality_gam", "toxicity", "jaccard_join", "license_scan",
+for _module in ["quality_rules", "secret_scan", "decontamination", "mixing", "html_text", "quality_gam", "toxicity", "jaccard_join", "license_scan", "suffix_dedup",
                 "pipeline_query"]:
     importlib.import_module(f"workgraph.llm.{_module}")
