@@ -13,7 +13,8 @@ that still share a bucket are left; a parity sketch of the sets (a lower bound o
 lost) rejects nearly all of them inside the join. The survivors are verified on their texts, shingle by shingle.
 
 Null and empty texts and texts without words have no shingles and link with nothing. Rows with the same text class share
-their component, also when an id repeats; a null id takes part through its class.
+their component; where an id has several texts, each row has the component of its text and the id joins them. A null id
+takes part through its class.
 """
 
 from __future__ import annotations
@@ -21,11 +22,12 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from workgraph.llm.registry import query
@@ -39,6 +41,8 @@ THRESHOLD = 90
 #: Sets a typical set meets that resemble it at SIMILAR without linking: what the cost of a false candidate is weighed by.
 NEIGHBOURS, SIMILAR = 50, 0.6
 SKETCH = 16
+#: Sets a task remembers to combine copies of.
+SEEN = 200_000
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -123,17 +127,26 @@ def _digest(tokens: np.ndarray) -> bytes | None:
 
 
 def profiles(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
-    """Per document row: doc_id, n_shingles, digest of the set, index keys and sketch; one pass over the texts."""
+    """Per document row: doc_id, n_shingles, digest of the set, index keys and sketch; one pass over the texts.
+
+    Copies are combined in the tasks: of equal sets that a task has seen (it remembers up to ``SEEN``) one row has the keys.
+    """
     plain = docs.select(F.col(f"`{id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        nothing = np.empty(0, np.int64)
         for batch in batches:
             sizes, digests, held, sketches = [], [], [], []
-            for t in batch.column("text"):
+            for t, known in zip(batch.column("text"), batch.column("doc_id").is_valid().to_pylist()):
                 tokens = shingles(t.as_py(), width)
+                digest = _digest(tokens)
                 sizes.append(len(tokens))
-                digests.append(_digest(tokens))
-                held.append(keys(tokens, threshold).view(np.int64))
+                digests.append(digest)
+                first = known and digest not in seen
+                held.append(keys(tokens, threshold).view(np.int64) if first else nothing)
+                if first and len(seen) < SEEN:
+                    seen.add(digest)
                 sketches.append(sketch(tokens))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
                                               pa.array(held, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
@@ -144,8 +157,8 @@ def profiles(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, threshold: int) -> DataFrame:
     """The pairs (a, b) whose texts link, shingle by shingle."""
-    both = pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a") \
-        .join(texts.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a") \
+        .join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, set()
@@ -163,59 +176,52 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, threshold: int) ->
 def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
     """Per document row: doc_id, n_shingles, component_id (smallest doc_id of its component)."""
     rows = cut(profiles(docs, id, text, width, threshold))
-    reps = rows.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    # A class is named by its smallest id; where one id leads several classes (an id with several texts), the others get names of their own.
-    first = F.row_number().over(Window.partitionBy("rep").orderBy("digest")) == 1
-    other = F.lit(-(1 << 61)) - F.pmod(F.xxhash64("digest"), F.lit(1 << 61))
-    reps = cut(reps.withColumn("node", F.when(first, F.col("rep")).otherwise(other)))
-    own = rows.join(reps, "digest").filter("doc_id = rep").dropDuplicates(["node"])
+    node = F.xxhash64("digest").alias("node")
     words = [f"s{i}" for i in range(SKETCH)]
-    index = own.select("node", F.explode("keys").alias("key"))
     bucket = Window.partitionBy("key")
-    shared = cut(index.withColumns({"_n": F.count(F.lit(1)).over(bucket), "pivot": F.min("node").over(bucket)}).filter("_n > 1").drop("_n"))
-    members = cut(shared.select("node").distinct())
-    info = cut(own.select("node", "rep", "n_shingles", *[F.col("sketch")[i].alias(w) for i, w in enumerate(words)]).join(members, "node", "left_semi"))
+    index = rows.select("doc_id", node, F.explode("keys").alias("key"))
+    shared = index.withColumns({"_low": F.min("node").over(bucket), "_high": F.max("node").over(bucket),
+                                "_first": F.min(F.struct("doc_id", "node")).over(bucket)})
+    shared = cut(shared.filter("_low < _high").select("key", "node", F.col("_first.node").alias("pivot")).distinct())
+    members = shared.select("node").distinct()
+    info = rows.filter("doc_id IS NOT NULL AND digest IS NOT NULL").select("doc_id", node, "n_shingles", "sketch").join(members.hint("merge"), "node", "left_semi")
+    info = cut(info.groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.max("sketch").alias("sketch"))
+               .select("node", "rep", "n_shingles", *[F.get("sketch", F.lit(i)).alias(w) for i, w in enumerate(words)]))
 
     def side(letter: str) -> DataFrame:
         return info.select(F.col("node").alias(letter), *[F.col(c).alias(f"{letter}_{c}") for c in ["n_shingles", *words]])
 
-    def close(a: str, b: str):
+    def close(a: str, b: str) -> Column:
         """Size and sketch allow a link."""
         small, large = F.least(f"{a}_n_shingles", f"{b}_n_shingles"), F.greatest(f"{a}_n_shingles", f"{b}_n_shingles")
-        bits = sum((F.bit_count(F.col(f"{a}_{w}").bitwiseXOR(F.col(f"{b}_{w}"))) for w in words[1:]),
-                   F.bit_count(F.col(f"{a}_{words[0]}").bitwiseXOR(F.col(f"{b}_{words[0]}"))))
+        bits = reduce(add, [F.bit_count(F.col(f"{a}_{w}").bitwiseXOR(F.col(f"{b}_{w}"))) for w in words])
         return (100 * small >= threshold * large) & ((100 + threshold) * bits <= (100 - threshold) * (small + large))
 
-    leaders = reps.join(members, "node", "left_semi")
     wanted = docs.select(F.col(f"`{id}`").cast("long").alias("rep"), F.col(f"`{text}`").cast("string").alias("text")).join(
-        leaders.select("rep").distinct(), "rep", "left_semi")
-    texts = cut(_with_digest(wanted, width).join(leaders, ["digest", "rep"]).dropDuplicates(["node"]).select(F.col("node").alias("rep"), "text"))
+        info.select("rep").distinct().hint("merge"), "rep", "left_semi")
+    texts = cut(_with_digest(wanted, width).select(node, "rep", "text").join(info.select("node", "rep"), ["node", "rep"])
+                .dropDuplicates(["node"]).select("node", "text"))
 
     star = shared.filter("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     star = star.join(side("a"), "a").join(side("b"), "b").filter(close("a", "b")).select("a", "b")
     links = cut(_verified(star, texts, width, threshold))
-    joined = _components(members, links)
+    joined = _components(info, links)
 
-    spread = shared.drop("pivot").join(joined, "node")
-    spread = cut(spread.withColumns({"_low": F.min("component").over(bucket), "_high": F.max("component").over(bucket)}).filter("_low < _high").select("key", "node", "component"))
+    spread = shared.select("key", "node").join(joined, "node")
+    spread = cut(spread.withColumns({"_low": F.min("component").over(bucket), "_high": F.max("component").over(bucket)})
+                 .filter("_low < _high").select("key", "node", "component"))
     left = spread.select("key", F.col("node").alias("a"), F.col("component").alias("_ca")).join(side("a"), "a")
     right = spread.select("key", F.col("node").alias("b"), F.col("component").alias("_cb")).join(side("b"), "b")
     rest = left.join(right, (left["key"] == right["key"]) & (F.col("_ca") < F.col("_cb")) & close("a", "b")).select("a", "b").distinct()
     more = cut(_verified(rest, texts, width, threshold))
-    joined = _components(members, links.unionByName(more))
-    named = _named(joined, leaders)
-    final = reps.join(named, "node", "left").select("digest", F.coalesce("component_id", "rep").alias("component_id"))
-    return rows.select("doc_id", "n_shingles", "digest").join(final, "digest", "left").select(
+    joined = _components(info, links.unionByName(more))
+    # Components are named by ids already; the classes outside any shared bucket are components of their own.
+    reps = rows.filter("doc_id IS NOT NULL AND digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("_rep"))
+    named = reps.select("digest", "_rep", node).join(joined, "node", "left").select("digest", F.coalesce("component", "_rep").alias("component_id"))
+    return rows.select("doc_id", "n_shingles", "digest").join(named, "digest", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _named(joined: DataFrame, leaders: DataFrame) -> DataFrame:
-    """Per node the smallest id of its component; summed up before the join, as a component may be large."""
-    both = joined.join(leaders, "node")
-    least = both.groupBy("component").agg(F.min("rep").alias("component_id"))
-    return both.join(least, "component").select("node", "component_id")
-
-
 def _with_digest(rows: DataFrame, width: int) -> DataFrame:
     """(rep, text, digest) of rows with words: the digest of their set as in :func:`profiles`."""
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,11 +232,13 @@ def _with_digest(rows: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(read, "rep long, text string, digest binary").filter("digest IS NOT NULL")
 
 
-def _components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, component) of every node over undirected links."""
+def _components(info: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) over undirected links; a component is named by the smallest id among its classes."""
     one = F.lit(0).alias("t")
-    found = connected_components(nodes.select(one, "node"), links.select(one, F.col("a").alias("src"), F.col("b").alias("dst")), tenant="t", src="src", dst="dst")
-    return found.select("node", "component")
+    named = info.select("node", "rep")
+    ends = links.join(named.select(F.col("node").alias("a"), F.col("rep").alias("src")), "a").join(named.select(F.col("node").alias("b"), F.col("rep").alias("dst")), "b")
+    found = connected_components(named.select(one, F.col("rep").alias("node")), ends.select(one, "src", "dst"), tenant="t", src="src", dst="dst")
+    return named.join(found.select(F.col("node").alias("rep"), "component"), "rep").select("node", "component")
 
 
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
