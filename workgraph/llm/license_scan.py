@@ -144,10 +144,11 @@ def scan_text(text: str | None, index: Index, coverage: float = COVERAGE) -> lis
     last = None
     for t, p, q in hits[order].tolist():
         d = p - q
-        if last is not None and last[0] == t and abs(last[1] - d) <= BAND // 2:
+        if last is not None and last[0] == t and abs(last[1] - d) <= min(BAND, len(index.words[t]) // 3) // 2:
             continue
         last = (t, d)
-        matched, begin, end = aligned(words, index.words[t], d)
+        # A band narrower than the template cannot slip to another copy of it.
+        matched, begin, end = aligned(words, index.words[t], d, min(BAND, max(1, len(index.words[t]) // 3)))
         if matched >= coverage * len(index.words[t]):
             found[(t, begin, end)] = (matched, begin)
     best: list[tuple[int, int, int, int]] = []
