@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from conftest import rows
 from workgraph.operators import code as O
 from workgraph.operators import flow as W
@@ -10,16 +12,17 @@ V = "review_id"
 
 
 def test_flow_order_golden(frame):
-    info = frame([
+    info = frame([(r, *row) for r in (0, 1) for row in [
         ("h.CreateUser", "CreateUser", "", "handler/handler.go", "http-handler"), ("s.CreateUser", "CreateUser", "", "service/service.go", None),
         ("r.Insert", "Insert", "*Repo", "repo/repo.go", None), ("v.Validate", "Validate", "", "service/validate.go", None),
         ("t.step", "aRequestIsValidated", "", "steps/steps.go", None), ("f#Create.user", "Validate a request", "Create user", "f.feature", "scenario"),
-        ("u.helper", "helper", "", "util/util.go", None)], "id string, name string, receiver string, path string, entry_kind string")
-    calls = frame([("h.CreateUser", "s.CreateUser"), ("s.CreateUser", "r.Insert"), ("t.step", "v.Validate"), ("f#Create.user", "t.step")],
-                  "from_id string, to_id string")
+        ("u.helper", "helper", "", "util/util.go", None)]], "repo_id int, id string, name string, receiver string, path string, entry_kind string")
+    # The second repository has the same ids and paths, and other calls.
+    calls = frame([(0, "h.CreateUser", "s.CreateUser"), (0, "s.CreateUser", "r.Insert"), (0, "t.step", "v.Validate"), (0, "f#Create.user", "t.step"),
+                   (1, "u.helper", "r.Insert"), (1, "h.CreateUser", "u.helper")], "repo_id int, from_id string, to_id string")
     paths = ["service/service.go", "repo/repo.go", "service/validate.go", "util/util.go", "README.md"]
-    files = frame([("v", p, i) for i, p in enumerate(paths)], f"{V} string, path string, diff_no int")
-    changed = frame([("v", i, n) for n, i in enumerate(["s.CreateUser", "r.Insert", "v.Validate", "u.helper"])], f"{V} string, id string, ord int")
+    files = frame([("v", 0, p, i) for i, p in enumerate(paths)], f"{V} string, repo_id int, path string, diff_no int")
+    changed = frame([("v", 0, i, n) for n, i in enumerate(["s.CreateUser", "r.Insert", "v.Validate", "u.helper"])], f"{V} string, repo_id int, id string, ord int")
     out = W.flow_order(files, changed, calls, info).collect()
     got = [(r.group_no, r.title, r.path, r.why) for r in sorted(out, key=lambda r: (r.group_no or 99, r.pos_in_group))]
     assert got == [
@@ -30,6 +33,22 @@ def test_flow_order_golden(frame):
         (None, None, "README.md", "")]
 
 
+def test_flow_walk_has_no_bound_of_its_own(frame):
+    """A chain longer than any old depth, a hub wider than any old node count, and a ring whose why-chain must end."""
+    chain = [(0, f"c{i + 1:02d}", f"c{i:02d}") for i in range(12)]
+    fan = [(0, f"x{i:03d}", "hub") for i in range(620)]
+    ring = [(0, f"r{(i + 1) % 4}", f"r{i}") for i in range(4)]
+    calls = frame(chain + fan + ring, "repo_id int, from_id string, to_id string")
+    ids = sorted({x for _, a, b in chain + fan + ring for x in (a, b)})
+    info = frame([(0, i, i, "", f"{i[0]}.go", None) for i in ids], "repo_id int, id string, name string, receiver string, path string, entry_kind string")
+    changed = frame([("v", 0, "c00", 0), ("v", 0, "hub", 1), ("v", 0, "r0", 2)], f"{V} string, repo_id int, id string, ord int")
+    nodes, edges = W.flow_subgraph(changed, calls, info.filter("entry_kind IS NOT NULL").select("repo_id", "id"))
+    assert nodes.count() == 13 + 621 + 4 and edges.count() == 12 + 620 + 4
+    assert nodes.filter("cut_off").count() == 0 and nodes.filter("node = 'c12'").first().depth == 12
+    why = {r.node: r.why for r in W._why(nodes, edges, info).collect()}
+    assert why["c00"].count("←") == 11 and why["r0"] == "called from r1 ← r2 ← r3" and why["hub"] == "called from x000"
+
+
 def queue_walk(seeds, callers, entries, depth, cap):
     """Nodes and edges in discovery order, one queue, as a person would write it."""
     level = {s: 0 for s in seeds}
@@ -56,14 +75,15 @@ def test_walk_caps_match_a_queue(frame):
         made = {(name(rng.randrange(20)), name(rng.randrange(20))) for _ in range(45)}
         entries = {name(i) for i in rng.sample(range(20), 4)}
         seeds = {f"v{k}": rng.sample([name(i) for i in range(20)], rng.randrange(1, 8)) for k in range(12)}
-        changed = frame([(v, s, i) for v, ss in seeds.items() for i, s in enumerate(ss)], f"{V} string, id string, ord int")
-        nodes, edges = W.flow_subgraph(changed, frame(list(made), "from_id string, to_id string"), frame([(e,) for e in entries], "id string"),
+        changed = frame([(v, s, i) for v, ss in seeds.items() for i, s in enumerate(ss)], f"{V} string, id string, ord int").withColumn("repo_id", F.lit(7))
+        nodes, edges = W.flow_subgraph(changed, frame(list(made), "from_id string, to_id string").withColumn("repo_id", F.lit(7)),
+                                       frame([(e,) for e in entries], "id string").withColumn("repo_id", F.lit(7)),
                                        depth=3, max_nodes=cap)
         callers = {}
         for a, b in made:
             callers.setdefault(b, set()).add(a)
         got_nodes = {(r[V], r.node): r.depth for r in nodes.collect()}
-        got_edges = {tuple(r) for r in edges.collect()}
+        got_edges = {tuple(r) for r in edges.select(V, "caller", "callee").collect()}
         for v, ss in seeds.items():
             level, found = queue_walk(ss, callers, entries, 3, cap)
             assert {n: d for (w, n), d in got_nodes.items() if w == v} == level
@@ -71,29 +91,64 @@ def test_walk_caps_match_a_queue(frame):
 
 
 def test_radius_of_a_changed_signature(frame):
-    symbols = frame([("f", "f", "func", "a.go", 1, 5), ("g", "g", "func", "b.go", 1, 5), ("h", "h", "func", "c.go", 1, 5), ("I.f", "f", "method", "d.go", 1, 2)],
-                    "id string, name string, kind string, path string, start_line int, end_line int")
-    changes = frame([("v", "f", "modified", True, "func"), ("v", "g", "modified", False, "func"), ("v", "x", "deleted", False, "func")],
-                    f"{V} string, id string, change string, signature_changed boolean, kind string")
-    calls = frame([("g", "f", "b.go", 3), ("h", "f", "c.go", 2)], "from_id string, to_id string, site_path string, site_line int")
-    impls = frame([("f", "I.f")], "from_id string, to_id string")
-    hunks = frame([("v", "a.go", 1, 2), ("v", "b.go", 3, 1)], f"{V} string, path string, new_start int, new_lines int")
+    # Repository 1 has the same paths and ids; nothing of it may turn up.
+    both = lambda made, schema: frame([(r, *row) for r in (0, 1) for row in made], "repo_id int, " + schema)
+    symbols = both([("f", "f", "func", "a.go", 1, 5), ("g", "g", "func", "b.go", 1, 5), ("h", "h", "func", "c.go", 1, 5), ("I.f", "f", "method", "d.go", 1, 2)],
+                   "id string, name string, kind string, path string, start_line int, end_line int")
+    changes = frame([("v", 0, "f", "modified", True, "func"), ("v", 0, "g", "modified", False, "func"), ("v", 0, "x", "deleted", False, "func")],
+                    f"{V} string, repo_id int, id string, change string, signature_changed boolean, kind string")
+    calls = frame([(0, "g", "f", "b.go", 3), (0, "h", "f", "c.go", 2), (1, "z", "f", "c.go", 2)], "repo_id int, from_id string, to_id string, site_path string, site_line int")
+    impls = frame([(0, "f", "I.f"), (1, "f", "J.f")], "repo_id int, from_id string, to_id string")
+    hunks = frame([("v", 0, "a.go", 1, 2), ("v", 0, "b.go", 3, 1), ("v", 1, "c.go", 1, 9)], f"{V} string, repo_id int, path string, new_start int, new_lines int")
     assert rows(O.func_radius(changes, calls, impls, symbols, hunks), "symbol", "part", "other", "in_diff") == [
         ("f", "caller", "h", False), ("f", "impl", "I.f", False), ("f", "site", "g", True), ("f", "site", "h", False)]
 
 
+def test_changes_stay_in_their_repository(frame):
+    symbols = frame([(1, "a.f", "main.go", "func", "f()", 1, 9, 1), (2, "b.g", "main.go", "func", "g()", 1, 9, 1), (2, "a.f", "main.go", "func", "f(x)", 20, 29, 2)],
+                    "repo_id int, id string, path string, kind string, signature string, start_line int, end_line int, ord int")
+    hunks = frame([("v", 1, "main.go", 2, 1, 2, 1)], f"{V} string, repo_id int, path string, new_start int, new_lines int, old_start int, old_lines int")
+    assert rows(O.changed_symbols(symbols, hunks)) == [("v", 1, "a.f")]
+    olds = frame([("v", 1, "main.go", "modified")], f"{V} string, repo_id int, old_path string, status string")
+    assert rows(O.changed_symbols_detailed(symbols, symbols, hunks, olds)) == [("v", 1, "a.f", "modified", False)]
+    points = frame([(1, "main.go", 3), (2, "main.go", 3), (2, "main.go", 25), (3, "main.go", 3)], "repo_id int, path string, line int")
+    assert rows(O.enclosing_symbol(points, symbols)) == [(1, "main.go", 3, "a.f"), (2, "main.go", 3, "b.g"), (2, "main.go", 25, "a.f")]
+
+
 def test_reach_lists_closest_tests_and_a_command(frame):
-    calls = frame([(0, "TestA", "mid"), (0, "mid", "f"), (0, "TestB", "f")], "repo_id int, from_id string, to_id string")
-    tests = frame([(0, "TestA", "TestA", "pkg/a_test.go"), (0, "TestB", "Test.B", "b_test.go")], "repo_id int, id string, name string, path string")
-    asked = frame([("v", 0, "f"), ("v", 0, "lonely")], f"{V} string, repo_id int, id string")
+    calls = frame([(0, "TestA", "mid"), (0, "mid", "f"), (0, "TestB", "f"), (1, "TestA", "f")], "repo_id int, from_id string, to_id string")
+    tests = frame([(0, "TestA", "TestA", "pkg/a_test.go"), (0, "TestB", "Test.B", "b_test.go"), (1, "TestA", "TestA", "sub/mod/pkg/a_test.go")],
+                  "repo_id int, id string, name string, path string")
+    asked = frame([("v", 0, "f"), ("v", 0, "lonely"), ("w", 1, "f")], f"{V} string, repo_id int, id string")
     hits = O.reach_from_tests(calls, tests)
-    got = {r.id: r for r in O.test_reach(asked, hits).collect()}
-    assert got["f"].reached and got["f"].tests == ["TestB", "TestA"] and got["f"].path == ["TestB", "f"] and not got["lonely"].reached
-    assert rows(O.test_commands(O.top_reaching_tests(hits, asked), tests), "dir", "command") == [
-        (".", "go test . -run '^(Test\\.B)$'"), ("pkg", "go test ./pkg -run '^(TestA)$'")]
+    got = {(r[V], r.id): r for r in O.test_reach(asked, hits).collect()}
+    assert got["v", "f"].reached and got["v", "f"].tests == ["TestB", "TestA"] and got["v", "f"].path == ["TestB", "f"] and not got["v", "lonely"].reached
+    modules = frame([(0, "."), (1, "sub"), (1, "sub/mod")], "repo_id int, module_dir string")
+    assert rows(O.test_commands(O.reaching_tests(asked, hits), tests, modules), V, "dir", "command") == [
+        ("v", ".", "go test . -run '^(Test\\.B)$'"), ("v", "pkg", "go test ./pkg -run '^(TestA)$'"),
+        ("w", "sub/mod/pkg", "cd sub/mod && go test ./pkg -run '^(TestA)$'")]
+
+
+def test_reach_has_no_bound_of_its_own(frame):
+    calls = frame([(0, f"n{i:02d}", f"n{i + 1:02d}") for i in range(14)] + [(0, f"T{i}", "n13") for i in range(8)], "repo_id int, from_id string, to_id string")
+    tests = frame([(0, "n00", "TestFar", "far_test.go")] + [(0, f"T{i}", f"Test{i}", "near_test.go") for i in range(8)], "repo_id int, id string, name string, path string")
+    asked = frame([("v", 0, "n14")], f"{V} string, repo_id int, id string")
+    hits = O.reach_from_tests(calls, tests)
+    assert hits.filter("test = 'n00' AND id = 'n14'").first().depth == 14
+    commands = O.test_commands(O.reaching_tests(asked, hits), tests).first()
+    assert commands.tests.split(",") == sorted(["TestFar", *[f"Test{i}" for i in range(8)]])
 
 
 def test_implements_needs_every_method(frame):
-    need = frame([("I", "a"), ("I", "b"), ("J", "a")], "iface_id string, method string")
-    have = frame([("T", "a"), ("T", "b"), ("U", "a")], "type_id string, method string")
-    assert rows(O.implements(need, have), "iface_id", "type_id") == [("I", "T"), ("J", "T"), ("J", "U")]
+    need = frame([(0, "I", "a"), (0, "I", "b"), (0, "J", "a"), (1, "J", "b")], "repo_id int, iface_id string, method string")
+    have = frame([(0, "T", "a"), (0, "T", "b"), (0, "U", "a"), (1, "U", "a")], "repo_id int, type_id string, method string")
+    assert rows(O.implements(need, have)) == [(0, "I", "T"), (0, "J", "T"), (0, "J", "U")]
+    declared = frame([(0, "I"), (0, "Any"), (1, "I")], "repo_id int, iface_id string")
+    assert rows(O.open_interfaces(declared, need)) == [(0, "Any", True), (0, "I", False), (1, "I", True)]
+
+
+def test_first_rule_wins_a_tie(frame):
+    symbols = frame([(0, "x", "doWork", "func", "a.go", "", "lib", "func()", False)],
+                    "repo_id int, id string, name string, kind string, path string, receiver string, package_name string, shape string, exported boolean")
+    found = O.entry_points(symbols, None, [("Work$", "", "zebra"), ("^do", "", "apple")])
+    assert rows(O.entry_point_index(found), "id", "reason") == [("x", "zebra")]

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from workgraph.functions import text as T
+from workgraph.functions import ids as X
 from workgraph.operators import evaluation as E
 from workgraph.operators import features as O
 from workgraph.operators import markdown as M
@@ -80,9 +81,9 @@ def test_scores(frame):
 
 
 def test_evidence_window(frame):
-    lines = frame([("a.go", i, f"line number {i} end") for i in range(1, 11)], "path string, line int, text string")
+    lines = frame([(r, "a.go", i, f"line number {i + 3 * r} end") for r in (0, 1) for i in range(1, 11)], "repo_id int, path string, line int, text string")
     ev = frame([("f1", 0, "a.go", 5, " number 5 "), ("f1", 1, "a.go", 5, "number 7"), ("f2", 0, "a.go", 5, "number 8"), ("f2", 1, "a.go", 5, " "),
-                ("f2", 2, "no.go", 1, "x"), ("f3", 0, "a.go", 6, "line number")], "finding_id string, ev_no int, path string, line int, excerpt string")
+                ("f2", 2, "no.go", 1, "x"), ("f3", 0, "a.go", 6, "line number")], "finding_id string, ev_no int, path string, line int, excerpt string").withColumn("repo_id", F.lit(0))
     findings = frame([("f1",), ("f2",), ("f3",), ("f4",)], "finding_id string")
     got = {r.finding_id: (r.verified, r.verification) for r in E.verify_evidence(findings, ev, lines).collect()}
     assert got == {"f1": (True, "verified 2/2 evidence line(s)"), "f3": (True, "verified 1/1 evidence line(s)"), "f4": (False, "rejected: no evidence"),
@@ -128,11 +129,19 @@ def test_robust_statistics(frame):
     mid = statistics.median(xs)
     mad = 1.4826 * statistics.median([abs(x - mid) for x in xs]) + 1e-6
     assert all(r.median == mid and abs(r.mad - mad) < 1e-9 and r.outlier == (abs(r.x - mid) > 2 * mad) for r in out)
-    rolled = {r.i: r.baseline for r in R.rolling_median(df, ["k"], [F.col("i")], "x", rows=5, block=16).collect()}
     capped = [max(-20.0, min(20.0, x)) for x in xs]
-    for i in range(101):
-        window = [capped[max(0, min(100, j))] for j in range(i - 2, i + 3)]
-        assert rolled[i] == max(0.0, min(40.0, statistics.median(window)))
+    for wide, block in ((5, 16), (31, 4), (31, 4096)):
+        rolled = {r.i: r.baseline for r in R.rolling_median(df, ["k"], [F.col("i")], "x", rows=wide, block=block).collect()}
+        for i in range(101):
+            window = [capped[max(0, min(100, j))] for j in range(i - wide // 2, i + wide // 2 + 1)]
+            assert rolled[i] == max(0.0, min(40.0, statistics.median(window)))
+
+
+def test_blank_text_is_not_json_and_ids_sort_by_number(frame):
+    df = frame([("",), (" ",), ("{}",), ("{} x",)], "t string")
+    assert [r[0] for r in df.select(E.is_json(F.col("t"))).collect()] == [False, False, True, False]
+    ids = frame([("TH-10",), ("TH-x",), ("TH-9",), ("TH-2",), ("plain",)], "id string")
+    assert [r.id for r in ids.orderBy(X.id_sort_key("id")).collect()] == ["TH-2", "TH-9", "TH-10", "TH-x", "plain"]
 
 
 def test_text_helpers(frame):

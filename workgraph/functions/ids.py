@@ -52,9 +52,9 @@ def issue_num(ident, prefix) -> Column:
 
 
 def id_sort_key(ident) -> Column:
-    """A string that sorts ids by number first: ``TH-2`` before ``TH-10``."""
+    """A string that sorts ids by number first: ``TH-2`` before ``TH-10``; ids without a number follow by their text."""
     number = id_num(ident)
-    return F.concat(F.lpad(F.coalesce(number.cast("string"), F.lit("~")), 19, "0"), F.lit("|"), col(ident))
+    return F.concat(F.when(number.isNotNull(), F.lpad(number.cast("string"), 19, "0")).otherwise(F.lit("~")), F.lit("|"), col(ident))
 
 
 def log_id_key(ident) -> Column:

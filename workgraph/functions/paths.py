@@ -206,3 +206,10 @@ def parse_pr_ref(text, origin=None) -> Column:
         out = out.when(text.rlike(bare) & where.isNotNull(),
                        make(F.lit("github.com"), where["owner"], where["repo"], get(bare, 1), F.lit("")))
     return out
+
+
+def set_digest(text) -> Column:
+    """An aggregate that names a set of texts in any order: four 60-bit lanes of their SHA-256 are summed, then hashed with the count."""
+    full = F.sha2(col(text), 256)
+    lanes = [F.sum(F.conv(F.substring(full, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")).cast("string") for i in range(4)]
+    return F.sha2(F.concat_ws(":", *lanes, F.count(F.lit(1)).cast("string")), 256)

@@ -2,7 +2,8 @@
 
 ``symbols`` is (repo_id, id, name, kind, path, start_line, end_line, ...),
 ``call_edges`` is (repo_id, kind, from_id, to_id, site_path, site_line,
-confidence, ...), ``hunks`` is (review_id, path, new_start, new_lines, ...).
+confidence, ...), ``hunks`` is (review_id, repo_id, path, new_start, new_lines, ...).
+Paths and ids repeat between repositories, so every join has ``repo_id`` among its keys.
 """
 
 from __future__ import annotations
@@ -19,9 +20,10 @@ from workgraph.operators.intervals import new_range, old_range, overlaps, salted
 from workgraph.operators.scan import first_per_key, ranked, top_per_key
 from workgraph.session import cut
 
-V = "review_id"
-# Depth of a test walk and tests listed per function.
-TEST_DEPTH, TESTS_SHOWN = 10, 5
+V, R = "review_id", "repo_id"
+FILE = [R, "path"]
+# Fixed value: closest tests shown per function.
+TESTS_SHOWN = 5
 # Signature shapes of request handlers and why they are entry points.
 HANDLERS = {
     "func(http.ResponseWriter, *http.Request)": "HTTP handler: signature func(http.ResponseWriter, *http.Request)",
@@ -33,6 +35,10 @@ HANDLERS = {
 TEST_PREFIXES = {"Test": "test function (Test*)", "Benchmark": "benchmark function (Benchmark*)",
                  "Example": "example function (Example*)", "Fuzz": "fuzz function (Fuzz*)"}
 
+# Reasons of the other entry points.
+MAIN_REASON, INIT_REASON = "package main's main function", "init function, run automatically before main"
+IDLE_REASON = "exported, no in-module callers"
+
 
 def navigable(symbols: DataFrame) -> DataFrame:
     return symbols.filter(F.col("kind").isin("func", "method"))
@@ -43,43 +49,43 @@ def decl_lines(symbols: DataFrame) -> DataFrame:
     return navigable(symbols).select("repo_id", "path", F.col("start_line").alias("line"))
 
 
-def changed_symbols(symbols: DataFrame, hunks: DataFrame, keys: Sequence[str] = ("path",)) -> DataFrame:
-    """Symbols a new-side hunk overlaps: (review_id, id), each once."""
+def changed_symbols(symbols: DataFrame, hunks: DataFrame) -> DataFrame:
+    """Symbols a new-side hunk overlaps: (review_id, repo_id, id), each once."""
     live = hunks.filter("status != 'deleted'") if "status" in hunks.columns else hunks
-    ranges = live.select(V, *keys, new_range()[0].alias("_hs"), new_range()[1].alias("_he")).distinct()
-    spans = symbols.select(*keys, "id", "start_line", "end_line")
-    return overlaps(ranges, spans, keys, ("_hs", "_he"), ("start_line", "end_line")).select(V, "id").distinct()
+    ranges = live.select(V, *FILE, new_range()[0].alias("_hs"), new_range()[1].alias("_he")).distinct()
+    spans = symbols.select(*FILE, "id", "start_line", "end_line")
+    return overlaps(ranges, spans, FILE, ("_hs", "_he"), ("start_line", "end_line")).select(V, R, "id").distinct()
 
 
-def changed_functions(symbols: DataFrame, hunks: DataFrame, keys: Sequence[str] = ("path",)) -> DataFrame:
-    return changed_symbols(navigable(symbols), hunks, keys)
+def changed_functions(symbols: DataFrame, hunks: DataFrame) -> DataFrame:
+    return changed_symbols(navigable(symbols), hunks)
 
 
 def changed_symbols_detailed(old_symbols: DataFrame, new_symbols: DataFrame, hunks: DataFrame,
                              old_paths: DataFrame) -> DataFrame:
-    """Changes per review: (review_id, id, change, signature_changed).
+    """Changes per review: (review_id, repo_id, id, change, signature_changed).
 
-    ``old_paths`` is (review_id, old_path, status) of files whose old side is
-    read. A touched old declaration that still exists by id is modified, with
-    its signature compared; one that does not is deleted; a touched new symbol
-    with neither is added. A rename is therefore a delete and an add.
+    ``old_paths`` is (review_id, repo_id, old_path, status) of files whose old
+    side is read. A touched old declaration that still exists by id is modified,
+    with its signature compared; one that does not is deleted; a touched new
+    symbol with neither is added. A rename is therefore a delete and an add.
     """
-    sides = old_paths.filter(F.col("status").isin("modified", "renamed", "deleted")).select(V, F.col("old_path").alias("path"))
-    ranges = hunks.join(sides, [V, "path"], "left_semi") \
-        .select(V, "path", old_range()[0].alias("_hs"), old_range()[1].alias("_he")).distinct()
-    touched = overlaps(ranges, old_symbols.select("path", "id", "signature", "start_line", "end_line"), ["path"],
-                       ("_hs", "_he"), ("start_line", "end_line")).select(V, "id", F.col("signature").alias("_old")).distinct()
-    now = new_symbols.select("id", F.coalesce("signature", F.lit("")).alias("_new")).withColumn("_exists", F.lit(True))
-    old_side = touched.join(now, "id", "left")
+    sides = old_paths.filter(F.col("status").isin("modified", "renamed", "deleted")).select(V, R, F.col("old_path").alias("path"))
+    ranges = hunks.join(sides, [V, *FILE], "left_semi") \
+        .select(V, *FILE, old_range()[0].alias("_hs"), old_range()[1].alias("_he")).distinct()
+    touched = overlaps(ranges, old_symbols.select(*FILE, "id", "signature", "start_line", "end_line"), FILE,
+                       ("_hs", "_he"), ("start_line", "end_line")).select(V, R, "id", F.col("signature").alias("_old")).distinct()
+    now = new_symbols.select(R, "id", F.coalesce("signature", F.lit("")).alias("_new")).withColumn("_exists", F.lit(True))
+    old_side = touched.join(now, [R, "id"], "left")
     resigned = (F.col("_new") != "") & (F.col("_new") != F.coalesce("_old", F.lit("")))
-    judged = old_side.select(V, "id", F.when(F.col("_exists"), "modified").otherwise("deleted").alias("change"),
+    judged = old_side.select(V, R, "id", F.when(F.col("_exists"), "modified").otherwise("deleted").alias("change"),
                              F.coalesce(resigned, F.lit(False)).alias("signature_changed"))
-    added = changed_symbols(new_symbols, hunks).join(judged.select(V, "id"), [V, "id"], "left_anti") \
-        .select(V, "id", F.lit("added").alias("change"), F.lit(False).alias("signature_changed"))
+    added = changed_symbols(new_symbols, hunks).join(judged.select(V, R, "id"), [V, R, "id"], "left_anti") \
+        .select(V, R, "id", F.lit("added").alias("change"), F.lit(False).alias("signature_changed"))
     return judged.unionByName(added)
 
 
-def enclosing_symbol(points: DataFrame, symbols: DataFrame, keys: Sequence[str] = ("path",), line: str = "line",
+def enclosing_symbol(points: DataFrame, symbols: DataFrame, keys: Sequence[str] = tuple(FILE), line: str = "line",
                      order: str = "ord") -> DataFrame:
     """The smallest symbol around each point, the first in ``order`` on ties: points plus ``enclosing``."""
     met = overlaps(points, symbols.select(*keys, F.col("id").alias("_id"), F.col(order).alias("_ord"), "start_line", "end_line"),
@@ -92,16 +98,16 @@ def enclosing_symbol(points: DataFrame, symbols: DataFrame, keys: Sequence[str]
 def attach_receiver(methods: DataFrame, containers: DataFrame) -> DataFrame:
     """Methods with the smallest class or interface whose byte range holds them: adds ``receiver``.
 
-    ``methods`` is (path, id, start_byte, end_byte), ``containers`` (path, name, start_byte, end_byte, ord).
+    ``methods`` is (repo_id, path, id, start_byte, end_byte), ``containers`` (repo_id, path, name, start_byte, end_byte, ord).
     """
-    boxes = containers.select("path", F.col("name").alias("_name"), F.col("ord").alias("_ord"),
+    boxes = containers.select(*FILE, F.col("name").alias("_name"), F.col("ord").alias("_ord"),
                               F.col("start_byte").alias("_cs"), F.col("end_byte").alias("_ce"))
-    met = overlaps(methods, boxes, ["path"], ("start_byte", "start_byte"), ("_cs", "_ce"), size=4096) \
+    met = overlaps(methods, boxes, FILE, ("start_byte", "start_byte"), ("_cs", "_ce"), size=4096) \
         .filter("end_byte <= _ce")
-    best = met.groupBy("path", "id").agg(
+    best = met.groupBy(*FILE, "id").agg(
         F.min(F.struct((F.col("_ce") - F.col("_cs")).alias("span"), "_ord", "_name")).alias("_b")) \
-        .select("path", "id", F.col("_b._name").alias("receiver"))
-    return methods.join(best, ["path", "id"], "left")
+        .select(*FILE, "id", F.col("_b._name").alias("receiver"))
+    return methods.join(best, [*FILE, "id"], "left")
 
 
 def dedup_edges(edges: DataFrame) -> DataFrame:
@@ -142,117 +148,126 @@ def name_search_edges(calls: DataFrame, definitions: DataFrame) -> DataFrame:
 
 
 def implements(interfaces: DataFrame, methods: DataFrame) -> DataFrame:
-    """(iface_id, type_id) where a type has every method of an interface.
+    """(repo_id, iface_id, type_id) where a type has every method of an interface.
 
-    ``interfaces`` is (iface_id, method), ``methods`` is (type_id, method); a
-    method is its name and signature. Only types having an interface's rarest
-    method are candidates, so a method every type has forms no pairs. An empty
-    interface fits every type and is left out.
+    ``interfaces`` is (repo_id, iface_id, method), ``methods`` is (repo_id,
+    type_id, method); a method is its name and signature. Only types having an
+    interface's rarest method are candidates, so a method every type has forms no
+    pairs. An interface without methods fits every type: see :func:`open_interfaces`.
     """
     need, have = interfaces.distinct(), methods.distinct()
-    rarity = have.groupBy("method").agg(F.count(F.lit(1)).alias("_types"))
-    sized = need.join(rarity, "method", "left").fillna(0, ["_types"])
-    rarest = sized.groupBy("iface_id").agg(F.min(F.struct("_types", "method")).alias("_m"), F.count(F.lit(1)).alias("_need"))
-    candidates = rarest.select("iface_id", "_need", F.col("_m.method").alias("method")).join(have, "method").drop("method")
-    proved = candidates.join(need, "iface_id").join(have, ["type_id", "method"], "left_semi")
-    return proved.groupBy("iface_id", "type_id", "_need").count().filter("count = _need").select("iface_id", "type_id")
+    rarity = have.groupBy(R, "method").agg(F.count(F.lit(1)).alias("_types"))
+    sized = need.join(rarity, [R, "method"], "left").fillna(0, ["_types"])
+    rarest = sized.groupBy(R, "iface_id").agg(F.min(F.struct("_types", "method")).alias("_m"), F.count(F.lit(1)).alias("_need"))
+    candidates = rarest.select(R, "iface_id", "_need", F.col("_m.method").alias("method")).join(have, [R, "method"]).drop("method")
+    proved = candidates.join(need, [R, "iface_id"]).join(have, [R, "type_id", "method"], "left_semi")
+    return proved.groupBy(R, "iface_id", "type_id", "_need").count().filter("count = _need").select(R, "iface_id", "type_id")
 
 
 def implements_methods(interfaces: DataFrame, methods: DataFrame) -> DataFrame:
-    """Method-level edges of every implementing pair: (iface_id, type_id, method)."""
-    return implements(interfaces, methods).join(interfaces.distinct(), "iface_id")
+    """Method-level edges of every implementing pair: (repo_id, iface_id, type_id, method)."""
+    return implements(interfaces, methods).join(interfaces.distinct(), [R, "iface_id"])
+
+
+def open_interfaces(declared: DataFrame, interfaces: DataFrame) -> DataFrame:
+    """Declared (repo_id, iface_id) with ``fits_every_type``: whether the interface has no method.
+
+    Which types such an interface fits is said by this flag, not by pairs.
+    """
+    needs = interfaces.select(R, "iface_id").distinct().withColumn("_needs", F.lit(True))
+    return declared.join(needs, [R, "iface_id"], "left").withColumn("fits_every_type", F.col("_needs").isNull()).drop("_needs")
 
 
 def touched(points: DataFrame, hunks: DataFrame, start: str = "line", end: str = "line") -> DataFrame:
-    """``points`` (review_id, path, ...) plus ``in_diff``: whether a new-side hunk of the review covers any of the range."""
-    asked = points.select(V, "path", F.col(start).alias("_ps"), F.col(end).alias("_pe")).distinct()
-    ranges = hunks.select(V, "path", new_range()[0].alias("_hs"), new_range()[1].alias("_he")).distinct()
-    hit = overlaps(asked, ranges, [V, "path"], ("_ps", "_pe"), ("_hs", "_he")) \
-        .select(V, "path", F.col("_ps").alias(start), *([F.col("_pe").alias(end)] if end != start else [])).distinct()
-    return points.join(hit.withColumn("_hit", F.lit(True)), list(dict.fromkeys([V, "path", start, end])), "left") \
+    """``points`` (review_id, repo_id, path, ...) plus ``in_diff``: whether a new-side hunk of the review covers any of the range."""
+    asked = points.select(V, *FILE, F.col(start).alias("_ps"), F.col(end).alias("_pe")).distinct()
+    ranges = hunks.select(V, *FILE, new_range()[0].alias("_hs"), new_range()[1].alias("_he")).distinct()
+    hit = overlaps(asked, ranges, [V, *FILE], ("_ps", "_pe"), ("_hs", "_he")) \
+        .select(V, *FILE, F.col("_ps").alias(start), *([F.col("_pe").alias(end)] if end != start else [])).distinct()
+    return points.join(hit.withColumn("_hit", F.lit(True)), list(dict.fromkeys([V, *FILE, start, end])), "left") \
         .withColumn("in_diff", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
 def symbol_targets(edges: DataFrame, wanted: DataFrame, symbols: DataFrame, hunks: DataFrame, prefer_site: bool) -> DataFrame:
-    """Far ends of edges of wanted (review_id, id) symbols, resolved to a name and place.
+    """Far ends of edges of wanted (review_id, repo_id, id) symbols, resolved to a name and place.
 
     Callers show the call site, others the declaration; a place outside the
     repository (an absolute path) is dropped.
     """
     mine = "to_id" if prefer_site else "from_id"
     other = "from_id" if prefer_site else "to_id"
-    met = edges.join(wanted.select(V, F.col("id").alias(mine)), mine) \
-        .select(V, F.col(mine).alias("id"), F.col(other).alias("other"), "confidence", "site_path", "site_line")
-    names = symbols.select(F.col("id").alias("other"), X.display_name("receiver", "name").alias("_name"), "kind",
+    met = edges.join(wanted.select(V, R, F.col("id").alias(mine)), [R, mine]) \
+        .select(V, R, F.col(mine).alias("id"), F.col(other).alias("other"), "confidence", "site_path", "site_line")
+    names = symbols.select(R, F.col("id").alias("other"), X.display_name("receiver", "name").alias("_name"), "kind",
                            F.col("path").alias("_path"), F.col("start_line").alias("_line"))
-    rows = met.join(names, "other", "left")
+    rows = met.join(names, [R, "other"], "left")
     site_first = F.col("site_path").isNotNull() if prefer_site else F.col("_path").isNull()
     placed = rows.withColumn("name", F.coalesce("_name", X.fallback_name("other"))) \
         .withColumn("path", F.when(site_first, F.col("site_path")).otherwise(F.col("_path"))) \
         .withColumn("line", F.when(site_first, F.col("site_line")).otherwise(F.col("_line")).cast("long")) \
         .filter(~F.startswith(F.coalesce("path", F.lit("")), F.lit("/")))
-    return touched(placed.select(V, "id", "other", "name", "kind", "confidence", "path", "line"), hunks)
+    return touched(placed.select(V, R, "id", "other", "name", "kind", "confidence", "path", "line"), hunks)
 
 
 def func_radius(changes: DataFrame, call_edges: DataFrame, impl_edges: DataFrame, symbols: DataFrame,
                 hunks: DataFrame) -> DataFrame:
-    """What a changed function affects: (review_id, symbol, part, other, path, line, in_diff).
+    """What a changed function affects: (review_id, repo_id, symbol, part, other, path, line, in_diff).
 
     Parts: ``caller`` (unchanged callers; in_diff by file), ``site`` (every
     call when the signature changed; in_diff by hunk), ``impl`` (related
     methods when the signature changed). ``changes`` has kind; ``impl_edges``
-    is (from_id, to_id).
+    is (repo_id, from_id, to_id).
     """
     live = changes.filter("change != 'deleted'")
-    mine = live.filter(F.col("kind").isin("func", "method")).select(V, F.col("id").alias("symbol"), "signature_changed")
-    calls = call_edges.select(F.col("to_id").alias("symbol"), F.col("from_id").alias("other"), F.col("site_path").alias("path"),
+    mine = live.filter(F.col("kind").isin("func", "method")).select(V, R, F.col("id").alias("symbol"), "signature_changed")
+    calls = call_edges.select(R, F.col("to_id").alias("symbol"), F.col("from_id").alias("other"), F.col("site_path").alias("path"),
                               F.col("site_line").cast("long").alias("line"))
-    met = cut(mine.join(calls, "symbol"))
-    files = hunks.select(V, "path").distinct().withColumn("in_diff", F.lit(True))
-    unchanged = met.join(live.select(V, F.col("id").alias("other")), [V, "other"], "left_anti") \
-        .join(files, [V, "path"], "left").fillna(False, ["in_diff"])
+    met = cut(mine.join(calls, [R, "symbol"]))
+    files = hunks.select(V, *FILE).distinct().withColumn("in_diff", F.lit(True))
+    unchanged = met.join(live.select(V, R, F.col("id").alias("other")), [V, R, "other"], "left_anti") \
+        .join(files, [V, *FILE], "left").fillna(False, ["in_diff"])
     sites = touched(met.filter("signature_changed"), hunks)
-    related = impl_edges.select(F.col("from_id").alias("symbol"), F.col("to_id").alias("other")) \
-        .unionByName(impl_edges.select(F.col("to_id").alias("symbol"), F.col("from_id").alias("other")))
-    impls = mine.filter("signature_changed").join(related, "symbol") \
-        .join(symbols.select(F.col("id").alias("other"), "path", F.col("start_line").cast("long").alias("line"),
-                             F.col("end_line").cast("long").alias("_end")), "other", "left")
+    related = impl_edges.select(R, F.col("from_id").alias("symbol"), F.col("to_id").alias("other")) \
+        .unionByName(impl_edges.select(R, F.col("to_id").alias("symbol"), F.col("from_id").alias("other")))
+    impls = mine.filter("signature_changed").join(related, [R, "symbol"]) \
+        .join(symbols.select(R, F.col("id").alias("other"), "path", F.col("start_line").cast("long").alias("line"),
+                             F.col("end_line").cast("long").alias("_end")), [R, "other"], "left")
     impls = touched(impls, hunks, "line", "_end")
-    out = [V, "symbol", "part", "other", "path", "line", "in_diff"]
+    out = [V, R, "symbol", "part", "other", "path", "line", "in_diff"]
     return unchanged.withColumn("part", F.lit("caller")).select(*out) \
         .unionByName(sites.withColumn("part", F.lit("site")).select(*out)) \
         .unionByName(impls.withColumn("part", F.lit("impl")).select(*out))
 
 
 def interface_radius(ifaces: DataFrame, valid: DataFrame, methods: DataFrame, call_edges: DataFrame, hunks: DataFrame) -> DataFrame:
-    """What a re-signed interface affects, per method: (review_id, symbol, part, other, confidence, path, line, in_diff).
+    """What a re-signed interface affects, per method: (review_id, repo_id, symbol, part, other, confidence, path, line, in_diff).
 
-    ``ifaces`` is (review_id, iface_id, method, name, was_old): methods of
-    changed interfaces; ``valid`` is (iface_id, name, impl_id): methods that
-    satisfy one; ``methods`` is symbols of methods. Valid implementers are
-    static; for a method that existed before, same-named methods that no longer
-    satisfy it are heuristic. Implementers outside the diff give a ``warning``.
+    ``ifaces`` is (review_id, repo_id, iface_id, method, name, was_old): methods
+    of changed interfaces; ``valid`` is (repo_id, iface_id, name, impl_id):
+    methods that satisfy one; ``methods`` is symbols of methods. Valid
+    implementers are static; for a method that existed before, same-named methods
+    that no longer satisfy it are heuristic. Implementers outside the diff give a ``warning``.
     """
-    target = ifaces.select(V, "iface_id", F.col("method").alias("symbol"), "name", "was_old").distinct()
-    static = target.join(valid, ["iface_id", "name"]).select(V, "symbol", F.col("impl_id").alias("other"), F.lit("static").alias("confidence"))
-    named = methods.filter("kind = 'method'").select("name", F.col("id").alias("other"))
-    former = salted_join(target.filter("was_old"), named, ["name"]).select(V, "symbol", "other") \
-        .join(static.select(V, "symbol", "other"), [V, "symbol", "other"], "left_anti") \
+    target = ifaces.select(V, R, "iface_id", F.col("method").alias("symbol"), "name", "was_old").distinct()
+    static = target.join(valid, [R, "iface_id", "name"]).select(V, R, "symbol", F.col("impl_id").alias("other"), F.lit("static").alias("confidence"))
+    named = methods.filter("kind = 'method'").select(R, "name", F.col("id").alias("other"))
+    former = salted_join(target.filter("was_old"), named, [R, "name"]).select(V, R, "symbol", "other") \
+        .join(static.select(V, R, "symbol", "other"), [V, R, "symbol", "other"], "left_anti") \
         .withColumn("confidence", F.lit("heuristic"))
-    place = methods.select(F.col("id").alias("other"), "path", F.col("start_line").cast("long").alias("line"),
+    place = methods.select(R, F.col("id").alias("other"), "path", F.col("start_line").cast("long").alias("line"),
                            F.col("end_line").cast("long").alias("_end"))
-    impls = cut(touched(static.unionByName(former).distinct().join(place, "other", "left"), hunks, "line", "_end").drop("_end"))
-    calls = call_edges.select(F.col("to_id").alias("_impl"), F.col("from_id").alias("other"), F.col("site_path").alias("path"),
+    impls = cut(touched(static.unionByName(former).distinct().join(place, [R, "other"], "left"), hunks, "line", "_end").drop("_end"))
+    calls = call_edges.select(R, F.col("to_id").alias("_impl"), F.col("from_id").alias("other"), F.col("site_path").alias("path"),
                               F.col("site_line").cast("long").alias("line"), "confidence")
-    sites = impls.select(V, "symbol", F.col("other").alias("_impl")).join(calls, "_impl").drop("_impl") \
-        .dropDuplicates([V, "symbol", "other", "path", "line"])
-    out = [V, "symbol", "part", "other", "confidence", "path", "line", "in_diff"]
+    sites = impls.select(V, R, "symbol", F.col("other").alias("_impl")).join(calls, [R, "_impl"]).drop("_impl") \
+        .dropDuplicates([V, R, "symbol", "other", "path", "line"])
+    out = [V, R, "symbol", "part", "other", "confidence", "path", "line", "in_diff"]
     warned = impls.filter("NOT in_diff").withColumn("part", F.lit("warning"))
     return impls.withColumn("part", F.lit("impl")).select(*out).unionByName(warned.select(*out)) \
         .unionByName(touched(sites, hunks).withColumn("part", F.lit("site")).select(*out))
 
 
-def reach_from_tests(call_edges: DataFrame, tests: DataFrame, max_depth: int = TEST_DEPTH) -> DataFrame:
+def reach_from_tests(call_edges: DataFrame, tests: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Shortest call path from each test (repo_id, id): (repo_id, test, id, depth, path); callees in id order."""
     starts = tests.select("repo_id", F.col("id").alias("start"))
     found = closure.reach(call_edges, starts, tenant="repo_id", src="from_id", dst="to_id", order=F.col("to_id"),
@@ -277,20 +292,38 @@ def test_reach(wanted: DataFrame, hits: DataFrame) -> DataFrame:
         .withColumn("reached", F.col("_t").isNotNull()).withColumn("tests", F.transform("_t", lambda t: t["test"])).drop("_t")
 
 
-def test_commands(top: DataFrame, tests: DataFrame, chunk: int = 1000) -> DataFrame:
-    """Commands that run the reaching tests: (review_id, dir, chunk, tests, command).
+def reaching_tests(wanted: DataFrame, hits: DataFrame) -> DataFrame:
+    """Every test that reaches a wanted function: (review_id, repo_id, test)."""
+    return wanted.join(hits, [R, "id"]).select(V, R, "test").distinct()
+
 
-    A directory with more than ``chunk`` tests gets one command per chunk of
-    names in order, so no command outgrows a command line.
+def test_commands(reaching: DataFrame, tests: DataFrame, modules: DataFrame | None = None) -> DataFrame:
+    """One command per directory that runs all its reaching tests: (review_id, repo_id, dir, tests, command).
+
+    ``modules`` is (repo_id, module_dir); a directory below one runs inside the
+    nearest such module. The names of a command are its text, so they are gathered.
     """
-    used = top.select(V, "repo_id", F.col("test").alias("id")).distinct().join(tests.select("repo_id", "id", "name", "path"), ["repo_id", "id"]) \
-        .select(V, P.dirname("path").alias("dir"), "name").distinct()
-    placed = ranked(used, [V, "dir"], [F.col("name")], "_n").withColumn("chunk", F.floor((F.col("_n") - 1) / chunk))
-    rows = placed.groupBy(V, "dir", "chunk").agg(F.array_sort(F.collect_list("name")).alias("names"))
+    used = reaching.select(V, R, F.col("test").alias("id")).distinct().join(tests.select(R, "id", "name", "path"), [R, "id"]) \
+        .select(V, R, P.dirname("path").alias("dir"), "name").distinct()
+    rows = used.groupBy(V, R, "dir").agg(F.array_sort(F.collect_list("name")).alias("names"))
+    rows = _in_module(rows, modules) if modules is not None else rows.withColumn("module", F.lit(""))
     pattern = F.array_join(F.transform("names", lambda n: X.quote_regex(n)), "|")
-    target = F.when(F.col("dir") == ".", F.lit(".")).otherwise(F.concat(F.lit("./"), "dir"))
-    return rows.select(V, "dir", "chunk", F.array_join("names", ",").alias("tests"),
-                       F.concat(F.lit("go test "), target, F.lit(" -run '^("), pattern, F.lit(")$'")).alias("command"))
+    inside = F.when(F.col("module") == "", F.col("dir")).when(F.col("dir") == F.col("module"), F.lit(".")) \
+        .otherwise(F.expr("substring(dir, length(module) + 2)"))
+    target = F.when(inside == ".", F.lit(".")).otherwise(F.concat(F.lit("./"), inside))
+    enter = F.when(F.col("module") == "", F.lit("")).otherwise(F.concat(F.lit("cd "), "module", F.lit(" && ")))
+    return rows.select(V, R, "dir", F.array_join("names", ",").alias("tests"),
+                       F.concat(enter, F.lit("go test "), target, F.lit(" -run '^("), pattern, F.lit(")$'")).alias("command"))
+
+
+def _in_module(rows: DataFrame, modules: DataFrame) -> DataFrame:
+    """``module``: the longest module directory that is the row's directory or above it, '' for the root."""
+    parts = F.split("dir", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    dirs = rows.select(R, "dir").distinct().withColumn("module_dir", F.explode(above))
+    homes = dirs.join(modules.filter("module_dir NOT IN ('', '.')").select(R, "module_dir").distinct(), [R, "module_dir"]) \
+        .groupBy(R, "dir").agg(F.max_by("module_dir", F.length("module_dir")).alias("module"))
+    return rows.join(homes, [R, "dir"], "left").withColumn("module", F.coalesce("module", F.lit("")))
 
 
 def import_scope(packages: DataFrame, imports: DataFrame, changed: DataFrame) -> DataFrame:
@@ -307,7 +340,7 @@ def import_scope(packages: DataFrame, imports: DataFrame, changed: DataFrame) ->
 
 def entry_points(symbols: DataFrame, call_edges: DataFrame | None = None, patterns: Sequence[tuple[str, str, str]] = (),
                  registered: DataFrame | None = None) -> DataFrame:
-    """Where flows start: (repo_id, id, kind, reason); a symbol may have several.
+    """Where flows start: (repo_id, id, kind, reason, rule); a symbol may have several, ``rule`` numbers them in order.
 
     ``patterns`` are (name regex, signature shape, reason), either part may be
     ''. ``registered`` are entry points found elsewhere. With ``call_edges``,
@@ -316,14 +349,17 @@ def entry_points(symbols: DataFrame, call_edges: DataFrame | None = None, patter
     """
     functions = navigable(symbols)
     free = F.coalesce("receiver", F.lit("")) == ""
-    rule = lambda rows, kind, reason: rows.select("repo_id", "id", F.lit(kind).alias("kind"), F.lit(reason).alias("reason"))
     rules = []
+
+    def rule(rows: DataFrame, kind: str, reason: str) -> DataFrame:
+        return rows.select(R, "id", F.lit(kind).alias("kind"), F.lit(reason).alias("reason"), F.lit(len(rules)).alias("rule"))
+
     for prefix, reason in TEST_PREFIXES.items():
         here = free & F.endswith(F.col("path"), F.lit("_test.go")) & F.startswith(F.col("name"), F.lit(prefix))
         rules.append(rule(functions.filter(here), "test", reason))
     rules.append(rule(functions.filter(free & (F.col("name") == "main") & (F.col("package_name") == "main")),
-                      "main", "package main's main function"))
-    rules.append(rule(functions.filter(free & (F.col("name") == "init")), "init", "init function, run automatically before main"))
+                      "main", MAIN_REASON))
+    rules.append(rule(functions.filter(free & (F.col("name") == "init")), "init", INIT_REASON))
     for shape, reason in HANDLERS.items():
         rules.append(rule(functions.filter(F.col("shape") == shape), "http-handler", reason))
     for name, shape, reason in patterns:
@@ -331,18 +367,18 @@ def entry_points(symbols: DataFrame, call_edges: DataFrame | None = None, patter
             fits = (F.col("name").rlike(name) if name else F.lit(True)) & (F.col("shape") == shape if shape else F.lit(True))
             rules.append(rule(functions.filter(fits), "custom", reason))
     if registered is not None:
-        rules.append(registered.select("repo_id", "id", "kind", "reason"))
+        rules.append(registered.select(R, "id", "kind", "reason", F.lit(len(rules)).alias("rule")))
     found = rules[0]
     for more in rules[1:]:
         found = found.unionByName(more)
     if call_edges is None:
         return found
-    called = call_edges.select("repo_id", F.col("to_id").alias("id"))
-    idle = functions.filter("exported").join(found.select("repo_id", "id"), ["repo_id", "id"], "left_anti") \
-        .join(called, ["repo_id", "id"], "left_anti")
-    return found.unionByName(rule(idle, "unreferenced", "exported, no in-module callers"))
+    called = call_edges.select(R, F.col("to_id").alias("id"))
+    idle = functions.filter("exported").join(found.select(R, "id"), [R, "id"], "left_anti") \
+        .join(called, [R, "id"], "left_anti")
+    return found.unionByName(rule(idle, "unreferenced", IDLE_REASON))
 
 
 def entry_point_index(entries: DataFrame) -> DataFrame:
-    """One entry point per symbol: the most specific kind, the first reason on ties."""
-    return first_per_key(entries, ["repo_id", "id"], F.struct(X.entry_priority("kind"), "reason"))
+    """One entry point per symbol: the most specific kind, the first rule on ties."""
+    return first_per_key(entries, [R, "id"], F.struct(X.entry_priority("kind"), "rule", "reason"))

@@ -20,9 +20,9 @@ _FINDING = ("severity string, title string, explanation string, evidence array<s
 
 
 def is_json(text):
-    """Whether a text is one JSON value and nothing after it; a lone parse would ignore what follows."""
+    """Whether a text is one JSON value and nothing after it; a lone parse would ignore what follows, and blank text is none."""
     boxed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    return boxed.isNotNull() & F.try_variant_get(boxed, "$[1]", "variant").isNull()
+    return F.rlike(text, F.lit(r"\S")) & boxed.isNotNull() & F.try_variant_get(boxed, "$[1]", "variant").isNull()
 
 
 def valid_output(outputs: DataFrame) -> DataFrame:
@@ -102,7 +102,7 @@ def valid_finding(findings: DataFrame) -> DataFrame:
 
 
 def locate_evidence(evidence: DataFrame, file_lines: DataFrame, window: int = VERIFY_WINDOW) -> DataFrame:
-    """Evidence (finding_id, ev_no, path, line, excerpt) with ``found_line``: the nearest line holding the excerpt.
+    """Evidence (finding_id, ev_no, repo_id, path, line, excerpt) with ``found_line``: the nearest line holding the excerpt.
 
     The cited line is tried first, then one after, one before, and so on. Each
     citation looks up its few candidate lines by equality, so nothing scans a
@@ -112,9 +112,9 @@ def locate_evidence(evidence: DataFrame, file_lines: DataFrame, window: int = VE
     steps = [0] + [d * s for d in range(1, window + 1) for s in (1, -1)]
     tries = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(d).alias("step")) for i, d in enumerate(steps)])
     asked = evidence.withColumn("_want", want).filter("_want != ''").withColumn("_t", F.explode(tries)) \
-        .select("finding_id", "ev_no", "path", "_want", "_t.rank", (F.col("line") + F.col("_t.step")).alias("_at"))
+        .select("finding_id", "ev_no", "repo_id", "path", "_want", "_t.rank", (F.col("line") + F.col("_t.step")).alias("_at"))
     text = F.regexp_replace("text", r"^\s+|\s+$", "")
-    hits = asked.join(file_lines.select("path", F.col("line").alias("_at"), text.alias("_text")), ["path", "_at"]) \
+    hits = asked.join(file_lines.select("repo_id", "path", F.col("line").alias("_at"), text.alias("_text")), ["repo_id", "path", "_at"]) \
         .filter(F.contains("_text", F.col("_want")))
     best = hits.groupBy("finding_id", "ev_no").agg(F.min_by("_at", "rank").alias("found_line"))
     return evidence.join(best, ["finding_id", "ev_no"], "left")
@@ -125,8 +125,8 @@ def verify_evidence(findings: DataFrame, evidence: DataFrame, file_lines: DataFr
 
     A finding's evidence comes from one parsed answer, so its reasons may be joined.
     """
-    known = file_lines.select("path").distinct().withColumn("_file", F.lit(True))
-    rows = locate_evidence(evidence, file_lines, window).join(known, "path", "left")
+    known = file_lines.select("repo_id", "path").distinct().withColumn("_file", F.lit(True))
+    rows = locate_evidence(evidence, file_lines, window).join(known, ["repo_id", "path"], "left")
     cited = F.concat("path", F.lit(":"), F.col("line").cast("string"))
     reason = F.when(F.col("found_line").isNotNull(), F.lit(None).cast("string")) \
         .when(F.trim(F.coalesce("excerpt", F.lit(""))) == "", F.concat(cited, F.lit(": empty excerpt"))) \

@@ -143,11 +143,11 @@ def steps_for_scenario(outline: DataFrame) -> DataFrame:
 
 
 def changed_scenarios(outline: DataFrame, hunks: DataFrame) -> DataFrame:
-    """Scenarios a new-side hunk overlaps: (review_id, path, id)."""
+    """Scenarios a new-side hunk overlaps: (review_id, repo_id, path, id)."""
     live = hunks.filter("status != 'deleted'") if "status" in hunks.columns else hunks
-    ranges = live.select(V, "path", new_range()[0].alias("_hs"), new_range()[1].alias("_he")).distinct()
-    boxes = outline.filter("kind = 'scenario'").select("path", "id", "start_line", "end_line")
-    return overlaps(ranges, boxes, ["path"], ("_hs", "_he"), ("start_line", "end_line")).select(V, "path", "id").distinct()
+    ranges = live.select(V, *FILE, new_range()[0].alias("_hs"), new_range()[1].alias("_he")).distinct()
+    boxes = outline.filter("kind = 'scenario'").select(*FILE, "id", "start_line", "end_line")
+    return overlaps(ranges, boxes, FILE, ("_hs", "_he"), ("start_line", "end_line")).select(V, *FILE, "id").distinct()
 
 
 def splice_scenarios(symbols: DataFrame, step_defs: DataFrame, uses: DataFrame) -> DataFrame:
@@ -199,7 +199,7 @@ def extract_step_defs(sources: DataFrame, symbols: DataFrame) -> DataFrame:
     is_regex = (F.col("language") == "go") | F.startswith("literal", F.lit("/")) | F.startswith(raw, F.lit("^"))
     rows = rows.withColumn("raw", raw).withColumn("pattern", F.when(is_regex, raw).otherwise(T.cucumber_to_regex(raw))) \
         .withColumn("keyword", F.when(F.col("keyword") == "Step", "").otherwise(F.col("keyword"))) \
-        .withColumn("def_id", F.concat(F.lit("stepdef:"), "path", F.lit(":"), F.col("line").cast("string")))
+        .withColumn("def_id", F.concat(F.lit("gherkin-stepdef:"), "path", F.lit(":"), F.col("line").cast("string")))
     around = (F.col("language") == "java") | F.col("handler").rlike(r"^(function|async)|=>")
     family = F.when(F.col("language").isin("typescript", "tsx"), "javascript").otherwise(F.col("language"))
     functions = symbols.filter(F.col("kind").isin("func", "method"))

@@ -1,8 +1,9 @@
 """Review order by flow: walk back from changed symbols to entry points, then read each flow from its entry.
 
-``changed`` is (review_id, id, ord): changed symbols in the order the patch
-lists them. ``call_edges`` is (from_id, to_id). ``nodes_info`` is (id, name,
-receiver, path, entry_kind), entry_kind NULL unless a symbol is an entry point.
+``changed`` is (review_id, repo_id, id, ord): changed symbols in the order the
+patch lists them. ``call_edges`` is (repo_id, from_id, to_id). ``info`` is
+(repo_id, id, name, receiver, path, entry_kind), entry_kind NULL unless a symbol
+is an entry point. Ids and paths repeat between repositories.
 """
 
 from __future__ import annotations
@@ -13,120 +14,135 @@ from pyspark.sql import functions as F
 from workgraph.functions import ids as X
 from workgraph.functions import paths as P
 from workgraph.operators import closure
+from workgraph.operators.closure import _remember, _union
 from workgraph.operators.scan import first_per_key, ranked, top_per_key
 from workgraph.session import cut
 
-V = "review_id"
-# Hops and nodes a flow walk may take.
-FLOW_DEPTH, FLOW_NODES = 6, 500
+V, R = "review_id", "repo_id"
+VR = [V, R]
+# What is said of a symbol nothing calls, and of a group without an entry point.
+NO_CALLERS, NO_ENTRY = "no in-repo callers found", " (no entry point found)"
 
 
-def flow_subgraph(changed: DataFrame, call_edges: DataFrame, entry_ids: DataFrame, depth: int = FLOW_DEPTH,
-                  max_nodes: int = FLOW_NODES) -> tuple[DataFrame, DataFrame]:
+def flow_subgraph(changed: DataFrame, call_edges: DataFrame, entry_ids: DataFrame, depth: int | None = None,
+                  max_nodes: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) found walking callers back from the changed symbols of each review.
 
-    Entry points are reached but not expanded. Nodes are counted in discovery
-    order, changed symbols first; once a review holds ``max_nodes`` nothing
-    more is recorded for it. ``nodes`` is (review_id, node, depth, path,
-    changed, is_entry); ``edges`` is (review_id, caller, callee).
+    Entry points are reached but not expanded. The walk ends when nothing new
+    is found, unless the caller bounds it: ``depth`` by hops, ``max_nodes`` by
+    nodes counted in discovery order, changed symbols first; a review that
+    ``max_nodes`` stops has ``cut_off`` set on its nodes. ``nodes`` is (review_id,
+    repo_id, node, depth, path, changed, is_entry, cut_off); ``edges`` is
+    (review_id, repo_id, caller, callee).
     """
-    calls = cut(call_edges.select(F.col("to_id").alias("node"), F.col("from_id").alias("caller")).distinct())
-    entries = cut(entry_ids.select(F.col("id").alias("node")).distinct()).withColumn("is_entry", F.lit(True))
-    mark = lambda rows: rows.join(entries, "node", "left").withColumn("is_entry", F.coalesce("is_entry", F.lit(False)))
-    seeds = changed.groupBy(V, F.col("id").alias("node")).agg(F.min("ord").alias("_o")) \
-        .select(V, "node", F.lit(0).alias("depth"), F.array(F.lpad(F.col("_o").cast("string"), 12, "0")).alias("path"),
+    calls = cut(call_edges.select(R, F.col("to_id").alias("node"), F.col("from_id").alias("caller")).distinct())
+    entries = cut(entry_ids.select(R, F.col("id").alias("node")).distinct()).withColumn("is_entry", F.lit(True))
+    mark = lambda rows: rows.join(entries, [R, "node"], "left").withColumn("is_entry", F.coalesce("is_entry", F.lit(False)))
+    seeds = changed.groupBy(*VR, F.col("id").alias("node")).agg(F.min("ord").alias("_o")) \
+        .select(*VR, "node", F.lit(0).alias("depth"), F.array(F.lpad(F.col("_o").cast("string"), 12, "0")).alias("path"),
                 F.lit(True).alias("changed"))
     nodes = cut(mark(seeds))
-    frontier, level, tried = nodes, 0, []
-    while level < depth:
-        sizes = nodes.groupBy(V).agg(F.count(F.lit(1)).alias("_n"))
-        open_ = frontier.filter(~F.col("is_entry")).join(sizes.filter(F.col("_n") < max_nodes).select(V), V, "left_semi")
-        seen = cut(open_.join(calls, "node").select(
-            V, F.col("node").alias("callee"), "caller", F.concat("path", F.array("caller")).alias("path")))
+    frontier, level, tried, rounds = nodes, 0, [], [nodes]
+    while depth is None or level < depth:
+        open_ = frontier.filter(~F.col("is_entry"))
+        if max_nodes is not None:
+            sizes = nodes.groupBy(*VR).agg(F.count(F.lit(1)).alias("_n"))
+            open_ = open_.join(sizes.filter(F.col("_n") < max_nodes).select(*VR), VR, "left_semi")
+        seen = cut(open_.join(calls, [R, "node"]).select(
+            *VR, F.col("node").alias("callee"), "caller", F.concat("path", F.array("caller")).alias("path")))
         if seen.isEmpty():
             break
-        tried.append(seen)
+        _remember(tried, seen)
         level += 1
-        fresh = seen.join(nodes.select(V, F.col("node").alias("caller")), [V, "caller"], "left_anti") \
-            .groupBy(V, F.col("caller").alias("node")).agg(F.min("path").alias("path"))
-        # A review never needs more new nodes than its cap.
-        fresh = top_per_key(fresh, [V], [F.col("path")], max_nodes, "_k").drop("_k")
-        found = cut(mark(fresh.withColumn("depth", F.lit(level)).withColumn("changed", F.lit(False))).select(*nodes.columns))
-        nodes, frontier = nodes.unionByName(found), found
-    seeds_kept = nodes.filter("depth = 0")
-    room = seeds_kept.groupBy(V).agg(F.count(F.lit(1)).alias("_seeds"))
-    later = top_per_key(nodes.filter("depth > 0"), [V], [F.col("depth"), F.col("path")], max_nodes, "_place")
-    later = cut(later.join(room, V).filter(F.col("_place") <= max_nodes - F.col("_seeds")))
-    nodes = seeds_kept.unionByName(later.drop("_place", "_seeds").select(*seeds_kept.columns))
+        fresh = seen.join(nodes.select(*VR, F.col("node").alias("caller")), [*VR, "caller"], "left_anti") \
+            .groupBy(*VR, F.col("caller").alias("node")).agg(F.min("path").alias("path"))
+        if max_nodes is not None:  # a review never needs more new nodes than its bound
+            fresh = top_per_key(fresh, VR, [F.col("path")], max_nodes, "_k").drop("_k")
+        frontier = cut(mark(fresh.withColumn("depth", F.lit(level)).withColumn("changed", F.lit(False))).select(*nodes.columns))
+        _remember(rounds, frontier)
+        nodes = _union(rounds)
     if not tried:
-        return nodes, nodes.select(V, F.col("node").alias("caller"), F.col("node").alias("callee")).limit(0)
-    edges = tried[0]
-    for more in tried[1:]:
-        edges = edges.unionByName(more)
+        return nodes.withColumn("cut_off", F.lit(False)), nodes.select(*VR, F.col("node").alias("caller"), F.col("node").alias("callee")).limit(0)
+    edges = _union(tried)
+    if max_nodes is None:
+        return nodes.withColumn("cut_off", F.lit(False)), edges.select(*VR, "caller", "callee").distinct()
+    found = nodes.groupBy(*VR).agg((F.count(F.lit(1)) >= max_nodes).alias("cut_off"))
+    seeds_kept = nodes.filter("depth = 0")
+    room = seeds_kept.groupBy(*VR).agg(F.count(F.lit(1)).alias("_seeds"))
+    later = top_per_key(nodes.filter("depth > 0"), VR, [F.col("depth"), F.col("path")], max_nodes, "_place")
+    later = cut(later.join(room, VR).filter(F.col("_place") <= max_nodes - F.col("_seeds")))
+    nodes = seeds_kept.unionByName(later.drop("_place", "_seeds").select(*seeds_kept.columns)).join(found, VR)
     # The discovery that fills a review is the last thing recorded for it.
-    full = later.filter(F.col("_place") == max_nodes - F.col("_seeds")).select(V, F.struct("depth", "path").alias("_last"))
-    kept = edges.join(full, V, "left").filter(
+    full = later.filter(F.col("_place") == max_nodes - F.col("_seeds")).select(*VR, F.struct("depth", "path").alias("_last"))
+    kept = edges.join(full, VR, "left").filter(
         F.col("_last").isNull() | (F.struct(F.size("path") - 1, "path") <= F.col("_last")))
-    ends = nodes.select(V, "node")
-    kept = kept.join(ends.withColumnRenamed("node", "caller"), [V, "caller"], "left_semi") \
-        .join(ends.withColumnRenamed("node", "callee"), [V, "callee"], "left_semi")
-    return nodes, kept.select(V, "caller", "callee").distinct()
+    ends = nodes.select(*VR, "node")
+    kept = kept.join(ends.withColumnRenamed("node", "caller"), [*VR, "caller"], "left_semi") \
+        .join(ends.withColumnRenamed("node", "callee"), [*VR, "callee"], "left_semi")
+    return nodes, kept.select(*VR, "caller", "callee").distinct()
 
 
 def _why(nodes: DataFrame, edges: DataFrame, info: DataFrame) -> DataFrame:
-    """The chain of callers above each changed node, always along the smallest caller id."""
-    up = edges.groupBy(V, F.col("callee").alias("node")).agg(F.min("caller").alias("up"))
+    """The chain of callers above each changed node, always along the smallest caller id; it ends at an entry point,
+    at a node without callers, or where it would come round again."""
+    up = edges.groupBy(*VR, F.col("callee").alias("node")).agg(F.min("caller").alias("up"))
     label = X.hop_label("is_entry", "entry_kind", "receiver", "name", "changed")
-    labels = cut(nodes.drop("path").join(info.withColumnRenamed("id", "node"), "node", "left").join(up, [V, "node"], "left")
-                 .select(V, "node", label.alias("label"), "is_entry", "up"))
-    walk = labels.filter("up IS NOT NULL").select(V, "node", F.col("up").alias("_at"), F.lit("called from ").alias("why")) \
-        .join(nodes.filter("changed").select(V, "node"), [V, "node"], "left_semi")
-    step = labels.select(V, F.col("node").alias("_at"), F.col("label").alias("_l"), F.col("is_entry").alias("_e"), F.col("up").alias("_up"))
-    for hop in range(FLOW_DEPTH + 1):
-        joint = "" if hop == 0 else " ← "
-        walk = walk.join(step, [V, "_at"], "left").select(
-            V, "node", F.when(F.col("_e"), F.lit(None).cast("string")).otherwise(F.col("_up")).alias("_at"),
-            F.concat("why", F.coalesce(F.concat(F.lit(joint), "_l"), F.lit(""))).alias("why"))
-    return nodes.filter("changed").select(V, "node").join(walk.drop("_at"), [V, "node"], "left") \
-        .withColumn("why", F.coalesce("why", F.lit("no in-repo callers found")))
+    labels = cut(nodes.drop("path").join(info.withColumnRenamed("id", "node"), [R, "node"], "left").join(up, [*VR, "node"], "left")
+                 .select(*VR, "node", label.alias("label"), "is_entry", "up"))
+    step = labels.select(*VR, F.col("node").alias("_at"), F.col("label").alias("_l"), F.col("is_entry").alias("_e"), F.col("up").alias("_up"))
+    going = cut(labels.filter("up IS NOT NULL").select(*VR, "node", F.col("up").alias("_at"), F.lit("called from ").alias("why"), F.array("node").alias("_seen"))
+                .join(nodes.filter("changed").select(*VR, "node"), [*VR, "node"], "left_semi"))
+    ended, joint = [], ""
+    while not going.isEmpty():
+        seen = F.concat("_seen", F.array("_at"))
+        above = F.when(F.col("_e") | F.array_contains(seen, F.col("_up")), F.lit(None).cast("string")).otherwise(F.col("_up"))
+        going = cut(going.join(step, [*VR, "_at"], "left").select(
+            *VR, "node", above.alias("_at"), F.concat("why", F.coalesce(F.concat(F.lit(joint), "_l"), F.lit(""))).alias("why"), seen.alias("_seen")))
+        _remember(ended, going.filter("_at IS NULL").select(*VR, "node", "why"))
+        going, joint = going.filter("_at IS NOT NULL"), " ← "
+    asked = nodes.filter("changed").select(*VR, "node")
+    said = asked.join(_union(ended), [*VR, "node"], "left") if ended else asked.withColumn("why", F.lit(None).cast("string"))
+    return said.withColumn("why", F.coalesce("why", F.lit(NO_CALLERS)))
 
 
 def flow_order(files: DataFrame, changed: DataFrame, call_edges: DataFrame, info: DataFrame,
                hotspots: DataFrame | None = None) -> DataFrame:
-    """Changed files grouped by flow: (review_id, group_no, title, entry_id, pos_in_group, path, why, hotspot).
+    """Changed files grouped by flow: (review_id, repo_id, group_no, title, entry_id, pos_in_group, path, why, hotspot).
 
-    ``files`` is (review_id, path, diff_no); ``hotspots`` is (path, score).
+    ``files`` is (review_id, repo_id, path, diff_no); ``hotspots`` is (repo_id, path, score).
     Within a group files follow their earliest changed symbol from the entry
     down; a path goes to the first group that claims it. Files no group claims
     have NULL group columns and are ordered by :func:`unclassified`.
     """
-    entry_ids = info.filter("entry_kind IS NOT NULL").select("id")
+    entry_ids = info.filter("entry_kind IS NOT NULL").select(R, "id")
     nodes, edges = flow_subgraph(changed, call_edges, entry_ids)
-    nodes, edges = cut(nodes), cut(edges)
-    comps = closure.connected_components(nodes.select(V, "node"), edges, tenant=V, src="caller", dst="callee")
-    layers = cut(closure.topo_layers(comps, edges, tenant=V, src="caller", dst="callee")
-                 .join(nodes.select(V, "node", "changed", "is_entry"), [V, "node"])
-                 .join(info.withColumnRenamed("id", "node"), "node", "left"))
+    both = F.struct(*VR).alias("_t")
+    nodes, edges = cut(nodes.withColumn("_t", both)), cut(edges.withColumn("_t", both))
+    comps = closure.connected_components(nodes.select("_t", "node"), edges, tenant="_t", src="caller", dst="callee")
+    layers = cut(closure.topo_layers(comps, edges, tenant="_t", src="caller", dst="callee")
+                 .join(nodes.select("_t", *VR, "node", "changed", "is_entry"), ["_t", "node"]).drop("_t")
+                 .join(info.withColumnRenamed("id", "node"), [R, "node"], "left"))
+    nodes, edges = nodes.drop("_t"), edges.drop("_t")
     place = F.struct("layer", "node")
     label = X.display_name("receiver", "name")
-    titles = layers.groupBy(V, "component").agg(
+    titles = layers.groupBy(*VR, "component").agg(
         F.min(F.when(F.col("is_entry"), F.struct("layer", "node", F.concat(X.entry_label("entry_kind"), F.lit(" "), label).alias("t")))).alias("_e"),
-        F.min(F.when(F.col("changed"), F.struct("layer", "node", F.concat(label, F.lit(" (no entry point found)")).alias("t")))).alias("_c")) \
-        .select(V, "component", F.coalesce("_e.t", "_c.t", F.lit("unknown")).alias("title"), F.col("_e.node").alias("entry_id"))
-    hits = layers.filter("changed").join(files, [V, "path"]) \
-        .groupBy(V, "path", "diff_no", "component").agg(F.min(place).alias("at"))
-    claimed = first_per_key(hits, [V, "path"], F.col("component"))
-    score = files.select("path").distinct().withColumn("hotspot", F.lit(0.0)) if hotspots is None else \
-        hotspots.select("path", F.col("score").alias("hotspot"))
-    rows = claimed.withColumn("node", F.col("at.node")).join(titles, [V, "component"]).join(_why(nodes, edges, info), [V, "node"])
-    rows = rows.join(score, "path", "left").withColumn("hotspot", F.coalesce("hotspot", F.lit(0.0)))
-    heads = rows.groupBy(V, "component").agg(F.min("diff_no").alias("_first"))
-    numbered = ranked(heads, [V], [F.col("_first"), F.col("component")], "group_no")
-    out = ranked(rows, [V, "component"], [F.col("at.layer"), F.col("at.node"), -F.col("hotspot"), F.col("path")], "pos_in_group") \
-        .join(numbered.drop("_first"), [V, "component"]) \
-        .select(V, "group_no", "title", "entry_id", "pos_in_group", "path", "why", "hotspot")
-    rest = unclassified(files, claimed.select(V, "path"), nodes, info, hotspots).select(
-        V, F.lit(None).cast("long").alias("group_no"), F.lit(None).cast("string").alias("title"),
+        F.min(F.when(F.col("changed"), F.struct("layer", "node", F.concat(label, F.lit(NO_ENTRY)).alias("t")))).alias("_c")) \
+        .select(*VR, "component", F.coalesce("_e.t", "_c.t", F.lit("unknown")).alias("title"), F.col("_e.node").alias("entry_id"))
+    hits = layers.filter("changed").join(files, [*VR, "path"]) \
+        .groupBy(*VR, "path", "diff_no", "component").agg(F.min(place).alias("at"))
+    claimed = first_per_key(hits, [*VR, "path"], F.col("component"))
+    score = files.select(R, "path").distinct().withColumn("hotspot", F.lit(0.0)) if hotspots is None else \
+        hotspots.select(R, "path", F.col("score").alias("hotspot"))
+    rows = claimed.withColumn("node", F.col("at.node")).join(titles, [*VR, "component"]).join(_why(nodes, edges, info), [*VR, "node"])
+    rows = rows.join(score, [R, "path"], "left").withColumn("hotspot", F.coalesce("hotspot", F.lit(0.0)))
+    heads = rows.groupBy(*VR, "component").agg(F.min("diff_no").alias("_first"))
+    numbered = ranked(heads, [V], [F.col("_first"), F.col(R), F.col("component")], "group_no")
+    out = ranked(rows, [*VR, "component"], [F.col("at.layer"), F.col("at.node"), -F.col("hotspot"), F.col("path")], "pos_in_group") \
+        .join(numbered.drop("_first"), [*VR, "component"]) \
+        .select(*VR, "group_no", "title", "entry_id", "pos_in_group", "path", "why", "hotspot")
+    rest = unclassified(files, claimed.select(*VR, "path"), nodes, info, hotspots).select(
+        *VR, F.lit(None).cast("long").alias("group_no"), F.lit(None).cast("string").alias("title"),
         F.lit(None).cast("string").alias("entry_id"), F.col("place").alias("pos_in_group"), "path",
         F.lit("").alias("why"), "hotspot")
     return out.unionByName(rest)
@@ -135,12 +151,12 @@ def flow_order(files: DataFrame, changed: DataFrame, call_edges: DataFrame, info
 def unclassified(files: DataFrame, placed: DataFrame, nodes: DataFrame, info: DataFrame,
                  hotspots: DataFrame | None = None) -> DataFrame:
     """Changed files no group claimed, by shallowest symbol, then hotspot, then path: adds place and hotspot."""
-    depth = nodes.select(V, "node", "depth").join(info.select(F.col("id").alias("node"), "path"), "node").groupBy(V, "path").agg(F.min("depth").alias("_d"))
-    rows = files.join(placed, [V, "path"], "left_anti").join(depth, [V, "path"], "left") \
+    depth = nodes.select(*VR, "node", "depth").join(info.select(R, F.col("id").alias("node"), "path"), [R, "node"]).groupBy(*VR, "path").agg(F.min("depth").alias("_d"))
+    rows = files.join(placed, [*VR, "path"], "left_anti").join(depth, [*VR, "path"], "left") \
         .withColumn("_d", F.coalesce("_d", F.lit(1 << 30)))
     rows = rows.withColumn("hotspot", F.lit(0.0)) if hotspots is None else \
-        rows.join(hotspots.select("path", F.col("score").alias("hotspot")), "path", "left").fillna(0.0, ["hotspot"])
-    return ranked(rows, [V], [F.col("_d"), -F.col("hotspot"), F.col("path")], "place").drop("_d")
+        rows.join(hotspots.select(R, "path", F.col("score").alias("hotspot")), [R, "path"], "left").fillna(0.0, ["hotspot"])
+    return ranked(rows, [V], [F.col("_d"), -F.col("hotspot"), F.col("path"), F.col(R)], "place").drop("_d")
 
 
 def order_files(files: DataFrame, how: str) -> DataFrame:

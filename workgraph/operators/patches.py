@@ -21,8 +21,10 @@ from workgraph.operators.scan import running_total, top_per_key
 
 FILE = ["review_id", "file_no"]
 HUNK = [*FILE, "hunk_no"]
-# Token limit per side of an intraline comparison, and lines shown around a line nothing encloses.
-MAX_TOKENS, FALLBACK_LINES = 400, 15
+# Fixed value: lines shown around a line nothing encloses.
+FALLBACK_LINES = 15
+# Cells of a token comparison that are held at once; larger ones are halved, so that memory stays bounded.
+CELLS = 4_000_000
 # Words never proposed as symbols.
 COMMON_WORDS = ["the", "and", "for", "return", "func", "var", "const", "import", "package", "true", "false", "nil",
                 "err", "error", "string", "int", "bool", "struct", "interface", "type", "if", "else", "range", "ctx",
@@ -76,15 +78,35 @@ def change_texts(lines: DataFrame) -> DataFrame:
     return pairs.join(text("old_line", "old_text"), [*HUNK, "old_line"]).join(text("new_line", "new_text"), [*HUNK, "new_line"])
 
 
-def _common(old: list[str], new: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Which tokens of either side lie on the longest common subsequence."""
-    codes = {t: i for i, t in enumerate(dict.fromkeys(old + new))}
-    a, b = np.array([codes[t] for t in old]), np.array([codes[t] for t in new])
+def _rows(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequence of ``a`` with every beginning of ``b``."""
+    best = np.zeros(len(b) + 1, np.int32)
+    for code in a:
+        best[1:] = np.maximum.accumulate(np.maximum(best[1:], best[:-1] + (b == code)))
+    return best
+
+
+def _shared(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which tokens of either side lie on the longest common subsequence; halved until the table fits."""
+    kept_a, kept_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
+    differ = np.flatnonzero(a[:min(len(a), len(b))] != b[:min(len(a), len(b))])
+    same = int(differ[0]) if len(differ) else min(len(a), len(b))
+    if same:
+        kept_a[:same] = kept_b[:same] = True
+        kept_a[same:], kept_b[same:] = _shared(a[same:], b[same:]) if same < min(len(a), len(b)) else (kept_a[same:], kept_b[same:])
+        return kept_a, kept_b
+    if not len(a) or not len(b):
+        return kept_a, kept_b
+    if len(a) * len(b) > CELLS and len(a) > 1:
+        half = len(a) // 2
+        place = int(np.argmax(_rows(a[:half], b) + _rows(a[half:][::-1], b[::-1])[::-1]))
+        kept_a[:half], kept_b[:place] = _shared(a[:half], b[:place])
+        kept_a[half:], kept_b[place:] = _shared(a[half:], b[place:])
+        return kept_a, kept_b
     best = np.zeros((len(a) + 1, len(b) + 1), dtype=np.int32)
     for i in range(len(a) - 1, -1, -1):
         row = np.maximum(best[i + 1, :-1], best[i + 1, 1:] + (b == a[i]))
         best[i, :-1] = np.maximum.accumulate(row[::-1])[::-1]
-    kept_a, kept_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
     i = j = 0
     while i < len(a) and j < len(b):
         if a[i] == b[j]:
@@ -97,6 +119,12 @@ def _common(old: list[str], new: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return kept_a, kept_b
 
 
+def _common(old: list[str], new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Which tokens of either side lie on the longest common subsequence."""
+    codes = {t: i for i, t in enumerate(dict.fromkeys(old + new))}
+    return _shared(np.array([codes[t] for t in old], np.int64), np.array([codes[t] for t in new], np.int64))
+
+
 def _gaps(tokens: list[str], kept: np.ndarray) -> list[dict]:
     """Byte ranges of the tokens not kept, neighbours merged."""
     out, at = [], 0
@@ -118,7 +146,7 @@ def _marks(old: pd.Series, new: pd.Series) -> pd.DataFrame:
     rows = []
     for a, b in zip(old, new):
         a, b = list(a), list(b)
-        if not a or not b or len(a) > MAX_TOKENS or len(b) > MAX_TOKENS:
+        if not a or not b or a == b:
             rows.append({"old": [], "new": []})
             continue
         kept_a, kept_b = _common(a, b)
@@ -127,7 +155,7 @@ def _marks(old: pd.Series, new: pd.Series) -> pd.DataFrame:
 
 
 def intraline_marks(changes: DataFrame) -> DataFrame:
-    """Changed byte ranges of paired lines; pairs past the token limit get none."""
+    """Changed byte ranges of paired lines, however long; a pair with an empty side gets none."""
     return changes.withColumn("marks", _marks(T.word_tokens("old_text"), T.word_tokens("new_text"))) \
         .select(*changes.columns, F.col("marks.old").alias("old_marks"), F.col("marks.new").alias("new_marks"))
 
@@ -223,8 +251,8 @@ def draft_cases(hunks: DataFrame, min_lines: int, max_lines: int, per_commit: in
         .withColumn("case_no", F.col("_before") + F.col("in_commit")).drop("_before")
 
 
-def candidate_symbols(enclosing: DataFrame, lines: DataFrame, n: int = 12) -> DataFrame:
-    """Identifiers worth labelling per hunk: the signature line and changed lines, first n by name.
+def candidate_symbols(enclosing: DataFrame, lines: DataFrame, n: int | None = None) -> DataFrame:
+    """Identifiers worth labelling per hunk: the signature line and changed lines, numbered by name; the first n if given.
 
     ``enclosing`` is (review_id, file_no, hunk_no, text).
     """
@@ -233,19 +261,18 @@ def candidate_symbols(enclosing: DataFrame, lines: DataFrame, n: int = 12) -> Da
     found = F.regexp_extract_all("text", F.lit(START + "[A-Za-z_][A-Za-z0-9_]{2,}" + END), 0)
     tokens = texts.select(*HUNK, F.explode(found).alias("symbol")) \
         .filter(~F.lower("symbol").isin(COMMON_WORDS)).distinct()
-    return top_per_key(tokens, HUNK, [F.col("symbol")], n, "place")
+    placed = tokens.withColumn("place", F.row_number().over(Window.partitionBy(*HUNK).orderBy("symbol")))
+    return placed if n is None else placed.filter(F.col("place") <= n)
 
 
 def changed_paths_fingerprint(files: DataFrame, hunks: DataFrame, suffix: str = ".go") -> DataFrame:
-    """One number per review that changes when a changed source path or its new-side ranges do.
+    """One key per review that changes when a changed source path or its new-side ranges do.
 
-    Hunk digests are summed, so a review of any size is combined map-side and
-    in any order; file contents are never read.
+    Hunk digests are summed in independent lanes, so a review of any size is
+    combined map-side and in any order; file contents are never read.
     """
     source = files.filter(F.endswith(F.col("path"), F.lit(suffix)) & (F.length("path") > len(suffix)))
     rows = source.join(hunks.select(*HUNK, "new_start", "new_lines"), FILE, "left")
     text = F.concat_ws("|", "path", F.coalesce(F.col("hunk_no"), F.lit(-1)).cast("string"),
                        F.concat_ws(",", F.col("new_start").cast("string"), F.col("new_lines").cast("string")))
-    digest = F.conv(F.substring(F.sha1(text), 1, 12), 16, 10).cast("decimal(38,0)")
-    return rows.groupBy("review_id").agg(F.sum(digest).cast("string").alias("fingerprint"),
-                                         F.count(F.lit(1)).alias("parts"))
+    return rows.groupBy("review_id").agg(P.set_digest(text).alias("fingerprint"), F.count(F.lit(1)).alias("parts"))

@@ -54,55 +54,55 @@ RADIUS_PARTS = {"caller": (1, "  unchanged callers (%d):", "    "), "site": (2,
 
 
 def radius_report(changed: DataFrame, radius: DataFrame) -> DataFrame:
-    """What each changed function affects: (review_id, symbol, part_no, other, path, line, text).
+    """What each changed function affects: (review_id, repo_id, symbol, part_no, other, path, line, text).
 
-    ``changed`` is (review_id, symbol, kind, signature_changed).
+    ``changed`` is (review_id, repo_id, symbol, kind, signature_changed).
     """
     pick = lambda i: F.element_at(F.create_map(*[x for part, spec in RADIUS_PARTS.items() for x in (F.lit(part), F.lit(spec[i]))]), F.col("part"))
     none = F.lit(None).cast("string")
-    head = changed.select(V, "symbol", F.lit(0).alias("part_no"), none.alias("other"), none.alias("path"), F.lit(None).cast("long").alias("line"),
+    head = changed.select(V, "repo_id", "symbol", F.lit(0).alias("part_no"), none.alias("other"), none.alias("path"), F.lit(None).cast("long").alias("line"),
                           F.concat("symbol", F.lit(" ("), "kind", F.lit(")"), F.when(F.col("signature_changed"), " [signature changed]").otherwise("")).alias("text"))
-    counts = radius.groupBy(V, "symbol", "part").agg(F.count(F.lit(1)).alias("n"))
-    titles = counts.select(V, "symbol", pick(0).alias("part_no"), none.alias("other"), none.alias("path"), F.lit(None).cast("long").alias("line"),
+    counts = radius.groupBy(V, "repo_id", "symbol", "part").agg(F.count(F.lit(1)).alias("n"))
+    titles = counts.select(V, "repo_id", "symbol", pick(0).alias("part_no"), none.alias("other"), none.alias("path"), F.lit(None).cast("long").alias("line"),
                            F.replace(pick(1), F.lit("%d"), F.col("n").cast("string")).alias("text"))
     seat = F.when(F.col("path").isNotNull(), F.format_string(" (%s:%d)", "path", "line")).otherwise("")
     flag = F.when(F.col("in_diff"), " [in diff]").otherwise(" [not in diff]")
-    rows = radius.select(V, "symbol", pick(0).alias("part_no"), "other", "path", "line", F.concat(pick(2), "other", seat, flag).alias("text"))
+    rows = radius.select(V, "repo_id", "symbol", pick(0).alias("part_no"), "other", "path", "line", F.concat(pick(2), "other", seat, flag).alias("text"))
     return head.unionByName(titles).unionByName(rows)
 
 
 def reach_report(reach: DataFrame, commands: DataFrame) -> DataFrame:
-    """Which changed functions a test reaches and how to run those tests: (review_id, part_no, id, n, text)."""
-    key = lambda part, ident, n: [V, F.lit(part).alias("part_no"), ident.alias("id"), F.lit(n).alias("n")]
-    totals = reach.groupBy(V).agg(F.count(F.when(F.col("reached"), 1)).alias("hit"), F.count(F.lit(1)).alias("all"))
+    """Which changed functions a test reaches and how to run those tests: (review_id, repo_id, part_no, id, n, text)."""
+    key = lambda part, ident, n: [V, "repo_id", F.lit(part).alias("part_no"), ident.alias("id"), F.lit(n).alias("n")]
+    totals = reach.groupBy(V, "repo_id").agg(F.count(F.when(F.col("reached"), 1)).alias("hit"), F.count(F.lit(1)).alias("all"))
     head = _lines(totals, key(0, F.lit(""), 0), F.format_string("Test reach: %d/%d changed functions reached by a test", "hit", "all"))
     marks = _lines(reach, key(1, F.col("id"), 0), F.concat(F.lit("  ["), F.when(F.col("reached"), "x").otherwise(" "), F.lit("] "), "id"))
     by = _lines(reach.filter("reached"), key(1, F.col("id"), 1), F.concat(F.lit("        by "), F.array_join("tests", ", ")))
-    hint = _lines(commands.select(V).distinct(), key(2, F.lit(""), 0), F.lit("Suggested:"))
-    runs = _lines(commands, key(3, F.concat_ws("#", "dir", F.col("chunk").cast("string")), 0), F.concat(F.lit("  "), "command"))
+    hint = _lines(commands.select(V, "repo_id").distinct(), key(2, F.lit(""), 0), F.lit("Suggested:"))
+    runs = _lines(commands, key(3, F.col("dir"), 0), F.concat(F.lit("  "), "command"))
     return head.unionByName(marks).unionByName(by).unionByName(hint).unionByName(runs)
 
 
 def context_report(wanted: DataFrame, edges: DataFrame) -> DataFrame:
-    """Callers, callees and implementations of each symbol: (id, section, confidence_no, other, path, line, text).
+    """Callers, callees and implementations of each symbol: (repo_id, id, section, confidence_no, other, path, line, text).
 
-    ``edges`` is (id, section, other, confidence, path, line), section 1 to 3.
+    ``edges`` is (repo_id, id, section, other, confidence, path, line), section 1 to 3.
     """
     # Section titles and confidences in the order they are listed.
     titles = {1: "Callers", 2: "Callees", 3: "Implementations"}
     levels = ["static", "interface-dispatch", "heuristic"]
     sections = F.explode(F.array(*[F.struct(F.lit(i).alias("section"), F.lit(t).alias("title")) for i, t in titles.items()])).alias("s")
-    counts = edges.groupBy("id", "section").agg(F.count(F.lit(1)).alias("n"))
-    every = wanted.select("id").distinct().select("id", sections).select("id", "s.section", "s.title") \
-        .join(counts, ["id", "section"], "left").fillna(0, ["n"])
+    counts = edges.groupBy("repo_id", "id", "section").agg(F.count(F.lit(1)).alias("n"))
+    every = wanted.select("repo_id", "id").distinct().select("repo_id", "id", sections).select("repo_id", "id", "s.section", "s.title") \
+        .join(counts, ["repo_id", "id", "section"], "left").fillna(0, ["n"])
     blank = F.lit(None).cast("string")
     shape = lambda rows, section, level, text, other=blank, path=blank, line=F.lit(None).cast("long"): rows.select(
-        "id", section.alias("section"), level.alias("confidence_no"), other.alias("other"), path.alias("path"), line.cast("long").alias("line"), text.alias("text"))
-    head = shape(wanted.select("id").distinct(), F.lit(0), F.lit(0), F.col("id"))
+        "repo_id", "id", section.alias("section"), level.alias("confidence_no"), other.alias("other"), path.alias("path"), line.cast("long").alias("line"), text.alias("text"))
+    head = shape(wanted.select("repo_id", "id").distinct(), F.lit(0), F.lit(0), F.col("id"))
     tops = shape(every, F.col("section"), F.lit(0), F.format_string("%s (%d):", "title", "n"))
     none = shape(every.filter("n = 0"), F.col("section"), F.lit(1), F.lit("  none"))
     level = F.array_position(F.array(*[F.lit(c) for c in levels]), F.col("confidence")).cast("int")
-    groups = shape(edges.select("id", "section", "confidence").distinct(), F.col("section"), level, F.format_string("  [%s]", "confidence"))
+    groups = shape(edges.select("repo_id", "id", "section", "confidence").distinct(), F.col("section"), level, F.format_string("  [%s]", "confidence"))
     seat = F.when(F.col("path").isNotNull(), F.format_string(" (%s:%d)", "path", "line")).otherwise("")
     rows = shape(edges, F.col("section"), level, F.concat(F.lit("    "), "other", seat), F.col("other"), F.col("path"), F.col("line"))
     return head.unionByName(tops).unionByName(none).unionByName(groups).unionByName(rows)

@@ -43,13 +43,14 @@ def rolling_median(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
 
     Values are capped before and the median is kept within 0..highest; at
     the ends the edge value repeats. A group is cut into blocks that carry the
-    few rows they need from their neighbours, so the frame never crosses tasks.
+    rows they need from the blocks around them (several, where the frame is wider
+    than a block), so the frame never crosses tasks.
     """
     keys, half = list(keys), rows // 2
     placed = ranked(df, keys, order, "_p").withColumn("_c", F.greatest(F.lit(-cap), F.least(F.lit(cap), F.col(column))))
     ends = placed.groupBy(*keys).agg(F.max("_p").alias("_n"), F.min_by("_c", "_p").alias("_first"), F.max_by("_c", "_p").alias("_last"))
     home = F.floor(F.col("_p") / block)
-    near = F.array_distinct(F.array(home, F.floor((F.col("_p") - half) / block), F.floor((F.col("_p") + half) / block)))
+    near = F.sequence(F.floor((F.col("_p") - half) / block), F.floor((F.col("_p") + half) / block))
     spread = placed.withColumn("_home", home).withColumn("_block", F.explode(near))
     frame = Window.partitionBy(*keys, "_block").orderBy("_p").rowsBetween(-half, half)
     seen = spread.withColumn("_w", F.collect_list("_c").over(frame)).filter("_block = _home").join(ends, keys)

@@ -1,7 +1,9 @@
 """Deterministic views of the star-schema tables in the library's own schemas.
 
 Each view is SQL that Spark and the SQL check run alike; where dialects differ
-a pair (Spark, check) is given. Every row of the source tables is used.
+a pair (Spark, check) is given. The views keep every row of the table they are
+made from; what is derived beside it (edges, archived issues, inserted lines)
+follows a rule on its keys. Paths and symbol ids repeat between repositories.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ SELECT o_custkey % 5 AS repo_id, o_orderkey AS sha, max(o_orderdate) AS ts,
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 GROUP BY o_custkey % 5, o_orderkey, l_partkey % 40"""
 VIEWS["diff_paths"] = """
-SELECT DISTINCT repo_id, path, CAST(substr(path, 2, 1) AS INT) AS diff_pos
+SELECT DISTINCT repo_id, path, CAST(replace(substr(path, 5), '.go', '') AS INT) AS diff_pos
 FROM commit_files WHERE path LIKE 'd3/%'"""
 
 # --- boards --------------------------------------------------------------
@@ -60,43 +62,50 @@ SELECT board_id, 'TH' AS prefix, CAST(board_id % 12 AS BIGINT) AS next_id FROM i
 
 # --- code ----------------------------------------------------------------
 VIEWS["symbols"] = """
-SELECT CAST(p_partkey % 5 AS INT) AS repo_id, 's' || CAST(p_partkey AS VARCHAR(12)) AS id,
+SELECT CAST(p_partkey % 5 AS INT) AS repo_id, 's' || CAST(CAST(floor(p_partkey / 5) AS BIGINT) AS VARCHAR(12)) AS id,
        replace(p_name, ' ', '_') AS name,
        CASE p_partkey % 4 WHEN 0 THEN 'func' WHEN 1 THEN 'method' WHEN 2 THEN 'type' ELSE 'interface' END AS kind,
-       'f' || CAST(p_partkey % 20 AS VARCHAR(9)) AS path,
-       CAST(floor(p_partkey / 20) * 7 + 1 AS BIGINT) AS start_line,
-       CAST(floor(p_partkey / 20) * 7 + 1 + p_size AS BIGINT) AS end_line,
+       'f' || CAST(CAST(floor(p_partkey / 5) AS BIGINT) % 10 AS VARCHAR(9)) AS path,
+       CAST(floor(p_partkey / 50) * 14 + 1 AS BIGINT) AS start_line,
+       CAST(floor(p_partkey / 50) * 14 + 1 + p_size AS BIGINT) AS end_line,
        p_partkey % 3 = 0 AS exported, p_brand AS signature, p_partkey AS pk
 FROM part"""
 VIEWS["call_edges"] = """
-SELECT 'calls' AS kind, 's' || CAST(p_partkey AS VARCHAR(12)) AS from_id,
-       's' || CAST(CAST(floor(p_partkey / 2) AS BIGINT) AS VARCHAR(12)) AS to_id,
-       'f' || CAST(p_partkey % 20 AS VARCHAR(9)) AS site_path, p_size AS site_line,
+SELECT CAST(p_partkey % 5 AS INT) AS repo_id, 'calls' AS kind, 's' || CAST(CAST(floor(p_partkey / 5) AS BIGINT) AS VARCHAR(12)) AS from_id,
+       's' || CAST(CAST(floor(p_partkey / 10) AS BIGINT) AS VARCHAR(12)) AS to_id,
+       'f' || CAST(CAST(floor(p_partkey / 5) AS BIGINT) % 10 AS VARCHAR(9)) AS site_path, p_size AS site_line,
        CASE WHEN p_partkey % 2 = 0 THEN 'static' ELSE 'interface-dispatch' END AS confidence
-FROM part WHERE p_partkey > 0"""
+FROM part WHERE p_partkey >= 5"""
 VIEWS["loop_edges"] = """
-SELECT 's' || CAST(p_partkey AS VARCHAR(12)) AS from_id,
-       's' || CAST((p_partkey * 13 + 5) % (SELECT count(*) FROM part) AS VARCHAR(12)) AS to_id
+SELECT CAST(p_partkey % 5 AS INT) AS repo_id, 's' || CAST(CAST(floor(p_partkey / 5) AS BIGINT) AS VARCHAR(12)) AS from_id,
+       's' || CAST((CAST(floor(p_partkey / 5) AS BIGINT) * 13 + 5) % (SELECT CAST(floor(count(*) / 5) AS BIGINT) FROM part) AS VARCHAR(12)) AS to_id
 FROM part"""
 VIEWS["hunks"] = """
-SELECT review_id, path, new_start, new_lines,
-       row_number() OVER (PARTITION BY review_id, path ORDER BY new_start, new_lines) AS hunk_no
-FROM (SELECT DISTINCT l_suppkey AS review_id, 'f' || CAST(l_partkey % 20 AS VARCHAR(9)) AS path,
+SELECT review_id, repo_id, path, new_start, new_lines,
+       row_number() OVER (PARTITION BY review_id, repo_id, path ORDER BY new_start, new_lines) AS hunk_no
+FROM (SELECT DISTINCT l_suppkey AS review_id, CAST(l_suppkey % 5 AS INT) AS repo_id, 'f' || CAST(CAST(floor(l_partkey / 5) AS BIGINT) % 10 AS VARCHAR(9)) AS path,
              CAST(l_quantity AS BIGINT) * 14 AS new_start, l_linenumber AS new_lines FROM lineitem) h"""
+VIEWS["review_symbols"] = """
+SELECT DISTINCT l_suppkey AS review_id, CAST(l_suppkey % 5 AS INT) AS repo_id,
+       's' || CAST(CAST(floor(l_partkey / 5) AS BIGINT) AS VARCHAR(12)) AS id FROM lineitem"""
+VIEWS["order_symbols"] = """
+SELECT l_orderkey AS review_id, CAST(l_orderkey % 5 AS INT) AS repo_id,
+       's' || CAST(CAST(floor(l_partkey / 5) AS BIGINT) AS VARCHAR(12)) AS id, min(l_partkey) AS ord
+FROM lineitem GROUP BY l_orderkey, floor(l_partkey / 5)"""
 VIEWS["imports"] = """
 SELECT DISTINCT 0 AS repo_id, 'p' || CAST(a AS VARCHAR(12)) AS pkg, 'p' || CAST(b AS VARCHAR(12)) AS imported FROM (
   SELECT s_suppkey AS a, CAST(floor(s_suppkey / 2) AS BIGINT) AS b FROM supplier WHERE s_suppkey > 0 UNION ALL
-  SELECT s_suppkey, (s_suppkey * 3 + 1) % (SELECT count(*) FROM supplier) FROM supplier WHERE s_nationkey < 5) x"""
+  SELECT s_suppkey, (s_suppkey * 3 + 1) % (SELECT count(*) FROM supplier) FROM supplier) x"""
 VIEWS["changed_paths"] = """
 SELECT c_custkey AS review_id, 0 AS repo_id,
        'src/d' || CAST(c_custkey % (SELECT count(*) FROM supplier) AS VARCHAR(12)) || '/x.go' AS path FROM customer"""
 VIEWS["methods"] = """
-SELECT DISTINCT l_suppkey AS type_id, l_partkey % 48 AS method FROM lineitem WHERE l_partkey % 5 = 0"""
+SELECT DISTINCT CAST(l_orderkey % 3 AS INT) AS repo_id, l_suppkey AS type_id, l_partkey AS method FROM lineitem"""
 VIEWS["interfaces"] = """
-SELECT DISTINCT n_nationkey AS iface_id, m AS method FROM (
+SELECT DISTINCT r AS repo_id, n_nationkey AS iface_id, CASE WHEN r = 0 THEN m ELSE m + r * 11 END AS method FROM (
   SELECT n_nationkey, n_nationkey % 48 AS m FROM nation UNION ALL
   SELECT n_nationkey, (n_nationkey * 5 + 3) % 48 FROM nation UNION ALL
-  SELECT n_nationkey, (n_nationkey * 7 + 1) % 48 FROM nation) x"""
+  SELECT n_nationkey, (n_nationkey * 7 + 1) % 48 FROM nation) x CROSS JOIN (SELECT 0 AS r UNION ALL SELECT 1 UNION ALL SELECT 2) y"""
 
 # --- reviews -------------------------------------------------------------
 VIEWS["review_events"] = """

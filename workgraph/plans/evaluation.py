@@ -94,7 +94,8 @@ def _evidence(t):
     """Every line quoted whole, cited up to three lines off; a finding is a run of four lines."""
     return t.doc_lines.select(
         F.concat_ws("-", F.col("doc_id").cast("string"), F.floor((F.col("line") - 1) / 4).cast("string")).alias("finding_id"),
-        F.col("line").alias("ev_no"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"),
+        F.col("line").alias("ev_no"), (F.col("doc_id") % 3).cast("int").alias("repo_id"),
+        F.concat(F.lit("d"), F.floor(F.col("doc_id") / 3).cast("string")).alias("path"),
         (F.col("line") + (F.col("doc_id") % 7 - 3)).cast("int").alias("line"), F.col("text").alias("excerpt"))
 
 
@@ -105,7 +106,8 @@ loc AS (SELECT e.*, h.line AS found_line FROM ev e LEFT JOIN hit h ON h.finding_
 
 
 def _file_lines(t):
-    return t.doc_lines.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), "line", "text")
+    """Documents as files; three repositories have files of the same names."""
+    return t.doc_lines.select((F.col("doc_id") % 3).cast("int").alias("repo_id"), F.concat(F.lit("d"), F.floor(F.col("doc_id") / 3).cast("string")).alias("path"), "line", "text")
 
 
 @query("locate_evidence", "WITH " + _EV + " SELECT finding_id, ev_no, found_line FROM loc")
@@ -114,7 +116,7 @@ def locate_evidence(t):
 
 
 @query("verify_evidence", "WITH " + _EV + """ SELECT finding_id, count(found_line) > 0 AS verified, CASE WHEN count(found_line) > 0
-    THEN 'verified ' || count(found_line) || '/' || count(*) || ' evidence line(s)' ELSE 'rejected: ' || string_agg('d' || doc_id || ':' || cited ||
+    THEN 'verified ' || count(found_line) || '/' || count(*) || ' evidence line(s)' ELSE 'rejected: ' || string_agg('d' || CAST(floor(doc_id / 3) AS BIGINT) || ':' || cited ||
       CASE WHEN want = '' THEN ': empty excerpt' ELSE ': excerpt not found within +/-2 lines' END, '; ' ORDER BY ev_no) END AS verification FROM loc GROUP BY 1""")
 def verify_evidence(t):
     evidence = _evidence(t)

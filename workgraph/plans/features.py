@@ -108,12 +108,15 @@ def scenarios_using(t):
     return O.scenarios_using(cut(_links(t, outline)), outline).drop("repo_id")
 
 
-@query("changed_scenarios", "WITH " + _OUT + """, hk AS (SELECT DISTINCT l_suppkey AS review_id, 'd' || (l_partkey % 50) || '.feature' AS path, l_linenumber AS s, l_linenumber + greatest(l_suppkey % 3 - 1, 0) AS e FROM lineitem)
-SELECT DISTINCT h.review_id, o.path, o.id FROM hk h JOIN outl o ON o.path = h.path AND o.kind = 'scenario' AND o.start_line <= h.e AND h.s <= o.end_line""")
+@query("changed_scenarios", "WITH " + _OUT + """, hk AS (SELECT DISTINCT l_suppkey AS review_id, CAST(l_suppkey % 2 AS INT) AS repo_id, 'd' || (l_partkey % 50) || '.feature' AS path, l_linenumber AS s, l_linenumber + greatest(l_suppkey % 3 - 1, 0) AS e FROM lineitem)
+SELECT DISTINCT h.review_id, h.repo_id, o.path, o.id FROM hk h JOIN outl o ON o.path = h.path AND o.kind = 'scenario' AND o.start_line + 3 * h.repo_id <= h.e AND h.s <= o.end_line + 3 * h.repo_id""")
 def changed_scenarios(t):
-    hunks = t.lineitem.select(F.col("l_suppkey").alias("review_id"), F.concat(F.lit("d"), (F.col("l_partkey") % 50).cast("string"), F.lit(".feature")).alias("path"),
+    hunks = t.lineitem.select(F.col("l_suppkey").alias("review_id"), (F.col("l_suppkey") % 2).cast("int").alias("repo_id"), F.concat(F.lit("d"), (F.col("l_partkey") % 50).cast("string"), F.lit(".feature")).alias("path"),
                               F.col("l_linenumber").alias("new_start"), (F.col("l_suppkey") % 3).alias("new_lines"))
-    return O.changed_scenarios(_outline(t), hunks)
+    outline = cut(_outline(t))
+    # The second repository holds the same paths and ids, three lines further down.
+    moved = outline.withColumn("repo_id", F.lit(1)).withColumns({c: F.col(c) + 3 for c in ("start_line", "end_line")})
+    return O.changed_scenarios(outline.unionByName(moved), hunks)
 
 
 @query("splice_scenarios", "WITH " + _OUT + """ SELECT DISTINCT 's' || p.p_partkey AS id, o.id AS scenario_id FROM part p JOIN outl o ON o.path = 'd' || (p.p_partkey % 300) || '.feature' AND o.kind = 'scenario' WHERE p.p_size % 2 = 0""")
@@ -139,7 +142,7 @@ def cucumber_to_regex(t):
     return t.part.select("p_partkey", pattern.alias("pattern"), F.rlike(F.concat(F.lit("the "), said, tail), pattern).alias("hit"))
 
 
-@query("extract_step_defs", r"""SELECT 0 AS repo_id, 'stepdef:src/' || p_partkey || ':' || (p_size + 1) AS def_id, 'src/' || p_partkey AS path, p_size + 1 AS line,
+@query("extract_step_defs", r"""SELECT 0 AS repo_id, 'gherkin-stepdef:src/' || p_partkey || ':' || (p_size + 1) AS def_id, 'src/' || p_partkey AS path, p_size + 1 AS line,
     CASE p_partkey % 3 WHEN 0 THEN 'go' WHEN 1 THEN 'java' ELSE 'javascript' END AS language, CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'Given' ELSE 'When' END AS keyword,
     CASE p_partkey % 3 WHEN 0 THEN '^' || p_name || '$' WHEN 1 THEN p_name || ' {int}' ELSE p_name || ' {word}' END AS raw,
     CASE p_partkey % 3 WHEN 0 THEN '^' || p_name || '$' WHEN 1 THEN '^' || p_name || ' (-?\d+)$' ELSE '^' || p_name || ' (\S+)$' END AS pattern,

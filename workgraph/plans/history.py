@@ -8,20 +8,11 @@ from workgraph.functions import paths as P
 from workgraph.operators import history as H
 from workgraph.plans.registry import query
 
-MAX_FILES, MIN_CONFIDENCE = 8, 0.12
+MIN_CONFIDENCE = 0.12
 
 
-def _files(t):
-    commits = t.commit_files
-    return H.window_files(commits, H.commit_window(commits, max_files=MAX_FILES))
-
-
-# The newest 5000 commits per repository, then those touching at most 8 files.
-_WINDOW = f"""win AS (
-  SELECT * FROM (SELECT repo_id, sha, max(ts) AS ts, count(*) AS files,
-      row_number() OVER (PARTITION BY repo_id ORDER BY max(ts) DESC, sha) AS rn,
-      count(*) OVER (PARTITION BY repo_id) AS n FROM commit_files GROUP BY repo_id, sha) w WHERE rn <= 5000),
-small AS (SELECT c.* FROM commit_files c JOIN win w ON c.repo_id = w.repo_id AND c.sha = w.sha WHERE w.files <= {MAX_FILES})"""
+# All commits of every repository.
+_WINDOW = "small AS (SELECT * FROM commit_files)"
 _STATS = _WINDOW + """,
 stats AS (SELECT repo_id, path, count(*) AS commits, CAST(sum(added) AS BIGINT) AS added,
     CAST(sum(deleted) AS BIGINT) AS deleted FROM small GROUP BY repo_id, path)"""
@@ -41,39 +32,39 @@ comp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, path
     FROM cand WHERE confidence >= """ + str(MIN_CONFIDENCE) + """) c WHERE rn = 1)"""
 
 
-@query("commit_window", "WITH " + _WINDOW + f""" SELECT repo_id, sha, files, files > {MAX_FILES} AS mechanical,
-    n > 5000 AS degraded FROM win""")
+@query("commit_window", """SELECT repo_id, sha, count(*) AS files, false AS mechanical, false AS degraded FROM commit_files GROUP BY repo_id, sha""")
 def commit_window(t):
-    return H.commit_window(t.commit_files, max_files=MAX_FILES).select("repo_id", "sha", "files", "mechanical", "degraded")
+    return H.commit_window(t.commit_files).select("repo_id", "sha", "files", "mechanical", "degraded")
 
 
+# A window that the caller bounds: every row says whether its repository was cut and whether the commit is mechanical.
 @query("commit_window_capped", """WITH win AS (
-  SELECT * FROM (SELECT repo_id, sha, max(ts) AS ts, row_number() OVER (PARTITION BY repo_id ORDER BY max(ts) DESC, sha) AS rn,
+  SELECT * FROM (SELECT repo_id, sha, max(ts) AS ts, count(*) AS files, row_number() OVER (PARTITION BY repo_id ORDER BY max(ts) DESC, sha) AS rn,
       count(*) OVER (PARTITION BY repo_id) AS n
       FROM commit_files WHERE ts >= TIMESTAMP '1997-01-01 00:00:00' GROUP BY repo_id, sha) w WHERE rn <= 100)
-  SELECT repo_id, sha, n > 100 AS degraded FROM win""")
+  SELECT repo_id, sha, files, files > 3 AS mechanical, n > 100 AS degraded FROM win""")
 def commit_window_capped(t):
     since = F.lit("1997-01-01 00:00:00").cast("timestamp_ntz")
-    return H.commit_window(t.commit_files, since, max_commits=100).select("repo_id", "sha", "degraded")
+    return H.commit_window(t.commit_files, since, max_commits=100, max_files=3).select("repo_id", "sha", "files", "mechanical", "degraded")
 
 
 @query("file_stats", "WITH " + _STATS + " SELECT * FROM stats")
 def file_stats(t):
-    return H.file_stats(_files(t))
+    return H.file_stats(t.commit_files)
 
 
 @query("co_change_pairs", "WITH " + _PAIRS + " SELECT * FROM pairs")
 def co_change_pairs(t):
-    return H.co_change_pairs(_files(t))
+    return H.co_change_pairs(t.commit_files)
 
 
 @query("hotspots", "WITH " + _STATS + ", " + _HOT + " SELECT repo_id, path, commits, churn, round(score, 6) AS score FROM hot")
 def hotspots(t):
-    return H.hotspots(H.file_stats(_files(t))).withColumn("score", F.round("score", 6))
+    return H.hotspots(H.file_stats(t.commit_files)).withColumn("score", F.round("score", 6))
 
 
 def _companions(t):
-    stats, pairs = H.mine(t.commit_files, max_files=MAX_FILES)
+    stats, pairs = H.mine(t.commit_files)
     return stats, H.companions(stats, pairs, t.diff_paths, min_confidence=MIN_CONFIDENCE)
 
 

@@ -172,7 +172,7 @@ tk AS (SELECT DISTINCT file_id, hunk_no, unnest(regexp_extract_all(text, '\b[A-Z
 ok AS (SELECT *, row_number() OVER (PARTITION BY file_id, hunk_no ORDER BY symbol) AS place FROM tk WHERE lower(symbol) NOT IN
     ('the','and','for','return','func','var','const','import','package','true','false','nil','err','error','string','int','bool',
      'struct','interface','type','if','else','range','ctx','context'))
-SELECT file_id AS file_no, hunk_no, symbol, place FROM ok WHERE place <= 12""")
+SELECT file_id AS file_no, hunk_no, symbol, place FROM ok""")
 def candidate_symbols(t):
     lines = _lines(t)
     enclosing = lines.filter("line_no = 0").select("review_id", "file_no", "hunk_no", "text")
@@ -180,8 +180,8 @@ def candidate_symbols(t):
 
 
 @query("diff_fingerprint", """WITH h AS (SELECT review_id, path, hunk_no, new_start, new_lines FROM hunks),
-dg AS (SELECT review_id, ('0x' || substr(sha1(path || '.go|' || hunk_no || '|' || new_start || ',' || new_lines), 1, 12))::BIGINT AS d FROM h)
-SELECT review_id, CAST(sum(d) AS VARCHAR) AS fingerprint, count(*) AS parts FROM dg GROUP BY 1""")
+dg AS (SELECT review_id, sha256(path || '.go|' || hunk_no || '|' || new_start || ',' || new_lines) AS d FROM h)
+SELECT review_id, sha256(concat_ws(':', CAST(sum(('0x' || substr(d, 1, 15))::BIGINT) AS VARCHAR), CAST(sum(('0x' || substr(d, 16, 15))::BIGINT) AS VARCHAR), CAST(sum(('0x' || substr(d, 31, 15))::BIGINT) AS VARCHAR), CAST(sum(('0x' || substr(d, 46, 15))::BIGINT) AS VARCHAR), CAST(count(*) AS VARCHAR))) AS fingerprint, count(*) AS parts FROM dg GROUP BY 1""")
 def diff_fingerprint(t):
     hunks = t.hunks.withColumn("file_no", F.col("path"))
     files = hunks.select("review_id", "file_no", F.concat("path", F.lit(".go")).alias("path")).distinct()

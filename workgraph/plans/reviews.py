@@ -139,7 +139,7 @@ def _sources(rows):
     kind = F.expr("CASE o_orderkey % 5 WHEN 0 THEN 'pr' WHEN 1 THEN 'patch' WHEN 2 THEN 'worktree' WHEN 3 THEN 'range' ELSE 'commit' END")
     n = (F.col("o_custkey") % 20).cast("string")
     return rows.select("o_orderkey", (F.col("o_custkey") % 3).alias("repo_key"), kind.alias("kind"), F.lit("Git.example").alias("host"),
-                       F.when(F.col("o_orderkey") % 2 == 0, "Acme").otherwise("acme").alias("owner"), F.lit("tools").alias("repo"),
+                       F.when(F.col("o_orderkey") % 2 == 0, "Acme").otherwise("acme").alias("owner"), F.lit("widgets").alias("repo"),
                        (F.col("o_custkey") % 20).alias("number"), F.concat(F.lit("p/"), n, F.lit(".diff")).alias("patch_path"),
                        F.lit("/src").alias("repo_path"), F.concat(F.lit("v"), n, F.lit("..main")).alias("ref"),
                        F.col("o_orderdate").alias("updated_at"))
@@ -257,11 +257,11 @@ def repo_key(t):
     return t.supplier.select("s_suppkey", P.repo_key(remote).alias("key"))
 
 
-@query("session_ids", """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'pr-acme-tools-' || (o_custkey % 20) WHEN 1 THEN 'patch-' || substr(sha1('p/' || (o_custkey % 20) || '.diff'), 1, 8)
+@query("session_ids", """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'pr-acme-widgets-' || (o_custkey % 20) WHEN 1 THEN 'patch-' || substr(sha1('p/' || (o_custkey % 20) || '.diff'), 1, 8)
     WHEN 2 THEN 'worktree' WHEN 3 THEN 'range-' || substr(sha1('v' || (o_custkey % 20) || '..main'), 1, 8) ELSE 'commit-' || substr(sha1('v' || (o_custkey % 20) || '..main'), 1, 8) END AS id,
-  CASE o_orderkey % 5 WHEN 0 THEN 'PR #' || (o_custkey % 20) || ' ' || CASE WHEN o_orderkey % 2 = 0 THEN 'Acme' ELSE 'acme' END || '/tools' WHEN 1 THEN 'Patch ' || (o_custkey % 20) || '.diff' WHEN 2 THEN 'Worktree'
+  CASE o_orderkey % 5 WHEN 0 THEN 'PR #' || (o_custkey % 20) || ' ' || CASE WHEN o_orderkey % 2 = 0 THEN 'Acme' ELSE 'acme' END || '/widgets' WHEN 1 THEN 'Patch ' || (o_custkey % 20) || '.diff' WHEN 2 THEN 'Worktree'
     WHEN 3 THEN 'Diff v' || (o_custkey % 20) || '..main' ELSE 'Commit v' || (o_custkey % 20) || '..main' END AS title,
-  CASE o_orderkey % 5 WHEN 0 THEN 'pr ' || CASE WHEN o_orderkey % 2 = 0 THEN 'Acme' ELSE 'acme' END || '/tools#' || (o_custkey % 20) WHEN 1 THEN 'patch ' || (o_custkey % 20) || '.diff' WHEN 2 THEN 'worktree'
+  CASE o_orderkey % 5 WHEN 0 THEN 'pr ' || CASE WHEN o_orderkey % 2 = 0 THEN 'Acme' ELSE 'acme' END || '/widgets#' || (o_custkey % 20) WHEN 1 THEN 'patch ' || (o_custkey % 20) || '.diff' WHEN 2 THEN 'worktree'
     WHEN 3 THEN 'range v' || (o_custkey % 20) || '..main' ELSE 'commit v' || (o_custkey % 20) || '..main' END AS summary FROM orders""")
 def session_ids(t):
     rows = _sources(t.orders)
@@ -280,12 +280,12 @@ def split_range_ref(t):
 
 
 @query("parse_pr_ref", """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'git.example.org' WHEN 3 THEN NULL ELSE 'github.com' END AS host,
-    CASE o_orderkey % 4 WHEN 3 THEN NULL WHEN 2 THEN 'team' ELSE 'acme' END AS owner, CASE WHEN o_orderkey % 4 <> 3 THEN 'tools' END AS repo,
+    CASE o_orderkey % 4 WHEN 3 THEN NULL WHEN 2 THEN 'team' ELSE 'acme' END AS owner, CASE WHEN o_orderkey % 4 <> 3 THEN 'widgets' END AS repo,
     CASE WHEN o_orderkey % 4 <> 3 THEN o_custkey END AS number FROM orders""")
 def parse_pr_ref(t):
     n = F.col("o_custkey").cast("string")
     text = F.expr("o_orderkey % 4")
-    ref = F.when(text == 0, F.concat(F.lit("https://git.example.org/acme/tools.git/pull/"), n, F.lit("/files"))) \
-        .when(text == 1, F.concat(F.lit(" acme/tools#"), n)).when(text == 2, F.concat(F.lit("#"), n)).otherwise(F.lit("not a ref"))
-    rows = t.orders.select("o_orderkey", P.parse_pr_ref(ref, F.lit("git@host.example:team/tools.git")).alias("r"))
+    ref = F.when(text == 0, F.concat(F.lit("https://git.example.org/acme/widgets.git/pull/"), n, F.lit("/files"))) \
+        .when(text == 1, F.concat(F.lit(" acme/widgets#"), n)).when(text == 2, F.concat(F.lit("#"), n)).otherwise(F.lit("not a ref"))
+    rows = t.orders.select("o_orderkey", P.parse_pr_ref(ref, F.lit("git@host.example:team/widgets.git")).alias("r"))
     return rows.select("o_orderkey", "r.host", "r.owner", "r.repo", "r.number")

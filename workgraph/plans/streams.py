@@ -117,49 +117,50 @@ def model_report(t):
 
 @query("flow_report")
 def flow_report(t):
-    changed, calls, info = code_plans._flow_inputs(t)
-    files = changed.join(info.select("id", "path"), "id").groupBy("review_id", "path").agg(F.min("ord").alias("diff_no"))
-    return R.flow_report(cut(W.flow_order(files, changed, calls, info)))
+    return R.flow_report(cut(code_plans._flow(t)))
 
 
-@query("radius_report")
+@query("radius_report", "WITH " + code_plans._RADIUS + """,
+pn AS (SELECT * FROM (VALUES ('caller', 1, '  unchanged callers (', '    '), ('site', 2, '  call sites (', '    '), ('impl', 3, '  implementers (', '    ')) v(part, part_no, title, lead))
+SELECT review_id, repo_id, id AS symbol, 0 AS part_no, NULL AS other, NULL AS path, CAST(NULL AS BIGINT) AS line, id || ' (' || kind || ')' || CASE WHEN signature_changed THEN ' [signature changed]' ELSE '' END AS text FROM me
+UNION ALL SELECT review_id, repo_id, symbol, part_no, NULL, NULL, NULL, title || count(*) || '):' FROM rad JOIN pn USING (part) GROUP BY review_id, repo_id, symbol, part_no, title
+UNION ALL SELECT review_id, repo_id, symbol, part_no, other, path, line, lead || other || CASE WHEN path IS NOT NULL THEN ' (' || path || ':' || line || ')' ELSE '' END
+    || CASE WHEN in_diff THEN ' [in diff]' ELSE ' [not in diff]' END FROM rad JOIN pn USING (part)""")
 def radius_report(t):
-    changes = cut(code_plans._changes(t).join(t.symbols.select("id", "kind"), "id"))
-    related = t.symbols.select(F.col("id").alias("from_id"), F.concat(F.lit("s"), (F.col("pk") + 4).cast("string")).alias("to_id")) \
-        .join(t.symbols.select(F.col("id").alias("to_id")), "to_id", "left_semi")
-    radius = O.func_radius(changes, t.call_edges, related, t.symbols, t.hunks)
+    changes, radius = code_plans._radius(t)
     mine = changes.filter("change <> 'deleted' AND kind IN ('func', 'method')")
-    return R.radius_report(mine.select("review_id", F.col("id").alias("symbol"), "kind", "signature_changed"), cut(radius))
+    return R.radius_report(mine.select("review_id", "repo_id", F.col("id").alias("symbol"), "kind", "signature_changed"), cut(radius))
 
 
-@query("reach_report", "WITH " + code_plans._TOP + """,
-rc AS (SELECT w.review_id, w.id, count(tp.test) > 0 AS reached, string_agg(tp.test, ', ' ORDER BY tp.place) AS tests FROM w LEFT JOIN tp ON tp.review_id = w.review_id AND tp.id = w.id GROUP BY 1, 2),
-u AS (SELECT DISTINCT tp.review_id, ts.path AS dir, ts.name FROM tp JOIN ts ON ts.id = tp.test)
-SELECT review_id, 0 AS part_no, '' AS id, 0 AS n, 'Test reach: ' || count(CASE WHEN reached THEN 1 END) || '/' || count(*) || ' changed functions reached by a test' AS text FROM rc GROUP BY 1
-UNION ALL SELECT review_id, 1, id, 0, '  [' || CASE WHEN reached THEN 'x' ELSE ' ' END || '] ' || id FROM rc UNION ALL SELECT review_id, 1, id, 1, '        by ' || tests FROM rc WHERE reached
-UNION ALL SELECT DISTINCT review_id, 2, '', 0, 'Suggested:' FROM u
-UNION ALL SELECT review_id, 3, dir || '#0', 0, '  go test ./' || dir || ' -run ''^(' || string_agg(name, '|' ORDER BY name) || ')$''' FROM u GROUP BY review_id, dir""")
+@query("reach_report", "WITH " + code_plans._TOP + ", " + code_plans._RUNS + """,
+rc AS (SELECT w.review_id, w.repo_id, w.id, count(tp.test) > 0 AS reached, string_agg(tp.test, ', ' ORDER BY tp.place) AS tests FROM w
+    LEFT JOIN tp ON tp.review_id = w.review_id AND tp.repo_id = w.repo_id AND tp.id = w.id GROUP BY 1, 2, 3)
+SELECT review_id, repo_id, 0 AS part_no, '' AS id, 0 AS n, 'Test reach: ' || count(CASE WHEN reached THEN 1 END) || '/' || count(*) || ' changed functions reached by a test' AS text FROM rc GROUP BY 1, 2
+UNION ALL SELECT review_id, repo_id, 1, id, 0, '  [' || CASE WHEN reached THEN 'x' ELSE ' ' END || '] ' || id FROM rc UNION ALL SELECT review_id, repo_id, 1, id, 1, '        by ' || tests FROM rc WHERE reached
+UNION ALL SELECT DISTINCT review_id, repo_id, 2, '', 0, 'Suggested:' FROM cm
+UNION ALL SELECT review_id, repo_id, 3, dir, 0, '  ' || command FROM cm""")
 def reach_report(t):
     hits = cut(O.reach_from_tests(code_plans._graph(t), code_plans._tests(t)))
-    asked = code_plans._asked(t)
-    tests = code_plans._tests(t).withColumn("path", F.concat("path", F.lit("/x_test.go")))
-    return R.reach_report(cut(O.test_reach(asked, hits)), O.test_commands(O.top_reaching_tests(hits, asked), tests))
-
-
-@query("context_report", """WITH s AS (SELECT id FROM symbols WHERE kind IN ('func', 'method')),
-e AS (SELECT c.to_id AS id, 1 AS section, c.from_id AS other, c.confidence, c.site_path AS path, CAST(c.site_line AS BIGINT) AS line FROM call_edges c JOIN s ON s.id = c.to_id
-  UNION ALL SELECT c.from_id, 2, c.to_id, c.confidence, c.site_path, c.site_line FROM call_edges c JOIN s ON s.id = c.from_id),
-n AS (SELECT s.id, x.section, x.title, (SELECT count(*) FROM e WHERE e.id = s.id AND e.section = x.section) AS k FROM s, (VALUES (1, 'Callers'), (2, 'Callees'), (3, 'Implementations')) x(section, title))
-SELECT id, 0 AS section, 0 AS confidence_no, NULL AS other, id AS text FROM s UNION ALL SELECT id, section, 0, NULL, title || ' (' || k || '):' FROM n UNION ALL SELECT id, section, 1, NULL, '  none' FROM n WHERE k = 0
-UNION ALL SELECT DISTINCT id, section, CASE confidence WHEN 'static' THEN 1 ELSE 2 END, NULL, '  [' || confidence || ']' FROM e
-UNION ALL SELECT id, section, CASE confidence WHEN 'static' THEN 1 ELSE 2 END, other, '    ' || other || ' (' || path || ':' || line || ')' FROM e""")
+    asked = code_plans._review_functions(t)
+    return R.reach_report(cut(O.test_reach(asked, hits)), code_plans._commands(t, asked, hits))
+
+
+@query("context_report", """WITH s AS (SELECT repo_id, id FROM symbols WHERE kind IN ('func', 'method')),
+e AS (SELECT c.repo_id, c.to_id AS id, 1 AS section, c.from_id AS other, c.confidence, c.site_path AS path, CAST(c.site_line AS BIGINT) AS line FROM call_edges c JOIN s ON s.repo_id = c.repo_id AND s.id = c.to_id
+  UNION ALL SELECT c.repo_id, c.from_id, 2, c.to_id, c.confidence, c.site_path, c.site_line FROM call_edges c JOIN s ON s.repo_id = c.repo_id AND s.id = c.from_id),
+n AS (SELECT s.repo_id, s.id, x.section, x.title, (SELECT count(*) FROM e WHERE e.repo_id = s.repo_id AND e.id = s.id AND e.section = x.section) AS k
+  FROM s, (VALUES (1, 'Callers'), (2, 'Callees'), (3, 'Implementations')) x(section, title))
+SELECT repo_id, id, 0 AS section, 0 AS confidence_no, NULL AS other, id AS text FROM s UNION ALL SELECT repo_id, id, section, 0, NULL, title || ' (' || k || '):' FROM n
+UNION ALL SELECT repo_id, id, section, 1, NULL, '  none' FROM n WHERE k = 0
+UNION ALL SELECT DISTINCT repo_id, id, section, CASE confidence WHEN 'static' THEN 1 ELSE 2 END, NULL, '  [' || confidence || ']' FROM e
+UNION ALL SELECT repo_id, id, section, CASE confidence WHEN 'static' THEN 1 ELSE 2 END, other, '    ' || other || ' (' || path || ':' || line || ')' FROM e""")
 def context_report(t):
-    wanted = O.navigable(t.symbols).select("id")
+    wanted = O.navigable(t.symbols).select("repo_id", "id")
     calls = t.call_edges
-    into = calls.join(wanted.withColumnRenamed("id", "to_id"), "to_id", "left_semi").select(
-        F.col("to_id").alias("id"), F.lit(1).alias("section"), F.col("from_id").alias("other"), "confidence", F.col("site_path").alias("path"), F.col("site_line").alias("line"))
-    out = calls.join(wanted.withColumnRenamed("id", "from_id"), "from_id", "left_semi").select(
-        F.col("from_id").alias("id"), F.lit(2).alias("section"), F.col("to_id").alias("other"), "confidence", F.col("site_path").alias("path"), F.col("site_line").alias("line"))
+    into = calls.join(wanted.withColumnRenamed("id", "to_id"), ["repo_id", "to_id"], "left_semi").select(
+        "repo_id", F.col("to_id").alias("id"), F.lit(1).alias("section"), F.col("from_id").alias("other"), "confidence", F.col("site_path").alias("path"), F.col("site_line").alias("line"))
+    out = calls.join(wanted.withColumnRenamed("id", "from_id"), ["repo_id", "from_id"], "left_semi").select(
+        "repo_id", F.col("from_id").alias("id"), F.lit(2).alias("section"), F.col("to_id").alias("other"), "confidence", F.col("site_path").alias("path"), F.col("site_line").alias("line"))
     return R.context_report(wanted, into.unionByName(out)).drop("path", "line")
 
 
@@ -182,8 +183,8 @@ def git_log(t):
     return commits.filter("author = 'Ann'").select("repo_id", "sha").join(per, ["repo_id", "sha"])
 
 
-@query("manifest_hash", """SELECT source AS module, CAST(sum(('0x' || substr(sha256(source || '/' || doc_id || ':' || n_chars || ':' || (doc_id * 1000000)), 1, 12))::BIGINT) AS VARCHAR) AS key,
-    count(*) AS files FROM documents GROUP BY 1""")
+@query("manifest_hash", """WITH d AS (SELECT source, sha256(source || '/' || doc_id || ':' || n_chars || ':' || (doc_id * 1000000)) AS h FROM documents)
+    SELECT source AS module, sha256(concat_ws(':', CAST(sum(('0x' || substr(h, 1, 15))::BIGINT) AS VARCHAR), CAST(sum(('0x' || substr(h, 16, 15))::BIGINT) AS VARCHAR), CAST(sum(('0x' || substr(h, 31, 15))::BIGINT) AS VARCHAR), CAST(sum(('0x' || substr(h, 46, 15))::BIGINT) AS VARCHAR), CAST(count(*) AS VARCHAR))) AS key, count(*) AS files FROM d GROUP BY 1""")
 def manifest_hash(t):
     return S.manifest_hash(t.documents.select(F.col("source").alias("module"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"),
                                               F.col("n_chars").alias("size"), F.timestamp_seconds(F.col("doc_id")).alias("modified")))

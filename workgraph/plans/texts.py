@@ -77,10 +77,11 @@ def robust_mad(t):
         .agg(F.count(F.when(F.col("outlier"), 1)).alias("outliers"))
 
 
+# The edge rows are repeated seven times at either end, then a plain window has the median.
 @query("rolling_median", """WITH ps AS (SELECT l_suppkey, l_orderkey, l_partkey, l_linenumber, l_quantity, l_extendedprice, greatest(-20, least(20, l_quantity - 25)) AS c,
     row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_partkey, l_linenumber, l_quantity, l_extendedprice) AS p, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem),
-wd AS (SELECT a.l_suppkey, a.p, greatest(0, least(40, median(b.c))) AS base FROM (SELECT l_suppkey, p, n, unnest(range(-7, 8)) AS o FROM ps) a
-    JOIN ps b ON b.l_suppkey = a.l_suppkey AND b.p = greatest(1, least(a.n, a.p + a.o)) GROUP BY 1, 2)
+ed AS (SELECT l_suppkey, p, c FROM ps UNION ALL SELECT l_suppkey, -k, c FROM ps, range(7) r(k) WHERE p = 1 UNION ALL SELECT l_suppkey, n + 1 + k, c FROM ps, range(7) r(k) WHERE p = n),
+wd AS (SELECT l_suppkey, p, greatest(0, least(40, median(c) OVER (PARTITION BY l_suppkey ORDER BY p ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING))) AS base FROM ed)
 SELECT ps.l_suppkey, ps.l_orderkey, ps.l_partkey, ps.l_extendedprice, round(wd.base, 6) AS baseline, round(ps.l_quantity - 25 - wd.base, 6) AS flattened FROM ps JOIN wd ON wd.l_suppkey = ps.l_suppkey AND wd.p = ps.p""")
 def rolling_median(t):
     rows = t.lineitem.withColumn("_x", F.col("l_quantity") - 25)
