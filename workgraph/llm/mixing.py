@@ -71,7 +71,8 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
     """``cells`` (dimension columns, tokens) with ``weight``: tokens fitted to the targets, dimension after dimension.
 
     A round scales every cell by target / current sum of its value, for each dimension in turn, and is written down.
-    Values without a target keep their weight; cells without tokens stay empty.
+    Values without a target keep their weight; cells without tokens stay empty. Targets that contradict each other (a
+    language that only one source has, say) cannot all be met; the last dimension's then hold.
     """
     weighted = cells.withColumn("weight", F.col("tokens").cast("decimal(38,6)"))
     for _ in range(rounds):
