@@ -39,7 +39,7 @@ WIDTH = 3
 #: Links need 100 * intersection >= THRESHOLD * union.
 THRESHOLD = 90
 #: Sets a typical set meets that resemble it at SIMILAR without linking: what the cost of a false candidate is weighed by.
-NEIGHBOURS, SIMILAR = 50, 0.6
+NEIGHBOURS, SIMILAR = 500, 0.6
 SKETCH = 16
 #: Sets a task remembers to combine copies of.
 SEEN = 200_000
