@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIRS: dict[str, str] = {}
+_FORGOTTEN: set[str] = set()
 
 
 def build_session(app: str = "workgraph", master: str | None = None,
@@ -67,14 +68,24 @@ def checkpoint_root(spark: SparkSession) -> str:
     return _LOCAL_DIRS[app]
 
 
+def _forget_at_end(spark: SparkSession, folder: str) -> None:
+    """Have the file system delete what an application cut when its session ends."""
+    if folder not in _FORGOTTEN:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+        _FORGOTTEN.add(folder)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and read it back.
+    """Write ``df`` to the checkpoint folder and read it back; the folder goes when the session ends.
 
     The result has no lineage, survives the loss of any executor and carries
     real file sizes, so joins on it are planned from what was written rather
     than from estimates that grow with every round of a loop.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    folder = f"{checkpoint_root(spark)}/{spark.sparkContext.applicationId}"
+    path = f"{folder}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _forget_at_end(spark, folder)
     return spark.read.schema(df.schema).parquet(path)
