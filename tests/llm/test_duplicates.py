@@ -233,3 +233,50 @@ def test_stages_against_brute_force(spark):
             assert (out[2][d] == t) == (hit == 0) and plain_hits(out[2][d], [])[0] == total - hit
     for d, t in texts.items():
         assert ("[secret]" in out[3][d]) == bool(plain_spans(t)[1])
+
+
+def test_near_duplicate_stage_takes_five_words_and_80(spark):
+    rng = random.Random(11)
+    words = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for n, places in [(100, [30, 70]), (200, [20, 60, 110, 160]), (500, range(25, 500, 50))]:
+        origin = words(n)
+        copy = [f"changed{i}" if i in places else w for i, w in enumerate(origin)]
+        rows += [(len(rows), " ".join(origin)), (len(rows) + 1, " ".join(copy))]
+    long = words(500)
+    rows += [(6, " ".join(long)), (7, " ".join(long + words(100))), (8, " ".join(long + words(140)))]
+    rows += [(100 + i, t) for i, (_, t) in enumerate(families(7, groups=8))]
+    sets = plain_sets(rows, 5)
+    nodes = list(range(len(rows)))
+    for _ in rows:  # the smallest place of every component, by rounds until nothing changes
+        new = [min(nodes[j] for j in range(len(rows)) if j == i or 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])) for i in range(len(rows))]
+        if new == nodes:
+            break
+        nodes = new
+    df = spark.createDataFrame(rows, DOCS)
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, df, "").collect())
+    assert kept == sorted({rows[n][0] for n in nodes})
+    assert [d for d in kept if d < 100] == [0, 2, 4, 6, 8]
+
+
+def test_near_duplicate_stage_over_the_data_and_the_stages_after_it(spark):
+    """As in ``test_stages_against_brute_force``, with the near-duplicate stage at five words and 80."""
+    from test_native_rules import plain_spans
+    from test_scans import plain_hits
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").cache()
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    near, clean, safe = [{r["doc_id"]: r["text"] for r in stage(spark, docs, sf).collect()} for _, stage in corpus_pipeline.STAGES[1:-1]]
+    ids, sets = list(texts), plain_sets(list(texts.items()), 5)
+    links = [[j for j in range(len(ids)) if j == i or sets[i] & sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])] for i in range(len(ids))]
+    least = list(ids)
+    for _ in ids:
+        least = [min(least[j] for j in links[i]) for i in range(len(ids))]
+    assert set(near) == set(least)
+    for d, t in texts.items():
+        total, hit, _ = plain_hits(t, items)
+        assert (d in clean) == (2 * hit <= total)
+        if d in clean:
+            assert (clean[d] == t) == (hit == 0) and plain_hits(clean[d], [])[0] == total - hit
+        assert ("[secret]" in safe[d]) == bool(plain_spans(t)[1])
