@@ -87,6 +87,25 @@ def test_removal_cuts_passages_and_drops_mostly_hit_documents(spark):
     assert decontamination.scan(df, bench.limit(0)).filter("size(runs) > 0").count() == 0
 
 
+def test_removal_does_not_depend_on_the_number_of_blocks(spark):
+    docs, items = made(2)
+    first, second, third = ([f"{c}{i}" for i in range(12)] for c in "pqr")
+    lap = first[6:] + second[:6]
+    items += [(20, " ".join(first)), (21, " ".join(second)), (22, " ".join(third)), (23, " ".join(lap)), (24, " ".join(["left"] * 5 + ["right"] * 5))]
+    docs += [(70, " ".join(first + ["own"] * 16 + second)), (71, " ".join(first + second + ["own"] * 40)),
+             (72, " ".join(["left"] * 5 + first + ["right"] * 5 + ["own"] * 20))]
+    bench = spark.createDataFrame(items, "item_id long, text string").repartition(1).sortWithinPartitions("item_id")
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("runs", F.lit(1))
+    known = [x for x in items if x[0] is not None]
+    out = [sorted(((r["doc_id"], r["text"]) for r in decontamination.remove_contaminated(df, bench, **more).collect()), key=str) for more in ({}, {"block_windows": 17})]
+    assert out[0] == out[1]
+    kept = dict(out[1])
+    assert 70 not in kept and len(plain_words(kept[71])) == 40 and plain_words(kept[72]) == ["left"] * 5 + ["right"] * 5 + ["own"] * 20
+    for d, t in docs:
+        total, hit, _ = plain_hits(t, known)
+        assert ((d, t) in out[1] if not hit else 2 * hit > total or any(e == d and len(plain_words(u)) == total - hit for e, u in out[1]))
+
+
 def lcs(a, b):
     t = np.zeros((len(a) + 1, len(b) + 1), int)
     for i, x in enumerate(a):

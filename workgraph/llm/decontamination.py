@@ -149,38 +149,55 @@ def _union(a: list[list[int]], b: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", n: int = N, share: float = 0.5, mark: str = "") -> DataFrame:
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", n: int = N, share: float = 0.5, mark: str = "",
+                        block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """``docs`` without benchmark passages: hit words are cut out of a text (with the marks between them); a document
-    with over ``share`` of its words hit goes as a whole. Columns stay; texts without hits stay as they are."""
+    with over ``share`` of its words hit goes as a whole. Columns stay; texts without hits stay as they are.
+
+    Every block is scanned on the uncut text, its runs carried beside the row; the last pass judges and cuts once.
+    """
     spark = docs.sparkSession
-    at = docs.columns.index(text)
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    plain = docs.toDF(*names)
-    for block in _blocks(benchmark, n, "item_id", "text", BLOCK_WINDOWS):
+    at, width = docs.columns.index(text), len(docs.columns)
+    names = [f"c{i}" for i in range(width)]
+    plain = docs.toDF(*names).withColumn("runs", F.array().cast("array<array<long>>"))
+
+    def one_pass(df: DataFrame, block, last: bool) -> DataFrame:
         shared = spark.sparkContext.broadcast(Grams(block, n))
 
-        def read(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             grams = shared.value
             for batch in batches:
-                texts, keep = [], []
-                for t in batch.column(at).to_pylist():
-                    total, runs, _ = grams.scan(word_pieces(t, ALNUM))
-                    hit = int((runs[:, 1] - runs[:, 0]).sum())
-                    keep.append(hit <= share * total)
-                    texts.append(_without(t, runs, mark) if hit and keep[-1] else t)
-                columns = [pa.array(texts, c.type) if i == at else c for i, c in enumerate(batch.columns)]
-                yield pa.RecordBatch.from_arrays(columns, batch.schema.names).filter(pa.array(keep))
-        plain = plain.mapInArrow(read, plain.schema)
-    return plain.toDF(*docs.columns)
-
-
-def _without(text: str, runs: np.ndarray, mark: str) -> str:
+                texts, runs, keep = [], [], []
+                for t, ran in zip(batch.column(at), batch.column(width).to_pylist()):
+                    t = t.as_py()
+                    total, new, _ = grams.scan(word_pieces(t, ALNUM))
+                    every = _union(ran, new.tolist())
+                    hit = sum(e - s for s, e in every)
+                    keep.append(not last or hit <= share * total)
+                    texts.append(_without(t, every, mark) if last and hit and keep[-1] else t)
+                    runs.append([] if last else every)
+                columns = [pa.array(texts, c.type) if i == at else c for i, c in enumerate(batch.columns[:width])]
+                columns.append(pa.array(runs, pa.list_(pa.list_(pa.int64()))))
+                yield pa.RecordBatch.from_arrays(columns, batch.schema.names).filter(pa.array(keep, pa.bool_()))
+        return df.mapInArrow(read, df.schema)
+
+    ahead = None
+    for block in _blocks(benchmark, n, "item_id", "text", block_windows):
+        if ahead is not None:
+            plain = one_pass(plain, ahead, False)
+        ahead = block
+    if ahead is not None:
+        plain = one_pass(plain, ahead, True)
+    return plain.select(*names).toDF(*docs.columns)
+
+
+def _without(text: str, runs: list[list[int]], mark: str) -> str:
     data = text.encode("utf-8", "surrogatepass")
     is_word = np.frombuffer(data.translate(ALNUM), np.uint8) != 32
     edge = np.diff(np.concatenate(([0], is_word.astype(np.int8), [0])))
     begins, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     out, at = [], 0
-    for s, e in runs.tolist():
+    for s, e in runs:
         out.append(data[at:begins[s]] + mark.encode())
         at = ends[e - 1]
     return b"".join([*out, data[at:]]).decode("utf-8", "surrogatepass")
