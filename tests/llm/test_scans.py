@@ -168,3 +168,23 @@ def test_extraction_keeps_rows_and_long_pages(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in got)
     assert next(r for r in got if r["page_id"] is None)["text"].count("\n") == 19_999
     assert html_text.extract(df.limit(0)).count() == 0
+
+
+BOX = '<div class="newsletter"><p>Sign up!</p><p>Your mail</p><p>Send it now, it is free and it comes each week with more of the same</p></div>'
+LINKS = "<ul><li><a>Ref 1</a></li><li><a>Ref 2</a></li><li><a>Ref 3</a></li></ul>"
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<div><p>First part.</p>{BOX}<p>Second part, longer.</p></div>", "First part.\nSecond part, longer."),
+    (f"<p>First part.</p>{BOX}<p>Second part, longer.</p>{BOX}", "First part.\nSecond part, longer."),
+    (f"<div><p>First part.</p>{LINKS}<p>Second part, longer.</p></div>", "First part.\nRef 1\nRef 2\nRef 3\nSecond part, longer."),
+    (f"<p>First part.</p>{LINKS}<p>Second part, longer.</p>", "First part.\nRef 1\nRef 2\nRef 3\nSecond part, longer."),
+    (f"<div><h1><a>Linked title</a></h1><p>First part.</p><p>Second part.</p>{LINKS}</div>", "Linked title\nFirst part.\nSecond part.\nRef 1\nRef 2\nRef 3"),
+    (f"<div><div><p>First part.</p></div><div><p>More of it.</p></div>{LINKS}<div><p>Last.</p></div></div>", "First part.\nMore of it.\nRef 1\nRef 2\nRef 3\nLast."),
+    (f"<div>My site</div><div>{LINKS}</div><div><p>The text of the page.</p><p>More.</p></div><div>{LINKS}</div><div>Imprint</div>", "The text of the page.\nMore."),
+])
+def test_boxes_and_links_in_mid_article_break_nothing(page, want):
+    assert html_text.main_text(page) == want
+    assert html_text.main_text(f"<html><body>{page}</body></html>") == want
+
+

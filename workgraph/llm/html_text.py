@@ -3,9 +3,13 @@
 The markup of a page is stripped into text blocks in page order. A block's weight is its length; blocks in menus, headers,
 footers, sidebars, notices, adverts, forms and reader comments weigh nothing, and where the page marks its article or main
 part, blocks outside weigh nothing either. Weights are summed over a window sliding along the blocks: the text surges where
-the sum first leaves zero and dives where it falls to zero again. Between them lies the article; of several such
-stretches the one with most text is it. All its blocks with weight are kept, whole. Outside a marked part a block that is mostly link text weighs nothing either; inside one,
-everything from the first surge to the last dive belongs to the article.
+the sum first leaves zero and dives where it falls to zero again. Inside a marked part everything from the first surge to
+the last dive belongs to the article, so there the roles of the elements decide alone.
+
+Outside a marked part the blocks known as apart are left out before the sums are taken, so that a box in mid-article breaks
+nothing, and a block that is mostly link text weighs nothing. The stretch with most text is the article, together with the
+stretches that share its container (the innermost element that is not text-level). Its link-heavy blocks are kept where a
+container of theirs has text of the article before and after them, or beside that text in a container below the body.
 
 Null and empty pages give an empty text. A page is read in one pass with a bounded stack; repeated rows count for themselves.
 """
@@ -15,6 +19,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,6 +41,9 @@ ENDS_P = set("address article aside blockquote details div dl fieldset figcaptio
 SIBLINGS = {"li": {"ul", "ol", "menu"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "tr": {"table", "tbody", "thead", "tfoot"}, "option": {"select"},
             "dt": {"dl"}, "dd": {"dl"}}
 ROLES = set("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
+#: Elements within a text; any other is a container of blocks.
+TEXT_LEVEL = INLINE | set("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre address figure figcaption section hgroup details summary "
+                          "table caption colgroup thead tbody tfoot tr td th".split())
 #: Words in class names and ids of parts that are not the article.
 APART_WORDS = set("ad ads adsense advert adverts advertisement advertising banner breadcrumb breadcrumbs comment commentlist comments consent "
                   "cookie cookies copyright disclaimer discussion disqus footer header login masthead menu modal nav navbar navigation newsletter "
@@ -63,24 +71,32 @@ def _apart(name: str, attributes: str) -> bool:
     return False
 
 
-def blocks(page: str) -> list[tuple[str, bool, int, bool]]:
-    """(text, apart, part, linked) of every block with text: ``part`` numbers the outermost article or main part, 0
-    outside; ``linked`` holds where over half of the text is inside links.
+class Block(NamedTuple):
+    text: str
+    apart: bool
+    #: Number of the outermost article (positive) or main part (negative), 0 outside.
+    part: int
+    #: Over half of the text is inside links.
+    linked: bool
+    #: Number of the container, 0 for the body.
+    box: int
+
 
-    A main part counts as negative, so that it can be told from an article.
-    """
-    out: list[tuple[str, bool, int, bool]] = []
+def blocks(page: str) -> tuple[list[Block], list[int]]:
+    """Every block with text, and for every container the number of the one around it (0 for the body itself)."""
+    out: list[Block] = []
     text: list[str] = []
     link = [0]
-    stack: list[tuple[str, bool, int]] = [("", False, 0)]
-    parts = 0
+    stack: list[tuple[str, bool, int, int]] = [("", False, 0, 0)]
+    parts, around = 0, [0]
 
     def flush() -> None:
         if text:
             joined = " ".join("".join(text).split())
             text.clear()
             if joined:
-                out.append((joined, stack[-1][1], stack[-1][2], 2 * link[0] > len(joined)))
+                _, apart, part, box = stack[-1]
+                out.append(Block(joined, apart, part, 2 * link[0] > len(joined), box))
             link[0] = 0
 
     def add(piece: str) -> None:
@@ -143,29 +159,23 @@ def blocks(page: str) -> list[tuple[str, bool, int, bool]]:
                     if stack[depth][0] == name:
                         close_to(depth)
                         break
-        _, apart, part = stack[-1]
+        _, apart, part, box = stack[-1]
         here = apart or _apart(name, m[3] or m[6] or "")
         if here != apart and name in INLINE:
             flush()
         if not part and not here and name in ("article", "main"):
             parts += 1
             part = parts if name == "article" else -parts
-        stack.append((name, here, part))
+        if name not in TEXT_LEVEL and name not in ("html", "body"):
+            around.append(box)
+            box = len(around) - 1
+        stack.append((name, here, part, box))
     flush()
-    return out
+    return out, around
 
 
-def main_text(page: str | None, window: int = WINDOW) -> str:
-    """The text of the blocks between surge and dive, one per line."""
-    found = blocks(page) if page else []
-    if not found:
-        return ""
-    size: dict[int, int] = {}
-    for t, apart, part, _ in found:
-        if part and not apart:
-            size[part] = size.get(part, 0) + len(t)
-    chosen = max(size, key=lambda p: (p < 0, size[p], -abs(p))) if size else 0
-    weights = [0 if apart or part != chosen or (not chosen and linked) else len(t) for t, apart, part, linked in found]
+def _stretches(weights: list[int], window: int) -> list[tuple[int, int]]:
+    """Ranges from a surge of the windows' sums to the next dive."""
     sums = [sum(weights[i:i + window]) for i in range(len(weights))]
     stretches, begin = [], None
     for i, total in enumerate([*sums, 0]):
@@ -174,13 +184,61 @@ def main_text(page: str | None, window: int = WINDOW) -> str:
         elif not total and begin is not None:
             stretches.append((begin, i))
             begin = None
+    return stretches
+
+
+def main_text(page: str | None, window: int = WINDOW) -> str:
+    """The text of the blocks between surge and dive, one per line."""
+    found, around = blocks(page) if page else ([], [0])
+    size: dict[int, int] = {}
+    for b in found:
+        if b.part and not b.apart:
+            size[b.part] = size.get(b.part, 0) + len(b.text)
+    if size:
+        chosen = max(size, key=lambda p: (p < 0, size[p], -abs(p)))
+        weights = [0 if b.apart or b.part != chosen else len(b.text) for b in found]
+        stretches = _stretches(weights, window)
+        return "\n".join(found[i].text for i in range(stretches[0][0], stretches[-1][1]) if weights[i])
+    return "\n".join(b.text for b in _unmarked([b for b in found if not b.apart], around, window))
+
+
+def _unmarked(found: list[Block], around: list[int], window: int) -> list[Block]:
+    """The article's blocks of a page without a marked part."""
+    weights = [0 if b.linked else len(b.text) for b in found]
+    stretches = _stretches(weights, window)
     if not stretches:
-        return ""
-    if chosen:
-        surge, dive = stretches[0][0], stretches[-1][1]
-    else:
-        surge, dive = max(stretches, key=lambda r: (sum(weights[r[0]:r[1]]), -r[0]))
-    return "\n".join(found[i][0] for i in range(surge, dive) if weights[i])
+        return []
+    heavy = [[i for i in range(*r) if weights[i]] for r in stretches]
+    most = max(range(len(heavy)), key=lambda k: (sum(weights[i] for i in heavy[k]), -k))
+    boxes = [b.box for b in found]
+    shared = {boxes[i] for i in heavy[most]}
+    if len(heavy[most]) == len(shared) > 1 and len({around[x] for x in shared}) == 1 and around[min(shared)]:
+        # Paragraphs that each have a container of their own share the one around it.
+        boxes = [around[x] if around[x] == around[min(shared)] else x for x in boxes]
+        shared = {around[min(shared)]}
+    own = [r for r in heavy if any(boxes[i] in shared for i in r)]
+    first, last = own[0][0], own[-1][-1]
+    span: dict[int, list[int]] = {}
+    for i in range(first, last + 1):
+        if weights[i]:
+            span.setdefault(boxes[i], [i, i])[1] = i
+
+    def inside(i: int) -> bool:
+        """Whether a container of the block has text of the article before and after it."""
+        x = boxes[i]
+        while True:
+            if x in span and span[x][0] < i < span[x][1]:
+                return True
+            if not x:
+                return False
+            x = around[x]
+
+    below = shared - {0}
+    while first and found[first - 1].linked and boxes[first - 1] in below:
+        first -= 1
+    while last + 1 < len(found) and found[last + 1].linked and boxes[last + 1] in below:
+        last += 1
+    return [found[i] for i in range(first, last + 1) if weights[i] or boxes[i] in below or inside(i)]
 
 
 def extract(pages: DataFrame, id: str = "page_id", url: str = "url", page: str = "html", window: int = WINDOW) -> DataFrame:
