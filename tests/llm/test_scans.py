@@ -188,3 +188,19 @@ def test_boxes_and_links_in_mid_article_break_nothing(page, want):
     assert html_text.main_text(f"<html><body>{page}</body></html>") == want
 
 
+
+
+@pytest.mark.parametrize("page, want", [
+    *[(f"<div class='{c}'><{e}><h1>Title</h1><p>Text.</p></{e}></div>", "Title\nText.")
+      for c in ("content-sidebar-wrap", "has-sidebar", "no-sidebar", "with-comments", "site sidebar", "widget") for e in ("article", "main")],
+    *[(f"<div class='{c}'><p>Text.</p><p>More.</p></div>", "Text.\nMore.") for c in ("content-sidebar-wrap", "has-sidebar", "no-sidebar", "with-comments")],
+    ("<article><div class='article-header'><h1>Title</h1></div><p>Text.</p><section id='related-work'><p>Others.</p></section>"
+     "<section id=notice-period><p>Three months.</p></section></article>", "Title\nText.\nOthers.\nThree months."),
+    *[(f"<article><p>Text.</p><div class='{c}'><p>Not this.</p></div><p id='{c}'>Nor this.</p></article>", "Text.")
+      for c in ("ad", "ad-300x250", "share-buttons", "siteFooter", "left-sidebar", "sidebar-left", "comments-area", "comment-17", "related-posts", "big cookie_notice")],
+    ("<article><p>Short.</p><div class=comments><article><p>A long comment on it.</p></article></div></article>", "Short."),
+    ("<article><p>Short.</p></article><div class=comments><article><p>A long comment on it.</p></article></div>", "Short."),
+    ("<aside><article><p>No.</p></article></aside><div hidden><main>No.</main></div><p>Text.</p>", "Text."),
+])
+def test_class_names_set_apart_by_role_only(page, want):
+    assert html_text.main_text(page) == want

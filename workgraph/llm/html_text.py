@@ -11,6 +11,10 @@ nothing, and a block that is mostly link text weighs nothing. The stretch with m
 stretches that share its container (the innermost element that is not text-level). Its link-heavy blocks are kept where a
 container of theirs has text of the article before and after them, or beside that text in a container below the body.
 
+A class name or id sets an element apart as a whole or by its last word but for words of boxes, lists and places
+("share-buttons", not "related-work"), and not where it describes a state or a part of the article ("no-sidebar",
+"article-header"). An article or main part inside such an element is read all the same.
+
 Null and empty pages give an empty text. A page is read in one pass with a bounded stack; repeated rows count for themselves.
 """
 
@@ -49,26 +53,47 @@ APART_WORDS = set("ad ads adsense advert adverts advertisement advertising banne
                   "cookie cookies copyright disclaimer discussion disqus footer header login masthead menu modal nav navbar navigation newsletter "
                   "notice notices notification pager pagination popup promo promotion recommended related replies respond reviews share sharing "
                   "sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets".split())
+#: Words after the one that says what a part is for: its box, its place, or what it lists.
+BOX_WORDS = set("area bar block body bottom box button buttons card col column container content desktop dialog fixed form group holder icon icons inner "
+                "item items label left link links list main mobile module now outer overlay panel posts articles stories primary right row secondary "
+                "section slot sticky text this thread title tools top trail unit wrap wrapper zone".split())
+#: Words before it by which a name describes a state or a layout ("no-sidebar"), or a part of the article ("article-header").
+STATE_WORDS = set("has have no not with without show hide is are".split())
+PART_WORDS = {"header": set("article chapter content entry post section story".split()), "sidebar": {"content"}}
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z][\w:-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def _apart(name: str, attributes: str) -> bool:
-    if name in APART:
+def _names_apart(name: str) -> bool:
+    """Whether a class name or id names a part that is not the article: the name as a whole, or its last word by role."""
+    if name.lower() in APART_WORDS:
         return True
-    if not attributes or name in ("html", "body"):
+    words = [w.lower() for w in _WORD.findall(name) if len(w) > 1]
+    if not STATE_WORDS.isdisjoint(words[:-1]):
         return False
+    while len(words) > 1 and words[-1] in BOX_WORDS:
+        words.pop()
+    return bool(words) and words[-1] in APART_WORDS and PART_WORDS.get(words[-1], set()).isdisjoint(words[:-1])
+
+
+def _apart(name: str, attributes: str) -> int:
+    """2 where the element, its role or its being hidden sets it apart, 1 where only a class name or id does, else 0."""
+    if name in APART:
+        return 2
+    if not attributes or name in ("html", "body"):
+        return 0
+    found = 0
     for key, a, b, c in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), a or b or c
-        if key in ("class", "id") and not APART_WORDS.isdisjoint(w.lower() for w in _WORD.findall(value)):
-            return True
+        if key in ("class", "id") and any(_names_apart(w) for w in value.split()):
+            found = 1
         if key == "role" and value.lower() in ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True
+            return 2
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return 2
+    return found
 
 
 class Block(NamedTuple):
@@ -78,16 +103,22 @@ class Block(NamedTuple):
     part: int
     #: Over half of the text is inside links.
     linked: bool
+    #: The part lies in an element that a class name or id sets apart.
+    weak: bool
     #: Number of the container, 0 for the body.
     box: int
 
 
 def blocks(page: str) -> tuple[list[Block], list[int]]:
-    """Every block with text, and for every container the number of the one around it (0 for the body itself)."""
+    """Every block with text, and for every container the number of the one around it (0 for the body itself).
+
+    A main or article part inside an element that only a class name or id sets apart is read all the same, unless it is
+    nested in another part.
+    """
     out: list[Block] = []
     text: list[str] = []
     link = [0]
-    stack: list[tuple[str, bool, int, int]] = [("", False, 0, 0)]
+    stack: list[tuple[str, int, int, bool, int]] = [("", 0, 0, False, 0)]
     parts, around = 0, [0]
 
     def flush() -> None:
@@ -95,8 +126,8 @@ def blocks(page: str) -> tuple[list[Block], list[int]]:
             joined = " ".join("".join(text).split())
             text.clear()
             if joined:
-                _, apart, part, box = stack[-1]
-                out.append(Block(joined, apart, part, 2 * link[0] > len(joined), box))
+                _, apart, part, weak, box = stack[-1]
+                out.append(Block(joined, apart > 0, part, 2 * link[0] > len(joined), weak, box))
             link[0] = 0
 
     def add(piece: str) -> None:
@@ -129,7 +160,7 @@ def blocks(page: str) -> tuple[list[Block], list[int]]:
                     if stack[depth][0] not in INLINE:
                         break
                     if stack[depth][0] == name:
-                        if stack[depth][1] != stack[depth - 1][1]:
+                        if (stack[depth][1] > 0) != (stack[depth - 1][1] > 0):
                             flush()
                         del stack[depth]
                         break
@@ -159,17 +190,18 @@ def blocks(page: str) -> tuple[list[Block], list[int]]:
                     if stack[depth][0] == name:
                         close_to(depth)
                         break
-        _, apart, part, box = stack[-1]
-        here = apart or _apart(name, m[3] or m[6] or "")
-        if here != apart and name in INLINE:
+        _, apart, part, weak, box = stack[-1]
+        own = _apart(name, m[3] or m[6] or "")
+        here = max(apart, own)
+        if (here > 0) != (apart > 0) and name in INLINE:
             flush()
-        if not part and not here and name in ("article", "main"):
+        if not part and not own and here < 2 and name in ("article", "main"):
             parts += 1
-            part = parts if name == "article" else -parts
+            part, weak, here = parts if name == "article" else -parts, here > 0, 0
         if name not in TEXT_LEVEL and name not in ("html", "body"):
             around.append(box)
             box = len(around) - 1
-        stack.append((name, here, part, box))
+        stack.append((name, here, part, weak, box))
     flush()
     return out, around
 
@@ -190,12 +222,12 @@ def _stretches(weights: list[int], window: int) -> list[tuple[int, int]]:
 def main_text(page: str | None, window: int = WINDOW) -> str:
     """The text of the blocks between surge and dive, one per line."""
     found, around = blocks(page) if page else ([], [0])
-    size: dict[int, int] = {}
+    size: dict[tuple[bool, int], int] = {}
     for b in found:
         if b.part and not b.apart:
-            size[b.part] = size.get(b.part, 0) + len(b.text)
+            size[b.weak, b.part] = size.get((b.weak, b.part), 0) + len(b.text)
     if size:
-        chosen = max(size, key=lambda p: (p < 0, size[p], -abs(p)))
+        _, chosen = max(size, key=lambda p: (not p[0], p[1] < 0, size[p], -abs(p[1])))
         weights = [0 if b.apart or b.part != chosen else len(b.text) for b in found]
         stretches = _stretches(weights, window)
         return "\n".join(found[i].text for i in range(stretches[0][0], stretches[-1][1]) if weights[i])
