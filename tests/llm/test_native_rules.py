@@ -138,6 +138,54 @@ def test_redaction_replaces_spans_and_nothing_else(spark):
     assert secret_scan.redact(df.limit(0)).count() == 0
 
 
+def strict_clean(text):
+    """What a strict redaction leaves, worked out on the characters."""
+    listed = plain_spans(text)[0]
+    spans = [(int(a), int(b)) for a, b in re.findall(r":(\d+):(\d+)", listed)]
+    taken = [any(s <= k < e for s, e in spans) for k in range(len(text))]
+    for m in re.finditer("[A-Za-z0-9+/_-]{20,}={0,2}", text):
+        begin = m.start()
+        while begin < m.end():
+            if taken[begin]:
+                begin += 1
+                continue
+            end = next((k for k in range(begin, m.end()) if taken[k]), m.end())
+            v = text[begin:end]
+            words = re.split("[/_-]+", re.sub(r"(/[A-Za-z]*)[0-9]{1,4}$", r"\1", v))
+            if not all(re.search(secret_scan.WORD, w) for w in words) and not any(re.search(p, v) for p in secret_scan.ALLOWED if p not in secret_scan.LOOSE):
+                low = secret_scan.THRESHOLDS["entropy_hex" if re.fullmatch("[0-9a-fA-F]+", v) else "entropy_base64"]
+                at = [k for k in range(len(v) - 19) if sum(-n / 20 * math.log2(n / 20) for n in Counter(v[k:k + 20]).values()) >= low]
+                if at:
+                    spans.append((begin + at[0], begin + at[-1] + 20))
+            begin = end
+    out, at = "", 0
+    for s, e in sorted(spans):
+        if s >= at or at == 0:
+            out += text[at:s] + "[secret]"
+        at = max(at, e)
+    return out + text[at:]
+
+
+def test_strict_redaction_takes_random_strings_and_leaves_words(spark):
+    digits = "0123456789abcdef0123fedc"
+    rest = "-QmZx81LpRt92KdWvHs7TyBnJc"
+    secrets = ["QmZxLpRtKdWvHsTyBnJcGfAeUi", "aG/kLmQxRtYwEzUvBnHsJdPfCo81", "qzmxkvjwprbtlhygnsdcfueo", "Zk/Qp9sVx2LmT7wR4yHnB8dKc3Gf"]
+    plain = ["src/components/ButtonGroup/index", "usr/local/share/documentation", "workgraph/llm/secret_scan", "com/sparkling/project/Main2", "INTERNAL_SERVER_ERROR_CODE",
+             "parseHTMLDocumentString", "quick-brown-foxes-jump-lazy", "Donaudampfschifffahrtsgesellschaft", "550e8400-e29b-41d4-a716-446655440000"]
+    rng = np.random.default_rng(3)
+    alphabet = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
+    drawn = ["".join(rng.choice(alphabet, n)) for n in (20, 24, 32, 40) for _ in range(60)]
+    whole = [f"a {digits}{rest} b", f"a {rest[1:]}-{digits}{rest}+{digits} b", f"a token={digits}{rest} b"] + [f"a {x} b" for x in secrets]
+    texts = whole + [f"a {x} b" for x in plain] + [f"a {x} b" for x in drawn]
+    out = {r["doc_id"]: r["text"] for r in secret_scan.redact(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        assert out[i] == strict_clean(t), t
+    for i, t in enumerate(whole):
+        assert "[secret]" in out[i] and not any(x in out[i] for x in (rest[1:21], *[x[2:18] for x in secrets])), t
+    for i, x in enumerate(plain, len(whole)):
+        assert out[i] == f"a {x} b"
+
+
 def test_mixing_meets_the_targets(spark):
     rng = np.random.default_rng(4)
     rows = [(i, "word " * int(rng.integers(1, 40)) + ("license" if i % 7 == 0 else "### !!" if i % 5 == 0 else ""), ["en", "de", None][i % 3],

@@ -28,6 +28,10 @@ ALLOWED = [r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", r"(?i)exampl
            r"(?i)abcdefgh|12345678|qwertyui", r"^[A-Za-z_/-]+$", r"^[0-9=+/_-]+$", r"^/?([A-Za-z_-]+/)+[A-Za-z0-9_-]*$"]
 #: Digests named as such just before the candidate.
 ALLOWED_BEFORE = r"(?i)(sha-?(1|224|256|384|512)|md5|checksum|integrity|commit)[\x20:=\"'-]{1,3}$"
+#: The two of them that random strings meet as well; a strict scan asks for words between the separators instead.
+LOOSE = [ALLOWED[3], ALLOWED[5]]
+SEPARATORS = r"[/_-]+"
+WORD = r"^([A-Z]?[a-z]{1,19}|[A-Z]{1,19}|[A-Z]{0,6}[a-z]{2,19}([A-Z]{1,6}[a-z]{2,19}){1,12})?$"
 WINDOW = 20
 #: Bits per character that a window needs, by character class.
 THRESHOLDS = {"entropy_hex": 2.95, "entropy_base64": 3.77}
@@ -91,11 +95,35 @@ def surprising(value: Column, low: Column, window: int = WINDOW) -> Column:
     return F.aggregate(F.sequence(F.lit(0), n - 1), zero, step, lambda a: F.struct(a["first"], a["last"]))
 
 
+def _outside(x: Column) -> Column:
+    """The parts (start, value, before) of a candidate between the base spans that touch it."""
+    empty = F.array().cast("array<struct<start:int,value:string,before:string>>")
+
+    def part(begin: Column, end: Column) -> Column:
+        return F.struct(begin.alias("start"), F.substr(x["value"], begin - x["start"] + 1, F.greatest(end - begin, F.lit(0))).alias("value"),
+                        F.when(begin == x["start"], x["before"]).otherwise(F.lit("")).alias("before"))
+
+    def step(a: Column, b: Column) -> Column:
+        return F.struct(F.greatest(a["pos"], F.least(b["end"], x["end"])).alias("pos"), F.concat(a["parts"], F.array(part(a["pos"], b["start"]))).alias("parts"))
+
+    touching = F.filter("base_spans", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+    return F.aggregate(touching, F.struct(x["start"].alias("pos"), empty.alias("parts")), step,
+                       lambda a: F.concat(a["parts"], F.array(part(a["pos"], x["end"]))))
+
+
+def _of_words(value: Column) -> Column:
+    """Whether only words stand between the separators; the last part of a path may end in up to four digits."""
+    plain = F.regexp_replace(value, F.lit(r"(/[A-Za-z]*)[0-9]{1,4}$"), F.lit("$1"))
+    return F.forall(F.split(plain, SEPARATORS), lambda w: w.rlike(WORD))
+
+
 def spans(df: DataFrame, text: str = "text", window: int = WINDOW, thresholds: dict[str, float] | None = None,
-          allowed: list[str] | None = None) -> DataFrame:
+          allowed: list[str] | None = None, strict: bool = False) -> DataFrame:
     """``df`` with ``base_spans`` and ``all_spans``: arrays of (start, rank, end, kind), by start, then kind as listed.
 
-    An entropy span is added where it overlaps no base span and no allow-list pattern holds.
+    An entropy span is added where it overlaps no base span and no allow-list pattern holds. With ``strict`` the parts of a
+    candidate outside the base spans are scored where they fill a window, and of strings that look like a path or have no
+    digits only those of words are left alone.
     """
     low = {**THRESHOLDS, **(thresholds or {})}
     out = df.withColumn("_body", whole(text))
@@ -112,14 +140,19 @@ def spans(df: DataFrame, text: str = "text", window: int = WINDOW, thresholds: d
         F.transform(assign, lambda x: plain(x, 0)),
         F.transform(_placed("access", F.lit("access"), "_m_access"), lambda x: plain(x, 1)),
         F.transform(_placed("hex", F.lit("hex"), "_m_hex"), lambda x: plain(x, 2)))))
-    out = out.withColumn("_free", F.filter(_placed("entropy", F.lit(""), "_m_entropy"), lambda x: ~F.exists(
-        "base_spans", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))))
+    candidates = _placed("entropy", F.lit(""), "_m_entropy")
+    if strict:
+        free = F.filter(F.flatten(F.transform(candidates, _outside)), lambda x: F.length(x["value"]) >= window)
+    else:
+        free = F.filter(candidates, lambda x: ~F.exists("base_spans", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    out = out.withColumn("_free", free)
 
     def suspicious(x: Column) -> Column:
         ok = ~x["before"].rlike(ALLOWED_BEFORE)
         for pattern in ALLOWED if allowed is None else allowed:
-            ok = ok & ~x["value"].rlike(pattern)
-        return ok
+            if not (strict and pattern in LOOSE):
+                ok = ok & ~x["value"].rlike(pattern)
+        return ok & ~_of_words(x["value"]) if strict else ok
 
     out = out.withColumn("_free", F.filter("_free", suspicious))
     hexes = F.lit(r"^[0-9a-fA-F]+$")
@@ -150,10 +183,11 @@ def report(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def redact(df: DataFrame, text: str = "text", mark: str = "[secret]") -> DataFrame:
-    """``df`` with every span of its text replaced by ``mark``; overlapping spans are replaced together. Null stays null."""
+    """``df`` with every span of its text (by a strict scan) replaced by ``mark``; overlapping spans are replaced together.
+    Null stays null."""
     body = F.col(f"`{text}`")
     row = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), body.alias("_text"))
-    found = spans(row, "_text")
+    found = spans(row, "_text", strict=True)
     zero = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
 
     def splice(a: Column, x: Column) -> Column:
