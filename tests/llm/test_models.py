@@ -51,6 +51,20 @@ def test_training_rows_are_bounded_and_never_held_out(spark):
     assert few.count() == 10 and few.collect() == few.collect()
 
 
+def test_an_id_with_very_many_rows_does_not_break_the_bound(spark):
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(i, f"t{i}") for i in ids] + [(ids[0], "t0 again")] * 300 + [(ids[1], f"other {k}") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int")
+    got = [r["text"] for r in labelled.training_rows(docs, labels, "quality").collect()]
+    assert sorted(got) == sorted({t for _, t in rows})
+    few = [r["text"] for r in labelled.training_rows(docs, labels, "quality", rows=len(ids)).collect()]
+    owner = {t: i for i, t in rows}
+    assert sorted(owner[t] for t in few) == ids
+    less = labelled.training_rows(docs, labels, "quality", rows=10).collect()
+    assert len(less) == 10 and len({owner[r["text"]] for r in less}) == 10
+
+
 @pytest.mark.parametrize("module, label", [(quality_gam, "quality"), (toxicity, "toxic")])
 def test_models_of_nothing_and_of_one_label(spark, module, label):
     docs = spark.createDataFrame([(1, "some words here"), (1, "some words here"), (2, None), (3, ""), (None, "x " * 200_000)], "doc_id long, text string") \
