@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIRS: dict[str, str] = {}
 _FORGOTTEN: set[str] = set()
+_SCOPES: list["Scratch"] = []
+#: Shuffle files of a finished action go at once: what a loop needs later it has written down with :func:`cut`.
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def build_session(app: str = "workgraph", master: str | None = None,
@@ -29,6 +34,7 @@ def build_session(app: str = "workgraph", master: str | None = None,
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        CLEAN_SHUFFLES: "true",
     }
     if shuffle_partitions:
         settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
@@ -47,6 +53,7 @@ def tune(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set(CLEAN_SHUFFLES, "true")
     return spark
 
 
@@ -77,7 +84,7 @@ def _forget_at_end(spark: SparkSession, folder: str) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and read it back; the folder goes when the session ends.
+    """Write ``df`` to the checkpoint folder and read it back; the folder goes with its :func:`scratch`, or when the session ends.
 
     The result has no lineage, survives the loss of any executor and carries
     real file sizes, so joins on it are planned from what was written rather
@@ -88,4 +95,46 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{folder}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     _forget_at_end(spark, folder)
-    return spark.read.schema(df.schema).parquet(path)
+    result = spark.read.schema(df.schema).parquet(path)
+    result._cut_path = path
+    if _SCOPES:
+        _SCOPES[-1].made.append(result)
+    return result
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete what :func:`cut` wrote for these results; nothing may read them any more."""
+    for df in frames:
+        jvm = df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._cut_path)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Scratch:
+    """What :func:`cut` wrote inside a :func:`scratch` block."""
+
+    def __init__(self) -> None:
+        self.made: list[DataFrame] = []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """``df``, a result of :func:`cut`, outlives the block."""
+        self.made = [x for x in self.made if x._cut_path != df._cut_path]
+        outer = _SCOPES[:_SCOPES.index(self)]
+        if outer:
+            outer[-1].made.append(df)
+        return df
+
+
+@contextmanager
+def scratch() -> Iterator[Scratch]:
+    """A block whose cuts are deleted at its end, but for those it keeps: the disk of finished steps is free for the next.
+
+    Whatever leaves the block must be written down in it: ``return held.keep(cut(result))``.
+    """
+    scope = Scratch()
+    _SCOPES.append(scope)
+    try:
+        yield scope
+    finally:
+        _SCOPES.remove(scope)
+        release(*scope.made)
