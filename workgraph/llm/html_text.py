@@ -54,9 +54,9 @@ APART_WORDS = set("ad ads adsense advert adverts advertisement advertising banne
                   "notice notices notification pager pagination popup promo promotion recommended related replies respond reviews share sharing "
                   "sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets".split())
 #: Words after the one that says what a part is for: its box, its place, or what it lists.
-BOX_WORDS = set("area bar block body bottom box button buttons card col column container content desktop dialog fixed form group holder icon icons inner "
-                "item items label left link links list main mobile module now outer overlay panel posts articles stories primary right row secondary "
-                "section slot sticky text this thread title tools top trail unit wrap wrapper zone".split())
+BOX_WORDS = set("area bar block body bottom box button card col column container content desktop dialog fixed form group holder icon inner "
+                "item label left link list main mobile module now outer overlay panel post article story primary right row secondary "
+                "section slot sticky text this thread title tool top trail unit wrap wrapper zone".split())
 #: Words before it by which a name describes a state or a layout ("no-sidebar"), or a part of the article ("article-header").
 STATE_WORDS = set("has have no not with without show hide is are".split())
 PART_WORDS = {"header": set("article chapter content entry post section story".split()), "sidebar": {"content"}}
@@ -73,7 +73,7 @@ def _names_apart(name: str) -> bool:
     words = [w.lower() for w in _WORD.findall(name) if len(w) > 1]
     if not STATE_WORDS.isdisjoint(words[:-1]):
         return False
-    while len(words) > 1 and words[-1] in BOX_WORDS:
+    while len(words) > 1 and (words[-1] in BOX_WORDS or words[-1].endswith("s") and words[-1][:-1] in BOX_WORDS or words[-1] == "stories"):
         words.pop()
     return bool(words) and words[-1] in APART_WORDS and PART_WORDS.get(words[-1], set()).isdisjoint(words[:-1])
 

@@ -5,7 +5,7 @@ linked sets lie in the same band or in neighbouring ones; each band has a scheme
 segments. Two linked sets differ in at most D shingles, so with ``a`` exact segments and ``b`` segments that also index their
 one-deletion neighbours, and a + 2b > D, they share a key: otherwise every exact segment would hold a difference and every
 other one two. The cheapest split into a and b is chosen per band by the keys it writes and the false candidates it is
-expected to let through.
+expected to let through. Empty segments do not count and are never keys (see :func:`keys`).
 
 Candidates are settled in two steps, and no bucket is expanded into all its pairs. First every class of a bucket is
 compared with the smallest id of the bucket only, and what links is one component. Then only pairs across components
@@ -33,14 +33,16 @@ from pyspark.sql import functions as F
 from workgraph.llm.registry import query
 from workgraph.llm.tokens import LOWER, mixed, window_hashes, word_hashes
 from workgraph.operators.closure import connected_components
-from workgraph.session import cut
+from workgraph.session import cut, scratch
 
 WIDTH = 3
 #: Links need 100 * intersection >= THRESHOLD * union.
 THRESHOLD = 90
 #: Sets a typical set meets that resemble it at SIMILAR without linking: what the cost of a false candidate is weighed by.
-NEIGHBOURS, SIMILAR = 500, 0.6
+NEIGHBOURS, SIMILAR = 30, 0.6
 SKETCH = 16
+#: The index is dealt a part of the key space at a time, so that its shuffle files never lie on disk together.
+PARTS = 4
 #: Sets a task remembers to combine copies of.
 SEEN = 200_000
 
@@ -70,48 +72,77 @@ def bands(threshold: int) -> list[int]:
     return out
 
 
+def _fewer(mean: float, n: int) -> float:
+    """Probability that a segment of ``mean`` shingles on average holds fewer than ``n``."""
+    return sum(math.exp(-mean) * mean ** i / math.factorial(i) for i in range(n))
+
+
 @lru_cache(maxsize=4096)
-def scheme(band: int, threshold: int) -> tuple[int, int]:
-    """(exact segments, one-deletion segments) for pairs whose larger set lies in ``band``; (0, 0): only equal sets link."""
-    largest = bands(threshold)[band + 1] - 1
+def scheme(band: int, threshold: int) -> tuple[int, int, int]:
+    """(differences, exact segments, one-deletion segments) for pairs whose larger set lies in ``band``; no segments: only equal sets link.
+
+    There are as many segments more than the differences ask for as are likely to hold too few shingles to be a key.
+    """
+    smallest, largest = bands(threshold)[max(0, band - 1)], bands(threshold)[band + 1] - 1
     apart = 2 * largest * (100 - threshold) // (100 + threshold)
     if not apart:
-        return 0, 0
+        return 0, 0, 0
     differences = 2 * largest * (1 - SIMILAR) / (1 + SIMILAR)
     best = None
     for two in range((apart + 2) // 2 + 1) if apart < 64 else [0]:
         one = max(0, apart + 1 - 2 * two)
-        share = differences / (one + 2 * two)
-        keys = one + two + (largest * 2 * two / (one + 2 * two))
-        false = one * math.exp(-share) + two * math.exp(-2 * share) * (1 + 2 * share)
-        cost = keys + NEIGHBOURS * false
-        if best is None or cost < best[0]:
-            best = (cost, one, two)
-    return best[1], best[2]
+        for _ in range(60):
+            mean = smallest / (one + 2 * two)
+            short, short_two = _fewer(mean, 1), _fewer(2 * mean, 2)
+            missing = apart + 1 + math.sqrt(one * short + 4 * two * short_two) - one * (1 - short) - 2 * two * (1 - short_two)
+            if missing <= 0:
+                share = differences / (one + 2 * two)
+                false = one * math.exp(-share) + two * math.exp(-2 * share) * (1 + 2 * share)
+                cost = one + two + largest * 2 * two / (one + 2 * two) + NEIGHBOURS * false
+                best = min(best, (cost, one, two)) if best else (cost, one, two)
+                break
+            one += max(1, int(missing / 2))
+    return (apart, *best[1:]) if best else (apart, apart + 1, 0)
+
+
+def _segment_keys(tokens: np.ndarray, weight: np.ndarray, one: int, two: int, deal: int, seed: int) -> tuple[list[np.ndarray], int]:
+    """Keys of the segments that hold shingles, and how many differences they withstand together."""
+    slots = np.uint64(one + 2 * two)
+    slot = ((mixed(tokens ^ np.uint64(deal)) >> np.uint64(32)) % slots).astype(np.int64)
+    segment = np.where(slot < 2 * two, slot // 2, slot - two)
+    size = np.bincount(segment, minlength=one + two)
+    held = np.flatnonzero(size)
+    order = np.argsort(segment, kind="stable")
+    total = np.zeros(one + two, np.uint64)
+    total[held] = np.add.reduceat(weight[order], (np.cumsum(size) - size)[held])
+    name = mixed(np.arange(one + two, dtype=np.uint64) + np.uint64(seed))
+    fuzzy = (segment < two) & (size[segment] > 1)
+    where = segment[fuzzy]
+    return [mixed(total + name)[held], mixed(total[where] - weight[fuzzy] + name[where])], \
+        int(np.count_nonzero(size[two:])) + 2 * int(np.count_nonzero(size[:two] > 1))
 
 
 def keys(tokens: np.ndarray, threshold: int = THRESHOLD) -> np.ndarray:
-    """The index keys of a set under the schemes of its band and the next."""
-    n = len(tokens)
-    band = int(np.searchsorted(np.array(bands(threshold)), n, side="right")) - 1
-    out = []
+    """The index keys of a set under the schemes of its band and the next.
+
+    A segment without shingles is no key: any two sets may have it empty. Instead a set whose segments withstand no more
+    differences than a scheme allows is dealt anew, after two further deals over twice as many exact segments each time, until
+    its segments suffice. Of a linked pair both sets take every deal up to the first that suffices for either one, and there
+    they share a key: not all of that one's segments can hold a difference.
+    """
+    if not len(tokens):
+        return np.empty(0, np.uint64)
+    band = int(np.searchsorted(np.array(bands(threshold)), len(tokens), side="right")) - 1
+    weight, out = mixed(tokens), []
     for k in (band, band + 1):
-        one, two = scheme(k, threshold)
-        slots = one + 2 * two
-        if not slots:
-            continue
-        slot = ((mixed(tokens ^ np.uint64(k + 1)) >> np.uint64(32)) % np.uint64(slots)).astype(np.int64)
-        segment = np.where(slot < 2 * two, slot // 2, slot - two)
-        weight = mixed(tokens)
-        total = np.zeros(one + two, np.uint64)
-        order = np.argsort(segment, kind="stable")
-        held, first = np.unique(segment[order], return_index=True)
-        total[held] = np.add.reduceat(weight[order], first) if n else 0
-        seed = mixed(np.arange(one + two, dtype=np.uint64) + np.uint64(k << 24))
-        out.append(mixed(total + seed))
-        fuzzy = segment < two
-        if fuzzy.any():
-            out.append(mixed(total[segment[fuzzy]] - weight[fuzzy] + seed[segment[fuzzy]]))
+        apart, one, two = scheme(k, threshold)
+        deal, withstood = 0, 0
+        while apart and withstood <= apart:
+            made, withstood = _segment_keys(tokens, weight, one, two, k + 1 + (deal << 32), (k << 24) + (deal << 48))
+            out += made
+            deal += 1
+            if deal >= 3:
+                one, two = 2 * (one + 2 * two), 0
     return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
 
 
@@ -173,16 +204,28 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, threshold: int) ->
     return both.mapInArrow(read, "a long, b long")
 
 
+def _shared(index: DataFrame, name: str) -> DataFrame:
+    """Rows of ``index`` whose key several values of ``name`` have, with the smallest value as ``pivot``.
+
+    Keys are counted with a map-side sum and joined back, so that a key of very many rows is never in one task.
+    """
+    found = index.groupBy("key").agg(F.min(name).alias("pivot"), F.max(name).alias("_high")).filter("pivot < _high").select("key", "pivot")
+    return index.join(found.hint("merge"), "key")
+
+
 def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
     """Per document row: doc_id, n_shingles, component_id (smallest doc_id of its component)."""
+    with scratch() as held:
+        return held.keep(cut(_classes(docs, id, text, width, threshold)))
+
+
+def _classes(docs: DataFrame, id: str, text: str, width: int, threshold: int) -> DataFrame:
     rows = cut(profiles(docs, id, text, width, threshold))
     node = F.xxhash64("digest").alias("node")
     words = [f"s{i}" for i in range(SKETCH)]
-    bucket = Window.partitionBy("key")
-    index = rows.select("doc_id", node, F.explode("keys").alias("key"))
-    shared = index.withColumns({"_low": F.min("node").over(bucket), "_high": F.max("node").over(bucket),
-                                "_first": F.min(F.struct("doc_id", "node")).over(bucket)})
-    shared = cut(shared.filter("_low < _high").select("key", "node", F.col("_first.node").alias("pivot")).distinct())
+    parts = [F.expr(f"filter(keys, k -> pmod(k, {PARTS}) = {i})") for i in range(PARTS)]
+    shared = [cut(_shared(rows.select(node, F.explode(part).alias("key")), "node").distinct()) for part in parts]
+    shared = reduce(DataFrame.unionByName, shared)
     members = shared.select("node").distinct()
     info = rows.filter("doc_id IS NOT NULL AND digest IS NOT NULL").select("doc_id", node, "n_shingles", "sketch").join(members.hint("merge"), "node", "left_semi")
     info = cut(info.groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.max("sketch").alias("sketch"))
@@ -207,9 +250,7 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int
     links = cut(_verified(star, texts, width, threshold))
     joined = _components(info, links)
 
-    spread = shared.select("key", "node").join(joined, "node")
-    spread = cut(spread.withColumns({"_low": F.min("component").over(bucket), "_high": F.max("component").over(bucket)})
-                 .filter("_low < _high").select("key", "node", "component"))
+    spread = cut(_shared(shared.select("key", "node").join(joined, "node"), "component").select("key", "node", "component"))
     left = spread.select("key", F.col("node").alias("a"), F.col("component").alias("_ca")).join(side("a"), "a")
     right = spread.select("key", F.col("node").alias("b"), F.col("component").alias("_cb")).join(side("b"), "b")
     rest = left.join(right, (left["key"] == right["key"]) & (F.col("_ca") < F.col("_cb")) & close("a", "b")).select("a", "b").distinct()
@@ -242,14 +283,15 @@ def _components(info: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
-    """``docs`` with the document of the smallest id of every component; of rows that repeat a kept id one stays. Rows with
-    a null id all stay."""
-    found = cut(classes(docs, id, text, width, threshold))
+    """``docs`` with the document of the smallest id of every component; of rows that repeat a kept id the one with the smallest
+    digest of its text, then of its other columns, stays. Rows with a null id all stay."""
+    found = classes(docs, id, text, width, threshold)
     gone = found.filter("doc_id IS NOT NULL AND doc_id != component_id").select("doc_id").distinct()
     names = docs.columns
     row = docs.select(F.col(f"`{id}`").cast("long").alias("_id"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
     known = row.filter("_id IS NOT NULL").join(gone.withColumnRenamed("doc_id", "_id"), "_id", "left_anti")
-    again = Window.partitionBy("_id").orderBy("_id")
+    others = F.to_json(F.struct(F.lit(0).alias("_"), *[F.col("_row").getField(c) for c in names if c != text]))
+    again = Window.partitionBy("_id").orderBy(F.sha2(F.col("_row").getField(text).cast("string"), 256), F.sha2(others, 256))
     first = known.withColumn("_k", F.row_number().over(again)).filter("_k = 1")
     return first.select("_row.*").unionByName(row.filter("_id IS NULL").select("_row.*"))
 

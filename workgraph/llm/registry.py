@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from workgraph.session import CLEAN_SHUFFLES
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
 
@@ -15,9 +17,9 @@ BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "256", "spark.sql.execu
 
 
 def settings(spark: SparkSession) -> SparkSession:
-    """Runtime settings the operators rely on: bounded Arrow batches and splitting of skewed joins."""
+    """Runtime settings the operators rely on: bounded Arrow batches, splitting of skewed joins, and no shuffle files beyond their action."""
     for key, value in {**BATCH, "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true",
-                       "spark.sql.adaptive.forceOptimizeSkewedJoin": "true"}.items():
+                       "spark.sql.adaptive.forceOptimizeSkewedJoin": "true", CLEAN_SHUFFLES: "true"}.items():
         spark.conf.set(key, value)
     return spark
 
