@@ -35,5 +35,5 @@ def query(name: str, check: str | None = None):
 
 
 for _module in ["quality_rules", "secret_scan", "decontamination", "mixing", "html_text", "quality_gam", "toxicity", "jaccard_join", "license_scan", "suffix_dedup",
-                "pipeline_query"]:
+                "source_audit", "spelling", "vector_search", "pipeline_query"]:
     importlib.import_module(f"workgraph.llm.{_module}")
