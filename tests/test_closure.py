@@ -3,9 +3,10 @@
 import random
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
-from workgraph.operators import closure
+from workgraph.operators import closure, code
 
 
 def graphs(seed, count, nodes, edges):
@@ -134,3 +135,78 @@ def test_spread_walks_groups_as_sets(frame):
     seeds = frame([("v1", 0, "a"), ("v1", 0, "x"), ("v2", 0, "y")], "g string, r int, node string")
     got = {(r.g, r.node): r.depth for r in closure.spread(seeds, edges, group="g", keys=["r"]).collect()}
     assert got == {("v1", "a"): 0, ("v1", "x"): 0, ("v1", "b"): 1, ("v1", "y"): 1, ("v1", "c"): 2, ("v2", "y"): 0}
+
+
+def random_graph(seed, nodes=40, edges=90, repos=2):
+    rng = random.Random(seed)
+    return sorted({(r, f"n{rng.randrange(nodes):02d}", f"n{rng.randrange(nodes):02d}") for r in range(repos) for _ in range(edges)})
+
+
+def plain_walk(edges, repo, start):
+    """Depth and smallest shortest path of everything behind ``start``."""
+    out = {start: (0, [])}
+    layer = [start]
+    while layer:
+        found = {}
+        for a in layer:
+            for r, x, y in edges:
+                if r == repo and x == a and y not in out:
+                    path = out[a][1] + [y]
+                    found[y] = min(found.get(y, path), path)
+        out |= {y: (len(p), p) for y, p in found.items()}
+        layer = list(found)
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_nearest_labels_are_the_first_of_all_pairs(frame, seed):
+    edges = random_graph(seed)
+    starts = [(r, f"n{i:02d}") for r in (0, 1) for i in range(0, 40, 2)]
+    got = {}
+    for r in closure.nearest_labels(frame(edges, "r int, a string, b string"), frame(starts, "r int, start string"), tenant="r", src="a", dst="b", n=3).collect():
+        got.setdefault((r.r, r.node), []).append((r.depth, r.start, r.path))
+    want = {}
+    for r, s in starts:
+        for node, (depth, path) in plain_walk(edges, r, s).items():
+            if node != s:
+                want.setdefault((r, node), []).append((depth, s, path))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v)[:3] for k, v in want.items()}
+
+
+def test_labels_stay_few_where_pairs_are_many(frame, monkeypatch):
+    """300 starts into one hub with a long tail: at most n + 1 labels a node are ever written."""
+    edges = frame([(0, f"t{i:03d}", "hub") for i in range(300)] + [(0, "hub", "c00")] + [(0, f"c{i:02d}", f"c{i + 1:02d}") for i in range(9)], "r int, a string, b string")
+    starts = frame([(0, f"t{i:03d}") for i in range(300)], "r int, start string")
+    written, cut = [], closure.cut
+    monkeypatch.setattr(closure, "cut", lambda df: written.append(out := cut(df)) or out)
+    found = closure.nearest_labels(edges, starts, tenant="r", src="a", dst="b", n=5)
+    counts = {(r.node, r["count"]) for r in found.groupBy("node").count().collect()}
+    assert counts == {("hub", 5)} | {(f"c{i:02d}", 5) for i in range(10)}
+
+
+@pytest.mark.parametrize("seed, stride", [(3, 4), (4, 4), (5, 1), (6, 2)])
+def test_packed_walks_equal_plain_ones(frame, monkeypatch, seed, stride):
+    monkeypatch.setattr(closure, "PACK", 7)
+    edges = random_graph(seed, edges=70)
+    starts = [(r, f"n{i:02d}") for r in (0, 1) for i in range(0, 40, 3)] + [(0, "lonely")]
+    walk = closure.packed_reach(frame(edges, "r int, a string, b string"), frame(starts, "r int, start string"), tenant="r", src="a", dst="b", stride=stride)
+    got = [tuple(x) for x in closure.unpacked(walk, "r").collect()]
+    want = {(r, s, node, depth) for r, s in starts for node, (depth, _) in plain_walk(edges, r, s).items()}
+    assert len(got) == len(set(got)) and set(got) == want
+    assert walk.count() < len(got)
+
+
+def test_rounds_of_import_scope_do_not_depend_on_reviews(frame, monkeypatch):
+    packages = frame([(0, f"p{i}", f"d{i}") for i in range(12)], "repo_id int, pkg string, dir string")
+    imports = frame([(0, f"p{i + 1}", f"p{i}") for i in range(11)] + [(0, "p0", "p5")], "repo_id int, pkg string, imported string")
+    rounds = []
+    cut = closure.cut
+    monkeypatch.setattr(closure, "cut", lambda df: rounds.append(1) or cut(df))
+    seen = []
+    for reviews in (1, 40):
+        rounds.clear()
+        changed = frame([(f"v{k}", 0, f"d{k % 3}/x.go") for k in range(reviews)], "review_id string, repo_id int, path string")
+        got = {(r.review_id, r.node): r.depth for r in code.import_scope(packages, imports, changed).collect()}
+        seen.append(len(rounds))
+        assert len(got) == 12 * reviews and got["v0", "p0"] == 0 and got["v0", "p11"] == 11
+    assert seen[1] <= seen[0] + 1

@@ -122,9 +122,11 @@ def test_reach_lists_closest_tests_and_a_command(frame):
     asked = frame([("v", 0, "f"), ("v", 0, "lonely"), ("w", 1, "f")], f"{V} string, repo_id int, id string")
     hits = O.reach_from_tests(calls, tests)
     got = {(r[V], r.id): r for r in O.test_reach(asked, hits).collect()}
+    near = O.nearest_tests(calls, tests, asked)
+    assert {(r[V], r.id): r for r in O.test_reach(asked, near).collect()} == got
     assert got["v", "f"].reached and got["v", "f"].tests == ["TestB", "TestA"] and got["v", "f"].path == ["TestB", "f"] and not got["v", "lonely"].reached
     modules = frame([(0, "."), (1, "sub"), (1, "sub/mod")], "repo_id int, module_dir string")
-    assert rows(O.test_commands(O.reaching_tests(asked, hits), tests, modules), V, "dir", "command") == [
+    assert rows(O.test_commands(O.reaching_tests(asked, calls, tests), tests, modules), V, "dir", "command") == [
         ("v", ".", "go test . -run '^(Test\\.B)$'"), ("v", "pkg", "go test ./pkg -run '^(TestA)$'"),
         ("w", "sub/mod/pkg", "cd sub/mod && go test ./pkg -run '^(TestA)$'")]
 
@@ -135,7 +137,7 @@ def test_reach_has_no_bound_of_its_own(frame):
     asked = frame([("v", 0, "n14")], f"{V} string, repo_id int, id string")
     hits = O.reach_from_tests(calls, tests)
     assert hits.filter("test = 'n00' AND id = 'n14'").first().depth == 14
-    commands = O.test_commands(O.reaching_tests(asked, hits), tests).first()
+    commands = O.test_commands(O.reaching_tests(asked, calls, tests), tests).first()
     assert commands.tests.split(",") == sorted(["TestFar", *[f"Test{i}" for i in range(8)]])
 
 

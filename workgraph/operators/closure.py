@@ -12,10 +12,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from workgraph.session import cut
+from workgraph.operators.scan import ranked
+from workgraph.session import cut, scratch
+
+#: Starts packed into one long; the sign bit is left alone.
+PACK = 62
 
 
 def _union(rounds: Sequence[DataFrame]) -> DataFrame:
@@ -275,3 +279,76 @@ def spread(seeds: DataFrame, edges: DataFrame, *, group: str, keys: Sequence[str
         _remember(rounds, frontier)
     result = _union(rounds)
     return result
+
+
+def nearest_labels(edges: DataFrame, starts: DataFrame, *, tenant: str, src: str, dst: str, n: int,
+                   max_depth: int | None = None) -> DataFrame:
+    """The ``n`` nearest starts of every node: (tenant, node, start, depth, path), ties to the smaller start.
+
+    ``starts`` is (tenant, start); a start is not a label of itself. Labels
+    walk forward round by round and a node keeps no more than the first
+    ``n + 1``, itself included, so no pairs of starts and nodes are formed:
+    what is not among the first of a node is not among those of its successors
+    either. ``path`` is the smallest of the shortest paths, from the start's
+    successor to the node; each of its prefixes ends at a node that keeps the label.
+    """
+    with scratch() as held:
+        step = cut(edges.select(F.col(tenant), F.col(src).alias("node"), F.col(dst).alias("_to")).filter("node != _to").distinct())
+        frontier = cut(starts.select(tenant, F.col("start").alias("node"), "start").distinct()
+                       .select(tenant, "node", "start", F.lit(0).alias("depth"), F.array().cast("array<string>").alias("path")))
+        rounds, depth = [frontier], 0
+        place = Window.partitionBy(tenant, "node").orderBy("start")
+        while (max_depth is None or depth < max_depth) and not frontier.isEmpty():
+            depth += 1
+            heard = frontier.join(step, [tenant, "node"]).groupBy(tenant, F.col("_to").alias("node"), "start") \
+                .agg(F.min(F.concat("path", F.array(F.col("_to").cast("string")))).alias("path"))
+            # At most n + 1 labels a node.
+            known = _union(rounds).groupBy(tenant, "node").agg(F.collect_set("start").alias("_known"))
+            left = heard.join(known.hint("merge"), [tenant, "node"], "left").withColumn("_held", F.coalesce(F.size("_known"), F.lit(0))) \
+                .filter((F.col("_held") <= n) & ~F.coalesce(F.array_contains("_known", F.col("start")), F.lit(False)))
+            frontier = cut(left.withColumn("_place", F.row_number().over(place)).filter(F.col("_place") <= n + 1)
+                           .filter(F.col("_place") + F.col("_held") <= n + 1)
+                           .select(tenant, "node", "start", F.lit(depth).alias("depth"), "path"))
+            _remember(rounds, frontier)
+        order = Window.partitionBy(tenant, "node").orderBy("depth", "start")
+        first = _union(rounds).filter(F.col("node") != F.col("start")).withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= n)
+        return held.keep(cut(first.drop("_place")))
+
+
+def packed_reach(edges: DataFrame, starts: DataFrame, *, tenant: str, src: str, dst: str, stride: int = 4) -> DataFrame:
+    """What each start reaches, ``PACK`` starts a row: (tenant, block, node, bits, depth); a start is at depth 0.
+
+    ``starts`` is (tenant, start). Bit ``i`` of block ``b`` is start ``i`` of that
+    block, see :func:`unpacked`. A round ORs the fresh bits of a block along
+    paths of up to ``stride`` hops, a power of two; a bit appears in the row of its shortest
+    depth only, so a walk has at most starts / PACK rows a node and depth.
+    """
+    with scratch() as held:
+        hops, width = _nearest(edges.select(F.col(tenant), F.col(src).alias("_from"), F.col(dst).alias("node"), F.lit(1).alias("depth")).filter("_from != node"),
+                               [tenant, "_from", "node"], False), 1
+        while width < stride:
+            hops = _nearest(hops.unionByName(_join_paths(hops, hops, tenant, "_from", False)), [tenant, "_from", "node"], False)
+            width *= 2
+        step = cut(hops.select(tenant, F.col("_from").alias("node"), F.col("node").alias("_to"), F.col("depth").alias("_hops")))
+        named = ranked(starts.select(tenant, "start").distinct(), [tenant], [F.col("start")], "_i") \
+            .select(tenant, F.col("start").alias("node"), F.floor((F.col("_i") - 1) / PACK).alias("block"), F.expr(f"shiftleft(1L, CAST((_i - 1) % {PACK} AS INT))").alias("bits"))
+        frontier = cut(named.withColumn("depth", F.lit(0)))
+        rounds, depth, keys = [frontier], 0, [tenant, "block", "node"]
+        while not frontier.isEmpty():
+            # Only what is exactly at a round's last depth goes on; the rest was reached from there too.
+            heard = frontier.filter(F.col("depth") == depth).drop("depth").join(step, [tenant, "node"]).groupBy(tenant, "block", F.col("_to").alias("node")) \
+                .agg(*[F.coalesce(F.bit_or(F.when(F.col("_hops") == h, F.col("bits"))), F.lit(0)).cast("long").alias(f"_b{h}") for h in range(1, width + 1)])
+            known = _union(rounds).groupBy(*keys).agg(F.bit_or("bits").alias("_b0"))
+            met = heard.join(known.hint("merge"), keys, "left").withColumn("_b0", F.coalesce("_b0", F.lit(0)).cast("long"))
+            fresh = [F.struct(F.lit(depth + h).alias("depth"), F.expr(f"_b{h} & ~(" + " | ".join(f"_b{k}" for k in range(h)) + ")").alias("bits")) for h in range(1, width + 1)]
+            found = cut(met.select(*keys, F.explode(F.array(*fresh)).alias("_f")).select(tenant, "node", "block", "_f.bits", "_f.depth").filter("bits != 0"))
+            _remember(rounds, found)
+            depth += width
+            frontier = found.filter(F.col("depth") == depth)
+        return held.keep(cut(_union(rounds)))
+
+
+def unpacked(packed: DataFrame, tenant: str) -> DataFrame:
+    """(tenant, start, node, depth) of a packed walk, or of some of its rows and those of depth 0."""
+    starts = packed.filter("depth = 0").select(tenant, F.col("node").alias("start"), "block", F.col("bits").alias("_own"))
+    return packed.join(starts, [tenant, "block"]).filter("bits & _own != 0").select(tenant, "start", "node", "depth")

@@ -276,8 +276,27 @@ def reach_from_tests(call_edges: DataFrame, tests: DataFrame, max_depth: int | N
                         F.concat(F.array("start"), "path").alias("path"))
 
 
+def nearest_tests(call_edges: DataFrame, tests: DataFrame, wanted: DataFrame, n: int = TESTS_SHOWN) -> DataFrame:
+    """The n closest tests of every wanted (repo_id, id) and their shortest paths: (repo_id, test, id, depth, path).
+
+    A backward walk finds the symbols that lead to a wanted one; labels of the
+    tests among them then walk forward, at most n + 1 a symbol.
+    """
+    # One group: the walk is a set of symbols, whoever asked for them.
+    asked = wanted.select(F.lit(0).alias("_all"), R, F.col("id").alias("node")).distinct()
+    edges = call_edges.select(R, "from_id", "to_id").distinct()
+    leading = cut(closure.spread(asked, edges.select(R, F.col("to_id").alias("src"), F.col("from_id").alias("dst")), group="_all", keys=[R]).select(R, "node"))
+    inside = edges.join(leading.select(R, F.col("node").alias("to_id")), [R, "to_id"], "left_semi")
+    starts = tests.select(R, F.col("id").alias("node")).join(leading, [R, "node"], "left_semi").select(R, F.col("node").alias("start"))
+    found = closure.nearest_labels(inside, starts, tenant=R, src="from_id", dst="to_id", n=n)
+    return found.select(R, F.col("start").alias("test"), F.col("node").alias("id"), "depth", F.concat(F.array("start"), "path").alias("path"))
+
+
 def top_reaching_tests(hits: DataFrame, wanted: DataFrame, n: int = TESTS_SHOWN) -> DataFrame:
-    """The n closest tests of each wanted (review_id, repo_id, id), nearest first, then by test id."""
+    """The n closest tests of each wanted (review_id, repo_id, id), nearest first, then by test id.
+
+    ``hits`` is from :func:`nearest_tests` or :func:`reach_from_tests`.
+    """
     met = wanted.join(hits, ["repo_id", "id"])
     return top_per_key(met, [V, "repo_id", "id"], [F.col("depth"), F.col("test")], n, "place")
 
@@ -292,9 +311,16 @@ def test_reach(wanted: DataFrame, hits: DataFrame) -> DataFrame:
         .withColumn("reached", F.col("_t").isNotNull()).withColumn("tests", F.transform("_t", lambda t: t["test"])).drop("_t")
 
 
-def reaching_tests(wanted: DataFrame, hits: DataFrame) -> DataFrame:
-    """Every test that reaches a wanted function: (review_id, repo_id, test)."""
-    return wanted.join(hits, [R, "id"]).select(V, R, "test").distinct()
+def reaching_tests(wanted: DataFrame, call_edges: DataFrame, tests: DataFrame) -> DataFrame:
+    """Every test that reaches a wanted function other than itself: (review_id, repo_id, test).
+
+    The distinct wanted functions walk backward once, as packed sets; reviews join at the end.
+    """
+    starts = wanted.select(R, F.col("id").alias("start")).distinct()
+    walk = closure.packed_reach(call_edges, starts, tenant=R, src="to_id", dst="from_id")
+    hits = walk.filter("depth > 0").join(tests.select(R, F.col("id").alias("node")), [R, "node"], "left_semi")
+    found = closure.unpacked(hits.unionByName(walk.filter("depth = 0")), R).filter("depth > 0")
+    return wanted.select(V, R, F.col("id").alias("start")).distinct().join(found, [R, "start"]).select(V, R, F.col("node").alias("test")).distinct()
 
 
 def test_commands(reaching: DataFrame, tests: DataFrame, modules: DataFrame | None = None) -> DataFrame:
@@ -330,12 +356,15 @@ def import_scope(packages: DataFrame, imports: DataFrame, changed: DataFrame) ->
     """Packages holding changed paths and everything that imports them: (review_id, repo_id, node, depth).
 
     ``packages`` is (repo_id, pkg, dir), ``imports`` (repo_id, pkg, imported), ``changed`` (review_id, repo_id, path).
+    Packages that any review changed walk once, as packed sets; reviews join what their packages reach at the end and meet
+    each node at its smallest depth.
     """
-    seeds = changed.withColumn("dir", P.dirname("path")).join(packages, ["repo_id", "dir"]) \
-        .select(V, "repo_id", F.col("pkg").alias("node"))
-    inside = imports.join(packages.select("repo_id", F.col("pkg").alias("imported")), ["repo_id", "imported"], "left_semi")
-    return closure.spread(seeds, inside.select("repo_id", F.col("imported").alias("src"), F.col("pkg").alias("dst")).distinct(),
-                          group=V, keys=["repo_id"])
+    seeds = cut(changed.withColumn("dir", P.dirname("path")).join(packages, [R, "dir"])
+                .select(V, R, F.col("pkg").alias("start")).distinct())
+    inside = imports.join(packages.select(R, F.col("pkg").alias("imported")), [R, "imported"], "left_semi") \
+        .select(R, F.col("imported").alias("src"), F.col("pkg").alias("dst"))
+    reached = cut(closure.unpacked(closure.packed_reach(inside, seeds.select(R, "start"), tenant=R, src="src", dst="dst"), R))
+    return seeds.join(reached, [R, "start"]).groupBy(V, R, "node").agg(F.min("depth").alias("depth"))
 
 
 def entry_points(symbols: DataFrame, call_edges: DataFrame | None = None, patterns: Sequence[tuple[str, str, str]] = (),

@@ -268,25 +268,27 @@ cm AS (SELECT review_id, repo_id, dir, string_agg(name, ',' ORDER BY name) AS te
 
 @query("top_reaching_tests", "WITH " + _TOP + " SELECT * FROM tp")
 def top_reaching_tests(t):
-    return O.top_reaching_tests(O.reach_from_tests(_graph(t), _tests(t)), _review_functions(t)).drop("path")
+    asked = _review_functions(t)
+    return O.top_reaching_tests(O.nearest_tests(_graph(t), _tests(t), asked), asked).drop("path")
 
 
 @query("test_reach", "WITH " + _TOP + """ SELECT w.review_id, w.repo_id, w.id, count(tp.test) > 0 AS reached, coalesce(string_agg(tp.test, ',' ORDER BY tp.place), '') AS tests
     FROM w LEFT JOIN tp ON tp.review_id = w.review_id AND tp.repo_id = w.repo_id AND tp.id = w.id GROUP BY 1, 2, 3""")
 def test_reach(t):
-    out = O.test_reach(_review_functions(t), O.reach_from_tests(_graph(t), _tests(t)))
+    asked = _review_functions(t)
+    out = O.test_reach(asked, O.nearest_tests(_graph(t), _tests(t), asked))
     return out.select(V, R, "id", "reached", F.coalesce(F.array_join("tests", ","), F.lit("")).alias("tests"))
 
 
-def _commands(t, asked, hits):
+def _commands(t, asked):
     tests = _tests(t).withColumn("path", F.concat(F.lit("mod"), (F.col(R) % 2).cast("string"), F.lit("/"), "path", F.lit("/x_test.go")))
     modules = tests.select(R, F.lit("mod0").alias("module_dir")).distinct()
-    return O.test_commands(O.reaching_tests(asked, hits), tests, modules)
+    return O.test_commands(O.reaching_tests(asked, _graph(t), tests), tests, modules)
 
 
 @query("test_commands", "WITH " + _TOP + ", " + _RUNS + " SELECT * FROM cm")
 def test_commands(t):
-    return _commands(t, _review_functions(t), O.reach_from_tests(_graph(t), _tests(t)))
+    return _commands(t, _review_functions(t))
 
 
 @query("import_scope", """WITH sc AS (SELECT c.review_id, 'p' || substr(split_part(c.path, '/', 2), 2) AS node FROM changed_paths c

@@ -140,9 +140,9 @@ UNION ALL SELECT review_id, repo_id, 1, id, 0, '  [' || CASE WHEN reached THEN '
 UNION ALL SELECT DISTINCT review_id, repo_id, 2, '', 0, 'Suggested:' FROM cm
 UNION ALL SELECT review_id, repo_id, 3, dir, 0, '  ' || command FROM cm""")
 def reach_report(t):
-    hits = cut(O.reach_from_tests(code_plans._graph(t), code_plans._tests(t)))
     asked = code_plans._review_functions(t)
-    return R.reach_report(cut(O.test_reach(asked, hits)), code_plans._commands(t, asked, hits))
+    hits = O.nearest_tests(code_plans._graph(t), code_plans._tests(t), asked)
+    return R.reach_report(cut(O.test_reach(asked, hits)), code_plans._commands(t, asked))
 
 
 @query("context_report", """WITH s AS (SELECT repo_id, id FROM symbols WHERE kind IN ('func', 'method')),
