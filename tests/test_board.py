@@ -1,6 +1,7 @@
 """Boards: readiness, urgency, leverage, repair, archive, export."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -104,6 +105,60 @@ def test_set_blockers_verdicts(frame):
         ("TH-3", 0, "TH-1", "ok"), ("TH-3", 1, "TH-1", "duplicate")]
 
 
+def plain_admission(boards, proposals):
+    """Lists set one after another on plain dictionaries."""
+    out = []
+    for b, seq, id, deps in sorted(proposals, key=lambda p: (p[0], p[1])):
+        lists = boards[b]
+        if id not in lists or any(d not in lists for d in deps):
+            out.append((b, seq, id, "unknown"))
+            continue
+        if id in deps:
+            out.append((b, seq, id, "self"))
+            continue
+        seen, left = set(), list(deps)
+        while left:
+            n = left.pop()
+            if n not in seen:
+                seen.add(n)
+                left += lists.get(n, []) if n != id else []
+        out.append((b, seq, id, "cycle" if id in seen else "ok"))
+        if id not in seen:
+            lists[id] = list(deps)
+    return sorted(out)
+
+
+PROPOSALS = "board_id string, seq long, id string, deps array<string>"
+
+
+def admitted(frame, issues, edges, proposals):
+    want = frame(proposals, PROPOSALS).select("board_id", "seq", "id", F.posexplode_outer("deps").alias("ord", "dep"))
+    return sorted(tuple(r) for r in O.admit_blockers(issues, edges, want).select("board_id", "seq", "id", "verdict").collect())
+
+
+def test_a_batch_cannot_close_a_loop(frame):
+    issues, edges = board(frame, ("TH-1", "todo", None, []), ("TH-2", "todo", None, []), ("TH-3", "todo", None, ["TH-2"]), ("TH-4", "todo", None, []))
+    assert admitted(frame, issues, edges, [("b", 1, "TH-1", ["TH-2"]), ("b", 2, "TH-2", ["1"]), ("b", 3, "TH-2", ["TH-3"]), ("b", 4, "TH-3", []), ("b", 5, "TH-2", ["TH-3"]),
+                                           ("b", 6, "TH-4", ["TH-4"]), ("b", 7, "TH-4", ["TH-9"]), ("b", 8, "TH-3", ["TH-1"]), ("b", 9, "TH-4", ["TH-1", "TH-3"])]) == [
+        ("b", 1, "TH-1", "ok"), ("b", 2, "TH-2", "cycle"), ("b", 3, "TH-2", "cycle"), ("b", 4, "TH-3", "ok"), ("b", 5, "TH-2", "ok"), ("b", 6, "TH-4", "self"),
+        ("b", 7, "TH-4", "unknown"), ("b", 8, "TH-3", "cycle"), ("b", 9, "TH-4", "ok")]
+
+
+def test_batches_match_one_list_after_another(frame):
+    rng = random.Random(7)
+    boards, proposals, rows_ = {}, [], []
+    for b in ["p", "q", "r", "s"]:
+        n = 9
+        lists = {f"TH-{i}": [f"TH-{j}" for j in range(1, i) if rng.random() < 0.15] for i in range(1, n + 1)}
+        boards[b] = {k: list(v) for k, v in lists.items()}
+        rows_ += [(b, p, k, v) for p, (k, v) in enumerate(lists.items())]
+        proposals += [(b, s, f"TH-{rng.randint(1, n)}", [f"TH-{rng.randint(1, n)}" for _ in range(rng.randint(0, 2))]) for s in range(14)]
+    issues = frame(rows_, "board_id string, pos int, id string, blocked_by array<string>")
+    want = plain_admission(boards, proposals)
+    assert {v for *_, v in want} == {"ok", "self", "cycle"}
+    assert admitted(frame, issues, O.edges_of(issues), proposals) == want
+
+
 def test_sync_plan_texts(frame):
     issues, edges = board(frame, ("TH-1", "done", None, []), ("TH-2", "doing", "high", ["TH-1", "TH-7"]))
     issues = issues.withColumn("description", F.lit("Do it.")).withColumn("comments", F.array(F.lit("a"), F.lit("b")))

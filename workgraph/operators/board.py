@@ -428,7 +428,8 @@ def set_blockers(issues: DataFrame, edges: DataFrame, proposals: DataFrame, pref
 
     Verdicts: ok, duplicate, unknown, self, cycle. A proposal replaces the
     issue's list; the cycle test therefore walks the current edges of every
-    other issue. Proposals of one batch are judged independently.
+    other issue. Each proposal is judged on the board as it stands; a batch that is entered
+    in order is :func:`admit_blockers`.
     """
     want = proposals.withColumn("dep", X.normalize_id("dep", F.lit(prefix)))
     firsts = want.groupBy(B, "id", "dep").agg(F.min("ord").alias("_first"))
@@ -443,6 +444,66 @@ def set_blockers(issues: DataFrame, edges: DataFrame, proposals: DataFrame, pref
     return rows.select(B, "id", "dep", "ord", verdict.alias("verdict"))
 
 
+def admit_blockers(issues: DataFrame, edges: DataFrame, proposals: DataFrame, prefix: str = "TH") -> DataFrame:
+    """A batch of blocker lists entered in order of ``seq``: (board_id, seq, id, verdict).
+
+    ``proposals`` is (board_id, seq, id, dep, ord), ``seq`` once per proposal of a board; a null dep is an empty list. A proposal replaces
+    the issue's whole list or, if refused, changes nothing: an unknown blocker or issue, the issue itself, or a loop with
+    what earlier proposals of the batch left. Verdicts: ok, unknown, self, cycle.
+
+    Only proposals inside a loop of the joint graph of all old and proposed lists can be refused for one. Those are
+    settled in rounds for all boards at once: a list that meets no path over edges that may hold at its turn enters, one that
+    meets a path over edges that surely hold is refused, and each verdict makes more edges sure. The first open
+    proposal of a board is settled in every round.
+    """
+    want = proposals.withColumn("dep", X.normalize_id("dep", F.lit(prefix))).select(B, "seq", "id", "dep").distinct()
+    held = issues.select(B, "id").distinct()
+    known = held.select(B, F.col("id").alias("dep"), F.lit(True).alias("_known"))
+    there = held.withColumn("_there", F.lit(True))
+    judged = cut(want.join(known, [B, "dep"], "left").join(there, [B, "id"], "left").groupBy(B, "seq", "id").agg(
+        F.max(F.col("_there").isNull() | (F.col("dep").isNotNull() & F.col("_known").isNull())).alias("_unknown"), F.max(F.coalesce(F.col("dep") == F.col("id"), F.lit(False))).alias("_self"))
+        .select(B, "seq", "id", F.when(F.col("_unknown"), "unknown").when(F.col("_self"), "self").alias("verdict")))
+    lists = want.join(judged.filter("verdict IS NULL").select(B, "seq", "id"), [B, "seq", "id"], "left_semi").filter("dep IS NOT NULL")
+    first = first_holder(issues.select(B, "id", "pos")).select(B, F.col("pos").alias("src_pos"))
+    old = edges.join(first, [B, "src_pos"], "left_semi").select(B, F.lit(None).cast("long").alias("seq"), F.col("src").alias("id"), "dep")
+    joint = cut(old.unionByName(lists.select(B, F.col("seq").cast("long").alias("seq"), "id", "dep")).distinct())
+    members = closure.loops(joint, tenant=B, src="id", dst="dep")
+    inside = cut(joint.join(members.select(B, F.col("node").alias("id"), "loop"), [B, "id"]).join(members.select(B, F.col("node").alias("dep"), "loop"), [B, "dep", "loop"])
+                 .select(B, "seq", "id", "dep"))
+    # Proposals without an edge inside a loop enter; they still replace what their issue waited on.
+    risky = inside.filter("seq IS NOT NULL").select(B, "seq").distinct().withColumn("_risky", F.lit(True))
+    state = cut(judged.join(risky, [B, "seq"], "left").select(B, "seq", "id", F.when(F.col("verdict").isNull() & F.col("_risky").isNull(), "ok").otherwise(F.col("verdict")).alias("verdict")))
+    while not state.filter("verdict IS NULL").isEmpty():
+        open_ = state.filter("verdict IS NULL").select(B, "seq", "id")
+        may = _meets(open_, inside, state.filter("verdict = 'ok'"), state.filter("verdict IS NULL OR verdict = 'ok'"))
+        sure = _meets(open_, inside, state.filter("verdict IS NULL OR verdict = 'ok'"), state.filter("verdict = 'ok'"))
+        settled = open_.join(may.withColumn("_may", F.lit(True)), [B, "seq"], "left").join(sure.withColumn("_sure", F.lit(True)), [B, "seq"], "left") \
+            .select(B, "seq", F.when(F.col("_may").isNull(), "ok").when(F.col("_sure"), "cycle").alias("_new"))
+        state = cut(state.join(settled, [B, "seq"], "left").select(B, "seq", "id", F.coalesce("verdict", "_new").alias("verdict")))
+    return state
+
+
+def _meets(asked: DataFrame, edges: DataFrame, ends: DataFrame, entered: DataFrame) -> DataFrame:
+    """(board, seq) of the asked proposals whose blockers lead back to their issue at their turn.
+
+    The list of an issue holds until the next of ``ends`` (proposals that replace it); old lists and those of ``entered`` hold at all.
+    """
+    until = ends.select(B, "id", F.col("seq").alias("_end"))
+    lists = edges.join(entered.select(B, "seq", F.lit(True).alias("_in")), [B, "seq"], "left").filter("seq IS NULL OR _in")
+    spans = lists.join(until, [B, "id"], "left").groupBy(B, "seq", "id", "dep") \
+        .agg(F.min(F.when(F.col("seq").isNull() | (F.col("_end") > F.col("seq")), F.col("_end"))).alias("_end"))
+    step = cut(spans.select(B, F.col("seq").alias("_from"), "_end", F.col("id").alias("node"), F.col("dep").alias("_to")))
+    own = edges.filter("seq IS NOT NULL").select(B, "seq", F.col("dep").alias("node"))
+    frontier = cut(asked.select(B, "seq", F.col("id").alias("_goal")).join(own, [B, "seq"]).distinct())
+    rounds = [frontier]
+    while not frontier.isEmpty():
+        holds = (F.col("_from").isNull() | (F.col("_from") < F.col("seq"))) & (F.col("_end").isNull() | (F.col("_end") >= F.col("seq")))
+        found = frontier.filter("node != _goal").join(step, [B, "node"]).filter(holds).select(B, "seq", "_goal", F.col("_to").alias("node")).distinct()
+        frontier = cut(found.join(closure._union(rounds).hint("merge"), [B, "seq", "_goal", "node"], "left_anti"))
+        closure._remember(rounds, frontier)
+    return closure._union(rounds).filter("node = _goal").select(B, "seq").distinct()
+
+
 def edit_blockers(current, replace=None, add=None, remove=None) -> Column:
     """The blocker list after replacing, adding and removing, first mentions kept."""
     empty = F.array().cast("array<string>")

@@ -390,6 +390,13 @@ def set_blockers(t):
     return O.set_blockers(t.issues, t.edges, _proposals(t))
 
 
+# Every issue enters the lists of set_blockers in file order: later ones meet what earlier ones left.
+@query("admit_blockers")
+def admit_blockers(t):
+    order = t.issues.select(B, "id", F.col("pos").cast("long").alias("seq"))
+    return O.admit_blockers(t.issues, t.edges, _proposals(t).join(order, [B, "id"])).select(B, "seq", "id", "verdict")
+
+
 @query("edit_blockers", """SELECT board_id, id, 'TH-2' || CASE WHEN pos > 2 THEN ',' || id ELSE '' END AS blockers FROM issues""")
 def edit_blockers(t):
     own = F.array(F.lit("TH-1"), F.lit("TH-2"))
