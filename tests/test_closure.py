@@ -210,3 +210,42 @@ def test_rounds_of_import_scope_do_not_depend_on_reviews(frame, monkeypatch):
         seen.append(len(rounds))
         assert len(got) == 12 * reviews and got["v0", "p0"] == 0 and got["v0", "p11"] == 11
     assert seen[1] <= seen[0] + 1
+
+
+def test_packed_counts_are_the_sizes_of_walks(frame):
+    made = graphs(11, 12, 90, 200)
+    df = table(frame, made)
+    starts = df.select("t", F.col("src").alias("start")).distinct()
+    weights = df.select("t", F.col("dst").alias("node")).distinct().filter("node < 'n60'").withColumn("weight", F.when(F.col("node") < "n20", (1 << 32) + 1).otherwise(1).cast("long"))
+    packed = closure.packed_reach(df, starts, tenant="t", src="src", dst="dst")
+    plain = {(r.t, r.start): r.total for r in closure.packed_counts(packed, "t").collect()}
+    heavy = {(r.t, r.start): r.total for r in closure.packed_counts(packed, "t", weights).collect()}
+    for g, es in made.items():
+        near, known = adjacency(es), {f"n{b:02d}" for _, b in es}
+        for start in {f"n{a:02d}" for a, _ in es}:
+            seen = queue_walk(near, start)
+            assert plain.get((g, start), 0) == len(seen)
+            assert heavy.get((g, start), 0) == sum((n < "n60") + (n < "n20") * (1 << 32) for n in seen if n in known)
+
+
+def test_best_ahead_is_the_first_of_the_best_on_loops_too(frame):
+    made = graphs(12, 60, 12, 26)
+    df = table(frame, made)
+    rng = random.Random(5)
+    ranks = {(g, f"n{i:02d}"): rng.randrange(3) for g in made for i in range(12) if rng.random() < 0.6}
+    table_of = frame([(g, n, r) for (g, n), r in ranks.items()], "t int, node string, rank int")
+    got = {(r.t, r.node): (r.rank, r.best) for r in closure.best_ahead(df, table_of, tenant="t", src="src", dst="dst", order=F.col("dst")).collect()}
+    for g, es in made.items():
+        near = adjacency(es)
+        for start in {f"n{x:02d}" for e in es for x in e}:
+            # The walk visits by depth, then by path, so the first of the least rank is the answer.
+            able = [(ranks[g, n], i, n) for i, n in enumerate(queue_walk(near, start)) if (g, n) in ranks]
+            assert got.get((g, start)) == ((min(able)[0], min(able)[2]) if able else None)
+
+
+def test_best_ahead_and_counts_on_a_long_chain_and_without_edges(frame):
+    chain = frame([(0, f"n{i:02d}", f"n{i + 1:02d}") for i in range(30)] + [(0, "n30", "n00")], "t int, src string, dst string")
+    ranks = frame([(0, "n17", 0), (0, "n03", 1)], "t int, node string, rank int")
+    got = {r.node: (r.best, r.depth) for r in closure.best_ahead(chain, ranks, tenant="t", src="src", dst="dst", order=F.col("dst")).collect()}
+    assert got == {f"n{i:02d}": ("n17", (17 - i) % 31) if i != 17 else ("n03", 17) for i in range(31)}
+    assert closure.best_ahead(chain.limit(0), ranks, tenant="t", src="src", dst="dst", order=F.col("dst")).count() == 0

@@ -82,37 +82,43 @@ def dependents(edges: DataFrame, starts: DataFrame | None = None, ordered: bool
                          order=F.col("waiter_order") if ordered else None, stride=4)
 
 
+def _waiting(graph: DataFrame, state: DataFrame, starts: DataFrame) -> DataFrame:
+    """Open issues that transitively wait on each start, and how many are urgent by stored priority.
+
+    One packed walk counts both: an urgent issue also weighs in the upper half of the sum.
+    """
+    weights = state.filter("status != 'done'").select(
+        B, F.col("id").alias("node"), F.when(X.priority_rank("priority") <= 1, F.lit((1 << 32) + 1)).otherwise(F.lit(1)).cast("long").alias("weight"))
+    walk = closure.packed_reach(graph, starts, tenant=B, src="id", dst="waiter")
+    return closure.packed_counts(walk, B, weights).select(
+        B, F.col("start").alias("id"), F.expr("total & 4294967295L").alias("unblocks"), F.shiftrightunsigned("total", 32).alias("unblocks_urgent"))
+
+
 def unblocks(issues: DataFrame, edges: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     """How much open work finishing an issue frees, and how much of it is urgent by stored priority."""
-    state = _states(issues).filter("status != 'done'")
-    waits = dependents(edges, starts, ordered=False) \
-        .join(state.select(B, F.col("id").alias("node"), "priority"), [B, "node"])
-    counts = waits.groupBy(B, F.col("start").alias("id")).agg(
-        F.count(F.lit(1)).alias("unblocks"),
-        F.count(F.when(X.priority_rank("priority") <= 1, 1)).alias("unblocks_urgent"))
     ids = issues.select(B, "id").distinct() if starts is None else \
         starts.select(B, F.col("start").alias("id")).distinct()
+    counts = _waiting(blocks(edges), _states(issues), ids.select(B, F.col("id").alias("start")))
     return ids.join(counts, [B, "id"], "left").fillna(0, ["unblocks", "unblocks_urgent"])
 
 
 def leverage(issues: DataFrame, edges: DataFrame, starts: DataFrame | None = None, boards: DataFrame | None = None,
              high=X.ESCALATE_HIGH, must=X.ESCALATE_MUST) -> DataFrame:
-    """Urgency and leverage per first holder from one closure.
+    """Urgency and leverage per first holder: counts from a packed walk, urgency from the best label ahead.
 
     Columns: board_id, id, unblocks, unblocks_urgent, urgency, urgency_from.
     ``urgency_from`` is empty unless a waiting issue raised the urgency.
-    ``boards`` may carry esc_high and esc_must per board.
+    ``boards`` may carry esc_high and esc_must per board. No pairs of issues and waiters are formed.
     """
-    state = _states(issues)
+    state, graph = cut(_states(issues)), cut(blocks(edges))
     own = state if starts is None else \
         state.join(starts.select(B, F.col("start").alias("id")).distinct(), [B, "id"], "left_semi")
-    open_state = state.filter("status != 'done'").select(
+    ranks = state.filter("status != 'done'").select(
         B, F.col("id").alias("node"), X.priority_rank("priority").alias("rank"))
-    waits = dependents(edges, starts).join(open_state, [B, "node"])
-    got = waits.groupBy(B, F.col("start").alias("id")).agg(
-        F.count(F.lit(1)).alias("unblocks"), F.count(F.when(F.col("rank") <= 1, 1)).alias("unblocks_urgent"),
-        F.min(F.struct("rank", "depth", "path", "node")).alias("best"))
-    rows = own.join(got, [B, "id"], "left").fillna(0, ["unblocks", "unblocks_urgent"])
+    counts = _waiting(graph, state, own.select(B, F.col("id").alias("start")))
+    best = closure.best_ahead(graph, ranks, tenant=B, src="id", dst="waiter", order=F.col("waiter_order")) \
+        .select(B, F.col("node").alias("id"), F.struct("rank", F.col("best").alias("node")).alias("best"))
+    rows = own.join(counts, [B, "id"], "left").join(best, [B, "id"], "left").fillna(0, ["unblocks", "unblocks_urgent"])
     if boards is not None:
         rows = rows.join(boards.select(B, "esc_high", "esc_must"), B, "left")
         floor = X.escalation_floor("unblocks", F.col("esc_high"), F.col("esc_must"))
@@ -235,8 +241,8 @@ def forced_pick(issues: DataFrame, edges: DataFrame) -> DataFrame:
     boards = stuck.select(B).distinct()
     local_edges = cut(edges.join(boards, B, "left_semi"))
     local_issues = issues.join(boards, B, "left_semi")
-    counts = dependents(local_edges, stuck.select(B, F.col("id").alias("start")), ordered=False) \
-        .groupBy(B, F.col("start").alias("id")).agg(F.count(F.lit(1)).alias("dependents"))
+    walk = closure.packed_reach(blocks(local_edges), stuck.select(B, F.col("id").alias("start")), tenant=B, src="id", dst="waiter")
+    counts = closure.packed_counts(walk, B).select(B, F.col("start").alias("id"), F.col("total").alias("dependents"))
     picks = stuck.join(counts, [B, "id"], "left").fillna(0, ["dependents"])
     order = F.struct(X.priority_rank("priority"), -F.col("dependents"), F.coalesce(X.id_num("id"), F.lit(0)), "pos")
     picks = first_per_key(picks, [B], order)

@@ -352,3 +352,53 @@ def unpacked(packed: DataFrame, tenant: str) -> DataFrame:
     """(tenant, start, node, depth) of a packed walk, or of some of its rows and those of depth 0."""
     starts = packed.filter("depth = 0").select(tenant, F.col("node").alias("start"), "block", F.col("bits").alias("_own"))
     return packed.join(starts, [tenant, "block"]).filter("bits & _own != 0").select(tenant, "start", "node", "depth")
+
+
+def packed_counts(packed: DataFrame, tenant: str, weights: DataFrame | None = None) -> DataFrame:
+    """What each start of a packed walk reaches, as numbers: (tenant, start, total), starts that reach nothing left out.
+
+    ``weights`` is (tenant, node, weight), a long; None counts every node as 1.
+    The bits of a block are added up column by column, so rows are as many as
+    the walk's, then as many as the starts; no pairs of starts and nodes.
+    """
+    met = packed.filter("depth > 0")
+    met = met.withColumn("weight", F.lit(1).cast("long")) if weights is None else met.join(weights.select(tenant, "node", "weight"), [tenant, "node"])
+    sums = met.groupBy(tenant, "block").agg(*[F.sum(F.expr(f"(shiftrightunsigned(bits, {i}) & 1L) * weight")).alias(f"_s{i}") for i in range(PACK)])
+    each = sums.select(tenant, "block", F.posexplode(F.array(*[f"_s{i}" for i in range(PACK)])).alias("_i", "total")).filter("total != 0") \
+        .select(tenant, "block", F.expr("shiftleft(1L, _i)").alias("bits"), "total")
+    starts = packed.filter("depth = 0").select(tenant, "block", "bits", F.col("node").alias("start"))
+    return each.join(starts, [tenant, "block", "bits"]).select(tenant, "start", "total")
+
+
+def best_ahead(edges: DataFrame, ranks: DataFrame, *, tenant: str, src: str, dst: str, order: Column) -> DataFrame:
+    """The best other node each node reaches: (tenant, node, rank, depth, best).
+
+    ``ranks`` is (tenant, node, rank), one row per node that may be an answer.
+    The smallest rank wins, then the fewest hops, then the smallest path of
+    sibling keys; ``order`` is unique among the successors of a node.
+
+    Labels walk backward, one hop a round, and a node keeps its two best with
+    itself among them: the answer is the first that is not the node, loops
+    included. A label carries its first hop and its place at that hop, which
+    compare as whole paths do, because labels of one round arrive together.
+    Only labels new at a node go on, so a round forms at most two rows an edge.
+    """
+    keys = [tenant, "node"]
+    key = F.struct("rank", "depth", "hop", "place")
+    with scratch() as held:
+        back = cut(edges.select(F.col(tenant), F.col(src).alias("_from"), F.col(dst).alias("node"), order.alias("_hop")).filter("_from != node").distinct())
+        state = cut(ranks.groupBy(*keys).agg(F.min("rank").alias("rank"))
+                    .select(*keys, "rank", F.lit(0).alias("depth"), F.lit("").alias("hop"), F.lit(1).alias("place"), F.col("node").alias("best")))
+        fresh, depth = state, 0
+        while not fresh.isEmpty():
+            depth += 1
+            heard = fresh.join(back, keys).groupBy(tenant, F.col("_from").alias("node"), "best") \
+                .agg(F.min(F.struct(F.col("rank"), F.lit(depth).alias("depth"), F.col("_hop").alias("hop"), F.col("place"))).alias("_k"))
+            # A label that a node has kept, or has put aside for two better ones, is not news.
+            both = state.select(*keys, "best", key.alias("_k")).unionByName(heard).groupBy(*keys, "best").agg(F.min("_k").alias("_k"))
+            first = Window.partitionBy(*keys).orderBy("_k")
+            state = cut(both.withColumn("_at", F.row_number().over(first)).filter("_at <= 2")
+                        .select(*keys, "_k.rank", "_k.depth", "_k.hop", F.when(F.col("_k.depth") == depth, F.col("_at")).otherwise(F.col("_k.place")).alias("place"), "best"))
+            fresh = state.filter(F.col("depth") == depth)
+        other = state.filter("best != node").withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy(key))).filter("_at = 1")
+        return held.keep(cut(other.select(*keys, "rank", "depth", "best")))
