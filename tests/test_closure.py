@@ -234,13 +234,25 @@ def test_best_ahead_is_the_first_of_the_best_on_loops_too(frame):
     rng = random.Random(5)
     ranks = {(g, f"n{i:02d}"): rng.randrange(3) for g in made for i in range(12) if rng.random() < 0.6}
     table_of = frame([(g, n, r) for (g, n), r in ranks.items()], "t int, node string, rank int")
-    got = {(r.t, r.node): (r.rank, r.best) for r in closure.best_ahead(df, table_of, tenant="t", src="src", dst="dst", order=F.col("dst")).collect()}
-    for g, es in made.items():
-        near = adjacency(es)
-        for start in {f"n{x:02d}" for e in es for x in e}:
-            # The walk visits by depth, then by path, so the first of the least rank is the answer.
-            able = [(ranks[g, n], i, n) for i, n in enumerate(queue_walk(near, start)) if (g, n) in ranks]
-            assert got.get((g, start)) == ((min(able)[0], min(able)[2]) if able else None)
+    for stride in (1, 4):
+        found = closure.best_ahead(df, table_of, tenant="t", src="src", dst="dst", order=F.col("dst"), stride=stride).collect()
+        got = {(r.t, r.node): (r.rank, r.best) for r in found}
+        for g, es in made.items():
+            near = adjacency(es)
+            for start in {f"n{x:02d}" for e in es for x in e}:
+                # The walk visits by depth, then by path, so the first of the least rank is the answer.
+                able = [(ranks[g, n], i, n) for i, n in enumerate(queue_walk(near, start)) if (g, n) in ranks]
+                assert got.get((g, start)) == ((min(able)[0], min(able)[2]) if able else None)
+
+
+def test_a_hub_is_not_widened(frame):
+    hub = frame([(0, f"a{i:02d}", "hub") for i in range(40)] + [(0, "hub", f"z{i:02d}") for i in range(40)], "t int, src string, dst string")
+    assert closure.widened(hub, tenant="t", src="src", dst="dst")._width == 1
+    chain = frame([(0, f"n{i:02d}", f"n{i + 1:02d}") for i in range(30)], "t int, src string, dst string")
+    assert closure.widened(chain, tenant="t", src="src", dst="dst")._width == 4
+    starts = hub.select("t", F.col("src").alias("start")).distinct()
+    counts = closure.packed_counts(closure.packed_reach(hub, starts, tenant="t", src="src", dst="dst"), "t").collect()
+    assert {(r.start, r.total) for r in counts} == {(f"a{i:02d}", 41) for i in range(40)} | {("hub", 40)}
 
 
 def test_best_ahead_and_counts_on_a_long_chain_and_without_edges(frame):

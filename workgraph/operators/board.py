@@ -82,14 +82,14 @@ def dependents(edges: DataFrame, starts: DataFrame | None = None, ordered: bool
                          order=F.col("waiter_order") if ordered else None, stride=4)
 
 
-def _waiting(graph: DataFrame, state: DataFrame, starts: DataFrame) -> DataFrame:
+def _waiting(graph: DataFrame, state: DataFrame, starts: DataFrame, hops: DataFrame | None = None) -> DataFrame:
     """Open issues that transitively wait on each start, and how many are urgent by stored priority.
 
     One packed walk counts both: an urgent issue also weighs in the upper half of the sum.
     """
     weights = state.filter("status != 'done'").select(
         B, F.col("id").alias("node"), F.when(X.priority_rank("priority") <= 1, F.lit((1 << 32) + 1)).otherwise(F.lit(1)).cast("long").alias("weight"))
-    walk = closure.packed_reach(graph, starts, tenant=B, src="id", dst="waiter")
+    walk = closure.packed_reach(graph, starts, tenant=B, src="id", dst="waiter", hops=hops)
     return closure.packed_counts(walk, B, weights).select(
         B, F.col("start").alias("id"), F.expr("total & 4294967295L").alias("unblocks"), F.shiftrightunsigned("total", 32).alias("unblocks_urgent"))
 
@@ -110,13 +110,14 @@ def leverage(issues: DataFrame, edges: DataFrame, starts: DataFrame | None = Non
     ``urgency_from`` is empty unless a waiting issue raised the urgency.
     ``boards`` may carry esc_high and esc_must per board. No pairs of issues and waiters are formed.
     """
-    state, graph = cut(_states(issues)), cut(blocks(edges))
+    state, graph = cut(_states(issues)), blocks(edges)
+    hops = closure.widened(graph, tenant=B, src="id", dst="waiter", order=F.col("waiter_order"))
     own = state if starts is None else \
         state.join(starts.select(B, F.col("start").alias("id")).distinct(), [B, "id"], "left_semi")
     ranks = state.filter("status != 'done'").select(
         B, F.col("id").alias("node"), X.priority_rank("priority").alias("rank"))
-    counts = _waiting(graph, state, own.select(B, F.col("id").alias("start")))
-    best = closure.best_ahead(graph, ranks, tenant=B, src="id", dst="waiter", order=F.col("waiter_order")) \
+    counts = _waiting(graph, state, own.select(B, F.col("id").alias("start")), hops)
+    best = closure.best_ahead(graph, ranks, tenant=B, src="id", dst="waiter", order=F.col("waiter_order"), hops=hops) \
         .select(B, F.col("node").alias("id"), F.struct("rank", F.col("best").alias("node")).alias("best"))
     rows = own.join(counts, [B, "id"], "left").join(best, [B, "id"], "left").fillna(0, ["unblocks", "unblocks_urgent"])
     if boards is not None:

@@ -20,6 +20,8 @@ from workgraph.session import cut, scratch
 
 #: Starts packed into one long; the sign bit is left alone.
 PACK = 62
+#: Rows that widening a path table may make of one of its rows.
+SPREAD = 4
 
 
 def _union(rounds: Sequence[DataFrame]) -> DataFrame:
@@ -315,21 +317,40 @@ def nearest_labels(edges: DataFrame, starts: DataFrame, *, tenant: str, src: str
         return held.keep(cut(first.drop("_place")))
 
 
-def packed_reach(edges: DataFrame, starts: DataFrame, *, tenant: str, src: str, dst: str, stride: int = 4) -> DataFrame:
+def widened(edges: DataFrame, *, tenant: str, src: str, dst: str, order: Column | None = None, stride: int = 4) -> DataFrame:
+    """Shortest paths of up to ``stride`` hops, a power of two: (tenant, _from, node, depth[, path]).
+
+    Paths are doubled only while the degrees say that at most ``SPREAD`` rows come of one; so a hub, whose
+    predecessors times successors are no longer in proportion to the edges, leaves the walk at the hops it has.
+    """
+    ordered = order is not None
+    one = edges.select(F.col(tenant), F.col(src).alias("_from"), F.col(dst).alias("node"), F.lit(1).alias("depth"),
+                       *([F.array(order).alias("path")] if ordered else [])).filter("_from != node")
+    hops, width, keys = cut(_nearest(one, [tenant, "_from", "node"], ordered)), 1, [tenant, "node"]
+    while width < stride:
+        enter = hops.groupBy(*keys).agg(F.count(F.lit(1)).alias("_in"))
+        leave = hops.groupBy(tenant, F.col("_from").alias("node")).agg(F.count(F.lit(1)).alias("_out"))
+        come = enter.join(leave, keys, "left").agg(F.sum("_in").alias("rows"), F.sum(F.col("_in").cast("double") * F.col("_out")).alias("pairs")).head()
+        if come["pairs"] is None or come["pairs"] > SPREAD * come["rows"]:
+            break
+        hops = cut(_nearest(hops.unionByName(_join_paths(hops, hops, tenant, "_from", ordered)), [tenant, "_from", "node"], ordered))
+        width *= 2
+    hops._width = width
+    return hops
+
+
+def packed_reach(edges: DataFrame, starts: DataFrame, *, tenant: str, src: str, dst: str, stride: int = 4, hops: DataFrame | None = None) -> DataFrame:
     """What each start reaches, ``PACK`` starts a row: (tenant, block, node, bits, depth); a start is at depth 0.
 
     ``starts`` is (tenant, start). Bit ``i`` of block ``b`` is start ``i`` of that
     block, see :func:`unpacked`. A round ORs the fresh bits of a block along
-    paths of up to ``stride`` hops, a power of two; a bit appears in the row of its shortest
+    the paths of :func:`widened` (``hops``, where the caller has them); a bit appears in the row of its shortest
     depth only, so a walk has at most starts / PACK rows a node and depth.
     """
     with scratch() as held:
-        hops, width = _nearest(edges.select(F.col(tenant), F.col(src).alias("_from"), F.col(dst).alias("node"), F.lit(1).alias("depth")).filter("_from != node"),
-                               [tenant, "_from", "node"], False), 1
-        while width < stride:
-            hops = _nearest(hops.unionByName(_join_paths(hops, hops, tenant, "_from", False)), [tenant, "_from", "node"], False)
-            width *= 2
-        step = cut(hops.select(tenant, F.col("_from").alias("node"), F.col("node").alias("_to"), F.col("depth").alias("_hops")))
+        hops = widened(edges, tenant=tenant, src=src, dst=dst, stride=stride) if hops is None else hops
+        width = hops._width
+        step = hops.select(tenant, F.col("_from").alias("node"), F.col("node").alias("_to"), F.col("depth").alias("_hops"))
         named = ranked(starts.select(tenant, "start").distinct(), [tenant], [F.col("start")], "_i") \
             .select(tenant, F.col("start").alias("node"), F.floor((F.col("_i") - 1) / PACK).alias("block"), F.expr(f"shiftleft(1L, CAST((_i - 1) % {PACK} AS INT))").alias("bits"))
         frontier = cut(named.withColumn("depth", F.lit(0)))
@@ -370,35 +391,39 @@ def packed_counts(packed: DataFrame, tenant: str, weights: DataFrame | None = No
     return each.join(starts, [tenant, "block", "bits"]).select(tenant, "start", "total")
 
 
-def best_ahead(edges: DataFrame, ranks: DataFrame, *, tenant: str, src: str, dst: str, order: Column) -> DataFrame:
+def best_ahead(edges: DataFrame, ranks: DataFrame, *, tenant: str, src: str, dst: str, order: Column, stride: int = 4,
+               hops: DataFrame | None = None) -> DataFrame:
     """The best other node each node reaches: (tenant, node, rank, depth, best).
 
     ``ranks`` is (tenant, node, rank), one row per node that may be an answer.
     The smallest rank wins, then the fewest hops, then the smallest path of
     sibling keys; ``order`` is unique among the successors of a node.
 
-    Labels walk backward, one hop a round, and a node keeps its two best with
-    itself among them: the answer is the first that is not the node, loops
-    included. A label carries its first hop and its place at that hop, which
-    compare as whole paths do, because labels of one round arrive together.
-    Only labels new at a node go on, so a round forms at most two rows an edge.
+    Labels walk backward along the paths of :func:`widened` (``hops``, where the caller has them), and a
+    node keeps its two best with itself among them: the answer is the first
+    that is not the node, loops included. A label carries its first path and
+    its place at the end of it, which compare as whole paths do, because labels of one depth
+    arrive together. Only labels new at a node go on, and only along the longest
+    paths, so a round forms at most two rows a path.
     """
     keys = [tenant, "node"]
-    key = F.struct("rank", "depth", "hop", "place")
+    key = F.struct("rank", "depth", "path", "place")
     with scratch() as held:
-        back = cut(edges.select(F.col(tenant), F.col(src).alias("_from"), F.col(dst).alias("node"), order.alias("_hop")).filter("_from != node").distinct())
+        hops = widened(edges, tenant=tenant, src=src, dst=dst, order=order, stride=stride) if hops is None else hops
+        width = hops._width
+        back = hops.select(tenant, "_from", "node", F.col("depth").alias("_hops"), F.col("path").alias("_path"))
         state = cut(ranks.groupBy(*keys).agg(F.min("rank").alias("rank"))
-                    .select(*keys, "rank", F.lit(0).alias("depth"), F.lit("").alias("hop"), F.lit(1).alias("place"), F.col("node").alias("best")))
+                    .select(*keys, "rank", F.lit(0).alias("depth"), F.array().cast("array<string>").alias("path"), F.lit(1).alias("place"), F.col("node").alias("best")))
         fresh, depth = state, 0
         while not fresh.isEmpty():
-            depth += 1
-            heard = fresh.join(back, keys).groupBy(tenant, F.col("_from").alias("node"), "best") \
-                .agg(F.min(F.struct(F.col("rank"), F.lit(depth).alias("depth"), F.col("_hop").alias("hop"), F.col("place"))).alias("_k"))
-            # A label that a node has kept, or has put aside for two better ones, is not news.
+            # From depth 0 every path counts; what lies deeper came over shorter ones already.
+            heard = fresh.join(back if depth == 0 else back.filter(F.col("_hops") == width), keys).groupBy(tenant, F.col("_from").alias("node"), "best") \
+                .agg(F.min(F.struct(F.col("rank"), (F.col("depth") + F.col("_hops")).alias("depth"), F.col("_path").alias("path"), F.col("place"))).alias("_k"))
             both = state.select(*keys, "best", key.alias("_k")).unionByName(heard).groupBy(*keys, "best").agg(F.min("_k").alias("_k"))
             first = Window.partitionBy(*keys).orderBy("_k")
             state = cut(both.withColumn("_at", F.row_number().over(first)).filter("_at <= 2")
-                        .select(*keys, "_k.rank", "_k.depth", "_k.hop", F.when(F.col("_k.depth") == depth, F.col("_at")).otherwise(F.col("_k.place")).alias("place"), "best"))
-            fresh = state.filter(F.col("depth") == depth)
+                        .select(*keys, "_k.rank", "_k.depth", "_k.path", F.when(F.col("_k.depth") > depth, F.col("_at")).otherwise(F.col("_k.place")).alias("place"), "best"))
+            fresh = state.filter(F.col("depth") > depth)
+            depth += width
         other = state.filter("best != node").withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy(key))).filter("_at = 1")
         return held.keep(cut(other.select(*keys, "rank", "depth", "best")))
