@@ -130,6 +130,36 @@ def test_counterfactuals_spare_neutral_mentions(spark):
     assert fair.score("vermin in the garden") > 0.5
 
 
+def test_swaps_go_by_sentence_and_term():
+    got = toxicity.swaps("Women and men met. Ten men sang! nobody else; the end")
+    names = toxicity.feature_names
+    women, men = names({b"women"}), names({b"men"})
+    # In the first sentence the other term stands already: only its own features go. In the second, men become women.
+    want = {(frozenset(women), frozenset()): 1 / 3, (frozenset(men), frozenset()): 1 / 3, (frozenset(men), frozenset(women)): 1 / 3}
+    assert got == pytest.approx(want)
+    many = toxicity.swaps("a muslim neighbour")
+    assert len(many) == 5 and sum(many.values()) == pytest.approx(1.0)
+    assert all(gone == names({b"muslim"}) for gone, _ in many)
+    long = toxicity.swaps("the women sang. " * 50_000)
+    assert long == pytest.approx({(frozenset(women), frozenset(men)): 1.0})
+    assert toxicity.swaps(None) == toxicity.swaps("") == toxicity.swaps("no group here") == {}
+
+
+def test_neutral_mentions_in_the_given_table_before_and_after(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    held = docs.join(labels, "doc_id").filter(labelled.held_out(F.col("doc_id")) & (F.col("toxic") == 0)).select("text").toPandas().text
+    plain, fair = toxicity.train(docs, labels, strength=0.0), toxicity.train(docs, labels)
+    wrong = {name: sum(m.score(t) >= 0.5 for t in held) for name, m in [("plain", plain), ("fair", fair)]}
+    spread = lambda m: max(max(z) - min(z) for z in ([m.logit({t.encode(), b"garden"}) for t in terms] for terms in toxicity.IDENTITIES))
+    # Every clean held-out text with a neutral mention of each group added.
+    named = [t.encode() for terms in toxicity.IDENTITIES[:9] for t in terms]
+    added = {name: sum(m.logit(toxicity.vocabulary(t) | {term}) >= 0 for t in held[:200] for term in named) for name, m in [("plain", plain), ("fair", fair)]}
+    print("false positives", wrong, "with a mention", added, "of", 200 * len(named), "spread", spread(plain), spread(fair))
+    assert wrong["fair"] <= wrong["plain"] and added["fair"] <= added["plain"] and spread(fair) <= spread(plain)
+    assert wrong["fair"] <= 0.02 * len(held)
+
+
 def test_a_score_needs_words_not_counts():
     model = toxicity.Model({b"w:bad": 3.0, b"p:abcd": 2.0, b"w:none": 0.0}, -1.0)
     assert model.logit(toxicity.vocabulary("Bad BAD bad abcde abcdf")) == pytest.approx(4.0)

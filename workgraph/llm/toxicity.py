@@ -1,7 +1,9 @@
 """Toxicity: a logistic classifier over words and word beginnings, regularised by counterfactuals.
 
-In labelled sentences that name an identity, the term is swapped for another of its list; the squared change of the score
-is part of the loss. So the mention of a group as such cannot make a text toxic, which is what neutral mentions need.
+In every sentence of the labelled rows that names identities, one term at a time is swapped for each other one of its list;
+the squared change of the log-odds is part of the loss. So the mention of a group as such cannot make a text toxic, which is
+what neutral mentions need. A sentence that names several groups has a swap for each of them; the swaps of a row weigh 1 in
+all, so that one long text does not decide what the model learns of a group.
 The words of the model are chosen by counts over a bounded sample of labelled rows, and so are the weights; what reaches
 the driver is bounded by ``MAX_ROWS`` and ``MAX_FEATURES``. Scoring is one pass over the whole texts without a shuffle.
 
@@ -11,6 +13,9 @@ scored each for itself.
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,13 +27,14 @@ from workgraph.llm.labelled import MAX_ROWS, held_out, training_rows
 from workgraph.llm.registry import query
 from workgraph.llm.tokens import ALNUM, word_pieces
 
-#: Identity terms by list; a term is swapped for the next of its list.
+#: Identity terms by list; a term is swapped for every other of its list.
 IDENTITIES = [["women", "men"], ["woman", "man"], ["girls", "boys"], ["muslim", "christian", "jewish", "hindu", "buddhist", "atheist"],
               ["muslims", "christians", "jews", "hindus", "buddhists", "atheists"], ["black", "white", "asian", "latino", "african", "european"],
               ["gay", "straight", "lesbian", "bisexual", "transgender"], ["immigrants", "natives", "refugees"], ["disabled", "deaf", "blind", "autistic"],
               ["frauen", "männer"], ["muslime", "christen", "juden"], ["femmes", "hommes"], ["musulmans", "chrétiens", "juifs"],
               ["mujeres", "hombres"], ["musulmanes", "cristianos", "judíos"]]
-SWAP = {a.encode(): b.encode() for terms in IDENTITIES for a, b in zip(terms, terms[1:] + terms[:1])}
+OTHERS = {a.encode(): [b.encode() for b in terms if b != a] for terms in IDENTITIES for a in terms}
+SENTENCE_END = re.compile(r"[.!?;\n]+")
 #: Lengths in bytes of the word beginnings that count as features beside the word.
 PREFIXES = (4, 5, 6)
 MAX_FEATURES = 3_000
@@ -98,16 +104,25 @@ class Model:
         return float(1.0 / (1.0 + np.exp(-np.clip(self.logit(vocabulary(text)), -40, 40))))
 
 
-def swapped(words: set[bytes]) -> set[bytes] | None:
-    """The words with every identity term replaced by the next of its list; None where there is none."""
-    if SWAP.keys().isdisjoint(words):
-        return None
-    return {SWAP.get(w, w) for w in words}
-
-
-def fit(names: list[bytes], rows: list[list[int]], y: np.ndarray, pairs: list[tuple[list[int], list[int]]], strength: float = COUNTERFACTUAL,
-        steps: int = STEPS) -> tuple[np.ndarray, float]:
-    """Weights and intercept that minimise log loss + ridge + strength * mean squared change of the logit over ``pairs``."""
+def swaps(text: str | None) -> dict[tuple[frozenset[bytes], frozenset[bytes]], float]:
+    """Features that go and features that come by each swap of one term in one sentence, with weights of 1 in all; empty without a term."""
+    found: Counter = Counter()
+    if not OTHERS.keys().isdisjoint(vocabulary(text)):
+        for sentence in SENTENCE_END.split(text):
+            words = vocabulary(sentence)
+            for term in OTHERS.keys() & words:
+                rest = words - {term}
+                left = feature_names(rest)
+                for other in OTHERS[term]:
+                    gone, come = feature_names({term}) - left, feature_names({other}) - left
+                    found[frozenset(gone - come), frozenset(come - gone)] += 1
+    total = sum(found.values())
+    return {pair: n / total for pair, n in found.items()}
+
+
+def fit(names: list[bytes], rows: list[list[int]], y: np.ndarray, pairs: list[tuple[list[int], list[int]]], weights: np.ndarray,
+        strength: float = COUNTERFACTUAL, steps: int = STEPS) -> tuple[np.ndarray, float]:
+    """Weights and intercept that minimise log loss + ridge + strength * weighted mean squared change of the logit over ``pairs``."""
     k, n = len(names), len(y)
 
     def sparse(lists):
@@ -127,7 +142,8 @@ def fit(names: list[bytes], rows: list[list[int]], y: np.ndarray, pairs: list[tu
         grad = np.bincount(col, r[at], k) / n + RIDGE * w
         if pairs:
             change = np.bincount(a_at, w[a_col], len(pairs)) - np.bincount(b_at, w[b_col], len(pairs))
-            grad += 2 * strength / len(pairs) * (np.bincount(a_col, change[a_at], k) - np.bincount(b_col, change[b_at], k))
+            change *= weights / weights.sum()
+            grad += 2 * strength * (np.bincount(a_col, change[a_at], k) - np.bincount(b_col, change[b_at], k))
         g = np.append(grad, r.mean())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         move = 0.1 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-8)
@@ -147,24 +163,30 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
         return Model({}, 0.0 if not n else float(np.log((toxic + 0.5) / (n - toxic + 0.5))))
     counted = _counted(sample).filter(F.col("clean") + F.col("toxic") >= MIN_TEXTS).withColumns({"_toxic": F.lit(toxic), "_clean": F.lit(n - toxic)})
     ranked = counted.withColumn("z", F.abs(odds / error)).filter(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "feature").limit(max_features)
-    names = sorted({bytes(r["feature"]) for r in ranked.select("feature").collect()} | feature_names(set(SWAP)))
+    names = sorted({bytes(r["feature"]) for r in ranked.select("feature").collect()} | feature_names(set(OTHERS)))
     place = {name: i for i, name in enumerate(names)}
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, other = [], []
+            own, turned = [], []
             for t in batch.column("text"):
-                words = vocabulary(t.as_py())
-                turned = swapped(words)
-                own.append(sorted(place[f] for f in place.keys() & feature_names(words)))
-                other.append(None if turned is None else sorted(place[f] for f in place.keys() & feature_names(turned)))
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.int32())), pa.array(other, pa.list_(pa.int32())),
-                                              batch.column("label").cast(pa.int32())], ["own", "other", "y"])
-
-    table = sample.mapInArrow(read, "own array<int>, other array<int>, y int").toArrow()
-    got = sorted(zip(table.column("own").to_pylist(), table.column("y").to_pylist(), table.column("other").to_pylist()), key=lambda r: (r[0], r[1]))
-    pairs = [(own, other) for own, _, other in got if other is not None]
-    w, b = fit(names, [r[0] for r in got], np.array([r[1] for r in got], float), pairs, strength)
+                own.append(sorted(place[f] for f in place.keys() & feature_names(vocabulary(t.as_py()))))
+                turned.append([{"gone": sorted(place[f] for f in place.keys() & gone), "come": sorted(place[f] for f in place.keys() & come), "weight": n}
+                               for (gone, come), n in swaps(t.as_py()).items()])
+            kind = pa.list_(pa.struct([("gone", pa.list_(pa.int32())), ("come", pa.list_(pa.int32())), ("weight", pa.float64())]))
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.int32())), pa.array(turned, kind), batch.column("label").cast(pa.int32())],
+                                             ["own", "turned", "y"])
+
+    # Per row at most the features of the model and a few swaps for each pair of terms of a list.
+    table = sample.mapInArrow(read, "own array<int>, turned array<struct<gone:array<int>,come:array<int>,weight:double>>, y int").toArrow()
+    got = sorted(zip(table.column("own").to_pylist(), table.column("y").to_pylist()))
+    weight: dict[tuple, list[float]] = {}
+    for row in table.column("turned").to_pylist():
+        for swap in row:
+            weight.setdefault((tuple(swap["gone"]), tuple(swap["come"])), []).append(swap["weight"])
+    pairs = sorted(weight)
+    w, b = fit(names, [r[0] for r in got], np.array([r[1] for r in got], float), [(list(gone), list(come)) for gone, come in pairs],
+               np.array([math.fsum(weight[p]) for p in pairs]), strength)
     return Model(dict(zip(names, w.tolist())), b)
 
 
