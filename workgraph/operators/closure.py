@@ -179,7 +179,7 @@ def loops(edges: DataFrame, *, tenant: str, src: str, dst: str) -> DataFrame:
             frontier = cut(back.join(_union(rounds), [tenant, "node", "colour"], "left_anti"))
             if frontier.isEmpty():
                 break
-            rounds.append(frontier)
+            _remember(rounds, frontier)
         members = _union(rounds)
         members = cut(members.select(tenant, "node", F.col("colour").alias("loop")))
         # A lone member holds a loop only through an edge to itself.
@@ -217,7 +217,7 @@ def topo_layers(nodes: DataFrame, edges: DataFrame, *, tenant: str, src: str, ds
         state = marked.groupBy(*keys).agg(free.alias("_free"), F.min("node").alias("_least"))
         goes = F.col("_in").isNull() | ((F.col("_free") == 0) & (F.col("node") == F.col("_least")))
         judged = cut(marked.join(state, keys).select(*keys, "node", goes.alias("_goes")))
-        layers.append(judged.filter("_goes").select(*keys, "node", F.lit(layer).alias("layer")))
+        _remember(layers, judged.filter("_goes").select(*keys, "node", F.lit(layer).alias("layer")))
         left = judged.filter("NOT _goes").drop("_goes")
         stays = left.select(tenant, "node")
         live = cut(live.join(stays.withColumnRenamed("node", "src"), [tenant, "src"], "left_semi")
@@ -256,7 +256,7 @@ def layered_passes(nodes: DataFrame, edges: DataFrame, *, tenant: str, node: str
             .agg(F.max("_pass").alias("pass"), F.count(F.when(F.col("_pass").isNull(), 1)).alias("_left")) \
             .filter("_left = 0").drop("_left")
         fresh = cut(settled)
-        rounds.append(fresh)
+        _remember(rounds, fresh)
         open_edges = open_edges.join(fresh.select(tenant, "node"), [tenant, "node"], "left_anti")
     emitted = _union(rounds)
     stuck = waiting.join(emitted.select(tenant, "node"), [tenant, "node"], "left_anti") \
