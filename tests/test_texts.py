@@ -1,5 +1,6 @@
 """Scenario files, step registrations, scoring, evidence, markdown, statistics."""
 
+import random
 import statistics
 
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from workgraph.operators import evaluation as E
 from workgraph.operators import features as O
 from workgraph.operators import markdown as M
 from workgraph.operators import robust as R
+from workgraph.operators.literals import literal_free, literal_matches, required_runs
 
 FEATURE = """Feature: Accounts
   Background:
@@ -40,6 +42,40 @@ def test_outline_nesting(frame):
         (5, 7, "scenario", "a.feature#names.create"), (8, 13, "scenario", "a.feature#names.many")]
 
 
+def test_outline_in_blocks_equals_one_block(frame):
+    rng = random.Random(5)
+    text = ["Feature: f", "Rule: r", "Background:", "Scenario: s", "Given x", "Then y", "plain", ""]
+    lines = frame([(p % 2, f"{p}.feature", i, f"  {rng.choice(text)}{i if i % 3 else ''}") for p in range(4) for i in range(1, 120)],
+                  "repo_id int, path string, line int, text string")
+    whole = rows(O.feature_outline(lines, block=1000))
+    assert len(whole) > 200
+    for block in (1, 7, 64):
+        assert rows(O.feature_outline(lines, block=block)) == whole
+
+
+def test_required_runs(frame):
+    cases = {r"^a (\S+) does (\d+)$": ["a ", " does "], r"[Tt]he": ["he"], r"ends$": ["ends"], r"colou?r": ["colo", "r"], "ab+c": ["ab", "c"],
+             r"a|bcd": [], r"(?i)TH-\.x": ["th-", "x"], r"x(?i)y": [], r"(ab|cd)+ef": ["ef"], r"((a)b(c(d)))e{0,2}f": ["f"], r"[a[bc]d]ef": [],
+             r"\Qab\Ecd": [], r"\p{Lu}ab\x41c": ["ab", "c"], r"[]a]bcd": [], r"^\d+$": [], "": [], r"(?<n>a)bc\k<n>d": ["bc", "d"], r"ab*?cd": ["a", "cd"],
+             None: []}
+    got = frame([(c,) for c in cases], "pattern string").select("pattern", required_runs(F.col("pattern")).alias("runs")).collect()
+    assert {r.pattern: r.runs for r in got} == cases
+
+
+def test_literal_matches_equal_the_plain_join(frame):
+    rng = random.Random(8)
+    bits = ["ab", "B", "a.c", "abc", "x+", "[ab]", "(cd|e)", "c?", "^", "$", r"\d", " ", "Cab", "é", "d{0,2}", "(?:ab)*"]
+    patterns = {(k, f"p{i}", "".join(rng.choice(bits) for _ in range(rng.randint(1, 4)))) for k in (0, 1) for i in range(60)}
+    patterns |= {(0, "pi", "(?i)CAB"), (1, "pn", None), (0, "pe", "")}
+    texts = {(k, "".join(rng.choice("abcdeBCx1 é") for _ in range(rng.randint(0, 14)))) for k in (0, 1, 2) for _ in range(80)} | {(0, None), (0, "")}
+    t, p = frame(list(texts), "k int, text string"), frame(list(patterns), "k int, id string, pattern string")
+    met = literal_matches(t, p, ["k"])
+    plain = t.join(p, "k").filter(F.rlike("text", F.col("pattern")))
+    assert rows(met, "k", "text", "id") == rows(plain, "k", "text", "id") and plain.count() > 300
+    assert rows(literal_matches(t.limit(0), p, ["k"]), "id") == [] and rows(literal_matches(t, p.limit(0), ["k"]), "id") == []
+    assert ("pe",) in rows(literal_free(p), "id") and ("pi",) not in rows(literal_free(p), "id")
+
+
 def test_steps_match_definitions(frame):
     lines, outline = feature(frame)
     defs = frame([(0, "d1", r'^"([^"]*)" signs up$', "s.go#up"), (0, "d2", r"^there are (-?\d+) users$", ""), (0, "d3", r"users", ""),

@@ -1,20 +1,21 @@
 """Scenario files: outline, step texts, and the step definitions that match them.
 
-``lines`` is (repo_id, path, line, text) of feature files. A file is one text
-cell where it is read, so its lines may share a window; steps and definitions
-are joined, never gathered.
+``lines`` is (repo_id, path, line, text) of feature files. A file of any length
+is scanned in blocks of lines; steps and definitions are joined, never gathered.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from workgraph.functions import ids as X
 from workgraph.functions import paths as P
 from workgraph.functions import text as T
 from workgraph.operators.code import V, enclosing_symbol
-from workgraph.operators.intervals import new_range, overlaps, salted_join
+from workgraph.operators.intervals import new_range, overlaps
+from workgraph.operators.literals import literal_matches
+from workgraph.operators.scan import BLOCK, carry_all
 from workgraph.session import cut
 
 FILE = ["repo_id", "path"]
@@ -24,11 +25,13 @@ HEADINGS = [("Feature:", "feature", 0), ("Rule:", "rule", 1), ("Background:", "b
 STEP_LEVEL = 3
 
 
-def feature_outline(lines: DataFrame) -> DataFrame:
+def feature_outline(lines: DataFrame, block: int = BLOCK) -> DataFrame:
     """Headings and steps with their nesting: (repo_id, path, kind, name, parent, id, start_line, end_line).
 
     A heading ends before the next one of its level or above; a step is one
-    line. The parent is the nearest line above of a lower level.
+    line. The parent is the nearest line above of a lower level. The open
+    headings are carried from block to block of ``block`` lines, downwards for
+    parents and upwards for ends, so no task holds a whole file.
     """
     text = F.trim(F.regexp_replace("text", r"\s+$", ""))
     kind, level, name = F.lit(None).cast("string"), F.lit(None).cast("int"), F.lit(None).cast("string")
@@ -40,18 +43,18 @@ def feature_outline(lines: DataFrame) -> DataFrame:
         rest = F.trim(F.substring(text, len(prefix) + 1, 1 << 30))
         kind, level, name = F.when(here, what).otherwise(kind), F.when(here, depth).otherwise(level), F.when(here, rest).otherwise(name)
     tagged = lines.withColumn("kind", kind).withColumn("level", level).withColumn("name", name)
-    above = Window.partitionBy(*FILE).orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    # Reading downwards is the same running frame over the reversed lines.
-    below = Window.partitionBy(*FILE).orderBy(F.desc("line")).rowsBetween(Window.unboundedPreceding, -1)
+    bottom = lines.groupBy(*FILE).agg(F.max("line").alias("_bottom"))
+    heads = tagged.filter("kind IS NOT NULL").drop("text")
+    opened = {f"_above{d}": F.when(F.col("level") < d, F.col("name")) for d in range(1, STEP_LEVEL + 1)}
+    closed = {f"_below{d}": F.when(F.col("level") <= d, F.col("line")) for d in range(STEP_LEVEL)}
+    heads = carry_all(heads, FILE, "line", opened, inclusive=False, block=block)
+    heads = carry_all(heads, FILE, "line", closed, inclusive=False, backward=True, block=block)
     parent, closing = F.lit(None).cast("string"), F.lit(None).cast("int")
     for depth in range(STEP_LEVEL + 1):
-        parent = F.when(F.col("level") == depth,
-                        F.last(F.when(F.col("level") < depth, F.col("name")), ignorenulls=True).over(above)).otherwise(parent)
-        if depth < STEP_LEVEL:
-            closing = F.when(F.col("level") == depth,
-                             F.last(F.when(F.col("level") <= depth, F.col("line")), ignorenulls=True).over(below)).otherwise(closing)
-    bottom = F.max("line").over(Window.partitionBy(*FILE))
-    rows = tagged.withColumn("_parent", parent).withColumn("_next", closing).withColumn("_bottom", bottom).filter("kind IS NOT NULL")
+        here = F.col("level") == depth
+        parent = F.when(here, F.col(f"_above{depth}")).otherwise(parent) if depth else parent
+        closing = F.when(here, F.col(f"_below{depth}")).otherwise(closing) if depth < STEP_LEVEL else closing
+    rows = heads.withColumn("_parent", parent).withColumn("_next", closing).join(bottom, FILE)
     end = F.when(F.col("level") == STEP_LEVEL, F.col("line")).otherwise(F.coalesce(F.col("_next") - 1, F.col("_bottom")))
     owner = F.coalesce("_parent", F.lit(""))
     ident = F.concat("path", F.lit("#"), F.when(owner != "", F.concat(owner, F.lit("."))).otherwise(F.lit("")), "name")
@@ -98,19 +101,11 @@ def match_steps(steps: DataFrame, step_defs: DataFrame) -> DataFrame:
 
     One match is static; of several all are kept as heuristic; none gives a row
     with NULL. ``step_defs`` is (repo_id, def_id, pattern, handler_id). Each
-    distinct text is tested once. A pattern that is anchored and starts with a
-    plain word can only match texts starting with that word, so it is tested
-    against those alone; the rest are tested against every text of their
-    repository.
+    distinct text is tested once, against the patterns whose rarest literal it
+    holds (:mod:`workgraph.operators.literals`).
     """
-    word = F.regexp_extract("pattern", r"^\^([A-Za-z0-9_]+)(?=[ $])", 1)
-    defs = step_defs.withColumn("_word", word)
-    texts = cut(steps.select("repo_id", "text").distinct().withColumn("_word", F.regexp_extract("text", r"^([A-Za-z0-9_]+)(?= |$)", 1)))
-    hit = F.rlike("text", F.col("pattern"))
-    cols = ["repo_id", "text", "def_id", "handler_id"]
-    worded = salted_join(texts, defs.filter("_word != ''"), ["repo_id", "_word"]).filter(hit).select(*cols)
-    loose = salted_join(texts, defs.filter("_word = ''").drop("_word"), ["repo_id"]).filter(hit).select(*cols)
-    met = worded.unionByName(loose)
+    texts = cut(steps.select("repo_id", "text").distinct())
+    met = literal_matches(texts, step_defs, ["repo_id"]).select("repo_id", "text", "def_id", "handler_id")
     counts = met.groupBy("repo_id", "text").agg(F.count(F.lit(1)).alias("_n"))
     linked = met.join(counts, ["repo_id", "text"])
     confidence = F.when(F.col("_n") == 1, "static").when(F.col("_n") > 1, "heuristic")

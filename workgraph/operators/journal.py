@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from workgraph.functions import ids as X
+from workgraph.operators.literals import literal_matches
 from workgraph.operators.scan import carry_forward, first_per_key, neighbour, ranked, running_total, top_per_key
 from workgraph.session import cut
 
@@ -107,13 +108,14 @@ def log_issue(lines: DataFrame, wanted: DataFrame) -> DataFrame:
 
     ``wanted`` is (log_id, id). Tokens are reduced to one spelling and joined
     on it, so any number of ids costs one pass; a word that is not id-shaped is
-    matched as written. Entries with the id in their heading come first.
+    matched as written, on the lines that hold its rarest literal. Entries with
+    the id in their heading come first.
     """
     shaped = wanted.filter(F.col("id").rlike(X.ID_SHAPE)).select(L, "id", X.log_id_key("id").alias("key"))
-    odd = wanted.filter(~F.col("id").rlike(X.ID_SHAPE)).select(L, "id", X.log_id_regex("id").alias("_pattern"))
+    odd = wanted.filter(~F.col("id").rlike(X.ID_SHAPE)).select(L, "id", X.log_id_regex("id").alias("pattern"))
     cols = [L, "id", "entry_no", "line", "in_heading"]
     named = id_tokens(lines, any_case=True).drop("id").join(shaped, [L, "key"]).select(*cols)
-    worded = lines.filter("entry_no > 0").join(odd, L).filter(F.rlike("text", F.col("_pattern"))).select(*cols)
+    worded = literal_matches(lines.filter("entry_no > 0"), odd, [L]).select(*cols)
     hits = named.unionByName(worded).groupBy(L, "id", "entry_no").agg(
         F.max("in_heading").alias("in_heading"), F.countDistinct("line").alias("hits"))
     return ranked(hits, [L, "id"], [F.when(F.col("in_heading"), 0).otherwise(1), F.col("entry_no")], "place")

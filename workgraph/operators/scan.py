@@ -21,11 +21,11 @@ def _blocked(df: DataFrame, pos: str, block: int) -> DataFrame:
     return df.withColumn("_scan_block", F.floor(F.col(pos) / block))
 
 
-def _with_block_state(blocked: DataFrame, keys: list[str], summary: Column, scan, out: str) -> DataFrame:
-    """Attach to every row the state its block starts with."""
+def _with_block_state(blocked: DataFrame, keys: list[str], summary: Column, scan, out: list[str]) -> DataFrame:
+    """Attach to every row the state its block starts with; ``scan`` gives one column of it per name in ``out``."""
     per_block = blocked.groupBy(*keys, "_scan_block").agg(summary.alias("_scan_summary"))
     before = Window.partitionBy(*keys).orderBy("_scan_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = per_block.select(*keys, "_scan_block", scan(F.col("_scan_summary")).over(before).alias(out))
+    starts = per_block.select(*keys, "_scan_block", *[c.over(before).alias(o) for c, o in zip(scan(F.col("_scan_summary")), out)])
     return blocked.join(starts, [*keys, "_scan_block"], "left")
 
 
@@ -34,7 +34,7 @@ def running_total(df: DataFrame, keys: Sequence[str], pos: str, value: Column, o
     """Sum of ``value`` over the rows up to (and including) this one by ``pos``."""
     keys = list(keys)
     rows = _blocked(df.withColumn("_scan_value", value), pos, block)
-    rows = _with_block_state(rows, keys, F.sum("_scan_value"), F.sum, "_scan_before")
+    rows = _with_block_state(rows, keys, F.sum("_scan_value"), lambda c: [F.sum(c)], ["_scan_before"])
     frame = Window.partitionBy(*keys, "_scan_block").orderBy(pos).rowsBetween(
         Window.unboundedPreceding, 0 if inclusive else -1)
     total = F.coalesce("_scan_before", F.lit(0)) + F.coalesce(F.sum("_scan_value").over(frame), F.lit(0))
@@ -44,14 +44,28 @@ def running_total(df: DataFrame, keys: Sequence[str], pos: str, value: Column, o
 def carry_forward(df: DataFrame, keys: Sequence[str], pos: str, value: Column, out: str, *,
                   inclusive: bool = True, block: int = BLOCK) -> DataFrame:
     """The last non-null ``value`` at or before (or strictly before) each row."""
-    keys = list(keys)
-    rows = _blocked(df.withColumn("_scan_value", value), pos, block)
-    last_seen = F.max_by("_scan_value", F.when(F.col("_scan_value").isNotNull(), F.col(pos)))
-    rows = _with_block_state(rows, keys, last_seen, lambda c: F.last(c, ignorenulls=True), "_scan_before")
-    frame = Window.partitionBy(*keys, "_scan_block").orderBy(pos).rowsBetween(
+    return carry_all(df, keys, pos, {out: value}, inclusive=inclusive, block=block)
+
+
+def carry_all(df: DataFrame, keys: Sequence[str], pos: str, values: dict[str, Column], *,
+              inclusive: bool = True, backward: bool = False, block: int = BLOCK) -> DataFrame:
+    """The last non-null of every value at or before (or strictly before) each row, all in one scan.
+
+    ``backward`` carries the next value upwards instead. A block is summarised by its last value of each name, so summaries
+    combine in any grouping and one join brings a block the state it starts with.
+    """
+    keys, names = list(keys), list(values)
+    held = [f"_scan_value{i}" for i in range(len(names))]
+    rows = df.select("*", *[c.alias(h) for c, h in zip(values.values(), held)]) \
+        .withColumn("_scan_pos", -F.col(pos) if backward else F.col(pos))
+    rows = _blocked(rows, "_scan_pos", block)
+    last_seen = F.struct(*[F.max_by(h, F.when(F.col(h).isNotNull(), F.col("_scan_pos"))).alias(h) for h in held])
+    before = lambda summary: [F.last(summary[h], ignorenulls=True) for h in held]
+    rows = _with_block_state(rows, keys, last_seen, before, [f"{h}_before" for h in held])
+    frame = Window.partitionBy(*keys, "_scan_block").orderBy("_scan_pos").rowsBetween(
         Window.unboundedPreceding, 0 if inclusive else -1)
-    carried = F.coalesce(F.last("_scan_value", ignorenulls=True).over(frame), F.col("_scan_before"))
-    return rows.withColumn(out, carried).drop("_scan_value", "_scan_before", "_scan_block")
+    carried = {name: F.coalesce(F.last(h, ignorenulls=True).over(frame), F.col(f"{h}_before")) for name, h in zip(names, held)}
+    return rows.withColumns(carried).drop(*held, *[f"{h}_before" for h in held], "_scan_pos", "_scan_block")
 
 
 def neighbour(df: DataFrame, keys: Sequence[str], pos: str, step: int, columns: dict[str, str]) -> DataFrame:
