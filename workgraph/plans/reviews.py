@@ -211,10 +211,13 @@ def _comment_events(t):
         S, F.col("hunk").alias("comment_id"), "seq", "ts", "op", F.concat(F.lit("v"), F.col("seq").cast("string")).alias("body"))
 
 
-@query("fold_comments", """WITH e AS (SELECT session_id, hunk AS comment_id, seq, op FROM review_events WHERE op IN ('upsert', 'delete')),
+FOLD_COMMENTS = """WITH e AS (SELECT session_id, hunk AS comment_id, seq, op FROM review_events WHERE op IN ('upsert', 'delete')),
 b AS (SELECT session_id, comment_id, min(seq) AS born, max(seq) AS latest FROM e WHERE op = 'upsert' GROUP BY 1, 2)
 SELECT b.session_id, b.comment_id, 'v' || b.latest AS body, CAST(f.ts AS VARCHAR) AS created_at FROM b JOIN events f ON f.event_id = b.born
-WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.session_id = b.session_id AND e.comment_id = b.comment_id AND e.op = 'delete' AND e.seq > b.born)""")
+WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.session_id = b.session_id AND e.comment_id = b.comment_id AND e.op = 'delete' AND e.seq > b.born)"""
+
+
+@query("fold_comments", FOLD_COMMENTS)
 def fold_comments(t):
     return C.fold_comments(_comment_events(t)).select(S, "comment_id", "body", F.col("created_at").cast("string").alias("created_at"))
 
@@ -238,11 +241,14 @@ def _issue_events(t):
         F.col("props").alias("body"), F.lit("me").alias("author"))
 
 
-@query("fold_issues", """WITH e AS (SELECT user_id AS board_id, event_id % 9 AS id, event_id AS seq, CASE WHEN event_id % 4 = 0 THEN 'add' WHEN event_type = 'purchase' THEN 'comment' ELSE 'update' END AS op, props, event_type FROM events),
+FOLD_ISSUES = """WITH e AS (SELECT user_id AS board_id, event_id % 9 AS id, event_id AS seq, CASE WHEN event_id % 4 = 0 THEN 'add' WHEN event_type = 'purchase' THEN 'comment' ELSE 'update' END AS op, props, event_type FROM events),
 v AS (SELECT *, CASE WHEN op <> 'comment' THEN props END AS title, CASE WHEN op = 'add' THEN 'todo' WHEN event_type = 'click' THEN 'done' END AS status,
     CASE event_type WHEN 'error' THEN 'must' WHEN 'signup' THEN 'normal' END AS priority, min(CASE WHEN op = 'add' THEN seq END) OVER (PARTITION BY board_id, id) AS born FROM e)
 SELECT board_id, id, arg_max(title, seq) FILTER (title IS NOT NULL) AS title, arg_max(status, seq) FILTER (status IS NOT NULL) AS status,
-    nullif(arg_max(priority, seq) FILTER (priority IS NOT NULL), 'normal') AS priority, count(CASE WHEN op = 'comment' THEN 1 END) AS comments FROM v WHERE seq >= born GROUP BY 1, 2""")
+    nullif(arg_max(priority, seq) FILTER (priority IS NOT NULL), 'normal') AS priority, count(CASE WHEN op = 'comment' THEN 1 END) AS comments FROM v WHERE seq >= born GROUP BY 1, 2"""
+
+
+@query("fold_issues", FOLD_ISSUES)
 def fold_issues(t):
     return C.fold_issues(_issue_events(t)).select("board_id", "id", "title", "status", "priority", "comments")
 

@@ -12,6 +12,7 @@ from workgraph.operators import flow as W
 from workgraph.operators import reports as R
 from workgraph.plans import code as code_plans
 from workgraph.plans import evaluation as eval_plans
+from workgraph.plans import reviews as review_plans
 from workgraph.plans.registry import query
 from workgraph.session import checkpoint_root, cut
 from workgraph.sources import files as S
@@ -32,17 +33,12 @@ def _split(t, df, order):
     return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def _run(t, stream, mode, batch=None):
+def _run(t, stream, mode):
     """Run a stream over what is there and return everything it emitted."""
     place = _place(t)
     out = f"{place}/out"
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{place}/state").trigger(availableNow=True)
-    if batch is None:
-        keep = lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}")
-        writer = writer.foreachBatch(keep)
-    else:
-        writer = writer.foreachBatch(batch(out))
-    writer.start().awaitTermination()
+    writer.foreachBatch(J.export_batch(out)).start().awaitTermination()
     return t.spark.read.parquet(out)
 
 
@@ -53,6 +49,28 @@ def stream_fold(t):
     return J.live_states(_run(t, J.stream_review_states(events), "update"))
 
 
+def _shuffled_and_repeated(t, events):
+    """Appends in an order that has nothing to do with the event number, a third of the events twice."""
+    mixed = events.withColumn("_mix", F.pmod(F.xxhash64("seq"), F.lit(1_000_003)))
+    again = mixed.filter("seq % 3 = 0").withColumn("_mix", F.lit(1_000_003) - F.col("_mix"))
+    return _split(t, mixed.unionByName(again), "_mix")
+
+
+@query("stream_comments", review_plans.FOLD_COMMENTS)
+def stream_comments(t):
+    events = review_plans._comment_events(t).withColumn("ts", F.col("ts").cast("timestamp"))
+    live = J.live_comments(_run(t, J.stream_comments(_shuffled_and_repeated(t, events)), "update"))
+    return live.select("session_id", "comment_id", "body", F.col("created_at").cast("string").alias("created_at"))
+
+
+@query("stream_issues", review_plans.FOLD_ISSUES)
+def stream_issues(t):
+    J.use_rocksdb(t.spark)
+    events = review_plans._issue_events(t).withColumn("ts", F.col("ts").cast("timestamp")).withColumn("id", F.col("id").cast("string"))
+    live = J.live_issues(_run(t, J.stream_issues(_shuffled_and_repeated(t, events)), "append"))
+    return live.select("board_id", F.col("id").cast("long").alias("id"), "title", "status", "priority", "comments")
+
+
 @query("stream_hotspots", """SELECT user_id % 5 AS repo_id, 'f' || (event_id % 40) AS path, count(*) AS commits, CAST(sum(floor(value)) AS BIGINT) AS added, count(*) AS deleted
 FROM events WHERE ts < TIMESTAMP '2024-01-08 00:00:00' AND ts >= TIMESTAMP '2024-01-03 00:00:00' GROUP BY 1, 2""")
 def stream_hotspots(t):
@@ -69,8 +87,9 @@ def stream_hotspots(t):
 
 @query("stream_comment_export", """SELECT user_id AS session_id, event_id % 30 AS hunk, count(*) AS times FROM (SELECT DISTINCT user_id, event_id % 30 AS event_id FROM events WHERE event_type = 'purchase') x GROUP BY 1, 2""")
 def stream_comment_export(t):
-    rows = t.review_events.filter("op = 'upsert'").select("session_id", "hunk", "seq")
-    out = _run(t, _split(t, rows, "seq"), "append", lambda path: J.export_batch(path, ["session_id", "hunk"]))
+    rows = t.review_events.filter("op = 'upsert'").select("session_id", "hunk", "seq", F.col("ts").cast("timestamp").alias("ts"))
+    # The window outlasts the table's own span.
+    out = _run(t, J.stream_exports(_split(t, rows, "seq"), ["session_id", "hunk"], "900 days"), "append")
     return out.groupBy("session_id", "hunk").agg(F.count(F.lit(1)).alias("times"))
 
 
@@ -102,9 +121,9 @@ def stream_archive(t):
 
 @query("stream_summary_requests", """SELECT DISTINCT doc_id % 400 AS hunk_id FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE lang = 'en' AND doc_id % 97 = 0)""")
 def stream_summary_requests(t):
-    rows = t.documents.select((F.col("doc_id") % 400).alias("hunk_id"), F.col("source").alias("key"), "doc_id")
+    rows = t.documents.select((F.col("doc_id") % 400).alias("hunk_id"), F.col("source").alias("key"), "doc_id", F.timestamp_seconds("doc_id").alias("ts"))
     cache = t.documents.filter("lang = 'en' AND doc_id % 97 = 0").select(F.col("source").alias("key"))
-    stream = J.stream_summary_requests(_split(t, rows, "doc_id"), cache)
+    stream = J.stream_summary_requests(_split(t, rows, "doc_id"), cache, "900 days")
     return _run(t, stream, "append").select("hunk_id")
 
 

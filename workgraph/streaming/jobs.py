@@ -9,12 +9,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from workgraph.functions import ids as X
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -39,6 +40,114 @@ def live_states(updates: DataFrame) -> DataFrame:
     return last.filter("e.op = 'mark'").select("session_id", "hunk", "e.seq")
 
 
+def stream_comments(events: DataFrame) -> DataFrame:
+    """What decides each draft of (session_id, comment_id, seq, ts, op, body) events, for update mode.
+
+    Smallest and largest events only, so shuffled, repeated and late appends
+    give the same rows and state is one row per draft.
+    """
+    write, gone = F.col("op") == "upsert", F.col("op") == "delete"
+    return events.filter(write | gone).groupBy("session_id", "comment_id").agg(
+        F.min(F.when(write, F.struct("seq", "ts"))).alias("first"), F.max(F.when(write, F.struct("seq", "ts", "body"))).alias("last"),
+        F.max(F.when(gone, F.col("seq"))).alias("gone"))
+
+
+def live_comments(updates: DataFrame) -> DataFrame:
+    """Drafts that stand, from everything :func:`stream_comments` has emitted; the rows of ``changelog.fold_comments``."""
+    now = updates.groupBy("session_id", "comment_id").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.max("gone").alias("gone"))
+    return now.filter("first IS NOT NULL AND (gone IS NULL OR gone < first.seq)").select(
+        "session_id", "comment_id", F.col("first.ts").alias("created_at"), F.col("last.ts").alias("updated_at"), F.col("last.body").alias("body"))
+
+
+FIELDS = ["title", "description", "status", "priority"]
+ISSUE_OUT = ST.StructType([ST.StructField("board_id", ST.LongType()), ST.StructField("id", ST.StringType()), ST.StructField("folded", ST.LongType())]
+                          + [ST.StructField(c, ST.StringType()) for c in FIELDS]
+                          + [ST.StructField("created_us", ST.LongType()), ST.StructField("updated_us", ST.LongType()), ST.StructField("comments", ST.LongType())])
+_EVENT = ST.StructType([ST.StructField("us", ST.LongType()), ST.StructField("op", ST.StringType())] + [ST.StructField(c, ST.StringType()) for c in FIELDS])
+
+
+class _FoldIssue(StatefulProcessor):
+    """An issue's row, and the events it cannot take yet: those before the earliest add seen so far.
+
+    ``born`` only falls, so an event at or after it is folded for good; earlier
+    ones wait under their number for an earlier add. Numbers already folded are
+    remembered for ``ttl_ms``, in which an append may be repeated.
+    """
+
+    def __init__(self, ttl_ms: int | None):
+        self._ttl = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        number = ST.StructType([ST.StructField("seq", ST.LongType())])
+        stamped = [ST.StructField(f"{c}_seq", ST.LongType()) for c in FIELDS]
+        self._row = handle.getValueState("row", ST.StructType(
+            [ST.StructField("born", ST.LongType()), ST.StructField("folded", ST.LongType()), ST.StructField("created", ST.LongType()),
+             ST.StructField("updated", ST.LongType()), ST.StructField("comments", ST.LongType())]
+            + [ST.StructField(c, ST.StringType()) for c in FIELDS] + stamped))
+        self._seen = handle.getMapState("seen", number, ST.StructType([ST.StructField("at", ST.LongType())]), ttlDurationMs=self._ttl)
+        self._early = handle.getMapState("early", number, _EVENT, ttlDurationMs=self._ttl)
+
+    def _take(self, row: dict, seq: int, event: tuple) -> None:
+        at, op = event[:2]
+        row["folded"] += 1
+        row["created"] = at if row["created"] is None else min(row["created"], at)
+        row["updated"] = at if row["updated"] is None else max(row["updated"], at)
+        row["comments"] += op == "comment"
+        for name, value in zip(FIELDS, event[2:]):
+            if value is not None and (row[f"{name}_seq"] is None or seq > row[f"{name}_seq"]):
+                row[name], row[f"{name}_seq"] = value, seq
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        names = ["born", "folded", "created", "updated", "comments", *FIELDS, *[f"{c}_seq" for c in FIELDS]]
+        row = dict(zip(names, self._row.get())) if self._row.exists() else dict.fromkeys(names) | {"folded": 0, "comments": 0}
+        before = row["folded"]
+        for chunk in rows:
+            for seq, *event in chunk[["seq", "us", "op", *FIELDS]].itertuples(index=False, name=None):
+                number, event = (int(seq),), (int(event[0]), *[None if pd.isna(v) else v for v in event[1:]])
+                folded = row["born"] is not None and number[0] >= row["born"]
+                if (self._seen if folded else self._early).containsKey(number):
+                    continue
+                if event[1] == "add" and (row["born"] is None or number[0] < row["born"]):
+                    row["born"] = number[0]
+                    ready = [(n, e) for n, e in self._early.iterator() if n[0] > number[0]]
+                    for (waited,), held in ready:
+                        self._take(row, waited, tuple(held))
+                        self._early.removeKey((waited,))
+                        self._seen.updateValue((waited,), (held[0],))
+                if row["born"] is None or number[0] < row["born"]:
+                    self._early.updateValue(number, event)
+                else:
+                    self._take(row, number[0], event)
+                    self._seen.updateValue(number, (event[0],))
+        self._row.update(tuple(row[n] for n in names))
+        if row["folded"] > before:
+            yield pd.DataFrame([[key[0], key[1], row["folded"], *[row[c] for c in FIELDS], row["created"], row["updated"], row["comments"]]],
+                               columns=ISSUE_OUT.names)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_issues(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """Issue rows as their events arrive, for append mode: a row per issue and batch, numbered by the events ``folded``.
+
+    ``events`` is what ``changelog.fold_issues`` reads. Order is free and a
+    repeated append changes nothing, as long as an event is not repeated, and
+    its add does not arrive, later than ``ttl_ms`` after it (None: ever).
+    """
+    timed = events.select("board_id", "id", "seq", F.unix_micros("ts").alias("us"), "op", *FIELDS)
+    return timed.groupBy("board_id", "id").transformWithStateInPandas(
+        statefulProcessor=_FoldIssue(ttl_ms), outputStructType=ISSUE_OUT, outputMode="Append", timeMode="ProcessingTime" if ttl_ms else "None")
+
+
+def live_issues(updates: DataFrame) -> DataFrame:
+    """Current issue rows, from everything :func:`stream_issues` has emitted; the rows of ``changelog.fold_issues``."""
+    rest = [c for c in ISSUE_OUT.names if c not in ("board_id", "id")]
+    last = updates.groupBy("board_id", "id").agg(F.max_by(F.struct(*rest), "folded").alias("r"))
+    return last.select("board_id", "id", *[f"r.{c}" for c in FIELDS[:3]], X.stored_priority("r.priority").alias("priority"),
+                       F.timestamp_micros("r.created_us").alias("created_at"), F.timestamp_micros("r.updated_us").alias("updated_at"), "r.comments")
+
+
 def stream_daily_stats(commit_files: DataFrame, lateness: str = "2 days") -> DataFrame:
     """File statistics per day, for append mode; rows later than ``lateness`` are dropped and counted by Spark.
 
@@ -57,31 +166,33 @@ def recent_stats(daily: DataFrame, until, days: int) -> DataFrame:
     return inside.groupBy("repo_id", "path").agg(*[F.sum(c).alias(c) for c in ["commits", "added", "deleted"]])
 
 
-def export_batch(path: str, keys: list[str]):
-    """A foreachBatch function that appends rows whose keys were never exported before.
+def stream_exports(comments: DataFrame, keys: list[str], repeat_within: str = "30 days") -> DataFrame:
+    """Rows whose keys were not exported before, for append mode; ``comments`` has an event time ``ts``.
 
-    Each batch owns the folder of its number and overwrites it when replayed,
-    and looks only at other batches' folders, so a restart exports nothing twice
-    and forgets nothing.
+    Exported keys are state, kept for ``repeat_within`` of event time; nothing
+    exported is read again. A row older than that behind the newest is dropped
+    and counted by Spark, so a repetition cannot pass as new by being late.
     """
+    return comments.withWatermark("ts", repeat_within).dropDuplicatesWithinWatermark(keys)
+
+
+def export_batch(path: str):
+    """A foreachBatch function: each batch owns the folder of its number and overwrites it when replayed."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.dropDuplicates(keys)
-        try:
-            earlier = spark.read.parquet(path).filter(F.col("batch") != batch_id)
-            fresh = fresh.join(earlier.select(*keys), keys, "left_anti")
-        except AnalysisException as problem:
-            if "PATH_NOT_FOUND" not in str(problem) and "UNABLE_TO_INFER_SCHEMA" not in str(problem):
-                raise
-        fresh.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return run
 
 
-def stream_summary_requests(requests: DataFrame, cache: DataFrame) -> DataFrame:
-    """One outstanding request per hunk, for append mode, leaving out keys already summarised."""
+def stream_summary_requests(requests: DataFrame, cache: DataFrame, repeat_within: str = "30 days") -> DataFrame:
+    """One outstanding request per hunk, for append mode, leaving out keys already summarised.
+
+    A hunk is asked for again only once ``repeat_within`` of event time ``ts``
+    has passed, after which its state is gone; requests later than that are dropped.
+    """
     known = cache.select("key").distinct().withColumn("_known", F.lit(True))
-    return requests.join(known, "key", "left").filter("_known IS NULL").drop("_known").dropDuplicates(["hunk_id"])
+    fresh = requests.withWatermark("ts", repeat_within).join(known, "key", "left").filter("_known IS NULL").drop("_known")
+    return fresh.dropDuplicatesWithinWatermark(["hunk_id"])
 
 
 JOURNAL_OUT = ST.StructType([
@@ -129,8 +240,10 @@ class _ArchiveAfter(StatefulProcessor):
             ST.StructField("seq", ST.LongType()), ST.StructField("due", ST.LongType())]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows))
-        last = batch.loc[batch["seq"].idxmax()]
+        last = None
+        for chunk in rows:
+            top = chunk.loc[chunk["seq"].idxmax()]
+            last = top if last is None or top["seq"] > last["seq"] else last
         held = self._issue.get() if self._issue.exists() else None
         if held is None or last["seq"] > held[0]:
             if held is not None and held[1] > 0:
