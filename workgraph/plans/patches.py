@@ -219,6 +219,75 @@ def emit_patches(t):
     return S.emit_patches(files, hunks, lines).groupBy("review_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+# One file per part, in the header shapes a patch can have: quoted paths, copies, modes alone, spaces, new and deleted files.
+_SHAPES = [r"""diff --git "a/caf\303\251 %K.txt" "b/new\t%K.txt"
+similarity index 90%
+rename from "caf\303\251 %K.txt"
+rename to "new\t%K.txt"
+""", """diff --git a/o/%K.go b/c/%K.go
+similarity index 100%
+copy from o/%K.go
+copy to c/%K.go
+""", """diff --git a/m/%K.sh b/m/%K.sh
+old mode 100644
+new mode 100755
+""", """diff --git a/two words %K b/two words %K
+index ab12..cd34 100644
+--- a/two words %K\t
++++ b/two words %K\t
+@@ -1 +1 @@
+-x
++y
+""", r"""diff --git "a/q\"%K" "b/q\"%K"
+new file mode 100644
+index 0000..ab12
+--- /dev/null
++++ "b/q\"%K"
+@@ -0,0 +1 @@
++y
+""", """diff --git a/d %K b/d %K
+deleted file mode 100644
+index ab12..0000
+--- a/d %K
++++ /dev/null
+@@ -1 +0,0 @@
+-x
+"""]
+
+
+@query("patch_headers", """SELECT p_partkey, CASE k WHEN 0 THEN 'renamed' WHEN 1 THEN 'copied' WHEN 4 THEN 'added' WHEN 5 THEN 'deleted' ELSE 'modified' END AS status,
+    CASE k WHEN 0 THEN 'café ' || p_partkey || '.txt' WHEN 1 THEN 'o/' || p_partkey || '.go' WHEN 2 THEN 'm/' || p_partkey || '.sh' WHEN 3 THEN 'two words ' || p_partkey WHEN 4 THEN '' ELSE 'd ' || p_partkey END AS old_path,
+    CASE k WHEN 0 THEN 'new' || chr(9) || p_partkey || '.txt' WHEN 1 THEN 'c/' || p_partkey || '.go' WHEN 2 THEN 'm/' || p_partkey || '.sh' WHEN 3 THEN 'two words ' || p_partkey WHEN 4 THEN 'q"' || p_partkey ELSE '' END AS new_path,
+    CASE k WHEN 2 THEN '100644' WHEN 3 THEN '100644' WHEN 5 THEN '100644' END AS old_mode, CASE k WHEN 2 THEN '100755' WHEN 3 THEN '100644' WHEN 4 THEN '100644' END AS new_mode,
+    CASE k WHEN 0 THEN 90 WHEN 1 THEN 100 END AS similarity FROM (SELECT p_partkey, p_partkey % 6 AS k FROM part) x""")
+def patch_headers(t):
+    shape = F.get(F.array(*[F.lit(s) for s in _SHAPES]), (F.col("p_partkey") % 6).cast("int"))
+    patches = t.part.select(F.col("p_partkey").cast("string").alias("review_id"), F.replace(shape, F.lit("%K"), F.col("p_partkey").cast("string")).alias("text"))
+    files, _, _, _ = S.patch_tables(cut(S.parse_patches(patches)))
+    return files.select(F.col("review_id").cast("long").alias("p_partkey"), "status", "old_path", "new_path", "old_mode", "new_mode", "similarity")
+
+
+@query("emit_patches_bytes", """SELECT CAST(doc_id AS VARCHAR) AS review_id, sha256('diff --git a/d/' || doc_id || '.txt b/d/' || doc_id || '.txt' || chr(10) || '--- a/d/' || doc_id || '.txt' || chr(10) || '+++ b/d/' || doc_id || '.txt' || chr(10)
+    || '@@ -1,' || (n + 1) || ' +1,' || (n + 1) || ' @@ top' || chr(10) || '-old' || chr(10) || '+new' || chr(10) || ' ' || replace(text, chr(10), chr(10) || ' ') || chr(10)) AS sha
+    FROM (SELECT doc_id, text, len(string_split(text, chr(10))) AS n FROM documents) x""")
+def emit_patches_bytes(t):
+    """Each emitted patch put together again; one patch was one cell when it was read."""
+    files, hunks, lines, _ = S.patch_tables(cut(S.parse_patches(_rendered(t))))
+    row = F.struct("file_no", "hunk_no", "line_no", "part", "text")
+    whole = S.emit_patches(files, hunks, lines).groupBy("review_id").agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    return whole.select("review_id", F.sha2(F.concat(F.array_join("rows.text", "\n"), F.lit("\n")), 256).alias("sha"))
+
+
+@query("parse_numstat", """SELECT repo_id, CAST(sha AS VARCHAR) AS sha, count(*) AS files, CAST(sum(added) AS BIGINT) AS added FROM commit_files GROUP BY 1, 2""")
+def parse_numstat(t):
+    """Commits printed as numstat texts, then parsed back."""
+    from workgraph.sources.git import parse_numstat as parse
+    line = F.concat_ws("\t", F.col("added").cast("string"), F.lit("-"), "path")
+    texts = t.commit_files.groupBy("repo_id", "sha").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("body")).select(
+        "repo_id", F.concat(F.lit("\x1e"), F.col("sha").cast("string"), F.lit("\n\n"), "body", F.lit("\n")).alias("text"))
+    return parse(texts).filter("deleted = 0").groupBy("repo_id", "sha").agg(F.count(F.lit(1)).alias("files"), F.sum("added").alias("added"))
+
+
 @query("is_patch", """SELECT doc_id, contains(text, 'diff --git ') OR contains(text, '@@ -') OR (contains(text, '--- ') AND contains(text, '+++ ')) AS hit,
     true AS rendered_hit FROM documents""")
 def is_patch(t):

@@ -190,6 +190,18 @@ def log_lines(t):
     return S.log_lines(t.documents.select(F.col("doc_id").alias("log_id"), crlf.alias("text")))
 
 
+@query("read_logs", """SELECT conv_id AS log_id, count(*) * 2 AS n, sum(length(text)) + sum(length(role)) + 3 * count(*) AS chars FROM (SELECT conv_id, role, replace(text, chr(10), ' ') AS text FROM conversations) x GROUP BY 1""")
+def read_logs(t):
+    """Conversations written as one journal file each, then read as a folder of journals."""
+    place = _place(t)
+    entry = F.concat(F.lit("## "), "role", F.lit("\r\n"), F.replace("text", F.lit("\n"), F.lit(" ")))
+    whole = t.conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", entry.alias("e")))).alias("es"))
+    whole.select("conv_id", F.array_join("es.e", "\n").alias("text")).write.partitionBy("conv_id").text(place)
+    lines = S.read_logs(t.spark, f"{place}/*")
+    number = F.regexp_extract("log_id", r"conv_id=(\d+)", 1).cast("long")
+    return lines.groupBy(number.alias("log_id")).agg(F.max("line").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
 @query("git_log", """SELECT repo_id, CAST(sha AS VARCHAR) AS sha, count(*) AS files, count(CASE WHEN added > 25 THEN 1 END) AS renames FROM commit_files GROUP BY 1, 2""")
 def git_log(t):
     """Commits printed as a log text per commit, then parsed back."""
