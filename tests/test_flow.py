@@ -154,3 +154,33 @@ def test_first_rule_wins_a_tie(frame):
                     "repo_id int, id string, name string, kind string, path string, receiver string, package_name string, shape string, exported boolean")
     found = O.entry_points(symbols, None, [("Work$", "", "zebra"), ("^do", "", "apple")])
     assert rows(O.entry_point_index(found), "id", "reason") == [("x", "zebra")]
+
+
+def test_rounds_of_the_flow_walk_do_not_depend_on_reviews(frame, monkeypatch):
+    """A walk writes rows of symbols, however many reviews changed them; each review still gets its own whole answer."""
+    from workgraph.operators import closure
+    from workgraph.session import cut
+    written = []
+    chain = [(0, f"c{i + 1:02d}", f"c{i:02d}") for i in range(9)] + [(0, "c05", "side"), (1, "c01", "c00")]
+    calls = frame(chain, "repo_id int, from_id string, to_id string")
+    entries = frame([(0, "c07")], "repo_id int, id string")
+
+    def counted(df):
+        out = cut(df)
+        written.append(out.count() if V not in out.columns else 0)
+        return out
+
+    monkeypatch.setattr(W, "cut", counted)
+    monkeypatch.setattr(closure, "cut", counted)
+    totals = []
+    for reviews in (1, 30):
+        written.clear()
+        changed = frame([(f"v{k}", 0, i, n) for k in range(reviews) for n, i in enumerate(["c00", "side", "c05", "c09"])], f"{V} string, repo_id int, id string, ord int")
+        nodes, edges = W.flow_subgraph(changed, calls, entries)
+        per = {f"c{i:02d}": d for i, d in enumerate([0, 1, 2, 3, 4, 0, 1, 2])} | {"side": 0, "c09": 0}
+        assert {(r[V], r.node): r.depth for r in nodes.collect()} == {(f"v{k}", n): d for k in range(reviews) for n, d in per.items()}
+        assert edges.count() == reviews * 8 and nodes.filter("is_entry").count() == reviews and nodes.filter("changed").count() == 4 * reviews
+        assert nodes.filter("node = 'c06'").first().path == ["000000000002", "c06"]
+        totals.append(sum(written))
+        assert set(W.flow_subgraph(changed, calls, entries, paths=False)[0].columns) == set(nodes.columns) - {"path"}
+    assert totals[0] == totals[1]
