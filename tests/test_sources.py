@@ -2,6 +2,8 @@
 
 import json
 
+import pandas as pd
+
 from conftest import rows
 from workgraph.session import checkpoint_root, cut
 from workgraph.sources import boards as SB
@@ -90,3 +92,39 @@ def test_is_patch_and_checkpoint_folder(spark, frame):
     df = frame([("x\n@@ -1 +1 @@",), ("--- a\n+++ b",), ("--- a",), ("prose",)], "text string")
     assert [r[0] for r in df.select(SP.is_patch("text")).collect()] == [True, True, False, False]
     assert checkpoint_root(spark) and cut(df).inputFiles()[0].replace("file://", "").startswith(checkpoint_root(spark).replace("file://", ""))
+
+
+def test_boards_are_parsed_a_piece_at_a_time(monkeypatch):
+    """No more than ``PIECE`` issues are loaded at once, and the records are those of the whole file, broken ones included."""
+    item = "- id: TH-{0}\n  title: 'a\n\n  - b'\n  description: |\n    x\n    - y\n# note\n"
+    tail = "next_id: 9\ncolour: blue\n"
+    good = [f"issues:\n{''.join(item.format(i) for i in range(7))}{tail}", "issues:\n  - id: a\n\n  - id: b\n  - id: c\nprefix: Q\n"]
+    odd = ["issues:\n- &x {id: 1}\n- {id: 2}\n- *x\n", "issues:\n- id: 1\n- id: 2\n- id: [\n", "issues:\n- id: 1\n- title: 'q\n- id: 2\n- id: 3'\n- id: 4\n", "issues: []\n", ""]
+    whole = lambda text: [r for rows in SB._whole("b", text.encode()) for r in rows]
+    loaded, load = [], SB._load
+
+    def watched(content):
+        out = load(content)
+        loaded.append(len(out) if isinstance(out, list) else len((out or {}).get("issues") or []))
+        return out
+
+    def records(text):
+        parts = SB._parse(iter([pd.DataFrame({"board_id": ["b"], "content": [text.encode()]})]))
+        return [(r["pos"], r["id"], r["title"], r["extra"], r["prefix"], r["error"]) for part in parts for r in part.to_dict("records")]
+
+    wants = {t: [(r.get("pos"), r.get("id"), r.get("title"), r.get("extra"), r.get("prefix"), None) for r in whole(t)] for t in [*good, *odd] if "[\n" not in t}
+    monkeypatch.setattr(SB, "PIECE", 2)
+    monkeypatch.setattr(SB, "_load", watched)
+    for text in good:
+        assert records(text) == wants[text]
+    assert max(loaded) == 2
+    for text in odd:
+        got = records(text)
+        assert got == wants[text] if text in wants else [r[:2] for r in got] == [(None, None)] and got[0][5].startswith("not a valid board")
+
+
+def test_a_run_is_not_written_by_every_task(spark, tmp_path):
+    events = spark.range(0, 60, 1, 6).selectExpr("id % 3 AS run_id", "'finding' AS type", "true AS accepted")
+    S.write_run_log(events, str(tmp_path / "log"))
+    assert len(list((tmp_path / "log").glob("run_id=*/*.json"))) == 3
+    assert S.read_run_log(spark, str(tmp_path / "log")).count() == 60
