@@ -57,8 +57,12 @@ def read_run_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_run_log(events: DataFrame, path: str) -> None:
-    """Append run events as JSON lines, a folder per run."""
-    events.write.mode("append").partitionBy("run_id").json(path)
+    """Append run events as JSON lines, a folder per run.
+
+    Rows of a run are brought together first, so a write makes about one file a run and not one a run and task;
+    a run with very many rows is split over several tasks.
+    """
+    events.hint("rebalance", "run_id").write.mode("append").partitionBy("run_id").json(path)
 
 
 def read_remote_comments(spark: SparkSession, review_path: str, general_path: str) -> DataFrame:
