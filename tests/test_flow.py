@@ -184,3 +184,29 @@ def test_rounds_of_the_flow_walk_do_not_depend_on_reviews(frame, monkeypatch):
         totals.append(sum(written))
         assert set(W.flow_subgraph(changed, calls, entries, paths=False)[0].columns) == set(nodes.columns) - {"path"}
     assert totals[0] == totals[1]
+
+
+def test_flow_order_writes_a_review_as_its_changed_symbols(frame, monkeypatch):
+    """Neither components nor layers nor chains write a row per review and node above its symbols; a loop's review is peeled on its own."""
+    from workgraph.operators import closure
+    from workgraph.session import cut
+    written = []
+
+    def counted(df):
+        out = cut(df)
+        if V in out.columns or "_t" in out.columns:
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(W, "cut", counted)
+    monkeypatch.setattr(closure, "cut", counted)
+    chain = [(0, f"c{i + 1}", f"c{i}") for i in range(6)] + [(0, "l1", "l0"), (0, "l0", "l1")]
+    calls = frame(chain, "repo_id int, from_id string, to_id string")
+    info = frame([(0, i, i, "", f"{i[0]}.go", "main" if i == "c6" else None) for i in ["l0", "l1", *[f"c{i}" for i in range(7)]]],
+                 "repo_id int, id string, name string, receiver string, path string, entry_kind string")
+    changed = frame([(f"v{k}", 0, "c0", 0) for k in range(9)] + [("w", 0, "l1", 0)], f"{V} string, repo_id int, id string, ord int")
+    files = frame([(f"v{k}", 0, "c.go", 0) for k in range(9)] + [("w", 0, "l.go", 0)], f"{V} string, repo_id int, path string, diff_no int")
+    out = {r[V]: r for r in W.flow_order(files, changed, calls, info).collect()}
+    assert len(out) == 10 and all(out[f"v{k}"].entry_id == "c6" and out[f"v{k}"].why.count("←") == 5 for k in range(9))
+    assert out["w"].title == "l1 (no entry point found)" and out["w"].why == "called from l0"
+    assert max(written) <= 10
