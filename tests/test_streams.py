@@ -63,3 +63,27 @@ def test_exports_go_out_once_over_a_restart(spark, tmp_path):
     appends = [[(i % 7, 10 * a + i, DAY + dt.timedelta(hours=a)) for i in range(9)] for a in range(4)] + [[(9, 99, DAY + dt.timedelta(hours=5))]]
     out = run(spark, appends, schema, lambda s: J.stream_exports(s, ["k"], "30 days"), "append", tmp_path)
     assert rows(out, "k") == [(k,) for k in [*range(7), 9]]
+
+
+CHANGES = "board_id long, id string, seq long, ts timestamp, status string"
+HOUR = 3_600_000
+
+
+def test_issues_leave_once_they_have_been_done_long_enough(spark, tmp_path):
+    """All issues share one state; the last change by number decides, whatever the order of arrival."""
+    at = lambda hours: DAY + dt.timedelta(hours=hours)
+    appends = [[(1, "done", 1, at(1), "todo"), (1, "done", 2, at(2), "done"), (1, "again", 3, at(2), "done"), (2, "done", 4, at(3), "todo")],
+               [(1, "again", 5, at(4), "todo"), (None, "shared", 6, at(4), "done"), (1, "older", 8, at(5), "done"), (1, "older", 7, at(6), "todo")],
+               [(9, "clock", 9, at(60), "todo")], [(9, "clock", 10, at(61), "todo"), (2, "done", 11, at(61), "done")]]
+    out = run(spark, appends, CHANGES, lambda s: J.stream_archive(s, 24 * HOUR, groups=1), "append", tmp_path)
+    assert rows(out, "board_id", "id", "seq") == rows(spark.createDataFrame([(1, "done", 2), (None, "shared", 6), (1, "older", 8)], "board_id long, id string, seq long"))
+
+
+def test_issues_of_one_group_with_a_time_to_live(spark, tmp_path):
+    schema = "board_id long, id string, seq long, ts timestamp, op string, title string, description string, status string, priority string"
+    event = lambda board, name, seq, op, title: (board, name, seq, DAY + dt.timedelta(seconds=seq), op, title, None, None, None)
+    events = [event(None, "a", 1, "update", "early"), event(None, "a", 2, "add", "first"), event(None, "a", 3, "comment", None), event(1, "a", 4, "add", "x"),
+              event(1, "a", 5, "update", "y"), event(1, "never", 6, "update", "z")]
+    appends = [[events[i] for i in chosen] for chosen in ([4, 0], [2, 5, 4], [3], [1, 3])]
+    live = J.live_issues(run(spark, appends, schema, lambda s: J.stream_issues(s, 3_600_000, groups=1), "append", tmp_path))
+    assert sorted((str(r["board_id"]), r["title"], r["comments"]) for r in live.collect()) == [("1", "y", 0), ("None", "first", 1)]

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from workgraph.functions import ids as X
 
@@ -63,81 +64,88 @@ FIELDS = ["title", "description", "status", "priority"]
 ISSUE_OUT = ST.StructType([ST.StructField("board_id", ST.LongType()), ST.StructField("id", ST.StringType()), ST.StructField("folded", ST.LongType())]
                           + [ST.StructField(c, ST.StringType()) for c in FIELDS]
                           + [ST.StructField("created_us", ST.LongType()), ST.StructField("updated_us", ST.LongType()), ST.StructField("comments", ST.LongType())])
-_EVENT = ST.StructType([ST.StructField("us", ST.LongType()), ST.StructField("op", ST.StringType())] + [ST.StructField(c, ST.StringType()) for c in FIELDS])
+_EVENT = ["seq", "us", "op", *FIELDS]
+_ROW = ["born", "folded", "created", "updated", "comments", *FIELDS, *[f"{c}_seq" for c in FIELDS]]
+_NAMED = [ST.StructField("board_id", ST.LongType()), ST.StructField("id", ST.StringType())]
+_ROWS = ST.ArrayType(ST.StructType(_NAMED + [ST.StructField(c, ST.StringType() if c in FIELDS else ST.LongType()) for c in _ROW]))
+_EARLY = ST.ArrayType(ST.StructType(_NAMED + [ST.StructField(c, ST.LongType() if c in ("seq", "us") else ST.StringType()) for c in _EVENT] + [ST.StructField("until", ST.LongType())]))
+_ISSUE_STATE = ST.StructType([ST.StructField("rows", _ROWS), ST.StructField("early", _EARLY)])
+#: Groups that issues are dealt to by hash. The issues of a group are one state, so a batch costs a call per group and none per issue or event.
+GROUPS = 4096
 
 
-class _FoldIssue(StatefulProcessor):
-    """An issue's row, and the events it cannot take yet: those before the earliest add seen so far.
+def _none(values: tuple) -> list:
+    """The values of a pandas row with None for what is missing."""
+    return [None if pd.isna(v) else v for v in values]
 
-    ``born`` only falls, so an event at or after it is folded for good; earlier
-    ones wait under their number for an earlier add. Numbers already folded are
-    remembered for ``ttl_ms``, in which an append may be repeated.
-    """
 
-    def __init__(self, ttl_ms: int | None):
-        self._ttl = ttl_ms
+def _by_group(rows: DataFrame, groups: int):
+    return rows.withColumn("_group", F.pmod(F.xxhash64("board_id", "id"), F.lit(groups))).groupBy("_group")
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        number = ST.StructType([ST.StructField("seq", ST.LongType())])
-        stamped = [ST.StructField(f"{c}_seq", ST.LongType()) for c in FIELDS]
-        self._row = handle.getValueState("row", ST.StructType(
-            [ST.StructField("born", ST.LongType()), ST.StructField("folded", ST.LongType()), ST.StructField("created", ST.LongType()),
-             ST.StructField("updated", ST.LongType()), ST.StructField("comments", ST.LongType())]
-            + [ST.StructField(c, ST.StringType()) for c in FIELDS] + stamped))
-        self._seen = handle.getMapState("seen", number, ST.StructType([ST.StructField("at", ST.LongType())]), ttlDurationMs=self._ttl)
-        self._early = handle.getMapState("early", number, _EVENT, ttlDurationMs=self._ttl)
-
-    def _take(self, row: dict, seq: int, event: tuple) -> None:
-        at, op = event[:2]
-        row["folded"] += 1
-        row["created"] = at if row["created"] is None else min(row["created"], at)
-        row["updated"] = at if row["updated"] is None else max(row["updated"], at)
-        row["comments"] += op == "comment"
-        for name, value in zip(FIELDS, event[2:]):
-            if value is not None and (row[f"{name}_seq"] is None or seq > row[f"{name}_seq"]):
-                row[name], row[f"{name}_seq"] = value, seq
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        names = ["born", "folded", "created", "updated", "comments", *FIELDS, *[f"{c}_seq" for c in FIELDS]]
-        row = dict(zip(names, self._row.get())) if self._row.exists() else dict.fromkeys(names) | {"folded": 0, "comments": 0}
-        before = row["folded"]
-        for chunk in rows:
-            for seq, *event in chunk[["seq", "us", "op", *FIELDS]].itertuples(index=False, name=None):
-                number, event = (int(seq),), (int(event[0]), *[None if pd.isna(v) else v for v in event[1:]])
-                folded = row["born"] is not None and number[0] >= row["born"]
-                if (self._seen if folded else self._early).containsKey(number):
-                    continue
-                if event[1] == "add" and (row["born"] is None or number[0] < row["born"]):
-                    row["born"] = number[0]
-                    ready = [(n, e) for n, e in self._early.iterator() if n[0] > number[0]]
-                    for (waited,), held in ready:
-                        self._take(row, waited, tuple(held))
-                        self._early.removeKey((waited,))
-                        self._seen.updateValue((waited,), (held[0],))
-                if row["born"] is None or number[0] < row["born"]:
-                    self._early.updateValue(number, event)
-                else:
-                    self._take(row, number[0], event)
-                    self._seen.updateValue(number, (event[0],))
-        self._row.update(tuple(row[n] for n in names))
-        if row["folded"] > before:
-            yield pd.DataFrame([[key[0], key[1], row["folded"], *[row[c] for c in FIELDS], row["created"], row["updated"], row["comments"]]],
+def _take(row: dict, event: tuple) -> None:
+    seq, at, op = event[:3]
+    row["folded"] += 1
+    row["created"] = at if row["created"] is None else min(row["created"], at)
+    row["updated"] = at if row["updated"] is None else max(row["updated"], at)
+    row["comments"] += op == "comment"
+    for name, value in zip(FIELDS, event[3:7]):
+        if value is not None and (row[f"{name}_seq"] is None or seq > row[f"{name}_seq"]):
+            row[name], row[f"{name}_seq"] = value, seq
+
+
+def _fold_issues(ttl_ms: int | None):
+    """The rows of a group's issues, and the events they cannot take yet: those before the earliest add of their issue seen so far.
+
+    ``born`` only falls, so an event at or after it is folded for good; earlier
+    ones wait for an earlier add; those older than ``ttl_ms`` go when their group next has rows.
+    """
+    def run(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, early = state.get if state.exists else ([], [])
+        now = state.getCurrentProcessingTimeMs() if ttl_ms else 0
+        issues = {(r[0], r[1]): dict(zip(_ROW, r[2:])) for r in held}
+        waiting = [((e[0], e[1]), tuple(e[2:])) for e in early if e[-1] is None or e[-1] > now]
+        until = now + ttl_ms if ttl_ms else None
+        for chunk in chunks:
+            for seq, us, *rest in chunk[[*_EVENT, "board_id", "id"]].itertuples(index=False, name=None):
+                *rest, board, name = _none(rest)
+                waiting.append(((None if board is None else int(board), name), (int(seq), int(us), *rest, until)))
+        for issue, event in waiting:
+            if event[2] == "add":
+                row = issues.setdefault(issue, dict.fromkeys(_ROW) | {"folded": 0, "comments": 0})
+                row["born"] = event[0] if row["born"] is None else min(row["born"], event[0])
+        changed, early = {}, []
+        for issue, event in waiting:
+            row = issues.get(issue)
+            if row is None or event[0] < row["born"]:
+                early.append((*issue, *event))
+            else:
+                _take(row, event)
+                changed[issue] = row
+        state.update(([(*issue, *row.values()) for issue, row in issues.items()], early))
+        if changed:
+            yield pd.DataFrame([[*issue, row["folded"], *[row[c] for c in FIELDS], row["created"], row["updated"], row["comments"]] for issue, row in changed.items()],
                                columns=ISSUE_OUT.names)
 
-    def close(self) -> None:
-        pass
+    return run
 
 
-def stream_issues(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+def stream_issues(events: DataFrame, ttl_ms: int | None = None, groups: int = GROUPS) -> DataFrame:
     """Issue rows as their events arrive, for append mode: a row per issue and batch, numbered by the events ``folded``.
 
     ``events`` is what ``changelog.fold_issues`` reads. Order is free and a
     repeated append changes nothing, as long as an event is not repeated, and
-    its add does not arrive, later than ``ttl_ms`` after it (None: ever).
+    its add does not arrive, later than ``ttl_ms`` after it (None: ever). Numbers seen
+    are remembered by Spark's own deduplication, for ``ttl_ms`` of processing time at least.
     """
-    timed = events.select("board_id", "id", "seq", F.unix_micros("ts").alias("us"), "op", *FIELDS)
-    return timed.groupBy("board_id", "id").transformWithStateInPandas(
-        statefulProcessor=_FoldIssue(ttl_ms), outputStructType=ISSUE_OUT, outputMode="Append", timeMode="ProcessingTime" if ttl_ms else "None")
+    keys = ["board_id", "id", "seq"]
+    timed = events.select(*keys, F.unix_micros("ts").alias("us"), "op", *FIELDS)
+    if ttl_ms:
+        timed = timed.withColumn("_at", F.current_timestamp()).withWatermark("_at", f"{ttl_ms} milliseconds").dropDuplicatesWithinWatermark(keys).drop("_at")
+    else:
+        timed = timed.dropDuplicates(keys)
+    return _by_group(timed, groups).applyInPandasWithState(
+        _fold_issues(ttl_ms), ISSUE_OUT, _ISSUE_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def live_issues(updates: DataFrame) -> DataFrame:
@@ -228,44 +236,35 @@ ARCHIVE_OUT = ST.StructType([ST.StructField("board_id", ST.LongType()), ST.Struc
                              ST.StructField("seq", ST.LongType())])
 
 
-class _ArchiveAfter(StatefulProcessor):
-    """Holds an issue's last change; a timer hands it out once it has been done long enough."""
-
-    def __init__(self, age_ms: int):
-        self._age = age_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._handle = handle
-        self._issue = handle.getValueState("issue", ST.StructType([
-            ST.StructField("seq", ST.LongType()), ST.StructField("due", ST.LongType())]))
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last = None
-        for chunk in rows:
-            top = chunk.loc[chunk["seq"].idxmax()]
-            last = top if last is None or top["seq"] > last["seq"] else last
-        held = self._issue.get() if self._issue.exists() else None
-        if held is None or last["seq"] > held[0]:
-            if held is not None and held[1] > 0:
-                self._handle.deleteTimer(held[1])
-            due = int(last["ts_ms"]) + self._age if last["status"] == "done" else -1
-            self._issue.update((int(last["seq"]), due))
-            if due > 0:
-                self._handle.registerTimer(due)
-        yield pd.DataFrame({"board_id": [], "id": [], "seq": []}).astype({"board_id": "int64", "id": "object", "seq": "int64"})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        seq, due = self._issue.get()
-        if due == expiredTimerInfo.getExpiryTimeInMs():
-            self._issue.clear()
-            yield pd.DataFrame({"board_id": [key[0]], "id": [key[1]], "seq": [seq]})
+def _archive_after(age_ms: int):
+    """Holds the last change of a group's issues; a timeout hands out those that have been done long enough."""
+    def run(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        issues = {(r[0], r[1]): (r[2], r[3]) for r in state.get[0]} if state.exists else {}
+        if not state.hasTimedOut:
+            for chunk in chunks:
+                for row in chunk[["board_id", "id", "seq", "ts_ms", "status"]].itertuples(index=False, name=None):
+                    board, name, seq, at, status = _none(row)
+                    issue = (None if board is None else int(board), name)
+                    if issue not in issues or seq > issues[issue][0]:
+                        issues[issue] = (int(seq), int(at) + age_ms if status == "done" else -1)
+        now = state.getCurrentWatermarkMs()
+        over = {issue: seq for issue, (seq, due) in issues.items() if 0 < due < now}
+        left = [(*issue, seq, due) for issue, (seq, due) in issues.items() if issue not in over]
+        if left:
+            state.update((left,))
+            dues = [due for *_, due in left if due > 0]
+            if dues:
+                state.setTimeoutTimestamp(min(dues))
+        else:
+            state.remove()
+        if over:
+            yield pd.DataFrame([(*issue, seq) for issue, seq in over.items()], columns=ARCHIVE_OUT.names)
 
-    def close(self) -> None:
-        pass
+    return run
 
 
-def stream_archive(changes: DataFrame, age_ms: int, lateness: str = "1 hour") -> DataFrame:
+def stream_archive(changes: DataFrame, age_ms: int, lateness: str = "1 hour", groups: int = GROUPS) -> DataFrame:
     """Issues leaving the board once done for ``age_ms``; ``changes`` is (board_id, id, seq, ts, status)."""
     timed = changes.withWatermark("ts", lateness).withColumn("ts_ms", F.unix_millis("ts"))
-    return timed.groupBy("board_id", "id").transformWithStateInPandas(
-        statefulProcessor=_ArchiveAfter(age_ms), outputStructType=ARCHIVE_OUT, outputMode="Append", timeMode="EventTime")
+    return _by_group(timed, groups).applyInPandasWithState(
+        _archive_after(age_ms), ARCHIVE_OUT, "issues array<struct<board_id: long, id: string, seq: long, due: long>>", "append", GroupStateTimeout.EventTimeTimeout)
