@@ -261,3 +261,26 @@ def test_best_ahead_and_counts_on_a_long_chain_and_without_edges(frame):
     got = {r.node: (r.best, r.depth) for r in closure.best_ahead(chain, ranks, tenant="t", src="src", dst="dst", order=F.col("dst")).collect()}
     assert got == {f"n{i:02d}": ("n17", (17 - i) % 31) if i != 17 else ("n03", 17) for i in range(31)}
     assert closure.best_ahead(chain.limit(0), ranks, tenant="t", src="src", dst="dst", order=F.col("dst")).count() == 0
+
+
+def test_sets_of_seeds_walk_as_one(frame):
+    made = graphs(31, 20, 10, 18)
+    sets = {(g, f"r{k}"): {f"n{(g * 7 + k * i) % 10:02d}" for i in range(1, 4)} for g in made for k in range(70)}
+    seeds = frame([(g, s, n) for (g, s), ns in sets.items() for n in sorted(ns)], "t int, start string, node string")
+    names = closure.packed_names(seeds, tenant="t")
+    walk = closure.packed_reach(table(frame, made), names, tenant="t", src="src", dst="dst", seeds=seeds).collect()
+    whose = {(r.t, r.block, r.bits): r.start for r in names.collect()}
+    assert len(whose) == len(sets) and max(r.block for r in walk) == 1
+    got = defaultdict(dict)
+    for r in walk:
+        for i in range(closure.PACK):
+            if r.bits >> i & 1:
+                assert r.node not in got[r.t, whose[r.t, r.block, 1 << i]]
+                got[r.t, whose[r.t, r.block, 1 << i]][r.node] = r.depth
+    for (g, s), ns in sets.items():
+        near, depth, front, d = adjacency(made[g]), {n: 0 for n in ns}, ns, 0
+        while front:
+            d += 1
+            front = {b for a in front for b in near[a]} - set(depth)
+            depth |= {n: d for n in front}
+        assert got[g, s] == depth

@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from conftest import rows
+from workgraph.operators import closure
 from workgraph.operators import code as O
 from workgraph.operators import flow as W
 
@@ -210,3 +211,22 @@ def test_flow_order_writes_a_review_as_its_changed_symbols(frame, monkeypatch):
     assert len(out) == 10 and all(out[f"v{k}"].entry_id == "c6" and out[f"v{k}"].why.count("←") == 5 for k in range(9))
     assert out["w"].title == "l1 (no entry point found)" and out["w"].why == "called from l0"
     assert max(written) <= 10
+
+
+def test_reaching_tests_walk_by_review(frame, monkeypatch):
+    """Wanted tests count only by another wanted function; no walk is taken apart into rows of function and test."""
+    def refuse(*_):
+        raise AssertionError("a row per function and test")
+    monkeypatch.setattr(closure, "unpacked", refuse)
+    rng = random.Random(5)
+    edges = {(r, f"n{rng.randrange(9)}", f"n{rng.randrange(9)}") for r in range(6) for _ in range(rng.randrange(16))}
+    asked = {(v, r, f"n{rng.randrange(9)}") for r in range(6) for v in [None, *range(70)] for _ in range(rng.randrange(4))}
+    tests = {(r, f"n{i}") for r in range(6) for i in range(0, 9, 2)}
+    reach = set(edges)
+    while more := {(r, a, c) for r, a, b in reach for s, x, c in edges if (s, x) == (r, b)} - reach:
+        reach |= more
+    want = {(v, r, t) for v, r, f in asked for q, t in tests if q == r and t != f and (r, t, f) in reach}
+    got = O.reaching_tests(frame([*asked, *asked, (1, 0, None)], "review_id int, repo_id int, id string"),
+                           frame([*edges, (0, "n1", None), (0, None, "n2")], "repo_id int, from_id string, to_id string"),
+                           frame([*tests, (0, None)], "repo_id int, id string")).collect()
+    assert len(got) == len(set(got)) and {tuple(r) for r in got} == want
