@@ -223,3 +223,18 @@ def test_given_targets_are_met(spark):
     target = spark.createDataFrame([("x", 200.0), ("y", 200.0)], "source string, target double")
     out = mixing.mix(spark.createDataFrame(rows, DOCS), targets={"source": target}, rounds=2).groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("expected")).alias("t"))
     assert {r["source"]: round(r["t"], 3) for r in out.collect()} == {"x": 200.0, "y": 200.0}
+
+
+def test_steps_of_raking_do_not_nest(spark, monkeypatch):
+    """What is written down at a step joins one sum per value: no plan holds the steps before it again."""
+    joins = []
+
+    def written(df):
+        joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return cut(df)
+    cut = mixing.cut
+    monkeypatch.setattr(mixing, "cut", written)
+    cells = spark.createDataFrame([("a", "x", "p", 3), ("a", "y", "q", 5), ("b", "x", "q", 7)], "source string, lang string, topic string, tokens long")
+    targets = {d: cut(mixing.tempered(cells, d)) for d in mixing.DIMS}
+    assert mixing.rake(cells, targets, rounds=2).count() == 3
+    assert len(joins) == 6 and max(joins) <= 2

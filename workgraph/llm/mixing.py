@@ -70,7 +70,8 @@ def tempered(cells: DataFrame, dim: str, power: float = TEMPER) -> DataFrame:
 def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
     """``cells`` (dimension columns, tokens) with ``weight``: tokens fitted to the targets, dimension after dimension.
 
-    A round scales every cell by target / current sum of its value, for each dimension in turn, and is written down.
+    A round scales every cell by target / current sum of its value, for each dimension in turn. Every step is written down: the next
+    one reads its cells twice, so plans over unwritten steps would double with each dimension.
     Values without a target keep their weight; cells without tokens stay empty. Targets that contradict each other (a
     language that only one source has, say) cannot all be met; the last dimension's then hold.
     """
@@ -80,9 +81,8 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
             now = weighted.groupBy(dim).agg(F.sum("weight").alias("_now"))
             factor = now.join(target, dim, "left").select(dim, F.when(F.col("target").isNull() | (F.col("_now") == 0), F.lit(1.0)).otherwise(
                 F.col("target") / F.col("_now").cast("double")).alias("_factor"))
-            weighted = weighted.join(factor, dim).withColumn(
-                "weight", F.round(F.col("weight").cast("double") * F.col("_factor"), PLACES).cast("decimal(38,6)")).drop("_factor")
-        weighted = cut(weighted)
+            weighted = cut(weighted.join(factor, dim).withColumn(
+                "weight", F.round(F.col("weight").cast("double") * F.col("_factor"), PLACES).cast("decimal(38,6)")).drop("_factor"))
     return weighted
 
 
