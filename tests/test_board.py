@@ -128,6 +128,34 @@ def plain_admission(boards, proposals):
     return sorted(out)
 
 
+def refuse(*args, **kw):
+    raise AssertionError("a small board walks in rounds")
+
+
+def random_boards(frame, loops=False):
+    rng, data = random.Random(11), []
+    for b in ["p", "q", "r", None]:
+        for pos in range(1, 13):
+            waits = [f"TH-{rng.randint(1, 14) if loops else rng.randint(0, pos - 1)}" for _ in range(rng.randint(0, 3))]
+            data.append((b, pos, f"TH-{pos - 1 if pos % 5 == 0 else pos}" if pos != 7 else None, "t", rng.choice(["todo", "doing", "done", None]),
+                         rng.choice(["must", "high", "low", None]), waits))
+    issues = frame(data, SCHEMA)
+    return issues, O.edges_of(issues)
+
+
+def test_small_boards_are_walked_in_their_rows(frame, monkeypatch):
+    issues, edges = random_boards(frame, loops=True)
+    columns = ["board_id", "id", "unblocks", "unblocks_urgent", "urgency", "urgency_from"]
+    starts = issues.filter("pos % 2 = 0").select("board_id", F.col("id").alias("start"))
+    with monkeypatch.context() as m:
+        m.setattr(O.closure, "best_ahead", refuse)
+        m.setattr(O.closure, "packed_reach", refuse)
+        small, some = rows(O.leverage(issues, edges), *columns), rows(O.leverage(issues, edges, starts), *columns)
+    monkeypatch.setattr(O.closure, "SMALL", 0)
+    assert small == rows(O.leverage(issues, edges), *columns)
+    assert some == rows(O.leverage(issues, edges, starts), *columns)
+
+
 PROPOSALS = "board_id string, seq long, id string, deps array<string>"
 
 
