@@ -187,6 +187,24 @@ def test_batches_match_one_list_after_another(frame):
     assert admitted(frame, issues, O.edges_of(issues), proposals) == want
 
 
+def test_small_boards_enter_batches_in_their_rows(frame, monkeypatch):
+    issues, edges = random_boards(frame)
+    rng = random.Random(5)
+    proposals = [(b, s, f"TH-{rng.randint(1, 13)}", [f"TH-{rng.randint(1, 13)}" for _ in range(rng.randint(0, 2))]) for b in ["p", "q", "r"] for s in range(12)]
+    proposals.append(("p", 12, "TH-3", ["TH-3"]))
+    with monkeypatch.context() as m:
+        m.setattr(O, "_meets", refuse)
+        small = admitted(frame, issues, edges, proposals)
+    assert {v for *_, v in small} == {"ok", "self", "cycle", "unknown"}
+    # Without a board or a place in the order a proposal is judged by itself.
+    odd = [(None, 1, "TH-1", ["TH-2"]), ("p", None, "TH-1", ["TH-2"])]
+    want = frame(proposals + odd, PROPOSALS).select("board_id", "seq", "id", F.posexplode_outer("deps").alias("ord", "dep"))
+    together = rows(O.admit_blockers(issues, edges, want))
+    assert len(together) == len(small) + 2 and set(small) <= set(together)
+    monkeypatch.setattr(O.closure, "SMALL", 0)
+    assert together == rows(O.admit_blockers(issues, edges, want))
+
+
 def test_sync_plan_texts(frame):
     issues, edges = board(frame, ("TH-1", "done", None, []), ("TH-2", "doing", "high", ["TH-1", "TH-7"]))
     issues = issues.withColumn("description", F.lit("Do it.")).withColumn("comments", F.array(F.lit("a"), F.lit("b")))
