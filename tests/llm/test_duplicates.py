@@ -317,3 +317,22 @@ def test_near_duplicate_stage_over_the_data_and_the_stages_after_it(spark):
         if d in clean:
             assert (clean[d] == t) == (hit == 0) and plain_hits(clean[d], [])[0] == total - hit
         assert ("[secret]" in safe[d]) == bool(plain_spans(t)[1])
+
+
+def test_index_keys_are_deleted_before_texts_are_written(frame, monkeypatch):
+    """The index keys are most of a run's disk: they go once the shared ones are known, and texts are written after that."""
+    import os
+
+    written, plain = [], jaccard_join.cut
+
+    def watched(df):
+        out = plain(df)
+        written.append((set(out.columns), out._cut_path, [c for c, path, _ in written if os.path.exists(path.removeprefix("file:"))]))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "cut", watched)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:59], "other"])), (2, " ".join([*words[:59], "other"])), (3, " ".join(reversed(words)))]
+    assert sorted(map(tuple, jaccard_join.classes(frame(rows, DOCS)).select("doc_id", "component_id").collect())) == [(1, 1), (2, 1), (2, 1), (3, 3)]
+    beside = [held for columns, _, held in written if "text" in columns]
+    assert beside and not any("keys" in columns for held in beside for columns in held)

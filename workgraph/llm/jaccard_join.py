@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from workgraph.llm.registry import query
 from workgraph.llm.tokens import LOWER, mixed, window_hashes, word_hashes
 from workgraph.operators.closure import connected_components
-from workgraph.session import cut, scratch
+from workgraph.session import cut, release, scratch
 
 WIDTH = 3
 #: Links need 100 * intersection >= THRESHOLD * union.
@@ -226,6 +226,9 @@ def _classes(docs: DataFrame, id: str, text: str, width: int, threshold: int) ->
     parts = [F.expr(f"filter(keys, k -> pmod(k, {PARTS}) = {i})") for i in range(PARTS)]
     shared = [cut(_shared(rows.select(node, F.explode(part).alias("key")), "node").distinct()) for part in parts]
     shared = reduce(DataFrame.unionByName, shared)
+    # The keys are most of what was written; nothing below reads them.
+    keyed, rows = rows, cut(rows.drop("keys"))
+    release(keyed)
     members = shared.select("node").distinct()
     info = rows.filter("doc_id IS NOT NULL AND digest IS NOT NULL").select("doc_id", node, "n_shingles", "sketch").join(members.hint("merge"), "node", "left_semi")
     info = cut(info.groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.max("sketch").alias("sketch"))
@@ -242,8 +245,10 @@ def _classes(docs: DataFrame, id: str, text: str, width: int, threshold: int) ->
 
     wanted = docs.select(F.col(f"`{id}`").cast("long").alias("rep"), F.col(f"`{text}`").cast("string").alias("text")).join(
         info.select("rep").distinct().hint("merge"), "rep", "left_semi")
-    texts = cut(_with_digest(wanted, width).select(node, "rep", "text").join(info.select("node", "rep"), ["node", "rep"])
-                .dropDuplicates(["node"]).select("node", "text"))
+    # Written down in between, so that the texts lie in shuffle files once at a time; a node has one rep.
+    own = cut(_with_digest(wanted, width).select(node, "rep", "text"))
+    texts = cut(own.join(info.select("node", "rep"), ["node", "rep"]).dropDuplicates(["node", "rep"]).select("node", "text"))
+    release(own)
 
     star = shared.filter("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     star = star.join(side("a"), "a").join(side("b"), "b").filter(close("a", "b")).select("a", "b")
