@@ -230,3 +230,13 @@ def test_reaching_tests_walk_by_review(frame, monkeypatch):
                            frame([*edges, (0, "n1", None), (0, None, "n2")], "repo_id int, from_id string, to_id string"),
                            frame([*tests, (0, None)], "repo_id int, id string")).collect()
     assert len(got) == len(set(got)) and {tuple(r) for r in got} == want
+
+
+def test_reach_from_tests_without_paths(frame):
+    rng = random.Random(6)
+    calls = frame(sorted({(r, f"n{rng.randrange(90)}", f"n{rng.randrange(90)}") for r in (0, 1) for _ in range(150)}), "repo_id int, from_id string, to_id string")
+    tests = frame([(r, f"n{i}") for r in (0, 1) for i in range(80)], "repo_id int, id string")
+    for bound in (None, 2):
+        whole = O.reach_from_tests(calls, tests, bound).drop("path")
+        short = O.reach_from_tests(calls, tests, bound, paths=False)
+        assert short.dtypes == whole.dtypes and rows(short) == rows(whole)
