@@ -232,6 +232,67 @@ def test_reaching_tests_walk_by_review(frame, monkeypatch):
     assert len(got) == len(set(got)) and {tuple(r) for r in got} == want
 
 
+def _behind(edges, node):
+    """What ``node`` reaches over at least one edge."""
+    seen, todo = set(), [b for a, b in edges if a == node]
+    while todo:
+        at = todo.pop()
+        if at not in seen:
+            seen.add(at)
+            todo += [b for a, b in edges if a == at]
+    return seen
+
+
+def test_named_reaching_tests_against_brute_force(frame):
+    """Tests that share a directory and a name stand for each other only where one of them reaches what is wanted."""
+    rng = random.Random(4)
+    edges = {r: sorted({(f"n{rng.randrange(14)}", f"n{rng.randrange(14)}") for _ in range(17)}) for r in range(6)}
+    asked = sorted({(v, r, f"n{rng.randrange(14)}") for r in edges for v in range(70) for _ in range(1 + v % 3)})
+    tests = [(r, f"n{i}", f"T{i % 3}", f"d{i % 2}/x_test.go") for r in edges for i in range(9)] + [(0, "n1", "again", "e/x_test.go")]
+    by_test, named = set(), set()
+    for r, calls in edges.items():
+        wanted = {v: {i for w, s, i in asked if (w, s) == (v, r)} for v in range(70)}
+        for _, i, name, path in [t for t in tests if t[0] == r]:
+            for v, ids in wanted.items():
+                if (_behind(calls, i) - {i}) & ids:
+                    by_test.add((v, r, i))
+                    named.add((v, r, path.split("/")[0], name))
+    calls = frame([(r, *e) for r in edges for e in edges[r]], "repo_id int, from_id string, to_id string")
+    wanted = frame(asked, f"{V} int, repo_id int, id string")
+    cases = frame(tests, "repo_id int, id string, name string, path string")
+    got = O.reaching_tests(wanted, calls, cases, named=True)
+    assert sorted(map(tuple, got.select(V, "repo_id", "dir", "name").collect())) == sorted(named)
+    plain = O.reaching_tests(wanted, calls, cases)
+    assert sorted(map(tuple, plain.select(V, "repo_id", "test").collect())) == sorted(by_test)
+    assert rows(O.test_commands(got, cases)) == rows(O.test_commands(plain, cases))
+
+
+def test_reaching_tests_walk_loops_as_one_node(frame, monkeypatch):
+    """What is walked has a row a loop: the nodes of a loop of forty are one."""
+    seen, plain = [], closure.packed_reach
+
+    def watched(edges, *args, **kwargs):
+        seen.append(edges.count())
+        return plain(edges, *args, **kwargs)
+
+    monkeypatch.setattr(closure, "packed_reach", watched)
+    calls = frame([(0, f"n{i}", f"n{(i + 1) % 40}") for i in range(40)] + [(0, "t", "n0"), (0, "n5", "z")], "repo_id int, from_id string, to_id string")
+    cases = frame([(0, "t", "T", "d/x_test.go"), (0, "n3", "U", "d/x_test.go")], "repo_id int, id string, name string, path string")
+    got = O.reaching_tests(frame([("v", 0, "z"), ("w", 0, "n3")], f"{V} string, repo_id int, id string"), calls, cases)
+    assert sorted(map(tuple, got.select(V, "test").collect())) == [("v", "n3"), ("v", "t"), ("w", "t")]
+    assert seen == [2]
+
+
+def test_closest_tests_of_a_function_asked_for_twice(frame):
+    """The closest tests are worked out once a symbol; a function asked for twice counts each test twice, a review without an id none."""
+    hits = frame([(0, f"t{i}", "f", 1 + i // 2, [f"t{i}", "f"]) for i in range(6)], "repo_id int, test string, id string, depth int, path array<string>")
+    asked = frame([("v", 0, "f"), ("w", 0, "f"), ("w", 0, "f"), (None, 0, "f"), ("v", 0, "g")], f"{V} string, repo_id int, id string")
+    got = sorted(((r[V] or "", r.id, r.reached, r.tests, r.path) for r in O.test_reach(asked, hits).collect()))
+    five, twice = [f"t{i}" for i in range(5)], ["t0", "t0", "t1", "t1", "t2"]
+    assert got == [("", "f", False, None, None), ("v", "f", True, five, ["t0", "f"]), ("v", "g", False, None, None),
+                   ("w", "f", True, twice, ["t0", "f"]), ("w", "f", True, twice, ["t0", "f"])]
+
+
 def test_reach_from_tests_without_paths(frame):
     rng = random.Random(6)
     calls = frame(sorted({(r, f"n{rng.randrange(90)}", f"n{rng.randrange(90)}") for r in (0, 1) for _ in range(150)}), "repo_id int, from_id string, to_id string")

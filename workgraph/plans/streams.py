@@ -161,7 +161,7 @@ UNION ALL SELECT review_id, repo_id, 3, dir, 0, '  ' || command FROM cm""")
 def reach_report(t):
     asked = code_plans._review_functions(t)
     hits = O.nearest_tests(code_plans._graph(t), code_plans._tests(t), asked)
-    return R.reach_report(cut(O.test_reach(asked, hits)), code_plans._commands(t, asked))
+    return R.reach_report(cut(O.test_reach(asked, hits).drop("path")), code_plans._commands(t, asked))
 
 
 @query("context_report", """WITH s AS (SELECT repo_id, id FROM symbols WHERE kind IN ('func', 'method')),
