@@ -128,3 +128,20 @@ def test_a_run_is_not_written_by_every_task(spark, tmp_path):
     S.write_run_log(events, str(tmp_path / "log"))
     assert len(list((tmp_path / "log").glob("run_id=*/*.json"))) == 3
     assert S.read_run_log(spark, str(tmp_path / "log")).count() == 60
+
+
+def test_sessions_are_written_and_read_by_tasks_of_many_files(spark, tmp_path):
+    """A file per session: what a task writes and reads follows from the number of files, not from their few bytes."""
+    from datetime import datetime
+
+    from __spark_entry__ import queries
+
+    spark.createDataFrame([(i, datetime(2024, 1, 1, 0, i % 60), i % 450, "click", 1.0, "{}") for i in range(900)],
+                          "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    out = queries()["read_sessions"](spark, str(tmp_path))
+    assert len(out.inputFiles()) == 450
+    assert out.rdd.getNumPartitions() <= 20
+    writers = {f.rsplit("/", 1)[-1].split("-")[1] for f in out.inputFiles()}
+    assert 3 <= len(writers) <= 4
+    got = sorted(tuple(r) for r in out.select("session_id", "hunk_id", "path", "status").collect())
+    assert got == sorted({(str(i % 450), str(i % 30), f"p{i % 30}", "reviewed") for i in range(900)})
